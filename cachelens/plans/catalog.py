@@ -32,4 +32,4 @@ def T(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # Importing the query modules fills the registry.
-from cachelens.plans import q_routing  # noqa: E402,F401
+from cachelens.plans import q_routing, q_text  # noqa: E402,F401
