@@ -46,8 +46,8 @@ _CHUNK_ENTRIES = 4_000_000
 # numpy helpers (run inside tasks)
 # ----------------------------------------------------------------------------------------
 
-def arrow_vectors(batch, id_col: str, vec_col: str):
-    """(ids int64[n], X float64[n, dim]) from an Arrow batch/table; null vectors are skipped."""
+def arrow_vectors(batch, id_col: str, vec_col: str, dtype=np.float64):
+    """(ids int64[n], X dtype[n, dim]) from an Arrow batch/table; null vectors are skipped."""
     if isinstance(batch, pa.Table):
         batch = batch.combine_chunks()
         ids_arr = batch.column(id_col).chunk(0) if batch.num_rows else pa.array([], pa.int64())
@@ -56,7 +56,7 @@ def arrow_vectors(batch, id_col: str, vec_col: str):
         ids_arr = batch.column(id_col)
         vec_arr = batch.column(vec_col)
     if batch.num_rows == 0 or vec_arr is None:
-        return np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.float64)
+        return np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=dtype)
     valid = vec_arr.is_valid()
     if valid.false_count:
         ids_arr = ids_arr.filter(valid)
@@ -64,18 +64,22 @@ def arrow_vectors(batch, id_col: str, vec_col: str):
     ids = ids_arr.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
     n = len(ids)
     if n == 0:
-        return ids, np.zeros((0, 0), dtype=np.float64)
+        return ids, np.zeros((0, 0), dtype=dtype)
     lengths = vec_arr.value_lengths().to_numpy(zero_copy_only=False)
     dim = int(lengths[0])
     if not np.all(lengths == dim):
         raise ValueError("vectors of different dimensions in one table")
     flat = vec_arr.flatten().to_numpy(zero_copy_only=False)
-    X = np.asarray(flat, dtype=np.float64).reshape(n, dim)
+    X = np.asarray(flat, dtype=dtype).reshape(n, dim)
     return ids, X
 
 
 def _scores(Q: np.ndarray, qn: np.ndarray, X: np.ndarray, metric: str) -> np.ndarray:
-    """Matrix to minimise: squared L2 (clamped at 0) or negated inner product."""
+    """Matrix to minimise: squared L2 (clamped at 0), negated inner product, or the
+    Hamming distance of packed 64-bit code words."""
+    if metric == "hamming":
+        x = np.bitwise_xor(Q[:, None, :].view(np.uint64), X[None, :, :].view(np.uint64))
+        return np.bitwise_count(x).sum(axis=2).astype(np.float64)
     S = Q @ X.T
     if metric == "ip":
         return -S
@@ -111,9 +115,15 @@ class TopK:
     metric: str = "l2"
     exclude_self: bool = False
 
+    @property
+    def vec_dtype(self):
+        return np.int64 if self.metric == "hamming" else np.float64
+
+    def _val(self) -> str:
+        return {"ip": "score", "hamming": "hamming"}.get(self.metric, "dist")
+
     def schema(self) -> str:
-        val = "score" if self.metric == "ip" else "dist"
-        return f"query_id long, neighbor_id long, {val} double"
+        return f"query_id long, neighbor_id long, {self._val()} double"
 
     def init(self, qids, Q):
         return {"rows": np.zeros(0, np.int64), "d": np.zeros(0), "ids": np.zeros(0, np.int64)}
@@ -122,7 +132,8 @@ class TopK:
         m, n = len(qids), len(xids)
         if m == 0 or n == 0:
             return
-        step = max(1, _CHUNK_ENTRIES // max(n, 1))
+        width = X.shape[1] if self.metric == "hamming" else 1
+        step = max(1, _CHUNK_ENTRIES // max(n * width, 1))
         parts_r, parts_d, parts_i = [st["rows"]], [st["d"]], [st["ids"]]
         for s in range(0, m, step):
             e = min(m, s + step)
@@ -146,7 +157,7 @@ class TopK:
 
     def emit(self, st, qids):
         val = -st["d"] if self.metric == "ip" else st["d"]
-        name = "score" if self.metric == "ip" else "dist"
+        name = self._val()
         return pa.table({
             "query_id": pa.array(qids[st["rows"]], pa.int64()),
             "neighbor_id": pa.array(st["ids"], pa.int64()),
@@ -222,9 +233,9 @@ class PairStats:
             if v.size == 0:
                 continue
             if width > 0:
-                inside = (v >= self.lo) & (v <= self.hi)
-                v = v[inside]
-                b = np.minimum(np.floor((v - self.lo) / width).astype(np.int64), self.bins - 1)
+                # values are clamped into the range found by the first pass (recomputed
+                # products may differ from it in the last bit)
+                b = np.clip(np.floor((v - self.lo) / width).astype(np.int64), 0, self.bins - 1)
             else:
                 b = np.zeros(v.size, np.int64)
             st["n"] += np.bincount(b, minlength=self.bins)
@@ -263,7 +274,7 @@ def _collect_bounded(df: DataFrame, max_rows: int, max_bytes: int):
 
 
 def _run_kernel(kernel, qids, Q, xids_X_iter):
-    qn = np.einsum("ij,ij->i", Q, Q) if Q.size else np.zeros(len(qids))
+    qn = np.einsum("ij,ij->i", Q, Q) if (Q.size and Q.dtype.kind == "f") else np.zeros(len(qids))
     st = kernel.init(qids, Q)
     for xids, X in xids_X_iter:
         if len(xids) and Q.size and X.shape[1] != Q.shape[1]:
@@ -293,14 +304,15 @@ def block_join(queries: DataFrame, database: DataFrame, kernel, *,
         if probe is None and strategy == "broadcast":
             raise ValueError("probe side exceeds the broadcast bound")
 
+    dt = getattr(kernel, "vec_dtype", np.float64)
     if probe is not None:
-        qids, Q = arrow_vectors(probe, "_qid", "_qv")
+        qids, Q = arrow_vectors(probe, "_qid", "_qv", dt)
         bc = spark.sparkContext.broadcast((qids, Q))
 
         def scan(batches):
             b_qids, b_Q = bc.value
             tbl = _run_kernel(kernel, b_qids, b_Q,
-                              (arrow_vectors(b, "_did", "_dv") for b in batches))
+                              (arrow_vectors(b, "_did", "_dv", dt) for b in batches))
             yield from tbl.to_batches()
 
         return d.mapInArrow(scan, schema)
@@ -316,8 +328,8 @@ def block_join(queries: DataFrame, database: DataFrame, kernel, *,
           .withColumn("_cell", F.col("_qb") * n_d + F.col("_db")))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        qids, Q = arrow_vectors(left, "_qid", "_qv")
-        xids, X = arrow_vectors(right, "_did", "_dv")
+        qids, Q = arrow_vectors(left, "_qid", "_qv", dt)
+        xids, X = arrow_vectors(right, "_did", "_dv", dt)
         return _run_kernel(kernel, qids, Q, [(xids, X)])
 
     return (qg.select("_cell", "_qid", "_qv").groupBy("_cell")
@@ -339,11 +351,11 @@ def knn(queries: DataFrame, database: DataFrame, k: int, *, metric: str = "l2",
     by neighbour id. Fewer than k database rows give fewer rows; a missing neighbour
     is an absent row."""
     metric = metric.lower()
-    if metric not in ("l2", "ip"):
-        raise ValueError(f"unknown metric {metric!r}; use 'l2' or 'ip'")
+    if metric not in ("l2", "ip", "hamming"):
+        raise ValueError(f"unknown metric {metric!r}; use 'l2', 'ip' or 'hamming'")
     kern = TopK(k=k, metric=metric, exclude_self=exclude_self)
     part = block_join(queries, database, kern, q_id=q_id, q_vec=q_vec, d_id=d_id, d_vec=d_vec, **strategy)
-    val = "score" if metric == "ip" else "dist"
+    val = kern._val()
     order = F.col(val).desc() if metric == "ip" else F.col(val).asc()
     w = Window.partitionBy("query_id").orderBy(order, F.col("neighbor_id").asc())
     return (part.withColumn("rank", F.row_number().over(w))

@@ -42,14 +42,19 @@ def cosine_quality(d: str) -> str:
     return f"greatest(0.0, least(1.0, 1.0 - {d} / 2.0))"
 
 
-def holdout_nn(query_count: int = 1000, seed: int = 42) -> str:
-    """CTEs ``hs`` (split), ``nn`` (query_id, nn_id, dist, gt_id, gt_dist) for the C6 holdout."""
+def holdout(query_count: int = 1000, seed: int = 42) -> str:
+    """CTE ``hs``: embeddings with ``is_q`` for the C6 holdout split."""
     return f"""
 hs AS (
-  SELECT vec_id, embedding,
+  SELECT vec_id, embedding, label,
          row_number() OVER (ORDER BY {md5_key(seed, 'holdout', 'vec_id')}, vec_id)
            <= (SELECT least({query_count}, count(*) // 5) FROM embeddings) AS is_q
-  FROM embeddings),
+  FROM embeddings)"""
+
+
+def holdout_nn(query_count: int = 1000, seed: int = 42) -> str:
+    """CTEs ``hs`` (split), ``nn`` (query_id, nn_id, dist, gt_id, gt_dist) for the C6 holdout."""
+    return f"""{holdout(query_count, seed)},
 pairs AS (
   SELECT q.vec_id AS query_id, d.vec_id AS nn_id, {sq_l2('q.embedding', 'd.embedding')} AS dist
   FROM hs q JOIN hs d ON q.is_q AND NOT d.is_q),
@@ -116,3 +121,34 @@ SELECT round(threshold, 4) AS threshold,
        round({cost}, 8) AS avg_cost_usd,
        {mon_pct} AS monetary_saving_pct
 FROM sw"""
+
+
+def topk(pairs: str, k: int, val: str = "dist", desc: bool = False, digits: int = 6) -> str:
+    """Select ``(query_id, rank, neighbor_id, <val>)`` top-k from a pairs CTE with nn_id."""
+    order = f"{val} DESC" if desc else val
+    return f"""
+SELECT query_id, rank::INTEGER AS rank, neighbor_id, round({val}, {digits}) AS {val} FROM (
+  SELECT query_id, nn_id AS neighbor_id, {val},
+         row_number() OVER (PARTITION BY query_id ORDER BY {order}, nn_id) AS rank FROM {pairs})
+WHERE rank <= {k}"""
+
+
+def explode_vec(table: str, extra: str = "") -> str:
+    return (f"(SELECT vec_id{extra}, unnest(generate_series(0, len(embedding) - 1)) AS i, "
+            f"unnest(embedding)::DOUBLE AS v FROM {table})")
+
+
+def lsh_bits(table: str, nbits: int = 64, seed: int = 42) -> str:
+    """CTEs ``hp`` (hyperplanes) and ``bits`` (vec_id, p, bit) for the rows of ``table``."""
+    dim = "(SELECT max(len(embedding)) FROM embeddings)"
+    a = uniform(seed, "lsh_a", "p * dimv + i")
+    b = uniform(seed, "lsh_b", "p * dimv + i")
+    return f"""
+hp AS (
+  SELECT p, i, sqrt(-2.0 * ln(1.0 - {a})) * cos(2.0 * pi() * {b}) AS h
+  FROM range({nbits}) t1(p),
+       (SELECT {dim} AS dimv) dd,
+       (SELECT unnest(generate_series(0, {dim} - 1)) AS i) t2),
+bits AS (
+  SELECT ex.vec_id, hp.p, sum(ex.v * hp.h) > 0 AS bit
+  FROM {explode_vec(table)} ex JOIN hp ON ex.i = hp.i GROUP BY ex.vec_id, hp.p)"""
