@@ -62,20 +62,52 @@ def dense_ids(df: DataFrame, order, out_col: str = "query_id", num_partitions: i
 
 
 def running_sum(df: DataFrame, order, value_col: str, out_col: str, inclusive: bool = False,
-                num_partitions: int | None = None) -> DataFrame:
-    """Prefix sum of ``value_col`` in ``order`` (exclusive by default) without a global window:
-    partition totals are prefix-summed on the small per-partition table, rows add the running
-    sum inside their own range partition."""
-    tagged = _tagged(df, _cols(order), num_partitions)
-    totals = tagged.groupBy("_pid").agg(F.sum(value_col).alias("_t"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_off"))
+                num_partitions: int | None = None, partition_by=None, agg: str = "sum") -> DataFrame:
+    """Prefix sum of ``value_col`` in ``order`` (exclusive by default), restarting per
+    ``partition_by`` group, without a global or per-group window: rows are range-partitioned
+    on ``(group, order)``; per-(partition, group) totals are prefix-summed on the small
+    totals table and each row adds the running sum inside its own (partition, group) slice."""
+    groups = _cols(partition_by)
+    gnames = [f"_g{i}" for i in range(len(groups))]
+    base = df.select("*", *[g.alias(n) for g, n in zip(groups, gnames)]) if groups else df
+    tagged = _tagged(base, [F.col(n) for n in gnames] + _cols(order), num_partitions)
+    fn = {"sum": F.sum, "max": F.max, "min": F.min}[agg]
+    totals = tagged.groupBy("_pid", *gnames).agg(fn(value_col).alias("_t"))
+    w = Window.partitionBy(*gnames).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *gnames, fn("_t").over(w).alias("_off"))
     end = 0 if inclusive else -1
-    inner = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, end)
-    return (tagged.withColumn("_in", F.coalesce(F.sum(value_col).over(inner), F.lit(0)))
-            .join(F.broadcast(offsets), "_pid")
-            .withColumn(out_col, F.col("_off") + F.col("_in"))
-            .drop("_pid", "_pos", "_off", "_in"))
+    inner = Window.partitionBy("_pid", *gnames).orderBy("_pos").rowsBetween(Window.unboundedPreceding, end)
+    off_side = F.broadcast(offsets) if not groups else offsets
+    if agg == "sum":
+        combined = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_in"), F.lit(0))
+    else:  # nulls mean "nothing before"
+        pick = F.greatest if agg == "max" else F.least
+        combined = F.when(F.col("_off").isNull(), F.col("_in")).when(F.col("_in").isNull(), F.col("_off")) \
+            .otherwise(pick(F.col("_off"), F.col("_in")))
+    return (tagged.withColumn("_in", fn(value_col).over(inner))
+            .join(off_side, ["_pid", *gnames])
+            .withColumn(out_col, combined)
+            .drop("_pid", "_pos", "_off", "_in", *gnames))
+
+
+def previous_value(df: DataFrame, partition_by, order, value_col: str, out_col: str,
+                   num_partitions: int | None = None) -> DataFrame:
+    """``lag(value) over (partition by g order by o)`` that stays balanced when one group
+    holds a large share of the rows: inside a range partition the lag is local; the first
+    row of a group slice takes the last value of that group in the preceding partition."""
+    groups = _cols(partition_by)
+    gnames = [f"_g{i}" for i in range(len(groups))]
+    base = df.select("*", *[g.alias(n) for g, n in zip(groups, gnames)])
+    tagged = _tagged(base, [F.col(n) for n in gnames] + _cols(order), num_partitions)
+    local = Window.partitionBy("_pid", *gnames).orderBy("_pos")
+    lasts = tagged.groupBy("_pid", *gnames).agg(F.max_by(value_col, "_pos").alias("_last"))
+    carry = Window.partitionBy(*gnames).orderBy("_pid")
+    carried = lasts.select("_pid", *gnames, F.lag("_last").over(carry).alias("_carry"))
+    return (tagged.withColumn("_lag", F.lag(value_col).over(local))
+            .withColumn("_first", F.row_number().over(local) == 1)
+            .join(carried, ["_pid", *gnames])
+            .withColumn(out_col, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
+            .drop("_pid", "_pos", "_lag", "_first", "_carry", *gnames))
 
 
 def sql_dense_ids(order_sql: str, partition_sql: str | None = None) -> str:
