@@ -111,7 +111,7 @@ class IVFIndex:
 
     @classmethod
     def build(cls, database: DataFrame, nlist: int, seed: int = 42, id_col: str = "id",
-              vec_col: str = "embedding", max_iter: int = 20) -> "IVFIndex":
+              vec_col: str = "embedding", max_iter: int = 10) -> "IVFIndex":
         n = database.count()
         if nlist > n:
             nlist = max(1, n // 10)

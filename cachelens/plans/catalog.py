@@ -32,4 +32,4 @@ def T(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # Importing the query modules fills the registry.
-from cachelens.plans import q_results, q_retention, q_routing, q_sampling, q_text, q_vectors  # noqa: E402,F401
+from cachelens.plans import q_misc, q_results, q_retention, q_routing, q_sampling, q_text, q_vectors  # noqa: E402,F401

@@ -1,0 +1,226 @@
+"""Live cache tagging with Structured Streaming.
+
+Each arriving row is looked up in a *bounded* cache held as keyed state
+(``applyInPandasWithState``): a hit touches the entry, a miss inserts the row and, at
+capacity, evicts one entry chosen by the policy (lru, lfu, semantic, adaptive).
+
+* S3 (exact keys): the state key is a hash shard of the access key, so the state of
+  one shard holds at most ``capacity`` keys and shards spread over the cluster.
+* S1 (vectors): the state key is the vector's cell (nearest of broadcast centres); a hit
+  is an active entry of the same cell within ``threshold``. Capacity is per cell and a
+  neighbour across a cell border is not seen: that is the price of a partitioned state
+  and differs from one global cache.
+
+Rows of one key inside a micro-batch are processed in ``seq`` order. Registered queries
+run the stream once with ``availableNow`` into a parquet sink in the shared checkpoint
+folder (the checkpoint location lives there too) and read the sink back.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import uuid
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from cachelens.session import checkpoint_dir
+
+POLICIES = ("lru", "lfu", "semantic", "adaptive")
+
+
+# ------------------------------------------------------------------------------ shared state logic
+
+def _victim(policy: str, keys: list, last: list, counts: list, inserted: list, vecs=None, threshold: float = 0.3,
+            alpha: float = 1.0, beta: float = 1.0) -> int:
+    """Index (into the entry lists) of the entry to evict."""
+    n = len(keys)
+    if policy == "lru":
+        return min(range(n), key=lambda i: (last[i], keys[i]))
+    if policy == "lfu":
+        return min(range(n), key=lambda i: (counts[i], inserted[i], keys[i]))
+    # semantic / adaptive: redundancy among the cached entries / utility
+    V = np.asarray(vecs, dtype=np.float64)
+    nsq = np.einsum("ij,ij->i", V, V)
+    D = nsq[:, None] + nsq[None, :] - 2.0 * (V @ V.T)
+    near = (D <= threshold)
+    np.fill_diagonal(near, False)
+    red = near.sum(axis=1) / max(n - 1, 1)
+    order = sorted(range(n), key=lambda i: (last[i], keys[i]))
+    rec = np.empty(n)
+    for r, i in enumerate(order):
+        rec[i] = r / max(n - 1, 1)
+    mx = max(max(counts), 1)
+    score = red / (alpha * rec + beta * (np.asarray(counts) / mx) + 1e-9)
+    best = max(range(n), key=lambda i: (score[i], -keys[i]))
+    return best
+
+
+# ------------------------------------------------------------------------------ S3 exact keys
+
+KEY_STATE = "entries string"
+KEY_OUT = "shard int, seq long, key long, hit boolean, cache_size int, evicted long"
+
+
+def _key_cache_fn(capacity: int, policy: str):
+    def fn(shard, pdfs, state):
+        if state.exists:
+            st = json.loads(state.get[0])
+        else:
+            st = {"k": [], "l": [], "c": [], "i": []}
+        keys, last, counts, ins = st["k"], st["l"], st["c"], st["i"]
+        pos = {k: j for j, k in enumerate(keys)}
+        rows = pd.concat(list(pdfs)).sort_values("seq")
+        out_hit, out_size, out_ev = [], [], []
+        for seq, key in zip(rows["seq"].tolist(), rows["key"].tolist()):
+            ev = None
+            if key in pos:
+                j = pos[key]
+                last[j] = seq
+                counts[j] += 1
+                out_hit.append(True)
+            else:
+                if len(keys) >= capacity:
+                    v = _victim(policy, keys, last, counts, ins)
+                    ev = keys[v]
+                    for arr in (keys, last, counts, ins):
+                        arr.pop(v)
+                    pos = {k: j for j, k in enumerate(keys)}
+                keys.append(key)
+                last.append(seq)
+                counts.append(0)
+                ins.append(seq)
+                pos[key] = len(keys) - 1
+                out_hit.append(False)
+            out_size.append(len(keys))
+            out_ev.append(ev)
+        state.update((json.dumps({"k": keys, "l": last, "c": counts, "i": ins}),))
+        yield pd.DataFrame({"shard": shard[0], "seq": rows["seq"].astype("int64"), "key": rows["key"].astype("int64"),
+                            "hit": out_hit, "cache_size": out_size,
+                            "evicted": pd.array(out_ev, dtype="Int64")})
+    return fn
+
+
+def key_cache_tagging(accesses: DataFrame, capacity: int = 10, policy: str = "lru", n_shards: int = 16) -> DataFrame:
+    """S3 on a (streaming or batch) DataFrame of ``(key, seq)``: per access hit/miss."""
+    if policy not in ("lru", "lfu"):
+        raise ValueError(f"exact-key cache supports lru and lfu, not {policy!r}")
+    keyed = accesses.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int"))
+    fn = _key_cache_fn(capacity, policy)
+    if accesses.isStreaming:
+        return keyed.groupBy("shard").applyInPandasWithState(
+            fn, KEY_OUT, KEY_STATE, "append", GroupStateTimeout.NoTimeout)
+
+    class _Fresh:  # batch form: one call per shard, starting from an empty cache
+        exists = False
+
+        def update(self, v):
+            pass
+
+    def batch_fn(pdf):
+        return pd.concat(list(fn((int(pdf["shard"].iloc[0]),), iter([pdf]), _Fresh())))
+
+    return keyed.groupBy("shard").applyInPandas(batch_fn, KEY_OUT)
+
+
+# ------------------------------------------------------------------------------ S1 vectors
+
+VEC_STATE = "entries string"
+VEC_OUT = "cell int, seq long, vec_id long, hit boolean, nearest_dist double, cache_size int"
+
+
+def _vec_cache_fn(capacity: int, policy: str, threshold: float, redundancy_threshold: float):
+    def fn(cell, pdfs, state):
+        st = json.loads(state.get[0]) if state.exists else {"k": [], "l": [], "c": [], "i": [], "v": []}
+        keys, last, counts, ins, vecs = st["k"], st["l"], st["c"], st["i"], st["v"]
+        rows = pd.concat(list(pdfs)).sort_values("seq")
+        out = {"hit": [], "d": [], "n": []}
+        for seq, vid, emb in zip(rows["seq"].tolist(), rows["vec_id"].tolist(), rows["embedding"].tolist()):
+            x = np.asarray(emb, dtype=np.float64)
+            d_best = None
+            if keys:
+                V = np.asarray(vecs, dtype=np.float64)
+                d = ((V - x) ** 2).sum(axis=1)
+                j = int(np.lexsort((np.asarray(keys), d))[0])
+                d_best = float(d[j])
+            if d_best is not None and d_best <= threshold:
+                last[j] = seq
+                counts[j] += 1
+                out["hit"].append(True)
+            else:
+                if len(keys) >= capacity:
+                    v = _victim(policy, keys, last, counts, ins, vecs, redundancy_threshold)
+                    for arr in (keys, last, counts, ins, vecs):
+                        arr.pop(v)
+                keys.append(vid)
+                last.append(seq)
+                counts.append(0)
+                ins.append(seq)
+                vecs.append([float(t) for t in x])
+                out["hit"].append(False)
+            out["d"].append(d_best)
+            out["n"].append(len(keys))
+        state.update((json.dumps({"k": keys, "l": last, "c": counts, "i": ins, "v": vecs}),))
+        yield pd.DataFrame({"cell": cell[0], "seq": rows["seq"].astype("int64"), "vec_id": rows["vec_id"].astype("int64"),
+                            "hit": out["hit"], "nearest_dist": pd.array(out["d"], dtype="Float64"),
+                            "cache_size": out["n"]})
+    return fn
+
+
+def with_cell(df: DataFrame, centers: np.ndarray, vec_col: str = "embedding") -> DataFrame:
+    """Cell = nearest centre (Arrow-batched pandas UDF; centres are a small broadcast)."""
+    spark = df.sparkSession
+    bc = spark.sparkContext.broadcast(np.asarray(centers, dtype=np.float64))
+
+    @F.pandas_udf("int")
+    def nearest(vs: pd.Series) -> pd.Series:
+        C = bc.value
+        X = np.stack([np.asarray(v, dtype=np.float64) for v in vs]) if len(vs) else np.zeros((0, C.shape[1]))
+        D = np.einsum("ij,ij->i", X, X)[:, None] + np.einsum("ij,ij->i", C, C)[None, :] - 2.0 * (X @ C.T)
+        return pd.Series(np.argmin(D, axis=1).astype("int32"))
+
+    return df.withColumn("cell", nearest(F.col(vec_col)))
+
+
+def semantic_tagging(stream: DataFrame, centers: np.ndarray, capacity: int = 50, policy: str = "lru",
+                     threshold: float = 0.90, redundancy_threshold: float = 0.30) -> DataFrame:
+    """S1 on a streaming DataFrame of ``(vec_id, seq, embedding)``."""
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy!r}; available: {', '.join(POLICIES)}")
+    keyed = with_cell(stream, centers)
+    fn = _vec_cache_fn(capacity, policy, threshold, redundancy_threshold)
+    return keyed.groupBy("cell").applyInPandasWithState(fn, VEC_OUT, VEC_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+# ------------------------------------------------------------------------------ runners
+
+def file_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """Parquet file stream over one table file of a folder."""
+    schema = spark.read.parquet(os.path.join(folder, f"{table}.parquet")).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(folder))
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Run ``stream`` once over all available input into a parquet sink in the shared
+    checkpoint folder; return the sink as a batch DataFrame."""
+    spark = stream.sparkSession
+    base = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex[:12]}")
+    q = (stream.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", os.path.join(base, "_checkpoint"))
+         .option("path", os.path.join(base, "out"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(base, "out"))
+
+
+def stream_hit_rate(tagged: DataFrame, group_col: str = "cell") -> DataFrame:
+    """Hits / lookups per stream group (works on the live tagged stream in update mode
+    or on the sink table)."""
+    return tagged.groupBy(group_col).agg(F.count(F.lit(1)).alias("lookups"),
+                                         F.count_if("hit").alias("hits"),
+                                         F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"))
