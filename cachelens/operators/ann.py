@@ -87,15 +87,24 @@ def knn_lsh(queries: DataFrame, database: DataFrame, k: int, nbits: int = 64, se
 
 def kmeans_centers(df: DataFrame, k: int, seed: int = 42, vec_col: str = "embedding",
                    max_iter: int = 20) -> np.ndarray:
-    """Train ``pyspark.ml`` k-means; the centres (k x dim, an index parameter) come back."""
+    """Train ``pyspark.ml`` k-means; the centres (k x dim, an index parameter) come back.
+    The iterations re-read the training rows, so they are cached for the fit."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    feats = df.select(array_to_vector(F.col(vec_col)).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
+    feats = df.select(array_to_vector(F.col(vec_col)).alias("features")).cache()
+    try:
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
+    finally:
+        feats.unpersist()
     return np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
 
 
+# Training rows per centre: the centres are fitted on a bounded md5 sample, as inverted-file
+# indexes usually are; assignment of all rows is a map-only pass.
+TRAIN_ROWS_PER_CELL = 256
+
+
 def kmeans_assign(df: DataFrame, centers: np.ndarray, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """Nearest centre per row (also for rows not used in training)."""
     return assign_nearest(df, centers, id_col, vec_col, k=1).select(id_col, "cell", "dist")
@@ -112,18 +121,24 @@ class IVFIndex:
     @classmethod
     def build(cls, database: DataFrame, nlist: int, seed: int = 42, id_col: str = "id",
               vec_col: str = "embedding", max_iter: int = 10) -> "IVFIndex":
+        from cachelens.operators.vectors import md5_sample
+        from cachelens.session import materialize
+
         n = database.count()
         if nlist > n:
             nlist = max(1, n // 10)
-        centers = kmeans_centers(database, nlist, seed, vec_col, max_iter)
-        cells = assign_nearest(database, centers, id_col, vec_col, k=1).select(id_col, "cell")
-        table = database.select(id_col, vec_col).join(cells, id_col)
-        return cls(centers, table, id_col, vec_col)
+        n_train = min(n, TRAIN_ROWS_PER_CELL * nlist)
+        train = database if n_train == n else md5_sample(database, n_train, seed, "ivf_train", id_col)
+        centers = kmeans_centers(train, nlist, seed, vec_col, max_iter)
+        tagged = assign_nearest(database, centers, id_col, vec_col, k=1, keep_vector=True) \
+            .select(id_col, vec_col, "cell")
+        # the built index is a table: lineage cut in the shared checkpoint folder
+        return cls(centers, materialize(tagged), id_col, vec_col)
 
     def add(self, rows: DataFrame) -> "IVFIndex":
         """New rows get their cell from the same centres."""
-        cells = assign_nearest(rows, self.centers, self.id_col, self.vec_col, k=1).select(self.id_col, "cell")
-        new = rows.select(self.id_col, self.vec_col).join(cells, self.id_col)
+        new = assign_nearest(rows, self.centers, self.id_col, self.vec_col, k=1, keep_vector=True) \
+            .select(self.id_col, self.vec_col, "cell")
         return IVFIndex(self.centers, self.table.unionByName(new), self.id_col, self.vec_col)
 
     def remove(self, ids: DataFrame) -> "IVFIndex":
@@ -151,15 +166,14 @@ class IVFIndex:
                rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
         """``(query_id, rank, neighbor_id, dist)`` over the ``nprobe`` nearest cells."""
         nprobe = max(1, min(nprobe, len(self.centers)))
-        probes = assign_nearest(queries, self.centers, q_id, self.vec_col, k=nprobe) \
-            .select(F.col(q_id).alias("_qid"), "cell")
+        probes = assign_nearest(queries, self.centers, q_id, self.vec_col, k=nprobe, keep_vector=True) \
+            .select(F.col(q_id).alias("_qid"), "cell", F.col(self.vec_col).alias("_qv"))
         sizes = self.table.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")) \
             .withColumn("_subs", F.greatest(F.lit(1), F.ceil(F.col("_n") / rows_per_block)).cast("int"))
         # one row per cell: bounded by nlist
         sizes = F.broadcast(sizes.select("cell", "_subs"))
         qside = (probes.join(sizes, "cell")
                  .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)))
-                 .join(queries.select(F.col(q_id).cast("long").alias("_qid"), F.col(self.vec_col).alias("_qv")), "_qid")
                  .select("cell", "_sub", "_qid", "_qv"))
         dside = (self.table.join(sizes, "cell")
                  .withColumn("_sub", F.pmod(F.xxhash64(self.id_col), F.col("_subs")).cast("int"))

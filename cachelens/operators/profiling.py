@@ -24,10 +24,10 @@ def equal_width_histogram(df: DataFrame, value: Column, bins: int, lo: Column |
     if lo is None or hi is None:
         mm = vals.agg(F.min("_v").alias("mn"), F.max("_v").alias("mx"))
         same = F.col("mn") == F.col("mx")
-        edges = mm.select(F.when(same, F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
-                          F.when(same, F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"))
-        lo = edges.select("lo").scalar()
-        hi = edges.select("hi").scalar()
+        edges = mm.select(F.struct(F.when(same, F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
+                                   F.when(same, F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi")))
+        e = edges.scalar()  # one scalar subquery, reused for both edges
+        lo, hi = e.getField("lo"), e.getField("hi")
     width = (hi - lo) / F.lit(float(bins))
     b = F.least(F.floor((F.col("_v") - lo) / width).cast("int"), F.lit(bins - 1))
     counts = (vals.filter((F.col("_v") >= lo) & (F.col("_v") <= hi))

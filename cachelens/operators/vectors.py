@@ -141,11 +141,12 @@ def pairwise_cdf(sample: DataFrame, id_col: str, vec_col: str = "embedding",
 # ------------------------------------------------------------------------------ E8 (assignment)
 
 def assign_nearest(df: DataFrame, centers: np.ndarray, id_col: str = "id", vec_col: str = "embedding",
-                   k: int = 1) -> DataFrame:
-    """For every row the ``k`` nearest centres: ``(<id_col>, rank, cell, dist)``.
+                   k: int = 1, keep_vector: bool = False) -> DataFrame:
+    """For every row the ``k`` nearest centres: ``(<id_col>, rank, cell, dist[, <vec_col>])``.
 
     The centre matrix is small (cells x dim, a parameter of the index) and broadcast; the
-    rows are scanned once with ``mapInArrow`` (no shuffle)."""
+    rows are scanned once with ``mapInArrow`` (no shuffle). ``keep_vector`` carries the
+    vector through, so callers need no join back to the source."""
     spark = df.sparkSession
     C = np.asarray(centers, dtype=np.float64)
     bc = spark.sparkContext.broadcast(C)
@@ -163,15 +164,21 @@ def assign_nearest(df: DataFrame, centers: np.ndarray, id_col: str = "id", vec_c
             order = np.argsort(D, axis=1, kind="stable")[:, :kk]  # ties: lower centre index
             rows = np.repeat(np.arange(len(ids)), kk)
             cells = order.reshape(-1)
-            yield pa.RecordBatch.from_pydict({
+            cols = {
                 id_col: pa.array(ids[rows], pa.int64()),
                 "rank": pa.array(np.tile(np.arange(1, kk + 1), len(ids)).astype(np.int32), pa.int32()),
                 "cell": pa.array(cells.astype(np.int32), pa.int32()),
                 "dist": pa.array(D[rows, cells], pa.float64()),
-            })
+            }
+            if keep_vector:
+                valid = b.column(vec_col).is_valid()
+                vec = b.column(vec_col).filter(valid) if valid.false_count else b.column(vec_col)
+                cols[vec_col] = vec.take(pa.array(rows))
+            yield pa.RecordBatch.from_pydict(cols)
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), vec_col) \
-        .mapInArrow(scan, f"{id_col} long, rank int, cell int, dist double")
+    vec_type = df.schema[vec_col].dataType.simpleString()
+    schema = f"{id_col} long, rank int, cell int, dist double" + (f", {vec_col} {vec_type}" if keep_vector else "")
+    return df.select(F.col(id_col).cast("long").alias(id_col), vec_col).mapInArrow(scan, schema)
 
 
 def group_centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> DataFrame:
@@ -201,6 +208,28 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, ks=(1, 5, 10)) -> DataFrame
     return out
 
 
+def recall_by_config(approx: DataFrame, exact: DataFrame, config_ids: list, ks=(1, 5, 10),
+                     config_col: str = "config") -> DataFrame:
+    """F1 for many approximate results at once: ``approx`` carries ``config_col``; one join
+    with the truth and one aggregation give ``(config, k, recall, n_queries)``. Every truth
+    query counts for every configuration (a query an index returned nothing for scores 0)."""
+    truth = exact.select("query_id", "neighbor_id", "rank")
+    sizes = truth.groupBy("query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"_t{k}") for k in ks])
+    hits = (approx.select(config_col, "query_id", "neighbor_id", F.col("rank").alias("_ar"))
+            .join(truth, ["query_id", "neighbor_id"])
+            .groupBy(config_col, "query_id")
+            .agg(*[F.count_if((F.col("rank") <= k) & (F.col("_ar") <= k)).alias(f"_h{k}") for k in ks]))
+    # configurations are a short literal list: every truth query is repeated once per configuration
+    per_q = sizes.withColumn(config_col, F.explode(F.array(*[F.lit(c) for c in config_ids]))) \
+        .join(hits, [config_col, "query_id"], "left")
+    rec = [F.when(F.col(f"_t{k}") > 0, F.coalesce(F.col(f"_h{k}"), F.lit(0)) / F.col(f"_t{k}"))
+           .otherwise(F.lit(1.0)) for k in ks]
+    stacked = per_q.select(config_col, F.inline(F.array(*[F.struct(F.lit(k).alias("k"), r.alias("r"))
+                                                         for k, r in zip(ks, rec)])))
+    return stacked.groupBy(config_col, "k").agg(F.round(F.avg("r"), 6).alias("recall"),
+                                                F.count(F.lit(1)).alias("n_queries"))
+
+
 # ------------------------------------------------------------------------------ F8
 
 def distance_analysis(nn: DataFrame, dist_col: str = "dist") -> DataFrame:

@@ -95,7 +95,12 @@ def multi_seed_summary(emb: DataFrame, seeds=(42, 123, 456), strategies=("random
 def knn_benchmark(emb: DataFrame, label: str = "full", id_col: str = "vec_id", query_count: int = 1000,
                   k: int = 10, seed: int = 42, ivf_grid=IVF_GRID, lsh_grid=LSH_GRID,
                   workloads=("uniform",)) -> DataFrame:
-    """Holdout split, exact truth at k, then each (index, params, workload) -> a recall row."""
+    """Holdout split, exact truth at k, then each (index, params, workload) -> a recall row.
+
+    All configurations' results are unioned with a configuration id and scored against
+    the (checkpointed) truth in one join + aggregation."""
+    from cachelens.operators.vectors import recall_by_config
+
     split = holdout_split(emb.select(id_col, "embedding"), id_col=id_col, query_count=query_count, seed=seed)
     q = split.filter(F.col("split") == "query")
     db = split.filter(F.col("split") == "database")
@@ -105,9 +110,10 @@ def knn_benchmark(emb: DataFrame, label: str = "full", id_col: str = "vec_id", q
         + [("lsh", {"nbits": float(b)}) for b in lsh_grid]
     spark = emb.sparkSession
     built = {}  # one IVF index per nlist, searched with every nprobe
-    out = None
+    results, meta, errors = [], [], []
     for workload in workloads:
         for kind, params in configs:
+            cid = len(meta)
             try:
                 if kind == "ivf" and params["nlist"] > n_db:
                     continue
@@ -120,21 +126,26 @@ def knn_benchmark(emb: DataFrame, label: str = "full", id_col: str = "vec_id", q
                     approx = built[p["nlist"]].search(q, k, p["nprobe"], q_id=id_col)
                 else:
                     approx = ann.knn_index(kind, q, db, k, q_id=id_col, d_id=id_col, **p)
-                rec = recall_at_k(approx, truth, (1, 5, 10))
-                wide = rec.groupBy().pivot("k", [1, 5, 10]).agg(F.first("recall"))
-                row = wide.select(
-                    F.lit(kind).alias("index_type"),
-                    F.create_map(*[x for key, v in params.items() for x in (F.lit(key), F.lit(float(v)))])
-                    .cast("map<string,double>").alias("params"),
-                    F.lit(n_db).cast("long").alias("dataset_size"), F.lit(label).alias("dataset_label"),
-                    F.lit(workload).alias("workload"),
-                    F.col("1").alias("recall_at_1"), F.col("5").alias("recall_at_5"), F.col("10").alias("recall_at_10"),
-                    F.lit(None).cast("string").alias("error"))
+                results.append(approx.select(F.lit(cid).alias("config"), "query_id", "rank", "neighbor_id"))
+                meta.append((cid, kind, {key: float(v) for key, v in params.items()}, workload, None))
             except Exception as e:  # noqa: BLE001 - a failing configuration becomes an error row
-                row = spark.createDataFrame([(kind, {key: float(v) for key, v in params.items()}, n_db, label,
-                                              workload, None, None, None, str(e)[:500])], RUN_SCHEMA)
-            out = row if out is None else out.unionByName(row)
-    return out
+                meta.append((cid, kind, {key: float(v) for key, v in params.items()}, workload, str(e)[:500]))
+    table = spark.createDataFrame(meta, "config int, index_type string, params map<string,double>, "
+                                        "workload string, error string")
+    if results:
+        allres = results[0]
+        for r in results[1:]:
+            allres = allres.unionByName(r)
+        rec = recall_by_config(allres, truth, [m[0] for m in meta if m[4] is None], (1, 5, 10))
+        wide = rec.groupBy("config").pivot("k", [1, 5, 10]).agg(F.first("recall"))
+        table = table.join(wide, "config", "left")
+    else:
+        table = table.withColumn("1", F.lit(None).cast("double")).withColumn("5", F.lit(None).cast("double")) \
+            .withColumn("10", F.lit(None).cast("double"))
+    return table.select(
+        "index_type", "params", F.lit(n_db).cast("long").alias("dataset_size"), F.lit(label).alias("dataset_label"),
+        "workload", F.col("1").alias("recall_at_1"), F.col("5").alias("recall_at_5"),
+        F.col("10").alias("recall_at_10"), "error")
 
 
 def knn_benchmark_scales(emb: DataFrame, scales=(("half", 0.5), ("full", 1.0)), id_col: str = "vec_id", **kw) -> DataFrame:

@@ -73,7 +73,9 @@ def q_write_results(spark, sf):
 
 @register("scan_benchmark_results")
 def q_scan_benchmark_results(spark, sf):
-    runs = EV.knn_benchmark_scales(T(spark, sf, "embeddings"), ivf_grid=[(16, 4)], lsh_grid=[64])
+    from cachelens.plans.q_routing import _bench_table
+
+    runs = _bench_table(spark, sf)
     folder = _scratch(spark, "bench")
     src.write_benchmark_files(runs, folder)
     return src.scan_benchmark_results(spark, os.path.join(folder, "index_benchmark_*.json"))

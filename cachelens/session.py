@@ -53,13 +53,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of a result that is reused by several later aggregations.
-
-    Reliable checkpoint into the shared checkpoint folder, so a lost executor does not
-    force recomputation of the expensive part (e.g. a kNN join)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage of a result that is reused by several later steps (a built index, a
+    ground-truth kNN table): it is written once as parquet into the shared checkpoint
+    folder and read back, so a lost executor never forces recomputation of the expensive
+    part, and later scans get column pruning and statistics."""
+    import uuid
+
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:
