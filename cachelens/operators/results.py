@@ -24,8 +24,12 @@ def best_per_group(df: DataFrame, group_col: str, metric: str, pos_col: str, sca
     if scale_col:
         top = df.agg(F.max(scale_col)).scalar()
         df = df.filter(F.col(scale_col) == top)
-    w = Window.partitionBy(group_col).orderBy(F.col(metric).desc(), F.col(pos_col))
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    # an aggregate, not a window: max(struct(metric, -position, row)) is combined map-side,
+    # so a group holding a large share of the rows is not sorted in one task
+    others = [c for c in df.columns if c != group_col]
+    best = F.max(F.struct(F.col(metric).alias("_m"), (-F.col(pos_col)).alias("_p"),
+                          *[F.col(c).alias(c) for c in others]))
+    return df.groupBy(group_col).agg(best.alias("_b")).select(group_col, *[F.col(f"_b.{c}").alias(c) for c in others])
 
 
 # ------------------------------------------------------------------------------ I2, I3, I4
@@ -115,9 +119,9 @@ def matrix_completeness(runs: DataFrame, policies: list, sizes: list, seeds_requ
 
 def policy_matrix(summary: DataFrame, sizes: list, value: str = "hit_rate_mean") -> DataFrame:
     """Policy x size pivot of the mean (missing = 0)."""
-    names = [str(s) for s in sizes]
-    piv = summary.groupBy("policy").pivot("cache_size_pct", [float(s) for s in sizes]).agg(F.first(value))
-    return piv.select("policy", *[F.coalesce(F.col(n), F.lit(0.0)).alias(f"size_{n}") for n in names])
+    piv = summary.groupBy("policy").pivot("cache_size_pct", [float(s) for s in sizes]).agg(F.max(value))
+    return piv.select("policy", *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"size_{int(round(float(c) * 100))}")
+                                  for c in piv.columns if c != "policy"])
 
 
 def gap_to_baseline(summary: DataFrame, baseline: str) -> DataFrame:

@@ -167,12 +167,14 @@ def adaptive_alpha(stream: DataFrame, seq_col: str = "seq", vec_col: str = "embe
     steps = mom.join(mean_sq, "step").filter(n >= min_window) \
         .withColumn("diversity", F.round(div, 4)) \
         .withColumn("new_alpha", F.lit(alpha_min) + F.lit(alpha_max - alpha_min) * F.col("diversity"))
-    # one row per adaptation step (rows / interval): small by construction
-    w = Window.orderBy("step")
-    return steps.select(
-        F.row_number().over(w).alias("adaptation_step"), F.col("step").alias("at_step"),
+    # every step's window holds >= interval rows, so with min_window <= interval all steps
+    # adapt and the previous alpha is the one of step - 1 (an equi join, no global window)
+    prev = steps.select((F.col("step") + 1).alias("step"), F.col("new_alpha").alias("_prev"))
+    numbered = dense_ids(steps.join(prev, "step", "left"), ["step"], out_col="adaptation_step", start=1)
+    return numbered.select(
+        F.col("adaptation_step").cast("int").alias("adaptation_step"), F.col("step").alias("at_step"),
         n.cast("long").alias("n_queries_seen"), "diversity",
-        F.round(F.coalesce(F.lag("new_alpha").over(w), F.lit(base_alpha)), 4).alias("old_alpha"),
+        F.round(F.coalesce(F.col("_prev"), F.lit(base_alpha)), 4).alias("old_alpha"),
         F.round("new_alpha", 4).alias("new_alpha"))
 
 

@@ -181,16 +181,39 @@ def sample_uniform(rows: DataFrame, n: int, seed: int = 42, id_col: str = "query
 
 def cluster_weights(rows: DataFrame, cluster_col: str = "label", exponent: float = 1.0) -> DataFrame:
     """Non-empty clusters in id order get rank r and weight ``r^-exponent`` normalised,
-    with cumulative ``[lo, hi)`` bounds for the range join of a uniform draw."""
+    with cumulative ``[lo, hi)`` bounds for the range join of a uniform draw. Ranks and the
+    cumulative sum use range-partitioned numbering / prefix sums (no global window)."""
     sizes = rows.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("size"))
-    w_rank = Window.orderBy(cluster_col)  # one row per cluster: small by construction
-    ranked = sizes.withColumn("r", F.row_number().over(w_rank)) \
+    ranked = dense_ids(sizes, [cluster_col], out_col="r", start=1) \
         .withColumn("w", F.pow(F.col("r").cast("double"), F.lit(-float(exponent))))
-    tot = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    return (ranked.withColumn("p", F.col("w") / F.sum("w").over(tot))
-            .withColumn("hi", F.sum("p").over(run))
-            .withColumn("lo", F.col("hi") - F.col("p")))
+    total = ranked.agg(F.sum("w")).scalar()
+    weighted = ranked.withColumn("p", F.col("w") / total)
+    return running_sum(weighted, ["r"], "p", "hi", inclusive=True).withColumn("lo", F.col("hi") - F.col("p"))
+
+
+# Buckets of the unit interval used to turn the range join into an equi join.
+RANGE_BUCKETS = 1 << 16
+
+
+def range_pick(draws: DataFrame, intervals: DataFrame, u_col: str = "u") -> DataFrame:
+    """Join each draw to the interval ``[lo, hi)`` containing ``u`` (the last interval also takes
+    ``u`` up to 1). The unit interval is cut into fixed buckets; an interval is repeated once per
+    bucket it overlaps (clusters + buckets rows in total), so the range join becomes an equi join
+    on the bucket plus a filter, and no side has to be broadcast."""
+    b = F.lit(RANGE_BUCKETS)
+    iv = (intervals
+          .withColumn("_b0", F.floor(F.col("lo") * b).cast("long"))
+          .withColumn("_b1", F.least(F.floor(F.col("hi") * b).cast("long"), b - 1))
+          .withColumn("_bucket", F.explode(F.sequence(F.col("_b0"), F.greatest(F.col("_b0"), F.col("_b1"))))))
+    d = draws.withColumn("_bucket", F.least(F.floor(F.col(u_col) * b).cast("long"), b - 1))
+    top = intervals.agg(F.max("hi")).scalar()
+    inside = (F.col(u_col) >= F.col("lo")) & ((F.col(u_col) < F.col("hi")) | (F.col("hi") >= top))
+    # a u on an interval edge may match two intervals through rounding: keep the lower one
+    w = Window.partitionBy("_draw_key").orderBy("lo")
+    return (d.withColumn("_draw_key", F.monotonically_increasing_id())
+            .join(iv, "_bucket").filter(inside)
+            .withColumn("_one", F.row_number().over(w)).filter("_one = 1")
+            .drop("_bucket", "_b0", "_b1", "_one", "_draw_key"))
 
 
 def _members(rows: DataFrame, cluster_col: str, id_col: str) -> DataFrame:
@@ -205,13 +228,8 @@ def sample_zipf_clusters(rows: DataFrame, n: int, seed: int = 42, cluster_col: s
     spark = rows.sparkSession
     weights = cluster_weights(rows, cluster_col, exponent)
     d = _draw_table(spark, n, seed, "zipf").withColumn("u2", uniform_draw(seed, "member", "draw_id"))
-    # the weights table has one row per cluster; its size is the cluster count
-    picked = d.join(F.broadcast(weights.select(cluster_col, "lo", "hi", "size")),
-                    (F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | (F.col("hi") >= 1.0 - 1e-12)))
+    picked = range_pick(d, weights.select(cluster_col, "lo", "hi", "size"))
     picked = picked.withColumn("_m", F.floor(F.col("u2") * F.col("size")).cast("long"))
-    # a u at the top edge can match two clusters due to rounding; keep the lower rank
-    w = Window.partitionBy("draw_id").orderBy("lo")
-    picked = picked.withColumn("_one", F.row_number().over(w)).filter("_one = 1")
     return picked.join(_members(rows, cluster_col, id_col), [cluster_col, "_m"]) \
         .select("draw_id", cluster_col, id_col)
 
@@ -236,7 +254,7 @@ def sample_bursty(rows: DataFrame, n: int, seed: int = 42, cluster_col: str = "l
     p = 1.0 / mean_burst
     clusters = rows.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("size"))
     k = clusters.select(F.count(F.lit(1))).scalar()
-    cl = clusters.withColumn("_c", F.row_number().over(Window.orderBy(cluster_col)) - 1)
+    cl = dense_ids(clusters, [cluster_col], out_col="_c")
     bursts = (spark.range(n).withColumnRenamed("id", "burst_id")
               .withColumn("_uc", uniform_draw(seed, "burst_cluster", "burst_id"))
               .withColumn("_ul", uniform_draw(seed, "burst_len", "burst_id"))
@@ -245,7 +263,7 @@ def sample_bursty(rows: DataFrame, n: int, seed: int = 42, cluster_col: str = "l
     # start of each burst: exclusive running sum of lengths in burst order
     bursts = running_sum(bursts, ["burst_id"], "len", "start")
     bursts = bursts.filter(F.col("start") < n)
-    draws = (bursts.join(F.broadcast(cl.select("_c", cluster_col, "size")), "_c")
+    draws = (bursts.join(cl.select("_c", cluster_col, "size"), "_c")
              .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("len") - 1)))
              .withColumn("draw_id", F.col("start") + F.col("_i"))
              .filter(F.col("draw_id") < n)

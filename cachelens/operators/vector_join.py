@@ -356,6 +356,14 @@ def knn(queries: DataFrame, database: DataFrame, k: int, *, metric: str = "l2",
     kern = TopK(k=k, metric=metric, exclude_self=exclude_self)
     part = block_join(queries, database, kern, q_id=q_id, q_vec=q_vec, d_id=d_id, d_vec=d_vec, **strategy)
     val = kern._val()
+    if k == 1:
+        # nearest only: an aggregate of min(struct(value, id)) is combined map-side, so the
+        # merge ships one row per query and task instead of sorting candidate lists
+        key = (-F.col(val)) if metric == "ip" else F.col(val)
+        best = part.groupBy("query_id").agg(F.min(F.struct(key.alias("_k"), F.col("neighbor_id").alias("_n"),
+                                                           F.col(val).alias("_v"))).alias("_b"))
+        return best.select("query_id", F.lit(1).alias("rank"), F.col("_b._n").alias("neighbor_id"),
+                           F.col("_b._v").alias(val))
     order = F.col(val).desc() if metric == "ip" else F.col(val).asc()
     w = Window.partitionBy("query_id").orderBy(order, F.col("neighbor_id").asc())
     return (part.withColumn("rank", F.row_number().over(w))

@@ -166,10 +166,7 @@ SELECT policy, {', '.join(f"coalesce(max(m) FILTER (WHERE cache_size_pct = {s!r}
 FROM s GROUP BY policy
 """)
 def q_policy_matrix(spark, sf):
-    s = X.runs_summary(_runs(spark, sf))
-    piv = s.groupBy("policy").pivot("cache_size_pct", SIZES).agg(F.max("hit_rate_mean"))
-    return piv.select("policy", *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"size_{int(round(float(c) * 100))}")
-                                  for c in piv.columns if c != "policy"])
+    return X.policy_matrix(X.runs_summary(_runs(spark, sf)), SIZES)
 
 
 @register("gap_to_baseline", f"""
