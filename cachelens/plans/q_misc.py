@@ -150,3 +150,41 @@ def q_stream_hit_rate(spark, sf):
     tagged = st.semantic_tagging(_vec_stream(spark, sf), _label_centers(spark, sf), capacity=20,
                                  policy="semantic", threshold=1.3, redundancy_threshold=1.5)
     return st.stream_hit_rate(st.run_to_table(tagged, "semantic-rate"))
+
+
+# --------------------------------------------------------------------------------------------
+# Synthetic queries, as many as there are documents
+
+from cachelens.sources import synth  # noqa: E402
+
+
+def _synth_sql(seed: int = 42, dup_rate: float = 0.05) -> str:
+    def pick(options, u):
+        lst = "[" + ", ".join("'" + o.replace("'", "''") + "'" for o in options) + "]"
+        return f"list_extract({lst}, (floor({u} * {len(options)}) + 1)::INTEGER)"
+
+    cats = list(synth.TEMPLATES)
+    cat = pick(cats, S.uniform(seed, "category", "original_index"))
+    u_t = S.uniform(seed, "template", "original_index")
+    tmpl = "CASE " + " ".join(f"WHEN cat = '{c}' THEN {pick(synth.TEMPLATES[c], u_t)}" for c in cats) + " END"
+    text = "tmpl"
+    for key, options in synth.VALUES.items():
+        text = f"replace({text}, '{{{key}}}', {pick(options, S.uniform(seed, 'fill:' + key, 'original_index'))})"
+    n = "(SELECT count(*) FROM documents)"
+    return f"""
+WITH b AS (SELECT range AS original_index FROM range({n})),
+c AS (SELECT original_index, {cat} AS cat FROM b),
+t AS (SELECT original_index, {tmpl} AS tmpl FROM c),
+base AS (SELECT original_index, {text} AS query_text FROM t),
+d AS (SELECT range + {n} AS original_index FROM range(floor({n} * {dup_rate!r}::DOUBLE)::BIGINT)),
+dups AS (SELECT d.original_index, base.query_text FROM d
+         JOIN base ON base.original_index = floor({S.uniform(seed, 'dup', 'd.original_index')} * {n})::BIGINT),
+al AS (SELECT * FROM base UNION ALL SELECT * FROM dups)
+SELECT row_number() OVER (ORDER BY {S.md5_key(seed, 'shuffle', 'original_index')}, original_index) - 1 AS query_id,
+       query_text, original_index FROM al"""
+
+
+@register("synthesize_queries", _synth_sql())
+def q_synthesize_queries(spark, sf):
+    n = T(spark, sf, "documents").count()
+    return synth.synthesize_queries(spark, n, seed=42)

@@ -249,3 +249,11 @@ def q_parameter_sensitivity(spark, sf):
 @register("scaling_series")
 def q_scaling_series(spark, sf):
     return EV.scaling_series(_bench_table(spark, sf))
+
+
+@register("row_expectations")
+def q_row_expectations(spark, sf):
+    """C11 on the benchmark result table: every row has a workload, `full` labels reach scale."""
+    from cachelens.operators.sampling import row_expectations
+
+    return row_expectations(_bench_table(spark, sf))
