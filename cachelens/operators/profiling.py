@@ -8,7 +8,7 @@ subquery, so no value is pulled to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cachelens.functions.vector import norm
@@ -16,11 +16,37 @@ from cachelens.operators.text import length_filter, with_token_count
 
 
 def equal_width_histogram(df: DataFrame, value: Column, bins: int, lo: Column | None = None,
-                          hi: Column | None = None) -> DataFrame:
+                          hi: Column | None = None, discrete: bool = False) -> DataFrame:
     """``(bin, bin_lo, bin_hi, count)`` for every bin; edges default to the data's min/max
-    (a zero-width range becomes ``[v - 0.5, v + 0.5]`` like numpy)."""
+    (a zero-width range becomes ``[v - 0.5, v + 0.5]`` like numpy).
+
+    ``discrete=True`` (integer-like values such as token counts) first aggregates the input
+    to one row per distinct value in a single pass; edges and bins are then computed on that
+    small table, so the input is read once."""
     spark = df.sparkSession
     vals = df.select(value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    if discrete:
+        every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        vals = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_w")) \
+            .withColumn("_first", F.col("_v") == F.min("_v").over(every))
+        if lo is None or hi is None:
+            mn, mx = F.min("_v").over(every), F.max("_v").over(every)
+            vals = vals.withColumn("_lo", F.when(mn == mx, mn - 0.5).otherwise(mn)) \
+                .withColumn("_hi", F.when(mn == mx, mx + 0.5).otherwise(mx))
+        else:
+            vals = vals.withColumn("_lo", lo).withColumn("_hi", hi)
+        lo_c, hi_c = F.col("_lo"), F.col("_hi")
+        width = (hi_c - lo_c) / F.lit(float(bins))
+        b = F.least(F.floor((F.col("_v") - lo_c) / width).cast("int"), F.lit(bins - 1))
+        binned = vals.filter((F.col("_v") >= lo_c) & (F.col("_v") <= hi_c)) \
+            .groupBy(b.alias("bin")).agg(F.sum("_w").alias("count"))
+        # the bin grid is generated from the one row holding the smallest value (it carries the edges)
+        grid = vals.filter("_first").select("_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")) \
+            .withColumn("_width", (F.col("_hi") - F.col("_lo")) / F.lit(float(bins)))
+        return (grid.join(binned, "bin", "left")
+                .select("bin", F.round(F.col("_lo") + F.col("bin") * F.col("_width"), 6).alias("bin_lo"),
+                        F.round(F.col("_lo") + (F.col("bin") + 1) * F.col("_width"), 6).alias("bin_hi"),
+                        F.coalesce("count", F.lit(0)).cast("long").alias("count")))
     if lo is None or hi is None:
         mm = vals.agg(F.min("_v").alias("mn"), F.max("_v").alias("mx"))
         same = F.col("mn") == F.col("mx")
@@ -46,8 +72,8 @@ def length_histogram(df: DataFrame, text_col: str = "text", bins: int = 80, min_
                      max_tokens: int = 512) -> DataFrame:
     raw = with_token_count(df, text_col)
     flt = length_filter(df, text_col, min_tokens, max_tokens)
-    a = equal_width_histogram(raw, F.col("token_count"), bins).withColumn("stage", F.lit("raw"))
-    b = equal_width_histogram(flt, F.col("token_count"), bins).withColumn("stage", F.lit("filtered"))
+    a = equal_width_histogram(raw, F.col("token_count"), bins, discrete=True).withColumn("stage", F.lit("raw"))
+    b = equal_width_histogram(flt, F.col("token_count"), bins, discrete=True).withColumn("stage", F.lit("filtered"))
     return a.unionByName(b)
 
 
@@ -63,13 +89,16 @@ def length_stats(df: DataFrame, text_col: str = "text", min_tokens: int = 3, max
 # ------------------------------------------------------------------------------ H2, H3
 
 def frequency_histogram(dedup: DataFrame, freq_col: str = "frequency", cap: int = 50) -> DataFrame:
-    """Unique texts per frequency value, unit bins 1..min(max, cap)."""
-    top = dedup.agg(F.least(F.max(freq_col), F.lit(cap))).scalar()
-    counts = (dedup.filter(F.col(freq_col) <= top).groupBy(F.col(freq_col).cast("long").alias("frequency"))
-              .agg(F.count(F.lit(1)).alias("n_unique")))
-    grid = dedup.sparkSession.range(1, cap + 1).select(F.col("id").alias("frequency")).filter(F.col("frequency") <= top)
-    return grid.join(counts, "frequency", "left").select(
-        "frequency", F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"))
+    """Unique texts per frequency value, unit bins 1..min(max, cap). One aggregation of the
+    input (per distinct frequency); the cut-off and the empty bins come from that small table."""
+    counts = dedup.groupBy(F.col(freq_col).cast("long").alias("frequency")).agg(F.count(F.lit(1)).alias("n_unique"))
+    grid = dedup.sparkSession.range(1, cap + 1).select(F.col("id").alias("frequency"))
+    full = grid.join(counts, "frequency", "full")
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    top = F.least(F.max(F.when(F.col("n_unique").isNotNull(), F.col("frequency"))).over(every), F.lit(cap))
+    return (full.withColumn("_top", top)
+            .filter((F.col("frequency") >= 1) & (F.col("frequency") <= F.col("_top")))
+            .select("frequency", F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique")))
 
 
 def frequency_summary(dedup: DataFrame, freq_col: str = "frequency") -> DataFrame:

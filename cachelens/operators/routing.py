@@ -117,16 +117,19 @@ def sweep_counts(nn: DataFrame, thresholds: list[float], dist_col: str = "dist",
                   .groupBy("j")
                   .agg(F.count(F.lit(1)).alias("c"), F.sum("q").alias("sq"),
                        F.sum("same").alias("ss"), F.sum("dq").alias("sd")))
-    total = per_bucket.agg(F.sum("c")).scalar()
+    # every bucket (including "no threshold accepts it") in one small table: the total is a
+    # window sum over it, so the distance input is evaluated once (no scalar re-evaluation)
     t = _threshold_table(nn.sparkSession, thresholds)
-    run = Window.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)  # <= len(thresholds) rows
-    return (t.join(per_bucket, "j", "left")
-            .select("j", "threshold",
-                    F.coalesce(F.sum("c").over(run), F.lit(0)).alias("n_hits"),
-                    F.coalesce(F.sum("sq").over(run), F.lit(0.0)).alias("sum_quality"),
-                    F.coalesce(F.sum("ss").over(run), F.lit(0)).alias("sum_same"),
-                    F.coalesce(F.sum("sd").over(run), F.lit(0)).alias("sum_dq"))
-            .withColumn("n", F.coalesce(total, F.lit(0))))
+    full = t.join(per_bucket, "j", "full")
+    run = Window.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)  # <= len(thresholds) + 1 rows
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (full.select("j", "threshold",
+                        F.coalesce(F.sum("c").over(run), F.lit(0)).alias("n_hits"),
+                        F.coalesce(F.sum("sq").over(run), F.lit(0.0)).alias("sum_quality"),
+                        F.coalesce(F.sum("ss").over(run), F.lit(0)).alias("sum_same"),
+                        F.coalesce(F.sum("sd").over(run), F.lit(0)).alias("sum_dq"),
+                        F.coalesce(F.sum("c").over(every), F.lit(0)).alias("n"))
+            .filter(F.col("threshold").isNotNull()))
 
 
 def _ratio_or_one(num: Column, den: Column) -> Column:
@@ -209,7 +212,11 @@ def adaptive_routing(nn: DataFrame, calibration_ratio: float = 0.2, min_quality:
                      id_col: str = "query_id", **cols) -> DataFrame:
     """Calibrate on a random part, report hit rate, quality and savings on the rest."""
     from cachelens.operators.sampling import calibration_split
+    from cachelens.session import materialize
 
+    # the nearest-neighbour table feeds a count, the calibration and the test aggregate:
+    # cut its lineage once instead of re-running the search for each
+    nn = materialize(nn, "nn")
     parts = calibration_split(nn, id_col=id_col, ratio=calibration_ratio, seed=seed)
     cal = parts.filter(F.col("role") == "calibration")
     test = parts.filter(F.col("role") == "test")
