@@ -26,6 +26,7 @@ def equal_width_histogram(df: DataFrame, value: Column, bins: int, lo: Column |
     spark = df.sparkSession
     vals = df.select(value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     if discrete:
+        # one row per distinct value (bounded by the value range of integer-like data)
         every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         vals = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_w")) \
             .withColumn("_first", F.col("_v") == F.min("_v").over(every))

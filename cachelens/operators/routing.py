@@ -271,5 +271,6 @@ def latency_sensitivity(hit_rate_row: DataFrame, hit_col: str = "hit_rate",
 def best_fixed_threshold(sweeps: DataFrame, group_col: str = "strategy",
                          metric: str = "latency_saving_pct") -> DataFrame:
     """Sweep row with the highest ``metric`` per group (first threshold wins ties)."""
+    # a sweep table has one row per (group, threshold): small by construction
     w = Window.partitionBy(group_col).orderBy(F.col(metric).desc(), F.col("threshold"))
     return sweeps.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

@@ -66,7 +66,7 @@ def lookup(queries: DataFrame, cache: DataFrame, k: int = 1, threshold: float |
     """Nearest *active* entries per query; ``hit`` iff the nearest exists and is within threshold."""
     live = cache.filter(F.col(active_col)) if active_col else cache
     res = knn(queries, live, k, q_id=q_id, q_vec=vec_col, d_id=c_id, d_vec=vec_col, **strategy)
-    w = Window.partitionBy("query_id")
+    w = Window.partitionBy("query_id")  # k rows per query
     best = F.min("dist").over(w)
     hit = F.lit(True) if threshold is None else (best <= F.lit(float(threshold)))
     return res.withColumn("hit", hit)

@@ -165,6 +165,7 @@ def best_config(runs: DataFrame, index_type: str, defaults: dict | None = None)
     """Best recall@10 row of one index type (first wins ties, error rows ignored); no rows -> defaults."""
     defaults = defaults or {"recall_at_10": 0.0}
     ok = runs.filter((F.col("index_type") == index_type) & F.col("error").isNull())
+    # a result table: one row per configuration
     w = Window.partitionBy("index_type").orderBy(F.col("recall_at_10").desc(), F.col("dataset_label"),
                                                  F.col("workload"), F.to_json("params"))
     best = ok.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
@@ -187,6 +188,7 @@ def parameter_sensitivity(runs: DataFrame, index_type: str = "ivf", group_param:
 def scaling_series(runs: DataFrame) -> DataFrame:
     """Per index type and scale (ordered by size): the best-recall row's recall."""
     ok = runs.filter(F.col("error").isNull())
+    # a result table: one row per configuration
     w = Window.partitionBy("index_type", "dataset_label").orderBy(F.col("recall_at_10").desc(), F.to_json("params"))
     return (ok.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
             .select("index_type", "dataset_label", "dataset_size", "params", "recall_at_10"))
