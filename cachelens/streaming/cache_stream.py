@@ -133,14 +133,40 @@ VEC_STATE = "entries string"
 VEC_OUT = "cell int, seq long, vec_id long, hit boolean, nearest_dist double, cache_size int"
 
 
+def pair_diversity(V) -> float:
+    """Normalised mean squared distance over all ordered pairs (closed form)."""
+    V = np.asarray(V, dtype=np.float64)
+    n = len(V)
+    if n < 2:
+        return 0.0
+    msq = float(np.einsum("ij,ij->i", V, V).mean())
+    m = V.mean(axis=0)
+    avg_pair = 2.0 * n / (n - 1) * (msq - float(m @ m))
+    mnorm = float(np.linalg.norm(V, axis=1).mean())
+    return min(1.0, avg_pair / (2.0 * mnorm * mnorm)) if mnorm > 0 else 0.0
+
+
+# Adaptive-alpha schedule (window, interval, minimum window, alpha range).
+ADAPT_WINDOW, ADAPT_INTERVAL, ADAPT_MIN, ALPHA_MIN, ALPHA_MAX = 500, 200, 50, 0.3, 2.5
+
+
 def _vec_cache_fn(capacity: int, policy: str, threshold: float, redundancy_threshold: float):
     def fn(cell, pdfs, state):
         st = json.loads(state.get[0]) if state.exists else {"k": [], "l": [], "c": [], "i": [], "v": []}
         keys, last, counts, ins, vecs = st["k"], st["l"], st["c"], st["i"], st["v"]
+        recent, since, alpha = st.get("w", []), st.get("q", 0), st.get("a", 1.0)
         rows = pd.concat(list(pdfs)).sort_values("seq")
         out = {"hit": [], "d": [], "n": []}
         for seq, vid, emb in zip(rows["seq"].tolist(), rows["vec_id"].tolist(), rows["embedding"].tolist()):
             x = np.asarray(emb, dtype=np.float64)
+            if policy == "adaptive":
+                recent.append([float(t) for t in x])
+                del recent[:-ADAPT_WINDOW]
+                since += 1
+                if since >= ADAPT_INTERVAL:
+                    since = 0
+                    if len(recent) >= ADAPT_MIN:
+                        alpha = ALPHA_MIN + (ALPHA_MAX - ALPHA_MIN) * round(pair_diversity(recent), 4)
             d_best = None
             if keys:
                 V = np.asarray(vecs, dtype=np.float64)
@@ -153,7 +179,7 @@ def _vec_cache_fn(capacity: int, policy: str, threshold: float, redundancy_thres
                 out["hit"].append(True)
             else:
                 if len(keys) >= capacity:
-                    v = _victim(policy, keys, last, counts, ins, vecs, redundancy_threshold)
+                    v = _victim(policy, keys, last, counts, ins, vecs, redundancy_threshold, alpha=alpha)
                     for arr in (keys, last, counts, ins, vecs):
                         arr.pop(v)
                 keys.append(vid)
@@ -164,7 +190,8 @@ def _vec_cache_fn(capacity: int, policy: str, threshold: float, redundancy_thres
                 out["hit"].append(False)
             out["d"].append(d_best)
             out["n"].append(len(keys))
-        state.update((json.dumps({"k": keys, "l": last, "c": counts, "i": ins, "v": vecs}),))
+        state.update((json.dumps({"k": keys, "l": last, "c": counts, "i": ins, "v": vecs,
+                                   "w": recent, "q": since, "a": alpha}),))
         yield pd.DataFrame({"cell": cell[0], "seq": rows["seq"].astype("int64"), "vec_id": rows["vec_id"].astype("int64"),
                             "hit": out["hit"], "nearest_dist": pd.array(out["d"], dtype="Float64"),
                             "cache_size": out["n"]})
