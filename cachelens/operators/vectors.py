@@ -81,8 +81,12 @@ def batch_lookup(queries: DataFrame, cache: DataFrame, k: int = 10, **kw) -> Dat
 # ------------------------------------------------------------------------------ E13, E14
 
 def md5_sample(df: DataFrame, n: int, seed: int = 42, salt: str = "sample", id_col: str = "id") -> DataFrame:
-    """Exactly min(n, rows) rows, md5-random (sampling operator: a bounded top-n)."""
-    return df.orderBy(md5_order_key(seed, salt, id_col), F.col(id_col)).limit(n)
+    """Exactly min(n, rows) rows, md5-random. Only the (md5, id) keys go through the top-n
+    (or, for large n, the range-partitioned numbering); the rows themselves are filtered in
+    place against the cut-off key, so wide rows (vectors) never meet in one task."""
+    from cachelens.operators.sampling import first_n_flag
+
+    return df.filter(first_n_flag(df, [md5_order_key(seed, salt, id_col), F.col(id_col)], n))
 
 
 def pairwise_cosine_parts(sample: DataFrame, id_col: str, vec_col: str = "embedding",
