@@ -140,6 +140,20 @@ def binary_share(df: DataFrame, col: str, value: str) -> DataFrame:
                   F.round(hit / n * 100.0, 4).alias("pct_match"))
 
 
+def group_top_n_other(df: DataFrame, col: str, n: int = 8, whitelist: list | None = None,
+                      out_col: str = "group") -> DataFrame:
+    """Keep the ``n`` most frequent values (count desc, value asc) or a fixed ``whitelist``;
+    every other value becomes ``Other``. The kept list has at most ``n`` (or whitelist) rows,
+    so it is broadcast."""
+    if whitelist is not None:
+        return df.withColumn(out_col, F.when(F.col(col).isin(list(whitelist)), F.col(col)).otherwise(F.lit("Other")))
+    top = (df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+           .orderBy(F.col("_n").desc(), F.col(col)).limit(n)
+           .select(col, F.col(col).alias("_keep")))
+    return df.join(F.broadcast(top), col, "left") \
+        .withColumn(out_col, F.coalesce("_keep", F.lit("Other"))).drop("_keep")
+
+
 # ------------------------------------------------------------------------------ H6
 
 def turns_per_conversation(conversations: DataFrame, conv_col: str = "conv_id") -> DataFrame:

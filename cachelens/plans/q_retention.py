@@ -117,6 +117,19 @@ def q_next_use_keys(spark, sf):
     return R.next_use_keys(log, cut, 10)
 
 
+@register("next_use", f"""
+WITH {LOG},
+fut AS (SELECT key, min(seq) AS nu FROM log WHERE seq >= (SELECT count(*) // 2 FROM events) GROUP BY key),
+k AS (SELECT DISTINCT key FROM log)
+SELECT row_number() OVER (ORDER BY coalesce(fut.nu::DOUBLE, 'inf'::DOUBLE) DESC, k.key) AS victim_rank, k.key,
+       coalesce(fut.nu::DOUBLE, 'inf'::DOUBLE) AS next_use
+FROM k LEFT JOIN fut ON fut.key = k.key
+""")
+def q_next_use(spark, sf):
+    """G8 over all keys: next access at or after the middle of the log, furthest first."""
+    return R.next_use_keys(_log(spark, sf), T(spark, sf, "events").count() // 2, None)
+
+
 @register("next_access", f"""
 WITH {LOG}
 SELECT key, seq, coalesce((lead(seq) OVER (PARTITION BY key ORDER BY seq))::DOUBLE, 'inf'::DOUBLE) AS next_use FROM log

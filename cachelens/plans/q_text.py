@@ -91,14 +91,17 @@ SELECT coalesce(t.source, 'Other') AS source_group, count(*) AS n
 FROM documents d LEFT JOIN top t ON d.source = t.source GROUP BY 1
 """)
 def q_group_top_n_other(spark, sf):
-    docs = _docs(spark, sf)
-    top = (docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.col("n").desc(), F.col("source")).limit(8)
-           .select("source", F.col("source").alias("_keep")))
-    # top-8 table: eight rows by construction
-    return (docs.select("source").join(F.broadcast(top), "source", "left")
-            .groupBy(F.coalesce("_keep", F.lit("Other")).alias("source_group"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    grouped = P.group_top_n_other(_docs(spark, sf).select("source"), "source", 8, out_col="source_group")
+    return grouped.groupBy("source_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("group_whitelist_other", """
+SELECT CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'Other' END AS lang_group, count(*) AS n
+FROM documents GROUP BY 1
+""")
+def q_group_whitelist_other(spark, sf):
+    grouped = P.group_top_n_other(_docs(spark, sf).select("lang"), "lang", whitelist=["en", "de"], out_col="lang_group")
+    return grouped.groupBy("lang_group").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _hist_sql(vals_sql: str, bins: int, stage: str | None = None) -> str:
@@ -174,6 +177,11 @@ def q_value_share_source(spark, sf):
     return P.value_share(_docs(spark, sf), "source")
 
 
+@register("value_share", _share_sql("source"))
+def q_value_share(spark, sf):
+    return P.value_share(_docs(spark, sf), "source")
+
+
 @register("value_share_lang", _share_sql("lang"))
 def q_value_share_lang(spark, sf):
     return P.value_share(_docs(spark, sf), "lang")
