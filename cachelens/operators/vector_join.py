@@ -88,6 +88,33 @@ def _scores(Q: np.ndarray, qn: np.ndarray, X: np.ndarray, metric: str) -> np.nda
     return D
 
 
+def _smallest_k(M: np.ndarray, k: int):
+    """(row, col) of the k smallest entries per row, plus every entry tied with the k-th.
+
+    ``argpartition`` picks k + 1 candidates per row; only rows where the (k+1)-th equals the
+    k-th (a tie across the cut) fall back to a full comparison."""
+    m, n = M.shape
+    if n <= k:
+        r, c = np.nonzero(np.ones_like(M, dtype=bool))
+        return r, c
+    kk = min(k + 1, n)
+    part = np.argpartition(M, kk - 1, axis=1)[:, :kk]
+    vals = np.take_along_axis(M, part, axis=1)
+    order = np.argsort(vals, axis=1, kind="stable")
+    part = np.take_along_axis(part, order, axis=1)
+    vals = np.take_along_axis(vals, order, axis=1)
+    rows = np.repeat(np.arange(m), k)
+    cols = part[:, :k].reshape(-1)
+    if kk > k:
+        tie = np.flatnonzero(vals[:, k] == vals[:, k - 1])
+        if len(tie):
+            keep = ~np.isin(rows, tie)
+            tr, tc = np.nonzero(M[tie] <= vals[tie, k - 1][:, None])
+            rows = np.concatenate([rows[keep], tie[tr]])
+            cols = np.concatenate([cols[keep], tc])
+    return rows, cols
+
+
 def _rank_within(rows: np.ndarray) -> np.ndarray:
     if len(rows) == 0:
         return np.zeros(0, dtype=np.int64)
@@ -134,22 +161,28 @@ class TopK:
             return
         width = X.shape[1] if self.metric == "hamming" else 1
         step = max(1, _CHUNK_ENTRIES // max(n * width, 1))
+        xn = np.einsum("ij,ij->i", X, X) if self.metric == "l2" else None
         parts_r, parts_d, parts_i = [st["rows"]], [st["d"]], [st["ids"]]
         for s in range(0, m, step):
             e = min(m, s + step)
-            D = _scores(Q[s:e], qn[s:e], X, self.metric)
-            if self.exclude_self:
-                D[qids[s:e, None] == xids[None, :]] = np.inf
-            if n > self.k:
-                kth = np.partition(D, self.k - 1, axis=1)[:, self.k - 1]
-                r, c = np.nonzero(D <= kth[:, None])
+            if self.metric == "l2":
+                # rank by |x|^2 - 2 q.x (the per-row |q|^2 does not change the order), in place
+                M = Q[s:e] @ X.T
+                M *= -2.0
+                M += xn[None, :]
             else:
-                r, c = np.nonzero(np.ones_like(D, dtype=bool))
-            dv = D[r, c]
+                M = _scores(Q[s:e], qn[s:e], X, self.metric)
+            if self.exclude_self:
+                M[qids[s:e, None] == xids[None, :]] = np.inf
+            r, c = _smallest_k(M, self.k)
+            dv = M[r, c]
             fin = np.isfinite(dv)
-            parts_r.append(r[fin] + s)
-            parts_d.append(dv[fin])
-            parts_i.append(xids[c[fin]])
+            r, c, dv = r[fin], c[fin], dv[fin]
+            if self.metric == "l2":
+                dv = np.maximum(dv + qn[s:e][r], 0.0)
+            parts_r.append(r + s)
+            parts_d.append(dv)
+            parts_i.append(xids[c])
         rows = np.concatenate(parts_r)
         d = np.concatenate(parts_d)
         ids = np.concatenate(parts_i)
