@@ -9,7 +9,9 @@ numbering, never a single-partition window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cachelens.operators.ordering import dense_ids, previous_value
@@ -58,12 +60,10 @@ MAX_ANCHORS = 1024
 class _AnchorCount:
     """Kernel: for every *database* row, the number of broadcast anchors within threshold."""
 
-    vec_dtype = None
+    vec_dtype = np.float64
 
     def __init__(self, threshold: float):
-        import numpy as np
         self.threshold = threshold
-        self.vec_dtype = np.float64
 
     def schema(self) -> str:
         return "id long, n_near long"
@@ -72,7 +72,6 @@ class _AnchorCount:
         return {"ids": [], "cnt": []}
 
     def update(self, st, qids, Q, qn, xids, X):
-        import numpy as np
         if len(xids) == 0:
             return
         if len(qids) == 0:
@@ -85,8 +84,6 @@ class _AnchorCount:
         st["cnt"].append(near.sum(axis=0).astype(np.int64))
 
     def emit(self, st, qids):
-        import numpy as np
-        import pyarrow as pa
         ids = np.concatenate(st["ids"]) if st["ids"] else np.zeros(0, np.int64)
         cnt = np.concatenate(st["cnt"]) if st["cnt"] else np.zeros(0, np.int64)
         return pa.table({"id": pa.array(ids, pa.int64()), "n_near": pa.array(cnt, pa.int64())})

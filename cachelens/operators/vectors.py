@@ -29,18 +29,16 @@ def validate_embeddings(emb: DataFrame, vec_col: str = "embedding", dim: int | N
 
 # ------------------------------------------------------------------------------ E6, E7
 
-def vectors_append(base: DataFrame, new: DataFrame, id_col: str = "id", order_col: str | None = None) -> DataFrame:
-    """Append ``new`` rows with ids continuing after the largest id of ``base``.
-
-    New ids follow ``order_col`` (range-partitioned numbering, no global window)."""
+def vectors_append(base: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
+    """Append ``new`` rows with ids continuing after the largest id of ``base``; ``src_id``
+    keeps every row's original id. New ids follow the original id order (range-partitioned
+    numbering, no global window)."""
     from cachelens.operators.ordering import dense_ids
 
     start = base.agg(F.coalesce(F.max(id_col) + 1, F.lit(0))).scalar()
-    order_col = order_col or id_col
-    numbered = dense_ids(new.withColumnRenamed(id_col, "_src_id") if order_col == id_col else new,
-                         ["_src_id" if order_col == id_col else order_col], out_col="_n")
+    numbered = dense_ids(new.withColumnRenamed(id_col, "src_id"), ["src_id"], out_col="_n")
     appended = numbered.withColumn(id_col, F.col("_n") + start).drop("_n")
-    return base.withColumn("_src_id", F.col(id_col)).unionByName(appended, allowMissingColumns=True)
+    return base.withColumn("src_id", F.col(id_col)).unionByName(appended, allowMissingColumns=True)
 
 
 def vectors_remove(table: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:

@@ -151,7 +151,7 @@ SELECT * FROM base UNION ALL SELECT * FROM new
 def q_vectors_append(spark, sf):
     q, db = _holdout(spark, sf)
     out = V.vectors_append(db.select("vec_id"), q.select("vec_id"), id_col="vec_id")
-    return out.select("vec_id", F.col("_src_id").alias("src_id"))
+    return out.select("vec_id", "src_id")
 
 
 @register("vectors_remove", f"""

@@ -118,3 +118,12 @@ def test_dense_ids_start_offset(spark):
     df = spark.range(10).withColumnRenamed("id", "k")
     out = [r.n for r in dense_ids(df, ["k"], "n", start=5).orderBy("k").collect()]
     assert out == list(range(5, 15))
+
+
+def test_first_n_flag_large_n_path_matches_topn(spark, monkeypatch):
+    df = spark.range(300).withColumnRenamed("id", "doc_id")
+    order = S.random_order(42, "x", "doc_id")
+    small = {r.doc_id for r in df.filter(S.first_n_flag(df, order, 120)).collect()}
+    monkeypatch.setattr(S, "TOPN_CUTOFF_LIMIT", 10)
+    large = {r.doc_id for r in df.filter(S.first_n_flag(df, order, 120)).collect()}
+    assert small == large and len(small) == 120
