@@ -69,7 +69,8 @@ def test_concentration_monotone_and_deterministic(spark):
     distinct = []
     for g in (0.0, 0.5, 1.0):
         d = S.sample_concentrated(rows, 500, g).toPandas()
-        distinct.append(d.label.nunique() if g > 0 else d.query_id.nunique())
+        distinct.append(d.query_id.nunique())
+    assert distinct[0] >= distinct[1] >= distinct[2]
     top_share = S.sample_concentrated(rows, 500, 1.0).toPandas().label.value_counts(normalize=True).iloc[0]
     assert top_share > 0.5
     a = S.sample_concentrated(rows, 300, 0.5, seed=7).orderBy("draw_id").toPandas()
