@@ -175,7 +175,10 @@ class IVFIndex:
         qside = (probes.join(sizes, "cell")
                  .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)))
                  .select("cell", "_sub", "_qid", "_qv"))
-        dside = (self.table.join(sizes, "cell")
+        # only probed cells are read: the probed set (at most nlist values) becomes a partition
+        # filter, so on a table saved with partitionBy("cell") unprobed cells are never scanned
+        probed = [r[0] for r in probes.select("cell").distinct().collect()]
+        dside = (self.table.filter(F.col("cell").isin(probed)).join(sizes, "cell")
                  .withColumn("_sub", F.pmod(F.xxhash64(self.id_col), F.col("_subs")).cast("int"))
                  .select("cell", "_sub", F.col(self.id_col).cast("long").alias("_did"),
                          F.col(self.vec_col).alias("_dv")))
