@@ -5,7 +5,7 @@ materialises every pair and interprets the arithmetic element by element. Here t
 distance work runs in Arrow blocks with numpy matrix products, and only *reduced*
 results leave a task (k rows per query, one count per query, or a few aggregate rows).
 
-Two physical strategies, both exact:
+Three physical strategies, all exact, tried in this order:
 
 ``broadcast``
     The probe side (queries) is collected only after its size has been checked
@@ -13,8 +13,12 @@ Two physical strategies, both exact:
     database partition is scanned batch by batch (``mapInArrow``). The database is
     never shuffled. Each task emits at most k rows per query.
 
+``broadcast_database``
+    The probe side is too big but the database passes the same check: the database is
+    shipped instead and the probe side is scanned in place; each task's output is final.
+
 ``grid``
-    The probe side is too big to broadcast: both sides are hashed into blocks of about
+    Neither side is small enough to broadcast: both sides are hashed into blocks of about
     ``rows_per_block`` rows, replicated along the other axis of a
     (query block x database block) grid and co-grouped by cell (``applyInArrow``).
     A task holds one query block and one database block, so its memory is bounded
@@ -350,6 +354,27 @@ def block_join(queries: DataFrame, database: DataFrame, kernel, *,
 
         return d.mapInArrow(scan, schema)
 
+    if strategy in ("auto", "broadcast_database"):
+        # the probe side is large but the database is small: ship the database instead and
+        # scan the probe side; every task then sees all database rows for its queries, so its
+        # output is already final (the merge above it finds one list per query)
+        table = _collect_bounded(d, max_broadcast_rows, max_broadcast_bytes)
+        if table is None and strategy == "broadcast_database":
+            raise ValueError("database side exceeds the broadcast bound")
+        if table is not None:
+            xids_all, X_all = arrow_vectors(table, "_did", "_dv", dt)
+            bcd = spark.sparkContext.broadcast((xids_all, X_all))
+
+            def scan_probe(batches):
+                b_xids, b_X = bcd.value
+                for b in batches:
+                    b_qids, b_Q = arrow_vectors(b, "_qid", "_qv", dt)
+                    if len(b_qids) == 0:
+                        continue
+                    yield from _run_kernel(kernel, b_qids, b_Q, [(b_xids, b_X)]).to_batches()
+
+            return q.mapInArrow(scan_probe, schema)
+
     # grid strategy: bounded blocks on both sides
     n_q = max(1, math.ceil(q.count() / rows_per_block))
     n_d = max(1, math.ceil(d.count() / rows_per_block))

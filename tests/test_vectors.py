@@ -161,3 +161,18 @@ def test_workload_diversity_high_and_low(spark):
     hi = V.workload_diversity(spread, label_col=None).first().pair_diversity
     lo = V.workload_diversity(tight, label_col=None).first().pair_diversity
     assert hi > 0.7 and lo < 0.75 and lo < hi
+
+
+def test_broadcast_database_strategy_matches(spark):
+    rng = np.random.default_rng(9)
+    X = rng.random((120, 16))
+    Qm = rng.random((60, 16))
+    db, q = vectors_df(spark, X), vectors_df(spark, Qm, id_col="query_id")
+    a = knn(q, db, 4).orderBy("query_id", "rank").collect()
+    b = knn(q, db, 4, strategy="broadcast_database").orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.neighbor_id) for r in a] == [(r.query_id, r.neighbor_id) for r in b]
+    c = knn(q, db, 4, max_broadcast_rows=10).orderBy("query_id", "rank").collect()  # both sides above the bound: grid
+    assert [(r.query_id, r.neighbor_id) for r in a] == [(r.query_id, r.neighbor_id) for r in c]
+    cnt_a = {r.query_id: r.n_within for r in range_count(q, db, 1.5, exclude_self=False).collect()}
+    cnt_b = {r.query_id: r.n_within for r in range_count(q, db, 1.5, exclude_self=False, strategy="broadcast_database").collect()}
+    assert cnt_a == cnt_b
