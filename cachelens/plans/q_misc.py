@@ -13,7 +13,6 @@ from cachelens.functions.text import strip_text
 from cachelens.operators import metrics as M
 from cachelens.operators import text as X
 from cachelens.operators.vectors import group_centroids, validate_embeddings
-from cachelens.plans import evaluation as EV
 from cachelens.plans import sqlfrag as S
 from cachelens.plans.catalog import T, register
 from cachelens.plans.q_routing import NN

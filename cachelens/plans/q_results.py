@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from cachelens.operators import results as X
 from cachelens.plans.catalog import T, register

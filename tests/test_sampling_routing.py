@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from cachelens.functions.cost import CostModel
 from cachelens.operators import routing
