@@ -148,7 +148,7 @@ def q_stream_semantic_tag(spark, sf):
 def q_stream_hit_rate(spark, sf):
     tagged = st.semantic_tagging(_vec_stream(spark, sf), _label_centers(spark, sf), capacity=20,
                                  policy="semantic", threshold=1.3, redundancy_threshold=1.5)
-    return st.stream_hit_rate(st.run_to_table(tagged, "semantic-rate"))
+    return st.run_updates_to_table(st.stream_hit_rate(tagged), "semantic-rate", ["cell"])
 
 
 # --------------------------------------------------------------------------------------------

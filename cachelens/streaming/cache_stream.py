@@ -246,8 +246,30 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
 
 
 def stream_hit_rate(tagged: DataFrame, group_col: str = "cell") -> DataFrame:
-    """Hits / lookups per stream group (works on the live tagged stream in update mode
-    or on the sink table)."""
+    """Cumulative hits / lookups per stream group. On the live tagged stream this is a
+    streaming aggregation run in update mode (each micro-batch emits the groups it changed);
+    on a sink table it is the same aggregate in batch."""
     return tagged.groupBy(group_col).agg(F.count(F.lit(1)).alias("lookups"),
                                          F.count_if("hit").alias("hits"),
                                          F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"))
+
+
+def run_updates_to_table(stream: DataFrame, name: str, key_cols: list) -> DataFrame:
+    """Run an update-mode streaming aggregate once over all available input; every
+    micro-batch's changed rows are appended with their batch id to a parquet folder in the
+    shared checkpoint folder, and the latest row per key is returned."""
+    spark = stream.sparkSession
+    base = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex[:12]}")
+    out = os.path.join(base, "out")
+
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("_batch", F.lit(epoch)).write.mode("append").parquet(out)
+
+    q = (stream.writeStream.outputMode("update").foreachBatch(write_batch)
+         .option("checkpointLocation", os.path.join(base, "_checkpoint"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = spark.read.parquet(out)
+    value_cols = [c for c in rows.columns if c not in key_cols and c != "_batch"]
+    latest = rows.groupBy(*key_cols).agg(F.max(F.struct("_batch", *value_cols)).alias("_l"))
+    return latest.select(*key_cols, *[F.col(f"_l.{c}").alias(c) for c in value_cols])

@@ -140,3 +140,19 @@ def test_semantic_stream_invariants(spark, tmp_path):
         out = st.run_to_table(st.semantic_tagging(live, base, capacity=5, policy=policy, threshold=0.9), policy).toPandas()
         assert len(out) == 120 and (out.cache_size <= 5).all()
         assert out.hit.sum() > 60  # near copies mostly hit
+
+
+def test_live_hit_rate_equals_batch_aggregate(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    base = unit(rng.normal(size=(3, 16)))
+    X = unit(np.repeat(base, 30, axis=0) + 0.05 * rng.normal(size=(90, 16)))
+    pdf = pd.DataFrame({"vec_id": np.arange(90, dtype="int64"), "seq": np.arange(90, dtype="int64"),
+                        "embedding": [x.astype(np.float32) for x in X]})
+    folder = tmp_path / "v2"
+    folder.mkdir()
+    pdf.to_parquet(folder / "vec.parquet")
+    tagged = st.run_to_table(st.semantic_tagging(st.file_stream(spark, str(folder), "vec"), base, capacity=4), "a")
+    batch = {r.cell: (r.lookups, r.hits) for r in st.stream_hit_rate(tagged).collect()}
+    live_q = st.stream_hit_rate(st.semantic_tagging(st.file_stream(spark, str(folder), "vec"), base, capacity=4))
+    live = {r.cell: (r.lookups, r.hits) for r in st.run_updates_to_table(live_q, "b", ["cell"]).collect()}
+    assert live == batch and sum(v[0] for v in live.values()) == 90
