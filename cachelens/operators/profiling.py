@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cachelens.functions.vector import norm
+from cachelens.functions.text import is_blank
 from cachelens.operators.text import length_filter, with_token_count
 
 
 def equal_width_histogram(df: DataFrame, value: Column, bins: int, lo: Column | None = None,
-                          hi: Column | None = None, discrete: bool = False) -> DataFrame:
+                          hi: Column | None = None, discrete: bool = False, weight: Column | None = None) -> DataFrame:
     """``(bin, bin_lo, bin_hi, count)`` for every bin; edges default to the data's min/max
     (a zero-width range becomes ``[v - 0.5, v + 0.5]`` like numpy).
 
@@ -28,8 +29,12 @@ def equal_width_histogram(df: DataFrame, value: Column, bins: int, lo: Column |
     if discrete:
         # one row per distinct value (bounded by the value range of integer-like data)
         every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        vals = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_w")) \
-            .withColumn("_first", F.col("_v") == F.min("_v").over(every))
+        if weight is not None:  # input already aggregated: (value, count) rows
+            vals = df.select(value.cast("double").alias("_v"), weight.alias("_win")).filter(F.col("_v").isNotNull()) \
+                .groupBy("_v").agg(F.sum("_win").alias("_w"))
+        else:
+            vals = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_w"))
+        vals = vals.withColumn("_first", F.col("_v") == F.min("_v").over(every))
         if lo is None or hi is None:
             mn, mx = F.min("_v").over(every), F.max("_v").over(every)
             vals = vals.withColumn("_lo", F.when(mn == mx, mn - 0.5).otherwise(mn)) \
@@ -71,10 +76,16 @@ def equal_width_histogram(df: DataFrame, value: Column, bins: int, lo: Column |
 
 def length_histogram(df: DataFrame, text_col: str = "text", bins: int = 80, min_tokens: int = 3,
                      max_tokens: int = 512) -> DataFrame:
-    raw = with_token_count(df, text_col)
-    flt = length_filter(df, text_col, min_tokens, max_tokens)
-    a = equal_width_histogram(raw, F.col("token_count"), bins, discrete=True).withColumn("stage", F.lit("raw"))
-    b = equal_width_histogram(flt, F.col("token_count"), bins, discrete=True).withColumn("stage", F.lit("filtered"))
+    """Token-count histograms before and after the length filter from ONE pass over the texts:
+    rows are aggregated to (token count, kept?) counts, both histograms read that small table."""
+    tc = F.col("token_count")
+    keep = ~is_blank(F.col(text_col)) & (tc >= min_tokens) & (tc <= max_tokens)
+    counts = with_token_count(df.select(text_col), text_col) \
+        .groupBy(tc.alias("_v"), keep.alias("_keep")).agg(F.count(F.lit(1)).alias("_n"))
+    a = equal_width_histogram(counts, F.col("_v"), bins, discrete=True, weight=F.col("_n")) \
+        .withColumn("stage", F.lit("raw"))
+    b = equal_width_histogram(counts.filter("_keep"), F.col("_v"), bins, discrete=True, weight=F.col("_n")) \
+        .withColumn("stage", F.lit("filtered"))
     return a.unionByName(b)
 
 
