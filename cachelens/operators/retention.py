@@ -210,15 +210,20 @@ def next_use_vectors(stream: DataFrame, entries: DataFrame, threshold: float = 0
 # ------------------------------------------------------------------------------ G1, G2
 
 def cache_build(rows: DataFrame, order_col: str, max_size: int | None = None, text_col: str = "text",
-                response_col: str | None = None) -> DataFrame:
-    """Entry table; with ``max_size`` only the last ``max_size`` rows are kept; ids from 0."""
+                response_col: str | None = None, metadata_cols=()) -> DataFrame:
+    """Entry table ``(cache_id, ..., response, metadata, is_active, inserted_seq)``; with
+    ``max_size`` only the last ``max_size`` rows are kept; ids from 0; the response defaults
+    to the text; ``metadata_cols`` are packed into a ``MAP<STRING,STRING>``."""
     numbered = dense_ids(rows, [order_col], out_col="_pos")
     n = numbered.select(F.count(F.lit(1))).scalar()
     if max_size is not None and max_size > 0:
         numbered = numbered.filter(F.col("_pos") >= n - F.lit(max_size))
     resp = F.coalesce(F.col(response_col), F.col(text_col)) if response_col else F.col(text_col)
-    out = dense_ids(numbered.withColumn("response", resp).drop("_pos"), [order_col], out_col="cache_id")
-    return out.withColumn("is_active", F.lit(True))
+    meta = F.create_map(*[x for c in metadata_cols for x in (F.lit(c), F.col(c).cast("string"))]) \
+        if metadata_cols else F.create_map().cast("map<string,string>")
+    out = dense_ids(numbered.withColumn("response", resp).withColumn("metadata", meta).drop("_pos"),
+                    [order_col], out_col="cache_id")
+    return out.withColumn("is_active", F.lit(True)).withColumn("inserted_seq", F.col("cache_id"))
 
 
 def cache_upkeep(cache: DataFrame, inserts: DataFrame, max_size: int, victim_order=None,

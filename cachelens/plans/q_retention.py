@@ -162,8 +162,9 @@ SELECT row_number() OVER (ORDER BY doc_id) - 1 AS cache_id, doc_id, true AS is_a
 FROM r WHERE pos >= (SELECT count(*) FROM documents) - 100
 """)
 def q_cache_build(spark, sf):
-    docs = T(spark, sf, "documents").select("doc_id", "text")
-    return R.cache_build(docs, "doc_id", max_size=100).select("cache_id", "doc_id", "is_active")
+    docs = T(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return R.cache_build(docs, "doc_id", max_size=100, metadata_cols=("lang", "source")) \
+        .select("cache_id", "doc_id", "is_active")
 
 
 @register("cache_upkeep", f"""
