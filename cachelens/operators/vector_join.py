@@ -39,7 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_BYTES = 128 * 1024 * 1024
+# Arrow bytes of the side that is shipped to executors; each Python worker holds it as float64
+# (twice the float32 size), so the default keeps one copy near 128 MB per worker.
+DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 DEFAULT_ROWS_PER_BLOCK = 20_000
 # Entries of one (query chunk x database batch) distance matrix held at once.
