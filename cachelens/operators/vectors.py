@@ -191,6 +191,19 @@ def group_centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
+# Centres are shipped to every task: their number is checked before they are collected.
+MAX_CENTRES = 65_536
+
+
+def collect_centroids(df: DataFrame, group_col: str, vec_col: str = "embedding", max_groups: int = MAX_CENTRES):
+    """(group values, centre matrix) of the per-group means, ordered by group; raises when the
+    group column has more than ``max_groups`` values (the centres would not be a small table)."""
+    rows = group_centroids(df, group_col, vec_col).orderBy(group_col).limit(max_groups + 1).collect()
+    if len(rows) > max_groups:
+        raise ValueError(f"{group_col} has more than {max_groups} groups; too many centres to broadcast")
+    return [r[group_col] for r in rows], np.array([r["centroid"] for r in rows], dtype=np.float64)
+
+
 # ------------------------------------------------------------------------------ F1
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, ks=(1, 5, 10)) -> DataFrame:
@@ -251,6 +264,19 @@ def distance_histogram(nn: DataFrame, dist_col: str = "dist", bins: int = 20, lo
     return equal_width_histogram(nn, F.col(dist_col), bins, F.lit(float(lo)), F.lit(float(hi)))
 
 
+# Centres are shipped to every task: their number is checked before they are collected.
+MAX_CENTRES = 65_536
+
+
+def collect_centroids(df: DataFrame, group_col: str, vec_col: str = "embedding", max_groups: int = MAX_CENTRES):
+    """(group values, centre matrix) of the per-group means, ordered by group; raises when the
+    group column has more than ``max_groups`` values (the centres would not be a small table)."""
+    rows = group_centroids(df, group_col, vec_col).orderBy(group_col).limit(max_groups + 1).collect()
+    if len(rows) > max_groups:
+        raise ValueError(f"{group_col} has more than {max_groups} groups; too many centres to broadcast")
+    return [r[group_col] for r in rows], np.array([r["centroid"] for r in rows], dtype=np.float64)
+
+
 # ------------------------------------------------------------------------------ F17
 
 def workload_diversity(emb: DataFrame, vec_col: str = "embedding", label_col: str | None = "label",
@@ -282,6 +308,19 @@ def workload_diversity(emb: DataFrame, vec_col: str = "embedding", label_col: st
     return base.select(*cols)
 
 
+# Centres are shipped to every task: their number is checked before they are collected.
+MAX_CENTRES = 65_536
+
+
+def collect_centroids(df: DataFrame, group_col: str, vec_col: str = "embedding", max_groups: int = MAX_CENTRES):
+    """(group values, centre matrix) of the per-group means, ordered by group; raises when the
+    group column has more than ``max_groups`` values (the centres would not be a small table)."""
+    rows = group_centroids(df, group_col, vec_col).orderBy(group_col).limit(max_groups + 1).collect()
+    if len(rows) > max_groups:
+        raise ValueError(f"{group_col} has more than {max_groups} groups; too many centres to broadcast")
+    return [r[group_col] for r in rows], np.array([r["centroid"] for r in rows], dtype=np.float64)
+
+
 # ------------------------------------------------------------------------------ F18
 
 def semantic_coverage(stream: DataFrame, cache: DataFrame, sample_size: int = 2000, seed: int = 42,

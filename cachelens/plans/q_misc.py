@@ -12,7 +12,7 @@ from cachelens.functions.encoder import embed_text
 from cachelens.functions.text import strip_text
 from cachelens.operators import metrics as M
 from cachelens.operators import text as X
-from cachelens.operators.vectors import group_centroids, validate_embeddings
+from cachelens.operators.vectors import collect_centroids, validate_embeddings
 from cachelens.plans import sqlfrag as S
 from cachelens.plans.catalog import T, register
 from cachelens.plans.q_routing import NN
@@ -127,9 +127,7 @@ def q_key_cache_batch(spark, sf):
 
 
 def _label_centers(spark, sf):
-    import numpy as np
-    rows = group_centroids(T(spark, sf, "embeddings"), "label").orderBy("label").collect()  # one row per label
-    return np.array([r["centroid"] for r in rows], dtype=float)
+    return collect_centroids(T(spark, sf, "embeddings"), "label")[1]
 
 
 def _vec_stream(spark, sf):

@@ -112,9 +112,7 @@ def q_knn_index_dispatch(spark, sf):
 
 
 def _label_centers(emb):
-    cents = V.group_centroids(emb, "label").orderBy("label").collect()  # one row per label
-    import numpy as np
-    return [r["label"] for r in cents], np.array([r["centroid"] for r in cents], dtype=float)
+    return V.collect_centroids(emb, "label")
 
 
 @register("kmeans_assign", f"""
