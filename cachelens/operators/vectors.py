@@ -224,10 +224,12 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, ks=(1, 5, 10)) -> DataFrame
 
 
 def recall_by_config(approx: DataFrame, exact: DataFrame, config_ids: list, ks=(1, 5, 10),
-                     config_col: str = "config") -> DataFrame:
+                     config_col: str = "config", weights: DataFrame | None = None) -> DataFrame:
     """F1 for many approximate results at once: ``approx`` carries ``config_col``; one join
     with the truth and one aggregation give ``(config, k, recall, n_queries)``. Every truth
-    query counts for every configuration (a query an index returned nothing for scores 0)."""
+    query counts for every configuration (a query an index returned nothing for scores 0).
+    ``weights`` ``(query_id, w)`` turns the mean into a workload mean (a query drawn w times
+    counts w times; undrawn queries count 0)."""
     truth = exact.select("query_id", "neighbor_id", "rank")
     sizes = truth.groupBy("query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"_t{k}") for k in ks])
     hits = (approx.select(config_col, "query_id", "neighbor_id", F.col("rank").alias("_ar"))
@@ -239,10 +241,15 @@ def recall_by_config(approx: DataFrame, exact: DataFrame, config_ids: list, ks=(
         .join(hits, [config_col, "query_id"], "left")
     rec = [F.when(F.col(f"_t{k}") > 0, F.coalesce(F.col(f"_h{k}"), F.lit(0)) / F.col(f"_t{k}"))
            .otherwise(F.lit(1.0)) for k in ks]
-    stacked = per_q.select(config_col, F.inline(F.array(*[F.struct(F.lit(k).alias("k"), r.alias("r"))
-                                                         for k, r in zip(ks, rec)])))
-    return stacked.groupBy(config_col, "k").agg(F.round(F.avg("r"), 6).alias("recall"),
-                                                F.count(F.lit(1)).alias("n_queries"))
+    if weights is not None:
+        per_q = per_q.join(weights.select("query_id", F.col("w").cast("double").alias("_w")), "query_id")
+    else:
+        per_q = per_q.withColumn("_w", F.lit(1.0))
+    stacked = per_q.select(config_col, "_w", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), r.alias("r"))
+                                                               for k, r in zip(ks, rec)])))
+    return stacked.groupBy(config_col, "k").agg(
+        F.round(F.sum(F.col("r") * F.col("_w")) / F.sum("_w"), 6).alias("recall"),
+        F.sum("_w").cast("long").alias("n_queries"))
 
 
 # ------------------------------------------------------------------------------ F8

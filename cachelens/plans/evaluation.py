@@ -94,11 +94,14 @@ def multi_seed_summary(emb: DataFrame, seeds=(42, 123, 456), strategies=("random
 
 def knn_benchmark(emb: DataFrame, label: str = "full", id_col: str = "vec_id", query_count: int = 1000,
                   k: int = 10, seed: int = 42, ivf_grid=IVF_GRID, lsh_grid=LSH_GRID,
-                  workloads=("uniform",)) -> DataFrame:
+                  workloads=("uniform", "clustered")) -> DataFrame:
     """Holdout split, exact truth at k, then each (index, params, workload) -> a recall row.
 
     All configurations' results are unioned with a configuration id and scored against
-    the (checkpointed) truth in one join + aggregation."""
+    the (checkpointed) truth in one join + aggregation. Workload ``uniform`` weighs every
+    held-out query once; ``clustered`` draws as many queries with replacement, Zipf over the
+    k-means cells of the database (k = min(n_clusters, N // 5), at least 2), and weighs each
+    query by how often it was drawn."""
     from cachelens.operators.vectors import recall_by_config
 
     split = holdout_split(emb.select(id_col, "embedding"), id_col=id_col, query_count=query_count, seed=seed)
@@ -110,51 +113,87 @@ def knn_benchmark(emb: DataFrame, label: str = "full", id_col: str = "vec_id", q
         + [("lsh", {"nbits": float(b)}) for b in lsh_grid]
     spark = emb.sparkSession
     built = {}  # one IVF index per nlist, searched with every nprobe
-    results, meta, errors = [], [], []
-    for workload in workloads:
-        for kind, params in configs:
-            cid = len(meta)
-            try:
-                if kind == "ivf" and params["nlist"] > n_db:
-                    continue
-                p = {key: int(v) for key, v in params.items()}
-                if kind == "flat":
-                    approx = truth
-                elif kind == "ivf":
-                    if p["nlist"] not in built:
-                        built[p["nlist"]] = ann.IVFIndex.build(db, p["nlist"], seed, id_col)
-                    approx = built[p["nlist"]].search(q, k, p["nprobe"], q_id=id_col)
-                else:
-                    approx = ann.knn_index(kind, q, db, k, q_id=id_col, d_id=id_col, **p)
-                results.append(approx.select(F.lit(cid).alias("config"), "query_id", "rank", "neighbor_id"))
-                meta.append((cid, kind, {key: float(v) for key, v in params.items()}, workload, None))
-            except Exception as e:  # noqa: BLE001 - a failing configuration becomes an error row
-                meta.append((cid, kind, {key: float(v) for key, v in params.items()}, workload, str(e)[:500]))
-    table = spark.createDataFrame(meta, "config int, index_type string, params map<string,double>, "
-                                        "workload string, error string")
+    results, meta = [], []
+    for kind, params in configs:
+        cid = len(meta)
+        pmap = {key: float(v) for key, v in params.items()}
+        try:
+            if kind == "ivf" and params["nlist"] > n_db:
+                continue
+            p = {key: int(v) for key, v in params.items()}
+            if kind == "flat":
+                approx = truth
+            elif kind == "ivf":
+                if p["nlist"] not in built:
+                    built[p["nlist"]] = ann.IVFIndex.build(db, p["nlist"], seed, id_col)
+                approx = built[p["nlist"]].search(q, k, p["nprobe"], q_id=id_col)
+            else:
+                approx = ann.knn_index(kind, q, db, k, q_id=id_col, d_id=id_col, **p)
+            results.append(approx.select(F.lit(cid).alias("config"), "query_id", "rank", "neighbor_id"))
+            meta.append((cid, kind, pmap, None))
+        except Exception as e:  # noqa: BLE001 - a failing configuration becomes an error row
+            meta.append((cid, kind, pmap, str(e)[:500]))
+    # configurations x workloads: two short parameter lists, expanded in Python
+    table = spark.createDataFrame([(c, kind, pm, w, err) for (c, kind, pm, err) in meta for w in workloads],
+                                  "config int, index_type string, params map<string,double>, workload string, "
+                                  "error string")
+    ok_ids = [m[0] for m in meta if m[3] is None]
+    recs = None
     if results:
         allres = results[0]
         for r in results[1:]:
             allres = allres.unionByName(r)
-        rec = recall_by_config(allres, truth, [m[0] for m in meta if m[4] is None], (1, 5, 10))
-        wide = rec.groupBy("config").pivot("k", [1, 5, 10]).agg(F.first("recall"))
-        table = table.join(wide, "config", "left")
+        # every configuration's neighbours are computed once and reused by every workload
+        allres = materialize(allres, "bench-approx")
+        for workload in workloads:
+            w = None if workload == "uniform" else workload_weights(q, db, workload, id_col, seed)
+            rec = recall_by_config(allres, truth, ok_ids, (1, 5, 10), weights=w).withColumn("workload", F.lit(workload))
+            recs = rec if recs is None else recs.unionByName(rec)
+    if recs is not None:
+        wide = recs.groupBy("config", "workload").pivot("k", [1, 5, 10]).agg(F.first("recall"))
+        table = table.join(wide, ["config", "workload"], "left")
     else:
-        table = table.withColumn("1", F.lit(None).cast("double")).withColumn("5", F.lit(None).cast("double")) \
-            .withColumn("10", F.lit(None).cast("double"))
+        table = table.withColumn("1", F.lit(None).cast("double")) \
+            .withColumn("5", F.lit(None).cast("double")).withColumn("10", F.lit(None).cast("double"))
     return table.select(
         "index_type", "params", F.lit(n_db).cast("long").alias("dataset_size"), F.lit(label).alias("dataset_label"),
         "workload", F.col("1").alias("recall_at_1"), F.col("5").alias("recall_at_5"),
         F.col("10").alias("recall_at_10"), "error")
 
 
-def knn_benchmark_scales(emb: DataFrame, scales=(("half", 0.5), ("full", 1.0)), id_col: str = "vec_id", **kw) -> DataFrame:
-    """F16 at several scales: md5 samples of the table, labelled."""
+def workload_weights(q: DataFrame, db: DataFrame, workload: str, id_col: str, seed: int,
+                     n_clusters: int = 20) -> DataFrame:
+    """``(query_id, w)``: how often each held-out query is drawn by the workload."""
+    from cachelens.operators.ordering import dense_ids
+    from cachelens.operators.sampling import sample_bursty, sample_zipf_clusters
+
+    n_db = db.count()
+    k = max(2, min(n_clusters, n_db // 5))
+    centers = ann.kmeans_centers(db, k, seed)
+    from cachelens.operators.vectors import assign_nearest
+    cells = assign_nearest(q, centers, id_col, "embedding", k=1).select(F.col(id_col).alias("_orig"), "cell")
+    rows = dense_ids(cells, ["_orig"], out_col="query_id")
+    n = rows.count()
+    if workload == "clustered":
+        draws = sample_zipf_clusters(rows, n, seed, cluster_col="cell")
+    elif workload == "bursty":
+        draws = sample_bursty(rows, n, seed, cluster_col="cell")
+    else:
+        raise ValueError(f"unknown workload {workload!r}; use uniform, clustered or bursty")
+    counts = draws.groupBy("query_id").agg(F.count(F.lit(1)).alias("w"))
+    return rows.join(counts, "query_id").select(F.col("_orig").alias("query_id"), "w")
+
+
+def knn_benchmark_scales(emb: DataFrame, scales=(("half", 0.5), ("full", 1.0)), id_col: str = "vec_id",
+                         full_workloads=("uniform", "clustered"), **kw) -> DataFrame:
+    """F16 at several scales: md5 samples of the table, labelled; the full scale is also run
+    under the clustered workload, smaller scales under the uniform one."""
     n = emb.count()
     out = None
     for label, frac in scales:
         part = emb if frac >= 1.0 else md5_sample(emb, int(n * frac), 42, f"scale:{label}", id_col)
-        r = knn_benchmark(part, label, id_col, **kw)
+        wl = full_workloads if frac >= 1.0 else ("uniform",)
+        r = knn_benchmark(part, label, id_col, workloads=kw.pop("workloads", wl), **kw)
         out = r if out is None else out.unionByName(r)
     return out
 
