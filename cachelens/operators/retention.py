@@ -164,12 +164,16 @@ def adaptive_alpha(stream: DataFrame, seq_col: str = "seq", vec_col: str = "embe
     steps = mom.join(mean_sq, "step").filter(n >= min_window) \
         .withColumn("diversity", F.round(div, 4)) \
         .withColumn("new_alpha", F.lit(alpha_min) + F.lit(alpha_max - alpha_min) * F.col("diversity"))
-    # every step's window holds >= interval rows, so with min_window <= interval all steps
-    # adapt and the previous alpha is the one of step - 1 (an equi join, no global window)
+    # window sizes never shrink (min(window, step * interval)), so the adapting steps are all
+    # steps from the first one whose window reaches min_window: the adaptation number and the
+    # previous alpha follow from the step number (an equi join on step - 1, no global window)
+    first = max(1, -(-min_window // interval)) if min_window <= window else None
+    if first is None:
+        steps = steps.filter(F.lit(False))
+        first = 1
     prev = steps.select((F.col("step") + 1).alias("step"), F.col("new_alpha").alias("_prev"))
-    numbered = dense_ids(steps.join(prev, "step", "left"), ["step"], out_col="adaptation_step", start=1)
-    return numbered.select(
-        F.col("adaptation_step").cast("int").alias("adaptation_step"), F.col("step").alias("at_step"),
+    return steps.join(prev, "step", "left").select(
+        (F.col("step") - first + 1).cast("int").alias("adaptation_step"), F.col("step").alias("at_step"),
         n.cast("long").alias("n_queries_seen"), "diversity",
         F.round(F.coalesce(F.col("_prev"), F.lit(base_alpha)), 4).alias("old_alpha"),
         F.round("new_alpha", 4).alias("new_alpha"))
