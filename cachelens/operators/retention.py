@@ -238,11 +238,13 @@ def cache_upkeep(cache: DataFrame, inserts: DataFrame, max_size: int, victim_ord
     start = cache.agg(F.coalesce(F.max(id_col) + 1, F.lit(0))).scalar()
     new = dense_ids(inserts, [order_col], out_col="_n").withColumn(id_col, F.col("_n") + start).drop("_n")
     allrows = cache.select(id_col, "is_active").unionByName(new.select(id_col, F.lit(True).alias("is_active")))
+    from cachelens.operators.sampling import first_n_flag
+
     active = allrows.filter("is_active")
-    n_active = active.select(F.count(F.lit(1))).scalar()
-    order = victim_order or [F.col(id_col)]
-    ranked = dense_ids(active.select(id_col), order, out_col="_vr")
-    victims = ranked.filter(F.col("_vr") < n_active - F.lit(max_size)).select(id_col, F.lit(True).alias("_dead"))
+    n_victims = max(0, active.count() - max_size)
+    order = (victim_order or [F.col(id_col)]) + [F.col(id_col)]
+    # the victims are the first n_victims active entries in victim order: a cut-off key
+    victims = active.filter(first_n_flag(active, order, n_victims)).select(id_col, F.lit(True).alias("_dead"))
     state = allrows.join(victims, id_col, "left") \
         .withColumn("is_active", F.col("is_active") & F.col("_dead").isNull()).drop("_dead")
     total = state.select(F.count(F.lit(1))).scalar()
