@@ -157,6 +157,7 @@ def _vec_cache_fn(capacity: int, policy: str, threshold: float, redundancy_thres
         recent, since, alpha = st.get("w", []), st.get("q", 0), st.get("a", 1.0)
         rows = pd.concat(list(pdfs)).sort_values("seq")
         out = {"hit": [], "d": [], "n": []}
+        V = None
         for seq, vid, emb in zip(rows["seq"].tolist(), rows["vec_id"].tolist(), rows["embedding"].tolist()):
             x = np.asarray(emb, dtype=np.float64)
             if policy == "adaptive":
@@ -169,7 +170,8 @@ def _vec_cache_fn(capacity: int, policy: str, threshold: float, redundancy_thres
                         alpha = ALPHA_MIN + (ALPHA_MAX - ALPHA_MIN) * round(pair_diversity(recent), 4)
             d_best = None
             if keys:
-                V = np.asarray(vecs, dtype=np.float64)
+                if V is None or len(V) != len(keys):  # matrix view of the entry vectors, rebuilt on change
+                    V = np.asarray(vecs, dtype=np.float64)
                 d = ((V - x) ** 2).sum(axis=1)
                 j = int(np.lexsort((np.asarray(keys), d))[0])
                 d_best = float(d[j])
@@ -187,6 +189,7 @@ def _vec_cache_fn(capacity: int, policy: str, threshold: float, redundancy_thres
                 counts.append(0)
                 ins.append(seq)
                 vecs.append([float(t) for t in x])
+                V = None  # entries changed
                 out["hit"].append(False)
             out["d"].append(d_best)
             out["n"].append(len(keys))
