@@ -65,7 +65,7 @@ def hit_flags(events: DataFrame, gap: int = 100) -> DataFrame:
     """Access log with ``seq`` and ``hit``: the key was touched at most ``gap`` positions before."""
     from cachelens.operators.retention import access_log
 
-    log = access_log(events)
+    log = access_log(events, keep=[c for c in ("event_type", "value") if c in events.columns])
     prev = previous_value(log, ["key"], ["seq"], "seq", "_prev")
     return prev.withColumn("hit", F.coalesce((F.col("seq") - F.col("_prev")) <= gap, F.lit(False))).drop("_prev")
 

@@ -23,9 +23,13 @@ INF = float("inf")
 
 # ------------------------------------------------------------------------------ access log
 
-def access_log(events: DataFrame, key_col: str = "user_id", ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """``(key, seq, ...)``: ``seq`` = position in (ts, event id) order, 0-based."""
-    return dense_ids(events.withColumnRenamed(key_col, "key"), [ts_col, id_col], out_col="seq")
+def access_log(events: DataFrame, key_col: str = "user_id", ts_col: str = "ts", id_col: str = "event_id",
+               keep=()) -> DataFrame:
+    """``(key, ts, event id, *keep, seq)``: ``seq`` = position in (ts, event id) order, 0-based.
+    Only the named columns enter the range shuffle (the numbering persists its input, and
+    column pruning does not cross a persisted boundary)."""
+    cols = [F.col(key_col).alias("key"), F.col(ts_col), F.col(id_col), *[F.col(c) for c in keep]]
+    return dense_ids(events.select(*cols), [ts_col, id_col], out_col="seq")
 
 
 def key_stats(log: DataFrame) -> DataFrame:
