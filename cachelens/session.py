@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,33 +38,51 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "c
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts.
+    """The shared folder for tables that cut lineage, as the session names it.
 
-    Read from the session (``spark.checkpoint.dir`` or an already set checkpoint dir);
-    only when neither is set (local tests) a scratch folder is created.
+    Read from the checkpoint folder already set or ``spark.checkpoint.dir``. Where neither is
+    set, a local session (tests, bench) gets a scratch folder of its own; a cluster has no
+    folder that this code could choose, so there it is an error.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="cachelens-ckpt-")
-    sc.setCheckpointDir(configured)
+    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        current = tempfile.mkdtemp(prefix="cachelens-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return sc.getCheckpointDir()
 
 
+_scratch: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; ``drop_scratch`` removes what was written there."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession, *paths: str) -> None:
+    """Remove the given scratch tables, or all of this process. Results not yet collected that
+    read them are lost."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths or tuple(_scratch):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+        _scratch.remove(path)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut lineage of a result that is reused by several later steps (a built index, a
     ground-truth kNN table): it is written once as parquet into the shared checkpoint
     folder and read back, so a lost executor never forces recomputation of the expensive
     part, and later scans get column pruning and statistics."""
-    import uuid
-
-    spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:
