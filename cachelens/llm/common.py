@@ -8,10 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from cachelens.session import load_table, materialize
-
-__all__ = ["Memo", "content_key", "documents", "load_table", "map_batches", "materialize", "text_bytes"]
+from cachelens.session import load_table, materialize  # noqa: F401  (for the operators)
 
 #: White space of all contracts: the ASCII characters that ``bytes.split`` and ``bytes.strip`` take.
 ASCII_SPACE = " \t\n\r\x0b\x0c"
@@ -21,7 +20,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_table(spark, sf_dir, "documents")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function of one record batch; empty batches give nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
