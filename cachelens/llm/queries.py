@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import documents
+from cachelens.llm.common import documents, load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,72 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cachelens.llm.op2_byte_bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    done = decode(encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cachelens.llm.op4_lines import dedup_lines
+
+    done = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cachelens.llm.op5_packing import pack
+
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cachelens.llm.op6_ann import nearest
+
+    vectors = load_table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cachelens.llm.op7_quality import measure
+
+    return measure(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cachelens.llm.op8_substrings import remove_repeated
+
+    done = remove_repeated(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cachelens.llm.op9_token_counts import count_tokens
+
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cachelens.llm.op10_html import extract
+
+    return extract(load_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
