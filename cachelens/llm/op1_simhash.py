@@ -239,3 +239,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, with all columns.
+
+    Rows that repeat an id stay or go together. Rows without an id stay only where nothing of
+    their component has one; as they cannot be told apart, all of them do.
+    """
+    found = near_duplicates(docs, shingle, max_distance, id_col, text_col)
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("__first")).distinct()
+    return docs.join(first, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__first")), "left_semi")

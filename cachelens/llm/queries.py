@@ -93,3 +93,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cachelens.llm.op10_html import extract
 
     return extract(load_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cachelens.llm.op3_licenses import scan
+
+    return scan(documents(spark, sf_dir))
+
+
+def _op3_oracle() -> str:
+    from cachelens.llm.op3_licenses import oracle
+
+    return oracle()
+
+
+ORACLES["op3_license_scan"] = _op3_oracle()
