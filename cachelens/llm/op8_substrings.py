@@ -6,17 +6,17 @@ anchor can be worked on by themselves, in the shard of the anchor.
 
 1. Every document gives its stretches as (anchor, how often the anchor's gram is found in it);
    anchors found once in all cannot hold a repeated window and are left out.
-2. The stretches of the other anchors are the reference text: each distinct stretch (a digest
-   of its words) is kept once with the number of its occurrences, aggregated before and after
-   the shuffle. Long runs under one anchor stay whole.
-3. A shard is a bounded number of distinct stretches, dealt by anchor. Its task builds the
-   suffix automaton of its stretches, with the number of places of every state, and streams each
-   stretch through it: the matching statistics at a word give the state of the window that
-   ends there, and the window is repeated if its state has at least two places.
+2. The other anchors' stretches are listed by a digest of their words and counted. Where an anchor has
+   one distinct stretch, found several times, all its windows are repeated and no text is needed.
+3. The stretches of the remaining anchors are the reference text, each distinct one once. A shard is a
+   bounded number of them, dealt by anchor. Its task builds the suffix automaton of its
+   stretches, with the number of places of every state, and streams each stretch through it: the
+   matching statistics at a word give the state of the window that ends there, and the window
+   is repeated if its state has at least two places.
 4. The answers (a bit per window) go back to the documents, keyed by the digest of the text, and
    all words covered by repeated windows are removed.
 
-The anchors of step 2 are broadcast while they stay under ``max_broadcast`` bytes (they are
+The anchors of steps 2 and 3 are broadcast while they stay under ``max_broadcast`` bytes (they are
 counted first); beyond that the stretches are joined with them. Both give the same rows.
 
 Defined cases: a null text has no words; texts under ``size`` words keep all; rows that repeat
@@ -31,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -106,90 +105,78 @@ def repeated_anchors(docs: DataFrame, size: int, text_col: str = "text") -> Data
     return found.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
 
 
-STRETCH = "k1 long, k2 long, start int, windows int, anchor long, d1 long, d2 long, words binary"
+STRETCH = "k1 long, k2 long, start int, windows int, anchor long, d1 long, d2 long"
+TEXT = "anchor long, d1 long, d2 long, words binary"
 
 
-def _cut(raw: bytes, size: int, wanted: np.ndarray | None, runs: list | None) -> list[tuple]:
-    """Stretches of a document as (first window, windows, anchor, digest, packed words)."""
+def _cut(raw: bytes, size: int, wanted: np.ndarray) -> Iterator[tuple]:
+    """Stretches of a text under the sorted anchors ``wanted``: (first window, windows, anchor,
+    digest, packed words)."""
     words = raw.split()
     if len(words) < size:
-        return []
+        return
     hashes = word_hashes(words)
-    if runs is None:
-        anchor, start, n, _ = stretches(hashes, size)
-        at = np.searchsorted(wanted, anchor)
-        known = at < len(wanted)
-        known[known] = wanted[at[known]] == anchor[known]
-        runs = zip(start[known].tolist(), n[known].tolist(), anchor[known].tolist(), strict=True)
-    out = []
-    for start, n, anchor in runs:
-        own = hashes[start : start + n + size - 1].tobytes()
-        out.append((start, n, anchor, xxhash.xxh3_128_digest(own), own))
-    return out
-
-
-def _stretch_batch(keys: list[tuple[int, int]], found: list[list[tuple]], seen: set) -> pa.RecordBatch | None:
-    """``STRETCH`` rows; the words only where the task meets a stretch for the first time."""
-    rows = [(k, s) for k, own in zip(keys, found, strict=True) for s in own]
-    if not rows:
-        return None
-    if len(seen) > 1_000_000:
-        seen.clear()
-    words = [None if s[3] in seen else seen.add(s[3]) or s[4] for _, s in rows]
-    digest = np.frombuffer(b"".join(s[3] for _, s in rows), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k, _ in rows], pa.int64()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([s[0] for _, s in rows], pa.int32()),
-         pa.array([s[1] for _, s in rows], pa.int32()), longs(np.array([s[2] for _, s in rows], np.uint64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-         pa.array(words, pa.binary())],
-        [f.split()[0] for f in STRETCH.split(", ")])
+    anchor, start, n, _ = stretches(hashes, size)
+    at = np.searchsorted(wanted, anchor)
+    known = at < len(wanted)
+    known[known] = wanted[at[known]] == anchor[known]
+    for first, count, name in zip(start[known].tolist(), n[known].tolist(), anchor[known].tolist(), strict=True):
+        own = hashes[first : first + count + size - 1].tobytes()
+        yield first, count, name, xxhash.xxh3_128_digest(own), own
 
 
-def _cut_all(ready: DataFrame, size: int, anchors: Broadcast | None) -> DataFrame:
-    """``STRETCH`` rows of ``k1, k2, text`` by broadcast anchors, or of ``k1, k2, text, runs``."""
+def _stretch_rows(k1: list[int], k2: list[int], found: list[list[tuple]]) -> pa.RecordBatch:
+    rows = [(a, b, *s) for a, b, own in zip(k1, k2, found, strict=True) for s in own]
+    digest = np.frombuffer(b"".join(r[5] for r in rows), np.int64).reshape(-1, 2)
+    columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()),
+               pa.array([r[3] for r in rows], pa.int32()), longs(np.array([r[4] for r in rows], np.uint64)), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in STRETCH.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        wanted = anchors and anchors.value
-        for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            if anchors:
-                found = [_cut(raw, size, wanted, None) for raw in text_bytes(batch.column(2))]
-            else:
-                found = [_cut(raw, size, None, [(r["start"], r["n"], r["anchor"] % 2**64) for r in own])
-                         for raw, own in zip(text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
-            out = _stretch_batch(keys, found, seen)
-            if out is not None:
-                yield out
 
-    return ready.mapInArrow(run, STRETCH)
+def _text_rows(found: list[list[tuple]], seen: set) -> pa.RecordBatch:
+    """Each distinct stretch when a task meets it first."""
+    if len(seen) > 1_000_000:
+        seen.clear()
+    rows = [s for own in found for s in own if not (s[3] in seen or seen.add(s[3]))]
+    digest = np.frombuffer(b"".join(r[3] for r in rows), np.int64).reshape(-1, 2)
+    columns = [longs(np.array([r[2] for r in rows], np.uint64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([r[4] for r in rows], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in TEXT.split(", ")])
 
 
-def reference(docs: DataFrame, anchors: DataFrame, size: int, text_col: str, max_broadcast: int) -> DataFrame:
-    """``STRETCH`` rows of every document, for the given anchors."""
+def cut_stretches(docs: DataFrame, anchors: DataFrame, size: int, text_col: str, max_broadcast: int, texts: bool = False) -> DataFrame:
+    """``STRETCH`` rows of every document for the given anchors, or their distinct ``TEXT`` rows."""
     spark = docs.sparkSession
     ready = _documents(docs, text_col)
+    schema = TEXT if texts else STRETCH
+    shared = None
     if anchors.count() * 8 <= max_broadcast:
-        values = np.sort(anchors.toPandas()["anchor"].to_numpy(np.int64).view(np.uint64))
-        return _cut_all(ready, size, spark.sparkContext.broadcast(values))
+        shared = spark.sparkContext.broadcast(np.sort(anchors.select("anchor").toArrow().column(0).to_numpy().view(np.uint64)))
+    else:  # a text's own anchors come with it
+        def list_anchors(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            rows, parts = [], []
+            for row, raw in enumerate(text_bytes(batch.column(2))):
+                words = raw.split()
+                if len(words) >= size:
+                    parts.append(np.unique(stretches(word_hashes(words), size)[0]))
+                    rows += [row] * len(parts[-1])
+            at = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), longs(np.concatenate(parts))], ["k1", "k2", "anchor"]) if parts else None
+
+        own = map_batches(ready, list_anchors, "k1 long, k2 long, anchor long").distinct().join(anchors, "anchor")
+        ready = ready.join(own.groupBy("k1", "k2").agg(F.collect_list("anchor").alias("anchors")), ["k1", "k2"]).select("k1", "k2", "text", "anchors")
 
-    def list_runs(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows, parts = [], []
-        for row, raw in enumerate(text_bytes(batch.column(2))):
-            words = raw.split()
-            if len(words) >= size:
-                parts.append(stretches(word_hashes(words), size)[:3])
-                rows += [row] * len(parts[-1][0])
-        if not rows:
-            return None
-        anchor, start, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        at = pa.array(rows)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), longs(anchor), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                                          ["k1", "k2", "anchor", "start", "n"])
-
-    runs = map_batches(ready, list_runs, "k1 long, k2 long, anchor long, start int, n int").distinct().join(anchors, "anchor")
-    lists = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("runs"))  # of one text
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            if shared:
+                wanted = [shared.value] * batch.num_rows
+            else:
+                wanted = [np.sort(np.array(x, np.int64).view(np.uint64)) for x in batch.column(3).to_pylist()]
+            found = [list(_cut(raw, size, w)) for raw, w in zip(text_bytes(batch.column(2)), wanted, strict=True)]
+            if any(found):
+                yield _text_rows(found, seen) if texts else _stretch_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found)
 
-    return _cut_all(ready.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs"), size, None)
+    return ready.mapInArrow(run, schema)
 
 
 class SuffixAutomaton:
@@ -257,26 +244,31 @@ class SuffixAutomaton:
         return out
 
 
-def answers(found: DataFrame, size: int) -> DataFrame:
-    """``d1, d2, repeated``: for every distinct stretch, a bit for each of its windows."""
-    counts = found.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), F.max("windows").alias("windows"))
-    shards = max(1, -(-(counts.agg(F.sum(F.col("windows") + size)).first()[0] or 0) // SHARD_WORDS))
-    once_each = found.filter("words is not null").select("anchor", "d1", "d2", "words")  # once for a map task
-    dealt = counts.join(once_each, ["anchor", "d1", "d2"]).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
+def answers(docs: DataFrame, found: DataFrame, size: int, text_col: str, max_broadcast: int) -> DataFrame:
+    """``d1, d2, repeated``: a bit for each window of the distinct stretches that need a look at
+    their words. All windows of the other stretches in ``found`` are repeated."""
+    counts = materialize(found.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), F.max("windows").alias("windows")), "stretch-counts")
+    unclear = counts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).filter("kinds > 1 or most = 1").select("anchor")
+    anchors = materialize(unclear, "unclear-anchors")
+    asked = counts.join(anchors, "anchor", "left_semi")
+    words = asked.agg(F.sum(F.col("windows") + (size - 1))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-words // SHARD_WORDS)))).cast("int")
+    texts = cut_stretches(docs, anchors, size, text_col, max_broadcast, texts=True)
 
-    def search(_: tuple, table: pa.Table) -> pa.Table:
+    def search(_: tuple, text: pa.Table, count: pa.Table) -> pa.Table:
+        times = dict(zip(zip(*(count.column(c).to_pylist() for c in ("d1", "d2")), strict=True), count.column("n").to_pylist(), strict=True))
         automaton = SuffixAutomaton()
         numbers: dict[int, int] = {}
         kept: dict[tuple[int, int], list[int]] = {}
-        for d1, d2, n, words in zip(*(table.column(c).to_pylist() for c in ("d1", "d2", "n", "words")), strict=True):
+        for d1, d2, packed in zip(*(text.column(c).to_pylist() for c in ("d1", "d2", "words")), strict=True):
             if (d1, d2) not in kept:
-                kept[d1, d2] = text = [numbers.setdefault(w, len(numbers)) for w in np.frombuffer(words, np.uint64).tolist()]
-                automaton.add(text, n)
+                kept[d1, d2] = own = [numbers.setdefault(w, len(numbers)) for w in np.frombuffer(packed, np.uint64).tolist()]
+                automaton.add(own, times[d1, d2])
         automaton.finish()
-        bits = [np.packbits(automaton.repeated(text, size), bitorder="little").tobytes() for text in kept.values()]
+        bits = [np.packbits(automaton.repeated(own, size), bitorder="little").tobytes() for own in kept.values()]
         return pa.table({"d1": pa.array([k[0] for k in kept], pa.int64()), "d2": pa.array([k[1] for k in kept], pa.int64()), "repeated": pa.array(bits, pa.binary())})
 
-    return dealt.groupBy("shard").applyInArrow(search, "d1 long, d2 long, repeated binary")
+    return texts.groupBy(shard.alias("shard")).cogroup(asked.groupBy(shard.alias("shard"))).applyInArrow(search, "d1 long, d2 long, repeated binary")
 
 
 def _keep(raw: bytes, runs: list | None, size: int) -> tuple[bytes, int, int]:
@@ -284,8 +276,10 @@ def _keep(raw: bytes, runs: list | None, size: int) -> tuple[bytes, int, int]:
     words = raw.split()
     change = np.zeros(len(words) + 1, np.int64)
     for run in runs or ():
-        bits = np.unpackbits(np.frombuffer(run["repeated"], np.uint8), bitorder="little")
-        at = run["start"] + np.flatnonzero(bits)
+        if run["repeated"] is None:
+            at = np.arange(run["start"], run["start"] + run["windows"])
+        else:
+            at = run["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(run["repeated"], np.uint8), bitorder="little"))
         np.add.at(change, at, 1)
         np.add.at(change, at + size, -1)
     gone = np.cumsum(change[:-1]) > 0
@@ -300,12 +294,11 @@ def remove_repeated(docs: DataFrame, size: int = 35, text_col: str = "text", max
     """``docs`` with the kept words of each text, joined by one space, and ``n_words, n_removed``
     at the end. ``only_changed`` leaves texts without a removed word as they are."""
     anchors = materialize(repeated_anchors(docs, size, text_col), "anchors")
-    found = materialize(reference(docs, anchors, size, text_col, max_broadcast), "stretches")
-    answered = materialize(answers(found, size), "answers")
-    places = found.select("k1", "k2", "start", "d1", "d2").distinct()  # copies of a text have the same stretches
+    found = materialize(cut_stretches(docs, anchors, size, text_col, max_broadcast), "stretches")
+    answered = materialize(answers(docs, found, size, text_col, max_broadcast), "answers")
     lists = (
-        places.join(answered, ["d1", "d2"]).groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("start", "repeated")).alias("__runs"))  # of one text
+        found.select("k1", "k2", "start", "windows", "d1", "d2").join(answered, ["d1", "d2"], "left").groupBy("k1", "k2")
+        .agg(F.collect_set(F.struct("start", "windows", "repeated")).alias("__runs"))  # of one text; copies agree
     )
     at = docs.columns.index(text_col)
     fields = [F.col(f"`{c}`") for c in docs.columns]
