@@ -45,19 +45,25 @@ def content_key(text: Column) -> list[Column]:
 
 
 class Memo(dict):
-    """Results of a pure function by argument, dropped when ``limit`` entries are held.
+    """Results of a pure function by argument, ``limit`` of them at most.
 
-    ``map(memo.__getitem__, keys)`` runs at dictionary speed where keys repeat.
+    ``map(memo.__getitem__, keys)`` runs at dictionary speed where keys repeat. When half the
+    limit is held, these entries become the older half and the oldest go; an older entry that
+    is asked for again moves to the younger half, so frequent ones stay.
     """
 
-    def __init__(self, fn: Callable, limit: int = 400_000):
+    def __init__(self, fn: Callable, limit: int = 800_000):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.half, self.older = fn, limit // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.older.get(key)
+        if value is None:
+            value = self.fn(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.fn(key)
+        self[key] = value
         return value
 
 
