@@ -24,9 +24,15 @@ def is_blank(c) -> Column:
 
 
 def token_count(c) -> Column:
-    """Whitespace word count (``len(text.split())``): the number of maximal non-space runs,
-    counted by one regex scan without building the token array; blank text -> 0."""
-    return F.coalesce(F.regexp_count(_c(c), F.lit(r"(?U)\S+")), F.lit(0)).cast("int")
+    """Whitespace word count (``len(text.split())``): every non-space run becomes one
+    character, the spaces go, and the length is left; no token array; null or blank -> 0."""
+    marks = F.regexp_replace(F.regexp_replace(_c(c), r"(?U)\S+", "x"), r"(?U)\s+", "")
+    return F.coalesce(F.length(marks), F.lit(0)).cast("int")
+
+
+def text_digest(c) -> Column:
+    """SHA-256 of a text as 32 bytes (null stays null): a fixed-width key for equal texts."""
+    return F.unhex(F.sha2(_c(c), 256))
 
 
 # Model-family rules, tested in this order on the lower-cased name.

@@ -4,17 +4,16 @@
 task holding every row, and ``partition by g`` puts a hot group in one task. Here rows are
 range-partitioned on ``(g, k)`` and sorted inside each partition, so a hot group is spread
 over many partitions; the per-(partition, group) row counts (a table with one row per
-partition and group boundary) become offsets by prefix sums and are joined back.
+partition and group boundary) become offsets by prefix sums and are joined back. Only narrow keys should be
+passed: the numbered rows are written once to the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bound on the offset table that is broadcast back when there is no group column.
-MAX_RANGE_PARTITIONS = 100_000
+from cachelens.session import materialize
 
 
 def _cols(cols) -> list[Column]:
@@ -24,14 +23,23 @@ def _cols(cols) -> list[Column]:
 def _tagged(df: DataFrame, keys: list[Column], num_partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_parts = max(1, min(n_parts, MAX_RANGE_PARTITIONS))
     tagged = (df.repartitionByRange(n_parts, *keys)
               .sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    # The consumers below (counts and rows) must see the same physical partitions;
-    # persisting pins them (a lost block is recomputed from the same partition lineage).
-    return tagged.persist(StorageLevel.MEMORY_AND_DISK)
+    # The consumers below (counts and rows) must see the same partitions: the numbered rows are
+    # written to the shared folder. Callers pass keys only and join wide columns back by id.
+    return materialize(tagged, "ranked")
+
+
+def _with_offsets(tagged: DataFrame, side: DataFrame, gnames: list[str]) -> DataFrame:
+    """``side`` (one row per partition and group, null groups too) joined to its rows."""
+    side = side.select(F.col("_pid").alias("_side_pid"), *[F.col(g).alias(f"_side{g}") for g in gnames],
+                       *[c for c in side.columns if c != "_pid" and c not in gnames])
+    same = F.col("_pid") == F.col("_side_pid")
+    for g in gnames:
+        same = same & F.col(g).eqNullSafe(F.col(f"_side{g}"))
+    return tagged.join(side, same).drop("_side_pid", *[f"_side{g}" for g in gnames])
 
 
 def dense_ids(df: DataFrame, order, out_col: str = "query_id", num_partitions: int | None = None,
@@ -50,12 +58,12 @@ def dense_ids(df: DataFrame, order, out_col: str = "query_id", num_partitions: i
             "_pid", *gnames,
             F.coalesce(F.sum("_n").over(before_in_part), F.lit(0)).alias("_within"),
             F.coalesce(F.sum("_n").over(before_in_group), F.lit(0)).alias("_off"))
-        joined = tagged.join(offsets, ["_pid", *gnames])
+        joined = _with_offsets(tagged, offsets, gnames)
         value = F.col("_off") + F.col("_pos") - F.col("_within")
     else:
         w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-        joined = tagged.join(F.broadcast(offsets), "_pid")
+        joined = _with_offsets(tagged, offsets, [])
         value = F.col("_off") + F.col("_pos")
     return (joined.withColumn(out_col, (value + F.lit(start)).cast("long"))
             .drop("_pid", "_pos", "_off", "_within", *gnames))
@@ -77,15 +85,13 @@ def running_sum(df: DataFrame, order, value_col: str, out_col: str, inclusive: b
     offsets = totals.select("_pid", *gnames, fn("_t").over(w).alias("_off"))
     end = 0 if inclusive else -1
     inner = Window.partitionBy("_pid", *gnames).orderBy("_pos").rowsBetween(Window.unboundedPreceding, end)
-    off_side = F.broadcast(offsets) if not groups else offsets
     if agg == "sum":
         combined = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_in"), F.lit(0))
     else:  # nulls mean "nothing before"
         pick = F.greatest if agg == "max" else F.least
         combined = F.when(F.col("_off").isNull(), F.col("_in")).when(F.col("_in").isNull(), F.col("_off")) \
             .otherwise(pick(F.col("_off"), F.col("_in")))
-    return (tagged.withColumn("_in", fn(value_col).over(inner))
-            .join(off_side, ["_pid", *gnames])
+    return (_with_offsets(tagged.withColumn("_in", fn(value_col).over(inner)), offsets, gnames)
             .withColumn(out_col, combined)
             .drop("_pid", "_pos", "_off", "_in", *gnames))
 
@@ -103,9 +109,8 @@ def previous_value(df: DataFrame, partition_by, order, value_col: str, out_col:
     lasts = tagged.groupBy("_pid", *gnames).agg(F.max_by(value_col, "_pos").alias("_last"))
     carry = Window.partitionBy(*gnames).orderBy("_pid")
     carried = lasts.select("_pid", *gnames, F.lag("_last").over(carry).alias("_carry"))
-    return (tagged.withColumn("_lag", F.lag(value_col).over(local))
-            .withColumn("_first", F.row_number().over(local) == 1)
-            .join(carried, ["_pid", *gnames])
+    numbered = tagged.withColumn("_lag", F.lag(value_col).over(local)).withColumn("_first", F.row_number().over(local) == 1)
+    return (_with_offsets(numbered, carried, gnames)
             .withColumn(out_col, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
             .drop("_pid", "_pos", "_lag", "_first", "_carry", *gnames))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cachelens.functions.vector import norm
-from cachelens.functions.text import is_blank
+from cachelens.functions.text import text_digest
 from cachelens.operators.text import length_filter, with_token_count
 
 
@@ -79,7 +79,7 @@ def length_histogram(df: DataFrame, text_col: str = "text", bins: int = 80, min_
     """Token-count histograms before and after the length filter from ONE pass over the texts:
     rows are aggregated to (token count, kept?) counts, both histograms read that small table."""
     tc = F.col("token_count")
-    keep = ~is_blank(F.col(text_col)) & (tc >= min_tokens) & (tc <= max_tokens)
+    keep = tc.between(max(1, min_tokens), max_tokens)  # blank texts have no tokens
     counts = with_token_count(df.select(text_col), text_col) \
         .groupBy(tc.alias("_v"), keep.alias("_keep")).agg(F.count(F.lit(1)).alias("_n"))
     a = equal_width_histogram(counts, F.col("_v"), bins, discrete=True, weight=F.col("_n")) \
@@ -196,7 +196,7 @@ def preprocess_funnel(df: DataFrame, text_col: str = "text", min_tokens: int = 3
     one = with_token_count(df, text_col).agg(
         F.count(F.lit(1)).alias("raw"),
         F.count_if(inside).alias("filtered"),
-        F.count_distinct(F.when(inside, F.col(text_col))).alias("dedup"))
+        F.count_distinct(F.when(inside, text_digest(F.col(text_col)))).alias("dedup"))
     stages = F.array(
         F.struct(F.lit(0).alias("step"), F.lit("raw").alias("stage"), F.col("raw").alias("n"),
                  F.lit(None).cast("long").alias("drop")),
@@ -228,28 +228,28 @@ def norm_histogram(emb: DataFrame, vec_col: str = "embedding", bins: int = 50) -
 
 
 def dimension_stats(emb: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """Mean and population std per dimension (posexplode + partial aggregation by dim)."""
-    ex = emb.select(F.posexplode(vec_col).alias("dim", "x"))
-    return ex.groupBy("dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"),
-                                 F.round(F.stddev_pop(F.col("x").cast("double")), 6).alias("std"))
+    """Mean and population std per dimension (partial sums per Arrow batch)."""
+    from cachelens.operators.vectors import dimension_sums, partial_moments
+
+    mean = F.col("s") / F.col("n")
+    var = F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean)
+    return dimension_sums(partial_moments(emb, vec_col)).select(
+        "dim", F.round(mean, 6).alias("mean"), F.round(F.sqrt(var), 6).alias("std"))
 
 
 # ------------------------------------------------------------------------------ H10
 
 def pivot_mean_length(df: DataFrame, row_col: str = "source", col_col: str = "lang",
                       text_col: str = "text", top_rows: int = 10, top_cols: int = 8) -> DataFrame:
-    """Mean token count for the top rows x top columns (by count); absent cells null.
+    """Mean token count for the top rows x top columns (by count), one row per cell that has
+    rows: ``(row, col, mean_tokens)``. The top-n lists are the feature; they are joined, not collected."""
+    tc = with_token_count(df.select(row_col, col_col, text_col), text_col).select(row_col, col_col, "token_count")
+
+    def top(c: str, n: int) -> DataFrame:
+        return df.groupBy(c).count().orderBy(F.col("count").desc(), F.col(c)).limit(n).select(c)
 
-    The top values are found by aggregation; the pivot values are passed explicitly
-    (from a bounded top-n) so Spark plans a single aggregation."""
-    tc = with_token_count(df, text_col)
-    top_r = tc.groupBy(row_col).count().orderBy(F.col("count").desc(), F.col(row_col)).limit(top_rows)
-    top_c = [r[0] for r in tc.groupBy(col_col).count().orderBy(F.col("count").desc(), F.col(col_col))
-             .limit(top_cols).collect()]
-    kept = tc.join(F.broadcast(top_r.select(row_col)), row_col, "left_semi") \
-        .filter(F.col(col_col).isin(top_c))
-    out = kept.groupBy(row_col).pivot(col_col, sorted(top_c)).agg(F.round(F.avg("token_count"), 4))
-    return out
+    return (tc.join(top(row_col, top_rows), row_col, "left_semi").join(top(col_col, top_cols), col_col, "left_semi")
+            .groupBy(row_col, col_col).agg(F.round(F.avg("token_count"), 4).alias("mean_tokens")))
 
 
 # ------------------------------------------------------------------------------ H11
@@ -259,12 +259,14 @@ def dataset_summary(docs: DataFrame, emb: DataFrame, text_col: str = "text", src
                     max_tokens: int = 512) -> DataFrame:
     tc = F.col("token_count")
     inside = (tc >= min_tokens) & (tc <= max_tokens)
-    d = with_token_count(docs, text_col).agg(
+    # one distinct count per aggregate (several in one would copy every row, text and all); the
+    # distinct texts are counted by digest
+    d = with_token_count(docs.select(text_col), text_col).select("token_count", text_digest(F.col(text_col)).alias("_digest")).agg(
         F.count(F.lit(1)).alias("raw_rows"),
-        F.count_distinct(F.when(inside, F.col(text_col))).alias("processed_rows"),
-        F.count_distinct(src_col).alias("n_models"),
-        F.count_distinct(lang_col).alias("n_languages"),
+        F.count_distinct(F.when(inside, F.col("_digest"))).alias("processed_rows"),
         F.round(F.avg(F.when(inside, tc)), 4).alias("mean_tokens"))
+    d = d.select("raw_rows", "processed_rows", docs.agg(F.count_distinct(src_col)).scalar().alias("n_models"),
+                 docs.agg(F.count_distinct(lang_col)).scalar().alias("n_languages"), "mean_tokens")
     dim = emb.agg(F.max(F.size(vec_col))).scalar()
     n_vec = emb.agg(F.count(F.lit(1))).scalar()
     return d.select(

@@ -2,9 +2,9 @@
 
 Random choices are md5 draws of ``seed:salt:id`` (see :mod:`cachelens.functions.draws`), so a
 re-executed task draws the same rows. "First n rows in some order" is answered by a cut-off
-key: the n-th smallest key is found once (a bounded top-n for small n, otherwise a
-range-partitioned numbering of the narrow key column only) and the split is a filter
-against that scalar, so the wide rows are never shuffled.
+key: the n-th smallest key is found once by a range-partitioned numbering of the narrow key
+column, and the split is a filter against that scalar, so the wide rows are never shuffled
+and no task receives every partition's first n.
 """
 
 from __future__ import annotations
@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 
 from cachelens.functions.draws import md5_order_key, uniform_draw
 from cachelens.operators.ordering import dense_ids, running_sum
-
-# Above this many rows the cut-off is found by range partitioning instead of a top-n.
-TOPN_CUTOFF_LIMIT = 100_000
+from cachelens.session import materialize
 
 # Default subset sizes of the query tables, by name.
 DEFAULT_SUBSET_SIZES = {"10k": 10_000, "50k": 50_000, "100k": 100_000, "500k": 500_000}
@@ -34,12 +32,8 @@ def first_n_flag(df: DataFrame, order, n: int) -> Column:
     key = _order_struct(order)
     if n <= 0:
         return F.lit(False)
-    keys = df.select(key.alias("_k"))
-    if n <= TOPN_CUTOFF_LIMIT:
-        cut = keys.orderBy("_k").limit(n).agg(F.max("_k")).scalar()
-    else:
-        ranked = dense_ids(keys, ["_k"], out_col="_r")
-        cut = ranked.filter(F.col("_r") == n - 1).agg(F.max("_k")).scalar()
+    ranked = dense_ids(df.select(key.alias("_k")), ["_k"], out_col="_r")
+    cut = ranked.filter(F.col("_r") < n).agg(F.max("_k")).scalar()
     return F.coalesce(key <= cut, F.lit(False))
 
 
@@ -112,26 +106,24 @@ def fixed_subsets(df: DataFrame, id_col: str = "doc_id", sizes: dict | None = No
     """Exact-size samples without replacement for every size <= n (ascending), plus ``full``.
 
     Each subset keeps the original order and is renumbered from 0; a column ``subset``
-    names it. One scan per size; the sample choice is an md5 order per (seed, name)."""
+    names it. The input is run once for its ids; one numbering by (subset, md5 key) draws all
+    samples and one by (subset, id) renumbers them; other columns are joined back by id."""
     sizes = DEFAULT_SUBSET_SIZES if sizes is None else sizes
-    n = df.count()
-    parts = []
-    for name, size in sorted(sizes.items(), key=lambda kv: kv[1]):
-        if size > n:
-            continue
-        flag = first_n_flag(df, random_order(seed, f"subset:{name}", id_col), size)
-        chosen = df.filter(flag)
-        parts.append(_renumber(chosen, id_col, out_id).withColumn("subset", F.lit(name)))
-    parts.append(_renumber(df, id_col, out_id).withColumn("subset", F.lit("full")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _renumber(df: DataFrame, id_col: str, out_id: str) -> DataFrame:
-    keep = df.withColumnRenamed(out_id, f"_old_{out_id}") if out_id in df.columns and out_id != id_col else df
-    return dense_ids(keep, [id_col], out_col=out_id if out_id != id_col else "_new_id")
+    keys = materialize(df.select(id_col), "subset-ids")
+    n = keys.count()
+    wanted = [(name, size) for name, size in sizes.items() if size <= n]
+    chosen = keys.withColumn("subset", F.lit("full"))
+    if wanted:
+        draws = F.array(*[F.struct(F.lit(name).alias("subset"), F.lit(size).cast("long").alias("_size"),
+                                   md5_order_key(seed, f"subset:{name}", id_col).alias("_key"))
+                          for name, size in wanted])
+        drawn = keys.select(id_col, F.explode(draws).alias("_d")).select(id_col, "_d.*")
+        ranked = dense_ids(drawn, ["_key", id_col], out_col="_rank", partition_by=["subset"])
+        chosen = chosen.unionByName(ranked.filter(F.col("_rank") < F.col("_size")).select(id_col, "subset"))
+    new_id = out_id if out_id != id_col else "_new_id"
+    numbered = dense_ids(chosen, [id_col], out_col=new_id, partition_by=["subset"])
+    others = [c for c in df.columns if c not in (id_col, new_id)]
+    return numbered.join(df.select(id_col, *others), id_col) if others else numbered
 
 
 def embedding_subsets(embeddings: DataFrame, subsets: DataFrame, emb_id: str = "vec_id",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.functions.text import is_blank, strip_text, token_count
+from cachelens.functions.text import strip_text, text_digest, token_count
 from cachelens.operators.ordering import dense_ids
+from cachelens.session import materialize
 
 
 # ------------------------------------------------------------------------------ B1
@@ -17,15 +18,16 @@ def first_user_turn_flat(conversations: DataFrame, conv_col: str = "conv_id", tu
 
     A conversation whose first user turn is blank, or without user turn, is dropped
     (later user turns are not tried). ``query_id`` / ``original_index`` keep the
-    conversation position, gaps included. One aggregation with map-side partial
-    aggregation, so a very long conversation does not pile rows in one task."""
-    first_user = F.min(F.when(F.col(role_col) == "user", F.struct(F.col(turn_col).alias("t"),
-                                                                  F.col(text_col).alias("x"))))
-    agg = conversations.groupBy(conv_col).agg(first_user.alias("_fu"),
+    conversation position, gaps included. The first turn's number is aggregated (numbers
+    only, combined map-side) and its text joined back, so a very long conversation does not
+    pile texts in one task; turn numbers are unique in a conversation."""
+    user = F.col(role_col) == "user"
+    agg = conversations.groupBy(conv_col).agg(F.min(F.when(user, F.col(turn_col))).alias(turn_col),
                                               F.count(F.lit(1)).alias("num_turns"))
-    return (agg.filter(F.col("_fu").isNotNull())
+    texts = conversations.filter(user).select(conv_col, turn_col, F.col(text_col).alias("_text"))
+    return (agg.join(texts, [conv_col, turn_col])
             .select(F.col(conv_col).cast("long").alias("query_id"),
-                    strip_text(F.col("_fu.x")).alias("query_text"),
+                    strip_text(F.col("_text")).alias("query_text"),
                     F.col(conv_col).cast("long").alias("original_index"),
                     F.col("num_turns").cast("int").alias("num_turns"),
                     F.col(conv_col).cast("string").alias("conversation_id"))
@@ -57,29 +59,34 @@ def max_rows(df: DataFrame, n: int | None, order_col: str) -> DataFrame:
 # ------------------------------------------------------------------------------ B3, B4
 
 def with_token_count(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return df.withColumn("token_count", token_count(F.col(text_col)))
+    """``token_count`` once per row: the generator keeps the optimiser from repeating the text
+    scans in every filter and projection above."""
+    return df.withColumn("token_count", F.explode(F.array(token_count(F.col(text_col)))))
 
 
 def length_filter(df: DataFrame, text_col: str = "text", min_tokens: int = 3,
                   max_tokens: int = 512) -> DataFrame:
-    """Drop blank/null texts, keep ``min_tokens <= token_count <= max_tokens``."""
-    tc = F.col("token_count")
-    return (with_token_count(df.filter(~is_blank(F.col(text_col))), text_col)
-            .filter((tc >= min_tokens) & (tc <= max_tokens)))
+    """Drop blank/null texts (they have no tokens), keep ``min_tokens <= token_count <= max_tokens``."""
+    return with_token_count(df, text_col).filter(F.col("token_count").between(max(1, min_tokens), max_tokens))
 
 
 # ------------------------------------------------------------------------------ C1
 
-def dedup_exact(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per distinct text: the first row in ``id_col`` order, plus ``frequency``.
+def dedup_keys(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``(<id_col>, _digest, frequency)`` of the first row in ``id_col`` order per distinct text.
+
+    Grouped on a 256-bit digest with fixed-width buffers (a hash aggregation, combined
+    map-side): a text repeated a billion times ships one short row per task and no text is
+    sorted or shuffled. The digest stands for the text: no two texts are known to share one."""
+    return df.groupBy(text_digest(F.col(text_col)).alias("_digest")).agg(
+        F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("frequency"))
 
-    Grouped on the text itself; ``min(struct(id, ...))`` and ``count`` are partially
-    aggregated map-side, so a text repeated a billion times ships one row per task."""
-    others = [c for c in df.columns if c not in (id_col, text_col)]
-    first = F.min(F.struct(F.col(id_col).alias("_id"), *[F.col(c) for c in others]))
-    agg = df.groupBy(text_col).agg(first.alias("_f"), F.count(F.lit(1)).alias("frequency"))
-    return agg.select(F.col("_f._id").alias(id_col), text_col,
-                      *[F.col(f"_f.{c}").alias(c) for c in others], "frequency")
+
+def dedup_exact(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per distinct text: the first row in ``id_col`` order, plus ``frequency``. The other
+    columns are joined back by id (unique per row)."""
+    first = dedup_keys(df, text_col, id_col).select(F.col(id_col).alias("_first"), "frequency")
+    return df.join(first, F.col(id_col).eqNullSafe(F.col("_first"))).drop("_first")
 
 
 # ------------------------------------------------------------------------------ C2, C3
@@ -91,6 +98,12 @@ def renumber(df: DataFrame, order_col: str, out_col: str = "query_id") -> DataFr
 
 def preprocess(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_tokens: int = 3,
                max_tokens: int = 512) -> DataFrame:
-    """B4 -> C1 -> C2."""
-    filtered = length_filter(df, text_col, min_tokens, max_tokens)
-    return renumber(dedup_exact(filtered, text_col, id_col), id_col)
+    """B4 -> C1 -> C2: the surviving rows of ``df`` with ``token_count``, ``frequency`` and
+    ``query_id``. The texts are read once for the keys; these are written, numbered, and only
+    then joined to the other columns."""
+    narrow = length_filter(df.select(id_col, text_col), text_col, min_tokens, max_tokens) \
+        .select(id_col, "token_count", text_digest(F.col(text_col)).alias("_digest"))
+    first = narrow.groupBy("_digest", "token_count").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("frequency"))
+    keys = materialize(first.select(id_col, "token_count", "frequency"), "kept-ids")
+    others = [c for c in df.columns if c != id_col]
+    return renumber(keys, id_col).join(df.select(id_col, *others), id_col)

@@ -44,11 +44,6 @@ def q_fill_split_random(spark, sf):
     return Smp.fill_split(_emb(spark, sf).select("vec_id"), "vec_id", 0.5, "random").select("vec_id", "part")
 
 
-@register("fill_split", _fill_sql(f"{S.md5_key(42, 'fill', 'vec_id')}, vec_id", "embeddings", "vec_id"))
-def q_fill_split(spark, sf):
-    return Smp.fill_split(_emb(spark, sf).select("vec_id"), "vec_id", 0.5, "random").select("vec_id", "part")
-
-
 @register("fill_split_chronological", _fill_sql("vec_id", "embeddings", "vec_id"))
 def q_fill_split_chronological(spark, sf):
     return Smp.fill_split(_emb(spark, sf).select("vec_id"), "vec_id", 0.5, "chronological").select("vec_id", "part")

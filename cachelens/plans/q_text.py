@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cachelens.functions.text import MODEL_FAMILY_RULES, model_family, sql_model_family
+from cachelens.functions.text import model_family, sql_model_family
 from cachelens.operators import profiling as P
 from cachelens.operators import text as X
 from cachelens.plans.catalog import T, register
@@ -177,11 +177,6 @@ def q_value_share_source(spark, sf):
     return P.value_share(_docs(spark, sf), "source")
 
 
-@register("value_share", _share_sql("source"))
-def q_value_share(spark, sf):
-    return P.value_share(_docs(spark, sf), "source")
-
-
 @register("value_share_lang", _share_sql("lang"))
 def q_value_share_lang(spark, sf):
     return P.value_share(_docs(spark, sf), "lang")
@@ -256,9 +251,9 @@ def q_dimension_stats(spark, sf):
 @register("pivot_mean_length", f"""
 WITH d AS (SELECT source, lang, {TC} AS token_count FROM documents),
 tr AS (SELECT source FROM d GROUP BY source ORDER BY count(*) DESC, source LIMIT 10),
-tl AS (SELECT lang FROM d GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 8),
-k AS (SELECT * FROM d WHERE source IN (SELECT source FROM tr) AND lang IN (SELECT lang FROM tl))
-PIVOT k ON lang USING round(avg(token_count), 4) GROUP BY source
+tl AS (SELECT lang FROM d GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 8)
+SELECT source, lang, round(avg(token_count), 4) AS mean_tokens FROM d
+WHERE source IN (SELECT source FROM tr) AND lang IN (SELECT lang FROM tl) GROUP BY source, lang
 """)
 def q_pivot_mean_length(spark, sf):
     return P.pivot_mean_length(_docs(spark, sf))
@@ -277,5 +272,3 @@ FROM a, e
 def q_dataset_summary(spark, sf):
     return P.dataset_summary(_docs(spark, sf), T(spark, sf, "embeddings"))
 
-
-assert MODEL_FAMILY_RULES  # imported for the oracle spelling

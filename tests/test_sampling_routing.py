@@ -120,10 +120,9 @@ def test_dense_ids_start_offset(spark):
     assert out == list(range(5, 15))
 
 
-def test_first_n_flag_large_n_path_matches_topn(spark, monkeypatch):
+def test_first_n_flag_is_the_top_n(spark):
     df = spark.range(300).withColumnRenamed("id", "doc_id")
     order = S.random_order(42, "x", "doc_id")
-    small = {r.doc_id for r in df.filter(S.first_n_flag(df, order, 120)).collect()}
-    monkeypatch.setattr(S, "TOPN_CUTOFF_LIMIT", 10)
-    large = {r.doc_id for r in df.filter(S.first_n_flag(df, order, 120)).collect()}
-    assert small == large and len(small) == 120
+    for n in (1, 120, 300, 500):
+        got = {r.doc_id for r in df.filter(S.first_n_flag(df, order, n)).collect()}
+        assert got == {r.doc_id for r in df.orderBy(*order).limit(n).collect()}
