@@ -62,17 +62,20 @@ def route(nn: DataFrame, threshold: float, dist_col: str = "dist", id_col: str =
 # ------------------------------------------------------------------------------ F9
 
 def router_stats(routed: DataFrame, dist_col: str = "dist") -> DataFrame:
+    from cachelens.operators.quantiles import exact_percentiles
+
     hits = F.count_if(F.col("action") == "cache")
     n = F.count(F.lit(1))
     d = F.col(dist_col)
+    median = exact_percentiles(routed, d, {"median": 0.5}).select("median").scalar()
     return routed.agg(
         n.alias("total_queries"), hits.alias("cache_hits"), (n - hits).alias("llm_calls"),
         F.round(F.when(n > 0, hits / n).otherwise(0.0), 4).alias("hit_rate"),
         F.round(F.avg(d), 4).alias("avg_distance"),
-        F.round(F.percentile(d, 0.5), 4).alias("median_distance"),
         F.round(F.min(d), 4).alias("min_distance"),
         F.round(F.max(d), 4).alias("max_distance"),
-    )
+    ).select("total_queries", "cache_hits", "llm_calls", "hit_rate", "avg_distance",
+             F.round(median, 4).alias("median_distance"), "min_distance", "max_distance")
 
 
 # ------------------------------------------------------------------------------ B9
