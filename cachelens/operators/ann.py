@@ -100,11 +100,6 @@ def kmeans_centers(df: DataFrame, k: int, seed: int = 42, vec_col: str = "embedd
     return np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
 
 
-# Training rows per centre: the centres are fitted on a bounded md5 sample, as inverted-file
-# indexes usually are; assignment of all rows is a map-only pass.
-TRAIN_ROWS_PER_CELL = 256
-
-
 def kmeans_assign(df: DataFrame, centers: np.ndarray, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """Nearest centre per row (also for rows not used in training)."""
     return assign_nearest(df, centers, id_col, vec_col, k=1).select(id_col, "cell", "dist")
@@ -120,16 +115,18 @@ class IVFIndex:
 
     @classmethod
     def build(cls, database: DataFrame, nlist: int, seed: int = 42, id_col: str = "id",
-              vec_col: str = "embedding", max_iter: int = 10) -> "IVFIndex":
-        from cachelens.operators.vectors import md5_sample
+              vec_col: str = "embedding", max_iter: int = 10, centers: np.ndarray | None = None) -> "IVFIndex":
+        """k-means over all rows (``pyspark.ml``, distributed), or the given ``centers`` (``nlist``
+        of them). More cells than rows is an error."""
         from cachelens.session import materialize
 
         n = database.count()
         if nlist > n:
-            nlist = max(1, n // 10)
-        n_train = min(n, TRAIN_ROWS_PER_CELL * nlist)
-        train = database if n_train == n else md5_sample(database, n_train, seed, "ivf_train", id_col)
-        centers = kmeans_centers(train, nlist, seed, vec_col, max_iter)
+            raise ValueError(f"nlist = {nlist} exceeds the {n} rows of the database")
+        if centers is None:
+            centers = kmeans_centers(database, nlist, seed, vec_col, max_iter)
+        elif len(centers) != nlist:
+            raise ValueError(f"{len(centers)} centers given for nlist = {nlist}")
         tagged = assign_nearest(database, centers, id_col, vec_col, k=1, keep_vector=True) \
             .select(id_col, vec_col, "cell")
         # the built index is a table: lineage cut in the shared checkpoint folder
@@ -212,13 +209,14 @@ def list_index_types() -> list[str]:
 
 def knn_index(index_type: str, queries: DataFrame, database: DataFrame, k: int, *, q_id: str = "query_id",
               d_id: str = "id", vec_col: str = "embedding", **params) -> DataFrame:
-    """One entry point: ``flat`` (exact), ``ivf`` (nlist, nprobe, seed) or ``lsh`` (nbits, seed)."""
+    """One entry point: ``flat`` (exact), ``ivf`` (nlist, nprobe, seed, centers) or ``lsh`` (nbits, seed)."""
     kind = index_type.strip().lower()
     if kind == "flat":
         return knn(queries, database, k, metric=params.get("metric", "l2"), q_id=q_id, q_vec=vec_col,
                    d_id=d_id, d_vec=vec_col)
     if kind == "ivf":
-        idx = IVFIndex.build(database, params.get("nlist", 100), params.get("seed", 42), d_id, vec_col)
+        idx = IVFIndex.build(database, params.get("nlist", 100), params.get("seed", 42), d_id, vec_col,
+                             centers=params.get("centers"))
         return idx.search(queries, k, params.get("nprobe", 10), q_id=q_id)
     if kind == "lsh":
         return knn_lsh(queries, database, k, params.get("nbits", 64), params.get("seed", 42),

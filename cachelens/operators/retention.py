@@ -9,14 +9,14 @@ numbering, never a single-partition window.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cachelens.operators.ordering import dense_ids, previous_value
-from cachelens.operators.vector_join import block_join, knn
-from cachelens.operators.vectors import md5_sample
+from cachelens.operators.vector_join import knn, range_count
+from cachelens.operators.vectors import dimension_sums, partial_moments
 
 INF = float("inf")
 
@@ -58,55 +58,12 @@ def rank_lfu(log: DataFrame, n: int | None = 10) -> DataFrame:
 
 # ------------------------------------------------------------------------------ G5
 
-MAX_ANCHORS = 1024
-
-
-class _AnchorCount:
-    """Kernel: for every *database* row, the number of broadcast anchors within threshold."""
-
-    vec_dtype = np.float64
-
-    def __init__(self, threshold: float):
-        self.threshold = threshold
-
-    def schema(self) -> str:
-        return "id long, n_near long"
-
-    def init(self, qids, Q):
-        return {"ids": [], "cnt": []}
-
-    def update(self, st, qids, Q, qn, xids, X):
-        if len(xids) == 0:
-            return
-        if len(qids) == 0:
-            st["ids"].append(xids)
-            st["cnt"].append(np.zeros(len(xids), np.int64))
-            return
-        D = qn[:, None] + np.einsum("ij,ij->i", X, X)[None, :] - 2.0 * (Q @ X.T)
-        near = (D <= self.threshold) & (qids[:, None] != xids[None, :])
-        st["ids"].append(xids)
-        st["cnt"].append(near.sum(axis=0).astype(np.int64))
-
-    def emit(self, st, qids):
-        ids = np.concatenate(st["ids"]) if st["ids"] else np.zeros(0, np.int64)
-        cnt = np.concatenate(st["cnt"]) if st["cnt"] else np.zeros(0, np.int64)
-        return pa.table({"id": pa.array(ids, pa.int64()), "n_near": pa.array(cnt, pa.int64())})
-
-
 def redundancy(entries: DataFrame, threshold: float = 0.30, id_col: str = "id", vec_col: str = "embedding",
-               seed: int = 0, max_anchors: int = MAX_ANCHORS) -> DataFrame:
-    """Share of anchors within squared L2 ``<= threshold`` (self excluded) per entry.
-
-    Anchors are all entries when there are at most ``max_anchors`` (denominator n - 1),
-    else an md5 sample of ``max_anchors`` (denominator ``max_anchors``). The anchors (a
-    bounded set) are broadcast and the entries scanned once."""
-    n = entries.count()
-    s = min(n, max_anchors)
-    anchors = entries if s == n else md5_sample(entries, s, seed, "anchors", id_col)
-    denom = max(s - 1, 1) if s == n else max(s, 1)
-    counts = block_join(anchors, entries, _AnchorCount(threshold), q_id=id_col, q_vec=vec_col,
-                        d_id=id_col, d_vec=vec_col, strategy="broadcast")
-    return counts.select(F.col("id").alias(id_col), (F.col("n_near") / F.lit(float(denom))).alias("redundancy"))
+               **strategy) -> DataFrame:
+    """Share of the other entries within squared L2 ``<= threshold`` per entry, over all entries."""
+    near = range_count(entries, entries, threshold, q_id=id_col, q_vec=vec_col, d_id=id_col, d_vec=vec_col, **strategy)
+    others = entries.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).cast("double")).scalar()
+    return near.select(F.col("query_id").alias(id_col), (F.col("n_within") / others).alias("redundancy"))
 
 
 # ------------------------------------------------------------------------------ G6
@@ -144,23 +101,20 @@ def adaptive_alpha(stream: DataFrame, seq_col: str = "seq", vec_col: str = "embe
                    base_alpha: float = 1.0) -> DataFrame:
     """Every ``interval`` rows, diversity of the last ``window`` rows -> alpha; one row per step.
 
-    Each row joins at most ceil(window / interval) windows (``explode`` of its step range);
-    diversity is the closed-form normalised mean pair distance per window."""
-    from cachelens.functions.vector import norm, norm_sq
-
-    s = F.col(seq_col)
-    lo = F.ceil((s + 1) / F.lit(interval)).cast("int")
-    hi = F.floor((s + window) / F.lit(interval)).cast("int")
+    Sums are taken once per slice of gcd(window, interval) rows, with one short row per Arrow
+    batch and slice leaving a task; a step adds up the slices of its window. Diversity is the
+    closed-form normalised mean pair distance per window."""
+    size = math.gcd(window, interval)
     n_rows = stream.select(F.count(F.lit(1))).scalar()
     max_step = F.floor(n_rows / F.lit(interval)).cast("int")
-    tagged = stream.select(s, vec_col).withColumn("step", F.explode(F.sequence(lo, F.greatest(lo, hi)))) \
-        .filter((F.col("step") >= F.lit(1)) & (F.col("step") <= max_step) &
-                (s < F.col("step") * interval) & (s >= F.col("step") * interval - window))
-    mom = tagged.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.avg(norm_sq(F.col(vec_col))).alias("msq"),
-                                     F.avg(norm(F.col(vec_col))).alias("mnorm"))
-    dims = tagged.select("step", F.posexplode(vec_col).alias("dim", "x")).groupBy("step", "dim") \
-        .agg(F.avg(F.col("x").cast("double")).alias("m"))
-    mean_sq = dims.groupBy("step").agg(F.sum(F.col("m") * F.col("m")).alias("mean_sq"))
+    parts = partial_moments(stream.select(F.floor(F.col(seq_col) / size).cast("long").alias("_slice"), vec_col), vec_col, "_slice")
+    # slice i belongs to the steps t with t * interval - window <= i * size < t * interval
+    lo = F.floor(F.col("key") * size / interval).cast("int") + 1
+    hi = F.floor((F.col("key") * size + window) / interval).cast("int")
+    tagged = parts.withColumn("step", F.explode(F.sequence(lo, F.greatest(lo, hi)))) \
+        .filter((F.col("step") <= hi) & (F.col("step") <= max_step))
+    mom = tagged.groupBy("step").agg(F.sum("n").alias("n"), (F.sum("nsq") / F.sum("n")).alias("msq"), (F.sum("norm") / F.sum("n")).alias("mnorm"))
+    mean_sq = dimension_sums(tagged, ["step"]).groupBy("step").agg(F.sum(F.pow(F.col("s") / F.col("n"), 2)).alias("mean_sq"))
     n = F.col("n")
     avg_pair = F.when(n > 1, F.lit(2.0) * n / (n - 1) * (F.col("msq") - F.col("mean_sq"))).otherwise(F.lit(0.0))
     div = F.when(F.col("mnorm") > 0, F.least(F.lit(1.0), avg_pair / (F.lit(2.0) * F.col("mnorm") * F.col("mnorm")))) \
@@ -221,16 +175,19 @@ def cache_build(rows: DataFrame, order_col: str, max_size: int | None = None, te
                 response_col: str | None = None, metadata_cols=()) -> DataFrame:
     """Entry table ``(cache_id, ..., response, metadata, is_active, inserted_seq)``; with
     ``max_size`` only the last ``max_size`` rows are kept; ids from 0; the response defaults
-    to the text; ``metadata_cols`` are packed into a ``MAP<STRING,STRING>``."""
-    numbered = dense_ids(rows, [order_col], out_col="_pos")
-    n = numbered.select(F.count(F.lit(1))).scalar()
+    to the text; ``metadata_cols`` are packed into a ``MAP<STRING,STRING>``. Only ``order_col``
+    (unique) is numbered; the kept rows join their texts by it."""
+    numbered = dense_ids(rows.select(order_col), [order_col], out_col="cache_id")
+    first = F.lit(0)
     if max_size is not None and max_size > 0:
-        numbered = numbered.filter(F.col("_pos") >= n - F.lit(max_size))
+        n = numbered.select(F.count(F.lit(1))).scalar()
+        first = F.greatest(n - F.lit(max_size), F.lit(0))
+        numbered = numbered.filter(F.col("cache_id") >= first)
+    kept = numbered.select(order_col, (F.col("cache_id") - first).cast("long").alias("cache_id"))
     resp = F.coalesce(F.col(response_col), F.col(text_col)) if response_col else F.col(text_col)
     meta = F.create_map(*[x for c in metadata_cols for x in (F.lit(c), F.col(c).cast("string"))]) \
         if metadata_cols else F.create_map().cast("map<string,string>")
-    out = dense_ids(numbered.withColumn("response", resp).withColumn("metadata", meta).drop("_pos"),
-                    [order_col], out_col="cache_id")
+    out = rows.withColumn("response", resp).withColumn("metadata", meta).join(kept, order_col)
     return out.withColumn("is_active", F.lit(True)).withColumn("inserted_seq", F.col("cache_id"))
 
 

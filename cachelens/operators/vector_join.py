@@ -8,8 +8,10 @@ results leave a task (k rows per query, one count per query, or a few aggregate
 Three physical strategies, all exact, tried in this order:
 
 ``broadcast``
-    The probe side (queries) is collected only after its size has been checked
-    against ``max_broadcast_bytes``; it is shipped once to every executor and each
+    The probe side (queries) is collected only after its rows have been counted and
+    rows x dimension has been checked against ``max_broadcast_bytes``, and after the lists
+    that all database partitions would emit (queries x rows kept x partitions) have been
+    checked against ``max_partial_rows``; it is shipped once to every executor and each
     database partition is scanned batch by batch (``mapInArrow``). The database is
     never shuffled. Each task emits at most k rows per query.
 
@@ -18,13 +20,18 @@ Three physical strategies, all exact, tried in this order:
     shipped instead and the probe side is scanned in place; each task's output is final.
 
 ``grid``
-    Neither side is small enough to broadcast: both sides are hashed into blocks of about
+    Neither side may be broadcast: both sides are hashed into blocks of about
     ``rows_per_block`` rows, replicated along the other axis of a
     (query block x database block) grid and co-grouped by cell (``applyInArrow``).
     A task holds one query block and one database block, so its memory is bounded
     whatever the input size, and cells are uniform (hash of the row id), so a hot
     key cannot concentrate work in one task.
 
+A table joined with itself (pair statistics) uses the upper triangle of the grid only.
+
+Nearest neighbours are scored in float32; every pair within the rounding bound of the k-th
+score is scored again in float64, so the result is the exact one.
+
 Partial top-k lists are merged with ``row_number() <= k`` over ``(dist, neighbor_id)``,
 which Spark plans as a partial and a final ``WindowGroupLimit`` around the shuffle.
 """
@@ -39,11 +46,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Arrow bytes of the side that is shipped to executors; each Python worker holds it as float64
-# (twice the float32 size), so the default keeps one copy near 128 MB per worker.
+# Bytes (float32 vectors and ids) of the side that is shipped to executors.
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 DEFAULT_ROWS_PER_BLOCK = 20_000
+# Rows that the tasks of a broadcast join may emit in all before they are merged.
+DEFAULT_MAX_PARTIAL_ROWS = 1_000_000_000
 # Entries of one (query chunk x database batch) distance matrix held at once.
 _CHUNK_ENTRIES = 4_000_000
 
@@ -150,7 +158,11 @@ class TopK:
 
     @property
     def vec_dtype(self):
-        return np.int64 if self.metric == "hamming" else np.float64
+        return np.int64 if self.metric == "hamming" else np.float32
+
+    @property
+    def rows_per_query(self) -> int:
+        return self.k
 
     def _val(self) -> str:
         return {"ip": "score", "hamming": "hamming"}.get(self.metric, "dist")
@@ -167,25 +179,20 @@ class TopK:
             return
         width = X.shape[1] if self.metric == "hamming" else 1
         step = max(1, _CHUNK_ENTRIES // max(n * width, 1))
-        xn = np.einsum("ij,ij->i", X, X) if self.metric == "l2" else None
         parts_r, parts_d, parts_i = [st["rows"]], [st["d"]], [st["ids"]]
         for s in range(0, m, step):
             e = min(m, s + step)
-            if self.metric == "l2":
-                # rank by |x|^2 - 2 q.x (the per-row |q|^2 does not change the order), in place
-                M = Q[s:e] @ X.T
-                M *= -2.0
-                M += xn[None, :]
+            same = qids[s:e, None] == xids[None, :] if self.exclude_self else None
+            if self.metric == "hamming":
+                M = _scores(Q[s:e], None, X, self.metric)
+                if same is not None:
+                    M[same] = np.inf
+                r, c = _smallest_k(M, self.k)
+                dv = M[r, c]
+                fin = np.isfinite(dv)
+                r, c, dv = r[fin], c[fin], dv[fin]
             else:
-                M = _scores(Q[s:e], qn[s:e], X, self.metric)
-            if self.exclude_self:
-                M[qids[s:e, None] == xids[None, :]] = np.inf
-            r, c = _smallest_k(M, self.k)
-            dv = M[r, c]
-            fin = np.isfinite(dv)
-            r, c, dv = r[fin], c[fin], dv[fin]
-            if self.metric == "l2":
-                dv = np.maximum(dv + qn[s:e][r], 0.0)
+                r, c, dv = self._exact(Q[s:e], X, same)
             parts_r.append(r + s)
             parts_d.append(dv)
             parts_i.append(xids[c])
@@ -194,6 +201,33 @@ class TopK:
         ids = np.concatenate(parts_i)
         st["rows"], st["d"], st["ids"] = _merge_topk(rows, d, ids, self.k)
 
+    def _exact(self, Q, X, same):
+        """(row, col, value) of every pair that may be among a row's k smallest: float32 scores
+        pick the pairs within twice the rounding bound of the k-th, float64 scores them."""
+        M = Q @ X.T
+        xn = np.einsum("ij,ij->i", X, X)
+        qmax, xmax = np.sqrt(np.einsum("ij,ij->i", Q, Q)).astype(np.float64), float(np.sqrt(xn.max()))
+        if self.metric == "l2":  # the row's own norm does not change its order
+            M *= -2.0
+            M += xn[None, :]
+        else:
+            np.negative(M, out=M)
+        if same is not None:
+            M[same] = np.inf
+        if M.shape[1] > self.k:
+            bound = 1.2e-7 * (Q.shape[1] + 4) * (2.0 * qmax * xmax + xmax * xmax)
+            cut = np.partition(M, self.k - 1, axis=1)[:, self.k - 1] + 2.0 * bound
+            r, c = np.nonzero(M <= cut[:, None])
+        else:
+            r, c = np.nonzero(np.ones(M.shape, dtype=bool))
+        fin = np.isfinite(M[r, c])
+        r, c = r[fin], c[fin]
+        q, x = Q[r].astype(np.float64), X[c].astype(np.float64)
+        if self.metric == "l2":
+            q -= x
+            return r, c, np.einsum("ij,ij->i", q, q)
+        return r, c, -np.einsum("ij,ij->i", q, x)
+
     def emit(self, st, qids):
         val = -st["d"] if self.metric == "ip" else st["d"]
         name = self._val()
@@ -210,6 +244,7 @@ class RangeCount:
 
     threshold: float
     exclude_self: bool = True
+    rows_per_query = 1
 
     def schema(self) -> str:
         return "query_id long, n_within long"
@@ -248,6 +283,7 @@ class PairStats:
     hi: float = 0.0
     bins: int = 1
     cuts: tuple = ()
+    rows_per_query = 0
 
     def schema(self) -> str:
         cut_cols = "".join(f", n_ge_{i} long" for i in range(len(self.cuts)))
@@ -304,16 +340,13 @@ class PairStats:
 # physical strategies
 # ----------------------------------------------------------------------------------------
 
-def _collect_bounded(df: DataFrame, max_rows: int, max_bytes: int):
-    """Arrow table of ``df`` if it has at most ``max_rows`` rows and ``max_bytes`` bytes."""
-    tbl = df.limit(max_rows + 1).toArrow()
-    if tbl.num_rows > max_rows or tbl.nbytes > max_bytes:
-        return None
-    return tbl
+def _small_enough(rows: int, dim: int, max_rows: int, max_bytes: int) -> bool:
+    """Whether ``rows`` float32 vectors with ids stay within both bounds."""
+    return rows <= max_rows and rows * (4 * dim + 8) <= max_bytes
 
 
 def _run_kernel(kernel, qids, Q, xids_X_iter):
-    qn = np.einsum("ij,ij->i", Q, Q) if (Q.size and Q.dtype.kind == "f") else np.zeros(len(qids))
+    qn = np.einsum("ij,ij->i", Q, Q) if (Q.size and Q.dtype == np.float64) else np.zeros(len(qids))
     st = kernel.init(qids, Q)
     for xids, X in xids_X_iter:
         if len(xids) and Q.size and X.shape[1] != Q.shape[1]:
@@ -327,76 +360,90 @@ def block_join(queries: DataFrame, database: DataFrame, kernel, *,
                d_id: str = "id", d_vec: str = "embedding",
                max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+               max_partial_rows: int = DEFAULT_MAX_PARTIAL_ROWS,
                rows_per_block: int = DEFAULT_ROWS_PER_BLOCK,
-               strategy: str = "auto") -> DataFrame:
-    """Run ``kernel`` over every (query, database row) pair without materialising pairs."""
+               strategy: str = "auto", triangle: bool = False) -> DataFrame:
+    """Run ``kernel`` over every (query, database row) pair without materialising pairs.
+
+    ``triangle``: both sides are the same table and the kernel takes pairs with query id <
+    database id only; the grid then holds each pair of blocks once."""
     spark = queries.sparkSession
     q = queries.select(F.col(q_id).cast("long").alias("_qid"), F.col(q_vec).alias("_qv")) \
         .filter(F.col("_qv").isNotNull())
     d = database.select(F.col(d_id).cast("long").alias("_did"), F.col(d_vec).alias("_dv")) \
         .filter(F.col("_dv").isNotNull())
     schema = kernel.schema()
+    dt = getattr(kernel, "vec_dtype", np.float64)
+    fits = dict(max_rows=max_broadcast_rows, max_bytes=max_broadcast_bytes)
+    first = q.first()
+    if first is None:
+        return spark.createDataFrame([], schema)
+    dim, n_q = len(first["_qv"]), q.count()
 
-    probe = None
     if strategy in ("auto", "broadcast"):
-        probe = _collect_bounded(q, max_broadcast_rows, max_broadcast_bytes)
-        if probe is None and strategy == "broadcast":
+        lists = n_q * kernel.rows_per_query
+        probe = _small_enough(n_q, dim, **fits) and (strategy == "broadcast" or lists * d.rdd.getNumPartitions() <= max_partial_rows)
+        if not probe and strategy == "broadcast":
             raise ValueError("probe side exceeds the broadcast bound")
+        if probe:
+            bc = spark.sparkContext.broadcast(arrow_vectors(q.toArrow(), "_qid", "_qv", dt))
 
-    dt = getattr(kernel, "vec_dtype", np.float64)
-    if probe is not None:
-        qids, Q = arrow_vectors(probe, "_qid", "_qv", dt)
-        bc = spark.sparkContext.broadcast((qids, Q))
+            def scan(batches):
+                b_qids, b_Q = bc.value
+                tbl = _run_kernel(kernel, b_qids, b_Q,
+                                  (arrow_vectors(b, "_did", "_dv", dt) for b in batches))
+                yield from tbl.to_batches()
 
-        def scan(batches):
-            b_qids, b_Q = bc.value
-            tbl = _run_kernel(kernel, b_qids, b_Q,
-                              (arrow_vectors(b, "_did", "_dv", dt) for b in batches))
-            yield from tbl.to_batches()
-
-        return d.mapInArrow(scan, schema)
+            return d.mapInArrow(scan, schema)
 
+    n_rows = d.count()
     if strategy in ("auto", "broadcast_database"):
-        # the probe side is large but the database is small: ship the database instead and
-        # scan the probe side; every task then sees all database rows for its queries, so its
-        # output is already final (the merge above it finds one list per query)
-        table = _collect_bounded(d, max_broadcast_rows, max_broadcast_bytes)
-        if table is None and strategy == "broadcast_database":
+        # the database is shipped instead and the probe side scanned; every task then sees all
+        # database rows for its queries, so its output is already final (the merge above it
+        # finds one list per query)
+        if _small_enough(n_rows, dim, **fits):
+            return scan_probe_side(q, d, kernel, "_qid", "_qv", "_did", "_dv")
+        if strategy == "broadcast_database":
             raise ValueError("database side exceeds the broadcast bound")
-        if table is not None:
-            xids_all, X_all = arrow_vectors(table, "_did", "_dv", dt)
-            bcd = spark.sparkContext.broadcast((xids_all, X_all))
-
-            def scan_probe(batches):
-                b_xids, b_X = bcd.value
-                for b in batches:
-                    b_qids, b_Q = arrow_vectors(b, "_qid", "_qv", dt)
-                    if len(b_qids) == 0:
-                        continue
-                    yield from _run_kernel(kernel, b_qids, b_Q, [(b_xids, b_X)]).to_batches()
-
-            return q.mapInArrow(scan_probe, schema)
 
     # grid strategy: bounded blocks on both sides
-    n_q = max(1, math.ceil(q.count() / rows_per_block))
-    n_d = max(1, math.ceil(d.count() / rows_per_block))
-    qg = (q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(n_q)))
-          .withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
-          .withColumn("_cell", F.col("_qb") * n_d + F.col("_db")))
-    dg = (d.withColumn("_db", F.pmod(F.xxhash64("_did"), F.lit(n_d)))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-          .withColumn("_cell", F.col("_qb") * n_d + F.col("_db")))
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+    n_qb = max(1, math.ceil(n_q / rows_per_block))
+    n_db = n_qb if triangle else max(1, math.ceil(n_rows / rows_per_block))
+    other = F.sequence(F.col("_qb"), F.lit(n_db - 1)) if triangle else F.sequence(F.lit(0), F.lit(n_db - 1))
+    qg = (q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(n_qb)).cast("int"))
+          .withColumn("_db", F.explode(other)))
+    mine = F.sequence(F.lit(0), F.col("_db")) if triangle else F.sequence(F.lit(0), F.lit(n_qb - 1))
+    dg = (d.withColumn("_db", F.pmod(F.xxhash64("_did"), F.lit(n_db)).cast("int"))
+          .withColumn("_qb", F.explode(mine)))
+
+    def cell(key, left: pa.Table, right: pa.Table) -> pa.Table:
         qids, Q = arrow_vectors(left, "_qid", "_qv", dt)
         xids, X = arrow_vectors(right, "_did", "_dv", dt)
+        if triangle and key[0].as_py() != key[1].as_py():
+            qids = np.full(len(qids), np.iinfo(np.int64).min)  # every pair of two blocks counts once
         return _run_kernel(kernel, qids, Q, [(xids, X)])
 
-    return (qg.select("_cell", "_qid", "_qv").groupBy("_cell")
-            .cogroup(dg.select("_cell", "_did", "_dv").groupBy("_cell"))
+    return (qg.select("_qb", "_db", "_qid", "_qv").groupBy("_qb", "_db")
+            .cogroup(dg.select("_qb", "_db", "_did", "_dv").groupBy("_qb", "_db"))
             .applyInArrow(cell, schema))
 
 
+def scan_probe_side(queries: DataFrame, database: DataFrame, kernel, q_id: str, q_vec: str, d_id: str, d_vec: str) -> DataFrame:
+    """``kernel`` with a database of checked size shipped to every task; ``queries`` may be a stream."""
+    dt = getattr(kernel, "vec_dtype", np.float64)
+    small = database.select(F.col(d_id).cast("long").alias("_did"), F.col(d_vec).alias("_dv")).toArrow()
+    bc = database.sparkSession.sparkContext.broadcast(arrow_vectors(small, "_did", "_dv", dt))
+
+    def scan(batches):
+        xids, X = bc.value
+        for b in batches:
+            qids, Q = arrow_vectors(b, "_qid", "_qv", dt)
+            if len(qids):
+                yield from _run_kernel(kernel, qids, Q, [(xids, X)]).to_batches()
+
+    return queries.select(F.col(q_id).cast("long").alias("_qid"), F.col(q_vec).alias("_qv")).mapInArrow(scan, kernel.schema())
+
+
 # ----------------------------------------------------------------------------------------
 # public operators
 # ----------------------------------------------------------------------------------------
@@ -417,8 +464,8 @@ def knn(queries: DataFrame, database: DataFrame, k: int, *, metric: str = "l2",
     part = block_join(queries, database, kern, q_id=q_id, q_vec=q_vec, d_id=d_id, d_vec=d_vec, **strategy)
     val = kern._val()
     if k == 1:
-        # nearest only: an aggregate of min(struct(value, id)) is combined map-side, so the
-        # merge ships one row per query and task instead of sorting candidate lists
+        # nearest only: min(struct(value, id)) is combined map-side and ships one short row of
+        # numbers per query and task (sorted by query: a struct has no hash aggregate)
         key = (-F.col(val)) if metric == "ip" else F.col(val)
         best = part.groupBy("query_id").agg(F.min(F.struct(key.alias("_k"), F.col("neighbor_id").alias("_n"),
                                                            F.col(val).alias("_v"))).alias("_b"))
@@ -449,7 +496,7 @@ def pair_stats(vectors: DataFrame, *, id_col: str = "id", vec_col: str = "embedd
     """Per-bin aggregates of the inner product over unordered pairs of ``vectors``."""
     kern = PairStats(lo=lo, hi=hi, bins=bins, cuts=tuple(cuts))
     part = block_join(vectors, vectors, kern, q_id=id_col, q_vec=vec_col,
-                      d_id=id_col, d_vec=vec_col, **strategy)
+                      d_id=id_col, d_vec=vec_col, triangle=True, **strategy)
     aggs = [F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
             F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax")]
     aggs += [F.sum(f"n_ge_{j}").alias(f"n_ge_{j}") for j in range(len(cuts))]

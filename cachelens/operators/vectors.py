@@ -87,40 +87,60 @@ def md5_sample(df: DataFrame, n: int, seed: int = 42, salt: str = "sample", id_c
     return df.filter(first_n_flag(df, [md5_order_key(seed, salt, id_col), F.col(id_col)], n))
 
 
-def pairwise_cosine_parts(sample: DataFrame, id_col: str, vec_col: str = "embedding",
-                          bins: int = 100, cuts=(0.85, 0.90, 0.95)):
-    """(moments row, histogram rows) of the inner product over unordered pairs of ``sample``."""
-    # first pass: global moments (bins=1)
-    first = pair_stats(sample, id_col=id_col, vec_col=vec_col, cuts=cuts)
-    mom = first.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
-                    F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"),
-                    *[F.sum(f"n_ge_{j}").alias(f"n_ge_{j}") for j in range(len(cuts))])
-    row = mom.first()  # one aggregate row: the histogram range
-    hist, lo, hi, total = None, 0.0, 1.0, 0
-    if row is not None and row["n"]:
-        lo, hi, total = float(row["vmin"]), float(row["vmax"]), int(row["n"])
-        if lo == hi:
-            lo, hi = lo - 0.5, hi + 0.5
-        hist = pair_stats(sample, id_col=id_col, vec_col=vec_col, lo=lo, hi=hi, bins=bins)
-    return mom, (hist, lo, hi, total)
-
-
-def pairwise_cosine(sample: DataFrame, id_col: str, vec_col: str = "embedding") -> DataFrame:
-    mom, _ = pairwise_cosine_parts(sample, id_col, vec_col)
-    mean = F.col("s") / F.col("n")
-    return mom.select(
-        F.col("n").cast("long").alias("n_pairs"),
-        F.round(mean, 6).alias("mean"),
-        F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean)), 6).alias("std"),
+def pair_moments(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """One row ``(n_pairs, mean, std)`` of the inner product over ALL unordered pairs, in one pass.
+
+    The sum over pairs follows from the sum vector, the sum of squares from the Gram matrix
+    ``X^T X``; a task emits both once per batch (dim and dim^2 numbers)."""
+    def scan(batches):
+        for b in batches:
+            _, X = arrow_vectors(b, "_id", "_v")
+            if len(X) == 0:
+                continue
+            sq = (X * X).sum(axis=1)
+            yield pa.RecordBatch.from_pydict({
+                "n": pa.array([len(X)], pa.int64()), "nsq": pa.array([sq.sum()], pa.float64()), "n4": pa.array([(sq * sq).sum()], pa.float64()),
+                "s": pa.array([X.sum(axis=0)], pa.list_(pa.float64())), "g": pa.array([(X.T @ X).ravel()], pa.list_(pa.float64()))})
+
+    parts = vectors.select(F.lit(0).cast("long").alias("_id"), F.col(vec_col).alias("_v")) \
+        .mapInArrow(scan, "n long, nsq double, n4 double, s array<double>, g array<double>")
+
+    def squares(col: str):
+        return parts.select(F.posexplode(col).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x"))).scalar()
+
+    base = parts.agg(F.sum("n").alias("n"), F.sum("nsq").alias("nsq"), F.sum("n4").alias("n4"))
+    n_pairs = F.col("n") * (F.col("n") - 1) / 2
+    total, total_sq = (squares("s") - F.col("nsq")) / 2, (squares("g") - F.col("n4")) / 2
+    mean = total / n_pairs
+    return base.select(n_pairs.cast("long").alias("n_pairs"), mean.alias("mean"),
+                       F.sqrt(F.greatest(F.lit(0.0), total_sq / n_pairs - mean * mean)).alias("std"))
+
+
+def _pair_range(vectors: DataFrame, id_col: str, vec_col: str, cuts=()) -> DataFrame:
+    """One row: pairs, smallest and largest inner product, and counts at or above each cut."""
+    per = pair_stats(vectors, id_col=id_col, vec_col=vec_col, cuts=cuts)
+    return per.agg(F.sum("n").alias("n"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"),
+                   *[F.sum(f"n_ge_{j}").alias(f"n_ge_{j}") for j in range(len(cuts))])
+
+
+def pairwise_cosine(vectors: DataFrame, id_col: str, vec_col: str = "embedding") -> DataFrame:
+    """Count, mean, std (closed form), min and max (pair blocks) over all unordered pairs."""
+    ends = _pair_range(vectors, id_col, vec_col)
+    return pair_moments(vectors, vec_col).crossJoin(ends).select(  # one row each
+        "n_pairs", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
         F.round("vmin", 6).alias("min"), F.round("vmax", 6).alias("max"))
 
 
-def pairwise_histogram(sample: DataFrame, id_col: str, vec_col: str = "embedding", bins: int = 100) -> DataFrame:
-    """Density histogram (100 bins over [min, max]) and the empirical CDF at each bin edge."""
-    _, (hist, lo, hi, total) = pairwise_cosine_parts(sample, id_col, vec_col, bins=bins)
-    spark = sample.sparkSession
-    if hist is None:
+def pairwise_histogram(vectors: DataFrame, id_col: str, vec_col: str = "embedding", bins: int = 100) -> DataFrame:
+    """Density histogram (100 bins over [min, max]) of all pairs and the empirical CDF at each bin edge."""
+    spark = vectors.sparkSession
+    row = _pair_range(vectors, id_col, vec_col).first()  # one aggregate row: the histogram range
+    if not row["n"]:
         return spark.createDataFrame([], "bin int, bin_lo double, count long, density double, cdf double")
+    lo, hi, total = float(row["vmin"]), float(row["vmax"]), int(row["n"])
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    hist = pair_stats(vectors, id_col=id_col, vec_col=vec_col, lo=lo, hi=hi, bins=bins)
     width = (hi - lo) / bins
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     run = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # `bins` rows
@@ -131,10 +151,10 @@ def pairwise_histogram(sample: DataFrame, id_col: str, vec_col: str = "embedding
             .withColumn("cdf", F.round(F.sum("count").over(run) / F.lit(float(total)), 6)))
 
 
-def pairwise_cdf(sample: DataFrame, id_col: str, vec_col: str = "embedding",
+def pairwise_cdf(vectors: DataFrame, id_col: str, vec_col: str = "embedding",
                  cuts=(0.85, 0.90, 0.95)) -> DataFrame:
-    """Share of pairs with cosine >= each cut."""
-    mom, _ = pairwise_cosine_parts(sample, id_col, vec_col, cuts=cuts)
+    """Share of all pairs with an inner product >= each cut."""
+    mom = _pair_range(vectors, id_col, vec_col, cuts)
     rows = [F.struct(F.lit(float(c)).alias("cut"),
                      F.round(F.col(f"n_ge_{j}") / F.col("n"), 6).alias("share_ge")) for j, c in enumerate(cuts)]
     return mom.select(F.inline(F.array(*rows)))
@@ -183,10 +203,40 @@ def assign_nearest(df: DataFrame, centers: np.ndarray, id_col: str = "id", vec_c
     return df.select(F.col(id_col).cast("long").alias(id_col), vec_col).mapInArrow(scan, schema)
 
 
+def partial_moments(df: DataFrame, vec_col: str = "embedding", key: str | None = None) -> DataFrame:
+    """``(key, n, nsq, norm, s, ss)`` per Arrow batch and key: row count, sum of squared norms, sum of
+    norms, and the vectors of sums and of squared sums by dimension. One short row per batch
+    and key leaves a task, not one per vector component. ``key`` is a long column (null: 0)."""
+    keyed = df.select((F.coalesce(F.col(key).cast("long"), F.lit(0)) if key else F.lit(0).cast("long")).alias("key"), F.col(vec_col).alias("v"))
+
+    def scan(batches):
+        for b in batches:
+            keys, X = arrow_vectors(b, "key", "v")
+            if len(keys) == 0:
+                continue
+            own, at = np.unique(keys, return_inverse=True)
+            sq = X * X
+            row = sq.sum(axis=1)
+            s, ss = np.zeros((len(own), X.shape[1])), np.zeros((len(own), X.shape[1]))
+            np.add.at(s, at, X)
+            np.add.at(ss, at, sq)
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(own, pa.int64()), "n": pa.array(np.bincount(at), pa.int64()),
+                "nsq": pa.array(np.bincount(at, weights=row), pa.float64()), "norm": pa.array(np.bincount(at, weights=np.sqrt(row)), pa.float64()),
+                "s": pa.array(list(s), pa.list_(pa.float64())), "ss": pa.array(list(ss), pa.list_(pa.float64()))})
+
+    return keyed.mapInArrow(scan, "key long, n long, nsq double, norm double, s array<double>, ss array<double>")
+
+
+def dimension_sums(parts: DataFrame, keys=("key",)) -> DataFrame:
+    """``(*keys, dim, n, s, ss)``: the partial vectors of ``partial_moments`` added up."""
+    both = parts.select(*keys, "n", F.posexplode(F.arrays_zip("s", "ss")).alias("dim", "x"))
+    return both.groupBy(*keys, "dim").agg(F.sum("n").alias("n"), F.sum("x.s").alias("s"), F.sum("x.ss").alias("ss"))
+
+
 def group_centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> DataFrame:
-    """Mean vector per group (posexplode + partial aggregation by (group, dim))."""
-    ex = df.select(group_col, F.posexplode(vec_col).alias("dim", "x"))
-    per = ex.groupBy(group_col, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    """Mean vector per group of a whole-number column (partial sums per batch, see ``partial_moments``)."""
+    per = dimension_sums(partial_moments(df, vec_col, group_col)).select(F.col("key").alias(group_col), "dim", (F.col("s") / F.col("n")).alias("m"))
     return per.groupBy(group_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("centroid"))
 
@@ -255,14 +305,17 @@ def recall_by_config(approx: DataFrame, exact: DataFrame, config_ids: list, ks=(
 # ------------------------------------------------------------------------------ F8
 
 def distance_analysis(nn: DataFrame, dist_col: str = "dist") -> DataFrame:
+    """One row of moments and exact percentiles of the distances."""
+    from cachelens.operators.quantiles import exact_percentiles
+
     d = F.col(dist_col)
-    return nn.filter(d.isNotNull()).agg(
+    base = nn.filter(d.isNotNull()).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg(d), 4).alias("mean"), F.round(F.stddev_pop(d), 4).alias("std"),
-        F.round(F.percentile(d, 0.5), 4).alias("median"),
-        F.round(F.min(d), 4).alias("min"), F.round(F.max(d), 4).alias("max"),
-        F.round(F.percentile(d, 0.05), 4).alias("p5"), F.round(F.percentile(d, 0.25), 4).alias("p25"),
-        F.round(F.percentile(d, 0.75), 4).alias("p75"), F.round(F.percentile(d, 0.95), 4).alias("p95"))
+        F.round(F.min(d), 4).alias("min"), F.round(F.max(d), 4).alias("max"))
+    pct = exact_percentiles(nn, d, {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95})
+    return base.crossJoin(pct).select("n", "mean", "std", F.round("median", 4).alias("median"), "min", "max",
+                                      *[F.round(p, 4).alias(p) for p in ("p5", "p25", "p75", "p95")])
 
 
 def distance_histogram(nn: DataFrame, dist_col: str = "dist", bins: int = 20, lo: float = 0.0,
@@ -271,30 +324,15 @@ def distance_histogram(nn: DataFrame, dist_col: str = "dist", bins: int = 20, lo
     return equal_width_histogram(nn, F.col(dist_col), bins, F.lit(float(lo)), F.lit(float(hi)))
 
 
-# Centres are shipped to every task: their number is checked before they are collected.
-MAX_CENTRES = 65_536
-
-
-def collect_centroids(df: DataFrame, group_col: str, vec_col: str = "embedding", max_groups: int = MAX_CENTRES):
-    """(group values, centre matrix) of the per-group means, ordered by group; raises when the
-    group column has more than ``max_groups`` values (the centres would not be a small table)."""
-    rows = group_centroids(df, group_col, vec_col).orderBy(group_col).limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        raise ValueError(f"{group_col} has more than {max_groups} groups; too many centres to broadcast")
-    return [r[group_col] for r in rows], np.array([r["centroid"] for r in rows], dtype=np.float64)
-
-
 # ------------------------------------------------------------------------------ F17
 
 def workload_diversity(emb: DataFrame, vec_col: str = "embedding", label_col: str | None = "label",
                        n_clusters: int = 10) -> DataFrame:
     """Closed-form mean pair distance (all ordered pairs i != j), normalised diversity, and
     the entropy of the cluster labels (natural log, normalised by ln(k))."""
-    nsq = norm_sq(F.col(vec_col))
-    base = emb.agg(F.count(F.lit(1)).alias("n"), F.avg(nsq).alias("msq"), F.avg(norm(F.col(vec_col))).alias("mnorm"))
-    dims = emb.select(F.posexplode(vec_col).alias("dim", "x")).groupBy("dim") \
-        .agg(F.avg(F.col("x").cast("double")).alias("m"))
-    mean_sq = dims.agg(F.sum(F.col("m") * F.col("m"))).scalar()
+    parts = partial_moments(emb, vec_col)
+    base = parts.agg(F.sum("n").alias("n"), (F.sum("nsq") / F.sum("n")).alias("msq"), (F.sum("norm") / F.sum("n")).alias("mnorm"))
+    mean_sq = dimension_sums(parts).agg(F.sum(F.pow(F.col("s") / F.col("n"), 2))).scalar()
     n = F.col("n")
     avg_pair = F.when(n > 1, F.lit(2.0) * n / (n - 1) * (F.col("msq") - mean_sq)).otherwise(F.lit(0.0))
     norm_div = F.when(F.col("mnorm") > 0, F.least(F.lit(1.0), avg_pair / (F.lit(2.0) * F.col("mnorm") * F.col("mnorm")))) \
@@ -315,28 +353,13 @@ def workload_diversity(emb: DataFrame, vec_col: str = "embedding", label_col: st
     return base.select(*cols)
 
 
-# Centres are shipped to every task: their number is checked before they are collected.
-MAX_CENTRES = 65_536
-
-
-def collect_centroids(df: DataFrame, group_col: str, vec_col: str = "embedding", max_groups: int = MAX_CENTRES):
-    """(group values, centre matrix) of the per-group means, ordered by group; raises when the
-    group column has more than ``max_groups`` values (the centres would not be a small table)."""
-    rows = group_centroids(df, group_col, vec_col).orderBy(group_col).limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        raise ValueError(f"{group_col} has more than {max_groups} groups; too many centres to broadcast")
-    return [r[group_col] for r in rows], np.array([r["centroid"] for r in rows], dtype=np.float64)
-
-
 # ------------------------------------------------------------------------------ F18
 
-def semantic_coverage(stream: DataFrame, cache: DataFrame, sample_size: int = 2000, seed: int = 42,
-                      q_id: str = "query_id", c_id: str = "cache_id", vec_col: str = "embedding",
-                      **strategy) -> DataFrame:
-    """Mean nearest distance from up to ``sample_size`` md5-sampled stream rows to the cache."""
-    sample = md5_sample(stream, sample_size, seed, "coverage", q_id)
-    nn = knn(sample, cache, 1, q_id=q_id, q_vec=vec_col, d_id=c_id, d_vec=vec_col, **strategy)
-    return nn.agg(F.count(F.lit(1)).alias("n_sampled"), F.round(F.avg("dist"), 6).alias("semantic_coverage_avg_dist"))
+def semantic_coverage(stream: DataFrame, cache: DataFrame, q_id: str = "query_id", c_id: str = "cache_id",
+                      vec_col: str = "embedding", **strategy) -> DataFrame:
+    """Mean nearest distance from every stream row to the cache."""
+    nn = knn(stream, cache, 1, q_id=q_id, q_vec=vec_col, d_id=c_id, d_vec=vec_col, **strategy)
+    return nn.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("dist"), 6).alias("semantic_coverage_avg_dist"))
 
 
 # ------------------------------------------------------------------------------ F21

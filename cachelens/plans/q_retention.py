@@ -49,12 +49,10 @@ def q_rank_lfu(spark, sf):
 def _red_sql(threshold: float) -> str:
     return f"""
 nall AS (SELECT count(*) AS n FROM embeddings),
-anc AS (SELECT vec_id, embedding FROM embeddings ORDER BY {S.md5_key(0, 'anchors', 'vec_id')}, vec_id LIMIT 1024),
-cnt AS (SELECT e.vec_id, count(a.vec_id) AS c FROM embeddings e LEFT JOIN anc a
+cnt AS (SELECT e.vec_id, count(a.vec_id) AS c FROM embeddings e LEFT JOIN embeddings a
           ON a.vec_id <> e.vec_id AND {S.sq_l2('a.embedding', 'e.embedding')} <= {threshold!r}
         GROUP BY e.vec_id),
-red AS (SELECT vec_id, c / (CASE WHEN n <= 1024 THEN greatest(n - 1, 1) ELSE 1024 END)::DOUBLE AS redundancy
-        FROM cnt, nall)"""
+red AS (SELECT vec_id, c / greatest(n - 1, 1)::DOUBLE AS redundancy FROM cnt, nall)"""
 
 
 @register("redundancy", f"WITH {_red_sql(1.5)} SELECT vec_id, round(redundancy, 6) AS redundancy FROM red")
@@ -100,21 +98,27 @@ SELECT (row_number() OVER (ORDER BY step))::INTEGER AS adaptation_step, step::IN
        diversity, round(coalesce(lag(new_alpha) OVER (ORDER BY step), 1.0), 4) AS old_alpha, round(new_alpha, 4) AS new_alpha
 FROM a""")
 def q_adaptive_alpha(spark, sf):
-    stream = dense_ids(_emb(spark, sf).select("vec_id", "embedding"), ["vec_id"], out_col="seq")
-    return R.adaptive_alpha(stream)
+    emb = _emb(spark, sf).select("vec_id", "embedding")
+    return R.adaptive_alpha(dense_ids(emb.select("vec_id"), ["vec_id"], out_col="seq").join(emb, "vec_id"))
 
 
-@register("next_use_keys", f"""
-WITH {LOG},
-fut AS (SELECT key, min(seq) AS nu FROM log WHERE seq >= (SELECT count(*) // 2 FROM events) GROUP BY key),
-k AS (SELECT DISTINCT key FROM log),
-nu AS (SELECT k.key, coalesce(fut.nu::DOUBLE, 'inf'::DOUBLE) AS next_use FROM k LEFT JOIN fut ON fut.key = k.key)
-SELECT row_number() OVER (ORDER BY next_use DESC, key) AS victim_rank, key, next_use FROM nu QUALIFY victim_rank <= 10
+@register("rank_victims", f"""
+WITH {LOG}, {KS},
+fut AS (SELECT key, min(seq) AS nu FROM log WHERE seq >= (SELECT count(*) // 2 FROM events) GROUP BY key)
+SELECT 'lru' AS policy, row_number() OVER (ORDER BY last_touch, key) AS victim_rank, key FROM ks QUALIFY victim_rank <= 10
+UNION ALL SELECT 'lfu', row_number() OVER (ORDER BY reads, inserted_seq, key) AS victim_rank, key FROM ks QUALIFY victim_rank <= 10
+UNION ALL SELECT 'oracle', row_number() OVER (ORDER BY coalesce(nu::DOUBLE, 'inf'::DOUBLE) DESC, ks.key) AS victim_rank, ks.key
+FROM ks LEFT JOIN fut ON fut.key = ks.key QUALIFY victim_rank <= 10
 """)
-def q_next_use_keys(spark, sf):
-    log = _log(spark, sf)
-    cut = T(spark, sf, "events").count() // 2
-    return R.next_use_keys(log, cut, 10)
+def q_rank_victims(spark, sf):
+    """The ranking of each key policy by its name; ``none`` gives no victims."""
+    log, cut = _log(spark, sf), T(spark, sf, "events").count() // 2
+    out = None
+    for policy in ("lru", "lfu", "oracle", "none"):
+        r = R.rank_victims(policy, log, n=10, **({"cut": cut} if policy == "oracle" else {}))
+        r = r.select(F.lit(policy).alias("policy"), "victim_rank", "key")
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 @register("next_use", f"""
@@ -151,20 +155,25 @@ SELECT row_number() OVER (ORDER BY next_use DESC, vec_id) AS victim_rank, vec_id
 """)
 def q_next_use_vectors(spark, sf):
     split = holdout_split(_emb(spark, sf).select("vec_id", "embedding"), id_col="vec_id")
-    stream = dense_ids(split.filter(F.col("split") == "query"), ["vec_id"], out_col="seq")
+    asked = split.filter(F.col("split") == "query")
+    stream = dense_ids(asked.select("vec_id"), ["vec_id"], out_col="seq").join(asked, "vec_id")
     entries = split.filter(F.col("split") == "database")
     return R.next_use_vectors(stream, entries, threshold=1.3, q_id="vec_id", e_id="vec_id")
 
 
 @register("cache_build", """
-WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
-SELECT row_number() OVER (ORDER BY doc_id) - 1 AS cache_id, doc_id, true AS is_active
+WITH r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS cache_id, doc_id, true AS is_active, md5(text) AS response_md5,
+       'lang=' || coalesce(lang, '') || ' source=' || coalesce(source, '') AS metadata,
+       row_number() OVER (ORDER BY doc_id) - 1 AS inserted_seq
 FROM r WHERE pos >= (SELECT count(*) FROM documents) - 100
 """)
 def q_cache_build(spark, sf):
     docs = T(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    meta = [F.concat(F.lit(f"{k}="), F.coalesce(F.col("metadata")[k], F.lit(""))) for k in ("lang", "source")]
     return R.cache_build(docs, "doc_id", max_size=100, metadata_cols=("lang", "source")) \
-        .select("cache_id", "doc_id", "is_active")
+        .select("cache_id", "doc_id", "is_active", F.md5("response").alias("response_md5"),
+                F.concat_ws(" ", *meta).alias("metadata"), "inserted_seq")
 
 
 @register("cache_upkeep", f"""

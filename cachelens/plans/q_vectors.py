@@ -82,27 +82,58 @@ def q_recall_at_k(spark, sf):
     return V.recall_at_k(approx, exact)
 
 
-@register("knn_ivf")
+def label_centers(spark, sf):
+    """Given centres for the inverted-file queries: the mean vector of every label."""
+    return V.collect_centroids(_emb(spark, sf), "label")[1]
+
+
+def _ivf(spark, sf, db):
+    centers = label_centers(spark, sf)
+    return ann.IVFIndex.build(db, nlist=len(centers), id_col="vec_id", centers=centers)
+
+
+IVF_SQL = f"""
+WITH {S.holdout()}, hq AS (SELECT * FROM hs WHERE is_q), hd AS (SELECT * FROM hs WHERE NOT is_q),{S.label_cells('hs')},
+{S.ivf_pairs('hq', 'hd', 4)}"""
+
+
+@register("knn_ivf", f"{IVF_SQL} {S.topk('ivf', 10)}")
 def q_knn_ivf(spark, sf):
     q, db = _holdout(spark, sf)
-    idx = ann.IVFIndex.build(db, nlist=16, seed=42, id_col="vec_id")
-    return _r6(idx.search(q, 10, nprobe=4, q_id="vec_id"), "dist")
+    return _r6(_ivf(spark, sf, db).search(q, 10, nprobe=4, q_id="vec_id"), "dist")
 
 
-@register("recall_ivf")
+@register("recall_ivf", f"""{IVF_SQL},
+approx AS ({S.topk('ivf', 10)}),
+{PAIRS_L2.replace('pairs AS', 'epairs AS')},
+exact AS ({S.topk('epairs', 10)}),
+ks AS (SELECT * FROM (VALUES (1), (5), (10)) t(k)),
+per_q AS (
+  SELECT ks.k, e.query_id, count(a.neighbor_id)::DOUBLE / count(*) AS r
+  FROM ks JOIN exact e ON e.rank <= ks.k
+  LEFT JOIN approx a ON a.query_id = e.query_id AND a.neighbor_id = e.neighbor_id AND a.rank <= ks.k
+  GROUP BY ks.k, e.query_id)
+SELECT k, round(avg(r), 6) AS recall, count(*) AS n_queries FROM per_q GROUP BY k""")
 def q_recall_ivf(spark, sf):
     q, db = _holdout(spark, sf)
-    idx = ann.IVFIndex.build(db, nlist=16, seed=42, id_col="vec_id")
-    return V.recall_at_k(idx.search(q, 10, nprobe=4, q_id="vec_id"), knn(q, db, 10, q_id="vec_id", d_id="vec_id"))
+    return V.recall_at_k(_ivf(spark, sf, db).search(q, 10, nprobe=4, q_id="vec_id"), knn(q, db, 10, q_id="vec_id", d_id="vec_id"))
 
 
-@register("knn_index_dispatch")
+@register("knn_index_dispatch", f"""{IVF_SQL},
+{PAIRS_L2.replace('pairs AS', 'epairs AS')},{S.lsh_bits('hs')},
+hpairs AS (
+  SELECT qb.vec_id AS query_id, db.vec_id AS nn_id, sum(CASE WHEN qb.bit <> db.bit THEN 1 ELSE 0 END)::DOUBLE AS hamming
+  FROM bits qb JOIN hq q ON q.vec_id = qb.vec_id JOIN bits db ON db.p = qb.p JOIN hd d ON d.vec_id = db.vec_id GROUP BY 1, 2)
+SELECT query_id, rank, neighbor_id, dist AS value, 'flat' AS index_type FROM ({S.topk('epairs', 5)})
+UNION ALL SELECT query_id, rank, neighbor_id, dist, 'ivf' FROM ({S.topk('ivf', 5)})
+UNION ALL SELECT query_id, rank, neighbor_id, hamming, 'lsh' FROM ({S.topk('hpairs', 5, 'hamming')})""")
 def q_knn_index_dispatch(spark, sf):
     """E5: the same search through the factory for every listed index type."""
     q, db = _holdout(spark, sf)
+    centers = label_centers(spark, sf)
     out = None
     for kind in ann.list_index_types():
-        params = {"nlist": 16, "nprobe": 4} if kind == "ivf" else {}
+        params = {"nlist": len(centers), "nprobe": 4, "centers": centers} if kind == "ivf" else {}
         r = ann.knn_index(kind, q, db, 5, q_id="vec_id", d_id="vec_id", **params)
         val = "hamming" if kind == "lsh" else "dist"
         r = r.select("query_id", "rank", "neighbor_id", F.round(F.col(val), 6).alias("value"),
@@ -127,7 +158,7 @@ def q_kmeans_assign(spark, sf):
     emb = _emb(spark, sf)
     labels, centers = _label_centers(emb)
     lab = spark.createDataFrame([(i, int(l)) for i, l in enumerate(labels)], "cell int, label int")
-    out = ann.kmeans_assign(emb, centers, id_col="vec_id").join(F.broadcast(lab), "cell")
+    out = ann.kmeans_assign(emb, centers, id_col="vec_id").join(lab, "cell")
     return out.select("vec_id", F.col("label").alias("cell"), F.round("dist", 6).alias("dist"))
 
 
@@ -193,17 +224,13 @@ def q_lookup(spark, sf):
 
 @register("batch_lookup", f"WITH {S.holdout()},{PAIRS_L2} {S.topk('pairs', 3)}")
 def q_batch_lookup(spark, sf):
+    """Unlike ``lookup``, entries that are not active are found too (label 0 is inactive)."""
     q, db = _holdout(spark, sf)
     return _r6(V.batch_lookup(q, _cache(db), 3, q_id="vec_id"), "dist")
 
 
 SAMPLE_SQL = f"""
-smp AS (SELECT vec_id, embedding FROM embeddings ORDER BY {S.md5_key(42, 'pairs', 'vec_id')}, vec_id LIMIT 2000),
-pc AS (SELECT {S.dot('a.embedding', 'b.embedding')} AS c FROM smp a JOIN smp b ON a.vec_id < b.vec_id)"""
-
-
-def _sample(spark, sf):
-    return V.md5_sample(_emb(spark, sf), 2000, 42, "pairs", "vec_id")
+pc AS (SELECT {S.dot('a.embedding', 'b.embedding')} AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"""
 
 
 @register("pairwise_cosine", f"""
@@ -211,7 +238,7 @@ WITH {SAMPLE_SQL}
 SELECT count(*) AS n_pairs, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS std,
        round(min(c), 6) AS min, round(max(c), 6) AS max FROM pc""")
 def q_pairwise_cosine(spark, sf):
-    return V.pairwise_cosine(_sample(spark, sf), "vec_id")
+    return V.pairwise_cosine(_emb(spark, sf), "vec_id")
 
 
 @register("pairwise_histogram", f"""
@@ -225,7 +252,7 @@ SELECT g.bin, round(lo + g.bin * ((hi - lo) / 100.0), 6) AS bin_lo, count,
        round(sum(count) OVER (ORDER BY g.bin ROWS UNBOUNDED PRECEDING) / n, 6) AS cdf
 FROM g, e""")
 def q_pairwise_histogram(spark, sf):
-    return V.pairwise_histogram(_sample(spark, sf), "vec_id")
+    return V.pairwise_histogram(_emb(spark, sf), "vec_id")
 
 
 @register("pairwise_cdf", f"""
@@ -233,7 +260,7 @@ WITH {SAMPLE_SQL}
 SELECT cut, round(count(*) FILTER (WHERE c >= cut) / (SELECT count(*) FROM pc), 6) AS share_ge
 FROM pc, (VALUES (0.85::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE)) t(cut) GROUP BY cut""")
 def q_pairwise_cdf(spark, sf):
-    return V.pairwise_cdf(_sample(spark, sf), "vec_id")
+    return V.pairwise_cdf(_emb(spark, sf), "vec_id")
 
 
 NSQ = S.norm_sq("embedding")
@@ -302,10 +329,8 @@ def q_workload_diversity(spark, sf):
 
 
 @register("semantic_coverage", f"""
-WITH {S.fill_nn(table='embeddings')},
-smp AS (SELECT vec_id FROM fs WHERE NOT is_cache ORDER BY {S.md5_key(42, 'coverage', 'vec_id')}, vec_id LIMIT 2000)
-SELECT count(*) AS n_sampled, round(avg(dist), 6) AS semantic_coverage_avg_dist
-FROM nn WHERE query_id IN (SELECT vec_id FROM smp)""")
+WITH {S.fill_nn(table='embeddings')}
+SELECT count(*) AS n_rows, round(avg(dist), 6) AS semantic_coverage_avg_dist FROM nn""")
 def q_semantic_coverage(spark, sf):
     parts = fill_split(_emb(spark, sf).select("vec_id", "embedding"), id_col="vec_id")
     stream = parts.filter(F.col("part") == "eval")
@@ -331,12 +356,12 @@ def q_cache_stats(spark, sf):
     return V.cache_stats(cache, lk)
 
 
-@register("vector_table_roundtrip", f"WITH {S.holdout()},{PAIRS_L2} {S.topk('pairs', 5)}")
+@register("vector_table_roundtrip", f"{IVF_SQL} {S.topk('ivf', 5)}")
 def q_vector_table_roundtrip(spark, sf):
-    """Save the vector table partitioned by cell + centres, load, search every cell."""
+    """Save the vector table partitioned by cell + centres, load, search the four nearest cells (the others are not read)."""
     q, db = _holdout(spark, sf)
-    idx = ann.IVFIndex.build(db, nlist=8, seed=42, id_col="vec_id")
+    idx = _ivf(spark, sf, db)
     path = ann.roundtrip_path(spark, "ivf")
     idx.save(path)
     back = ann.IVFIndex.load(spark, path, "vec_id")
-    return _r6(back.search(q, 5, nprobe=8, q_id="vec_id"), "dist")
+    return _r6(back.search(q, 5, nprobe=4, q_id="vec_id"), "dist")

@@ -152,3 +152,23 @@ hp AS (
 bits AS (
   SELECT ex.vec_id, hp.p, sum(ex.v * hp.h) > 0 AS bit
   FROM {explode_vec(table)} ex JOIN hp ON ex.i = hp.i GROUP BY ex.vec_id, hp.p)"""
+
+
+def label_cells(rows: str, name: str = "") -> str:
+    """CTE ``probe<name>`` (vec_id, cell, dist, place): the per-label means of ``embeddings`` by distance from
+    each vector of ``rows`` (nearest is place 1, ties by label)."""
+    return f"""
+cx{name} AS (SELECT label, i, avg(v) AS m FROM {explode_vec('embeddings', ', label')} GROUP BY label, i),
+cd{name} AS (SELECT x.vec_id, c.label AS cell, sum((x.v - c.m) * (x.v - c.m)) AS dist
+        FROM {explode_vec(rows)} x JOIN cx{name} c ON x.i = c.i GROUP BY x.vec_id, c.label),
+probe{name} AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, cell) AS place FROM cd{name})"""
+
+
+def ivf_pairs(queries: str, database: str, nprobe: int, probe: str = "probe", name: str = "ivf") -> str:
+    """CTE ``<name>`` (query_id, nn_id, dist): pairs whose database row lies in one of the query's
+    ``nprobe`` nearest cells."""
+    return f"""
+{name} AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS nn_id, {sq_l2('q.embedding', 'd.embedding')} AS dist
+  FROM {queries} q JOIN {probe} pq ON pq.vec_id = q.vec_id AND pq.place <= {nprobe}
+  JOIN {probe} pd ON pd.cell = pq.cell AND pd.place = 1 JOIN {database} d ON d.vec_id = pd.vec_id)"""

@@ -176,3 +176,82 @@ def test_broadcast_database_strategy_matches(spark):
     cnt_a = {r.query_id: r.n_within for r in range_count(q, db, 1.5, exclude_self=False).collect()}
     cnt_b = {r.query_id: r.n_within for r in range_count(q, db, 1.5, exclude_self=False, strategy="broadcast_database").collect()}
     assert cnt_a == cnt_b
+
+
+def test_pairwise_over_more_than_two_thousand_rows(spark):
+    """All pairs count: closed-form moments, block extremes and shares against numpy."""
+    rng = np.random.default_rng(11)
+    X = unit(rng.normal(size=(2100, 6))).astype(np.float32)
+    df = vectors_df(spark, X)
+    S = (X.astype(float) @ X.T.astype(float))[np.triu_indices(2100, 1)]
+    row = V.pairwise_cosine(df, "id").first()
+    assert row.n_pairs == len(S)
+    for got, want in ((row["mean"], S.mean()), (row["std"], S.std()), (row["min"], S.min()), (row["max"], S.max())):
+        assert abs(got - want) < 1e-5
+    shares = {r.cut: r.share_ge for r in V.pairwise_cdf(df, "id").collect()}
+    assert all(abs(shares[c] - (S >= c).mean()) < 1e-5 for c in shares)
+    hist = V.pairwise_histogram(df, "id").toPandas()
+    assert hist["count"].sum() == len(S)
+
+
+def test_coverage_uses_the_whole_stream(spark):
+    rng = np.random.default_rng(12)
+    X, C = unit(rng.normal(size=(2200, 6))), unit(rng.normal(size=(30, 6)))
+    row = V.semantic_coverage(vectors_df(spark, X, id_col="query_id"), vectors_df(spark, C, id_col="cache_id")).first()
+    want = ((X.astype(np.float32).astype(float)[:, None] - C.astype(np.float32).astype(float)[None]) ** 2).sum(axis=2).min(axis=1).mean()
+    assert row.n_rows == 2200 and abs(row.semantic_coverage_avg_dist - want) < 1e-6
+
+
+def test_more_cells_than_rows_is_an_error(spark):
+    with pytest.raises(ValueError, match="nlist"):
+        ann.IVFIndex.build(vectors_df(spark, unit(np.random.default_rng(1).normal(size=(5, 4)))), nlist=6)
+
+
+def test_failing_backend_gives_an_error_row(spark, monkeypatch):
+    """An error while the search runs, not only one while it is planned."""
+    from pyspark.sql import functions as F
+
+    from cachelens.plans import evaluation as EV
+
+    real = ann.knn_index
+
+    def breaks(kind, *a, **kw):
+        out = real(kind, *a, **kw)
+        return out.withColumn("dist", F.raise_error(F.lit("lost")).cast("double")) if kind == "ivf" else out
+
+    monkeypatch.setattr(EV.ann, "knn_index", breaks)
+    emb = vectors_df(spark, unit(np.random.default_rng(2).normal(size=(60, 8))), id_col="vec_id")
+    rows = EV.backend_comparison(emb, (("flat", {}), ("ivf", {"nlist": 4, "nprobe": 2}))).toPandas()
+    assert (rows.backend == "flat").sum() == 15
+    bad = rows[rows.backend == "ivf"]
+    assert len(bad) == 1 and "lost" in bad.error.iloc[0] and bad.strategy.iloc[0] == "random"
+
+
+def test_benchmark_with_trained_centres_workloads_and_error_rows(spark):
+    from cachelens.plans import evaluation as EV
+
+    rng = np.random.default_rng(3)
+    X = unit(np.repeat(unit(rng.normal(size=(6, 16))), 40, axis=0) + 0.3 * rng.normal(size=(240, 16)))
+    emb = vectors_df(spark, X, id_col="vec_id")
+    rows = EV.knn_benchmark(emb, ivf_grid=[(6, 1), (6, 6), (4096, 16)], lsh_grid=[64]).toPandas()
+    assert set(rows.workload) == {"uniform", "clustered", "bursty"} and len(rows) == 5 * 3
+    ivf = rows[(rows.index_type == "ivf") & rows.error.isna()]
+    assert (ivf[ivf.params.map(lambda p: p["nprobe"]) == 6].recall_at_10 == 1.0).all()
+    assert (ivf[ivf.params.map(lambda p: p["nprobe"]) == 1].recall_at_10 > 0.4).all()
+    assert rows[rows.params.map(lambda p: p.get("nlist") == 4096)].error.str.contains("nlist").all()
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_float32_scores_keep_the_exact_result(spark, metric):
+    """Neighbours that differ in the last bits of float32 are told apart."""
+    rng = np.random.default_rng(7)
+    base = unit(rng.normal(size=(1, 24)))
+    X = (base + 1e-6 * rng.normal(size=(400, 24))).astype(np.float32)
+    Q = (base + 1e-6 * rng.normal(size=(5, 24))).astype(np.float32)
+    x, q = X.astype(float), Q.astype(float)
+    score = -(q @ x.T) if metric == "ip" else ((q[:, None] - x[None]) ** 2).sum(axis=2)
+    for how in ({}, {"strategy": "grid", "rows_per_block": 50}):
+        got = knn(vectors_df(spark, Q, id_col="query_id"), vectors_df(spark, X), 7, metric=metric, **how).collect()
+        for i in range(5):
+            own = [r.neighbor_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == i]
+            assert np.allclose(score[i][own], np.sort(score[i])[:7], atol=1e-15)
