@@ -1,8 +1,8 @@
 """Evaluation plans composed from the operators.
 
-Each configuration is a lazy DataFrame; configurations are unioned so one Spark job runs
-them. The exact ground truth, reused by every configuration, is checkpointed once into
-the shared checkpoint folder (lineage cut; survives executor loss).
+Each configuration's result is written to the shared folder inside its own ``try``, so a
+configuration that fails while it runs becomes an error row and the others stand. The exact
+ground truth is computed once per distinct split and reused.
 """
 
 from __future__ import annotations
@@ -11,55 +11,82 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cachelens.operators import ann, routing
-from cachelens.operators.sampling import holdout_split
+from cachelens.operators.sampling import fill_split, holdout_split
 from cachelens.operators.vector_join import knn
-from cachelens.operators.vectors import md5_sample
+from cachelens.operators.vectors import distance_analysis, md5_sample
 from cachelens.plans.routing_eval import fill_nn, nn_table
 from cachelens.session import materialize
 
-# Parameter grids of the benchmark (adapted to small tables: nlist > N falls back inside IVF).
-IVF_GRID = [(16, 1), (16, 4), (64, 4), (64, 16)]
-LSH_GRID = [64, 128, 256]
+# Parameter grids of the benchmark, as (nlist, nprobe) and code bits. More cells
+# than rows is an error row.
+IVF_GRID = [(64, 1), (64, 4), (256, 4), (256, 16), (316, 16), (316, 64), (707, 32), (707, 128), (1024, 16),
+            (1024, 64), (1024, 128), (4096, 16), (4096, 64), (4096, 128)]
+LSH_GRID = [384, 768, 1536]
+WORKLOADS = ("uniform", "clustered", "bursty")
 RUN_SCHEMA = ("index_type string, params map<string,double>, dataset_size long, dataset_label string, "
               "workload string, recall_at_1 double, recall_at_5 double, recall_at_10 double, error string")
 
 
 # ------------------------------------------------------------------------------ F13, F14, F15
 
+def _sweep_rows(nn: DataFrame, strategy: str, backend: str, thresholds) -> DataFrame:
+    return routing.threshold_sweep(nn, thresholds).withColumn("strategy", F.lit(strategy)).withColumn("backend", F.lit(backend))
+
+
 def strategy_evaluation(emb: DataFrame, strategies=("random", "chronological"), backend: str = "flat",
                         thresholds=routing.DEFAULT_THRESHOLDS, id_col: str = "vec_id", ratio: float = 0.5,
                         seed: int = 42, **backend_params) -> DataFrame:
     """Per fill strategy: split -> kNN (backend and exact) -> threshold sweep rows."""
     out = None
     for strategy in strategies:
-        approx = None
-        if backend != "flat":
-            cols = [id_col, "embedding"]
-            from cachelens.operators.sampling import fill_split
-            parts = fill_split(emb.select(*cols), id_col=id_col, ratio=ratio, strategy=strategy, seed=seed)
-            cache = parts.filter(F.col("part") == "cache")
-            ev = parts.filter(F.col("part") == "eval")
-            approx = ann.knn_index(backend, ev, cache, 1, q_id=id_col, d_id=id_col, **backend_params)
-            nn = nn_table(ev, cache, q_id=id_col, d_id=id_col, approx=approx)
-        else:
-            nn = fill_nn(emb, id_col, strategy, ratio, seed)
-        sw = routing.threshold_sweep(nn, thresholds).withColumn("strategy", F.lit(strategy)) \
-            .withColumn("backend", F.lit(backend))
+        nn = strategy_nn(emb, strategy, backend, id_col, ratio, seed, **backend_params)
+        sw = _sweep_rows(nn, strategy, backend, thresholds)
         out = sw if out is None else out.unionByName(sw)
     return out
 
 
+def strategy_nn(emb: DataFrame, strategy: str, backend: str = "flat", id_col: str = "vec_id", ratio: float = 0.5,
+                seed: int = 42, **backend_params) -> DataFrame:
+    """Nearest cache entry of every evaluation row under a fill strategy, by a backend and exactly."""
+    if backend == "flat":
+        return fill_nn(emb, id_col, strategy, ratio, seed)
+    parts = fill_split(emb.select(id_col, "embedding"), id_col=id_col, ratio=ratio, strategy=strategy, seed=seed)
+    cache = parts.filter(F.col("part") == "cache")
+    ev = parts.filter(F.col("part") == "eval")
+    approx = ann.knn_index(backend, ev, cache, 1, q_id=id_col, d_id=id_col, **backend_params)
+    return nn_table(ev, cache, q_id=id_col, d_id=id_col, approx=approx)
+
+
+def evaluation_bundle(emb: DataFrame, strategies=("random", "chronological"), id_col: str = "vec_id", ratio: float = 0.5,
+                      seed: int = 42, min_quality: float = 0.8, backend: str = "flat", **backend_params) -> DataFrame:
+    """F13 as one row per strategy: sizes of the two parts, the adaptive result (F7) and the
+    distance analysis (F8) of the same nearest-neighbour table, which is searched once."""
+    n = emb.count()
+    out = None
+    for strategy in strategies:
+        nn = materialize(strategy_nn(emb, strategy, backend, id_col, ratio, seed, **backend_params), "nn")
+        adaptive = routing.adaptive_routing(nn, min_quality=min_quality, seed=seed)
+        distances = distance_analysis(nn).select(*[F.col(c).alias(f"dist_{c}") for c in ("mean", "std", "median", "min", "max", "p5", "p95")])
+        row = adaptive.crossJoin(distances).select(  # one row each
+            F.lit(strategy).alias("strategy"), F.lit(backend).alias("backend"), F.lit(int(n * ratio)).cast("long").alias("cache_size"),
+            F.lit(n - int(n * ratio)).cast("long").alias("eval_size"), *adaptive.columns, *distances.columns)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def backend_comparison(emb: DataFrame, backends=(("flat", {}), ("ivf", {"nlist": 16, "nprobe": 4})),
-                       **kw) -> DataFrame:
-    """F13 with the random fill for each backend (LSH is left out: its distance is Hamming)."""
+                       strategy: str = "random", thresholds=routing.DEFAULT_THRESHOLDS, **kw) -> DataFrame:
+    """F13 with one fill for each backend (LSH is left out: its distance is Hamming). A backend
+    that fails, while planning or while running, gives one row with its error."""
+    spark = emb.sparkSession
     out = None
     for name, params in backends:
         try:
-            r = strategy_evaluation(emb, ("random",), name, **params, **kw)
+            rows = materialize(strategy_evaluation(emb, (strategy,), name, thresholds, **params, **kw), "backend")
+            rows = rows.withColumn("error", F.lit(None).cast("string"))
         except Exception as e:  # noqa: BLE001 - a failing backend is recorded, not fatal
-            spark = emb.sparkSession
-            r = spark.createDataFrame([(name, str(e)[:500])], "backend string, error string")
-        out = r if out is None else out.unionByName(r, allowMissingColumns=True)
+            rows = spark.createDataFrame([(strategy, name, str(e))], "strategy string, backend string, error string")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
 
 
@@ -77,9 +104,10 @@ def multi_seed_summary(emb: DataFrame, seeds=(42, 123, 456), strategies=("random
                        threshold: float = 1.2, id_col: str = "vec_id") -> DataFrame:
     """Per strategy and metric: mean/std(pop)/min/max over seeds, rounded to 4."""
     rows = None
-    for seed in seeds:
-        for strategy in strategies:
-            sw = routing.threshold_sweep(fill_nn(emb, id_col, strategy, 0.5, seed), [threshold])
+    for strategy in strategies:
+        for seed in seeds:
+            if strategy == "random" or seed == seeds[0]:  # the other splits do not depend on the seed
+                sw = materialize(routing.threshold_sweep(fill_nn(emb, id_col, strategy, 0.5, seed), [threshold]), "sweep")
             r = sw.select(F.lit(strategy).alias("strategy"), F.lit(seed).alias("seed"),
                           *[F.col(m).cast("double").alias(m) for m in METRICS])
             rows = r if rows is None else rows.unionByName(r)
@@ -93,81 +121,71 @@ def multi_seed_summary(emb: DataFrame, seeds=(42, 123, 456), strategies=("random
 # ------------------------------------------------------------------------------ F16
 
 def knn_benchmark(emb: DataFrame, label: str = "full", id_col: str = "vec_id", query_count: int = 1000,
-                  k: int = 10, seed: int = 42, ivf_grid=IVF_GRID, lsh_grid=LSH_GRID,
-                  workloads=("uniform", "clustered")) -> DataFrame:
+                  k: int = 10, seed: int = 42, ivf_grid=IVF_GRID, lsh_grid=LSH_GRID, workloads=WORKLOADS,
+                  centers=None) -> DataFrame:
     """Holdout split, exact truth at k, then each (index, params, workload) -> a recall row.
 
-    All configurations' results are unioned with a configuration id and scored against
-    the (checkpointed) truth in one join + aggregation. Workload ``uniform`` weighs every
-    held-out query once; ``clustered`` draws as many queries with replacement, Zipf over the
-    k-means cells of the database (k = min(n_clusters, N // 5), at least 2), and weighs each
-    query by how often it was drawn."""
+    Every configuration's neighbours are written once inside its own ``try`` and scored against the
+    truth in one join and aggregation; a failing one becomes an error row. Centres are fitted
+    once per nlist (or given, for nlist = their number) and searched with every nprobe. Workload
+    ``uniform`` weighs every held-out query once; ``clustered`` and ``bursty`` draw as many
+    queries with replacement over the k-means cells of the database and weigh each query by
+    how often it was drawn."""
     from cachelens.operators.vectors import recall_by_config
 
+    spark = emb.sparkSession
     split = holdout_split(emb.select(id_col, "embedding"), id_col=id_col, query_count=query_count, seed=seed)
     q = split.filter(F.col("split") == "query")
     db = split.filter(F.col("split") == "database")
     n_db = db.count()
-    truth = materialize(knn(q, db, k, q_id=id_col, d_id=id_col))
-    configs = [("flat", {})] + [("ivf", {"nlist": float(a), "nprobe": float(b)}) for a, b in ivf_grid] \
-        + [("lsh", {"nbits": float(b)}) for b in lsh_grid]
-    spark = emb.sparkSession
-    built = {}  # one IVF index per nlist, searched with every nprobe
-    results, meta = [], []
-    for kind, params in configs:
-        cid = len(meta)
-        pmap = {key: float(v) for key, v in params.items()}
+    truth = materialize(knn(q, db, k, q_id=id_col, d_id=id_col), "truth")
+    configs = [("flat", {})] + [("ivf", {"nlist": a, "nprobe": b}) for a, b in ivf_grid] + [("lsh", {"nbits": b}) for b in lsh_grid]
+    built, results, meta = {}, [], []
+    for cid, (kind, params) in enumerate(configs):
+        error = None
         try:
-            if kind == "ivf" and params["nlist"] > n_db:
-                continue
-            p = {key: int(v) for key, v in params.items()}
             if kind == "flat":
                 approx = truth
             elif kind == "ivf":
-                if p["nlist"] not in built:
-                    built[p["nlist"]] = ann.IVFIndex.build(db, p["nlist"], seed, id_col)
-                approx = built[p["nlist"]].search(q, k, p["nprobe"], q_id=id_col)
+                nlist = params["nlist"]
+                if nlist not in built:
+                    own = centers if centers is not None and len(centers) == nlist else None
+                    built[nlist] = ann.IVFIndex.build(db, nlist, seed, id_col, centers=own)
+                approx = built[nlist].search(q, k, params["nprobe"], q_id=id_col)
             else:
-                approx = ann.knn_index(kind, q, db, k, q_id=id_col, d_id=id_col, **p)
-            results.append(approx.select(F.lit(cid).alias("config"), "query_id", "rank", "neighbor_id"))
-            meta.append((cid, kind, pmap, None))
+                approx = ann.knn_index(kind, q, db, k, q_id=id_col, d_id=id_col, seed=seed, **params)
+            rows = approx.select(F.lit(cid).alias("config"), "query_id", "rank", "neighbor_id")
+            results.append(materialize(rows, "bench-approx"))
         except Exception as e:  # noqa: BLE001 - a failing configuration becomes an error row
-            meta.append((cid, kind, pmap, str(e)[:500]))
+            error = str(e)
+        meta.append((cid, kind, {key: float(v) for key, v in params.items()}, error))
     # configurations x workloads: two short parameter lists, expanded in Python
     table = spark.createDataFrame([(c, kind, pm, w, err) for (c, kind, pm, err) in meta for w in workloads],
                                   "config int, index_type string, params map<string,double>, workload string, "
                                   "error string")
+    allres = results[0]
+    for r in results[1:]:
+        allres = allres.unionByName(r)
     ok_ids = [m[0] for m in meta if m[3] is None]
     recs = None
-    if results:
-        allres = results[0]
-        for r in results[1:]:
-            allres = allres.unionByName(r)
-        # every configuration's neighbours are computed once and reused by every workload
-        allres = materialize(allres, "bench-approx")
-        for workload in workloads:
-            w = None if workload == "uniform" else workload_weights(q, db, workload, id_col, seed)
-            rec = recall_by_config(allres, truth, ok_ids, (1, 5, 10), weights=w).withColumn("workload", F.lit(workload))
-            recs = rec if recs is None else recs.unionByName(rec)
-    if recs is not None:
-        wide = recs.groupBy("config", "workload").pivot("k", [1, 5, 10]).agg(F.first("recall"))
-        table = table.join(wide, ["config", "workload"], "left")
-    else:
-        table = table.withColumn("1", F.lit(None).cast("double")) \
-            .withColumn("5", F.lit(None).cast("double")).withColumn("10", F.lit(None).cast("double"))
-    return table.select(
+    for workload in workloads:
+        w = None if workload == "uniform" else workload_weights(q, db, workload, id_col, seed, n_db=n_db)
+        rec = recall_by_config(allres, truth, ok_ids, (1, 5, 10), weights=w).withColumn("workload", F.lit(workload))
+        recs = rec if recs is None else recs.unionByName(rec)
+    wide = recs.groupBy("config", "workload").pivot("k", [1, 5, 10]).agg(F.first("recall"))
+    return table.join(wide, ["config", "workload"], "left").select(
         "index_type", "params", F.lit(n_db).cast("long").alias("dataset_size"), F.lit(label).alias("dataset_label"),
         "workload", F.col("1").alias("recall_at_1"), F.col("5").alias("recall_at_5"),
         F.col("10").alias("recall_at_10"), "error")
 
 
 def workload_weights(q: DataFrame, db: DataFrame, workload: str, id_col: str, seed: int,
-                     n_clusters: int = 20) -> DataFrame:
+                     n_clusters: int = 20, n_db: int | None = None) -> DataFrame:
     """``(query_id, w)``: how often each held-out query is drawn by the workload."""
     from cachelens.operators.ordering import dense_ids
     from cachelens.operators.sampling import sample_bursty, sample_zipf_clusters
 
-    n_db = db.count()
+    n_db = n_db or db.count()
     k = max(2, min(n_clusters, n_db // 5))
     centers = ann.kmeans_centers(db, k, seed)
     from cachelens.operators.vectors import assign_nearest
@@ -184,16 +202,13 @@ def workload_weights(q: DataFrame, db: DataFrame, workload: str, id_col: str, se
     return rows.join(counts, "query_id").select(F.col("_orig").alias("query_id"), "w")
 
 
-def knn_benchmark_scales(emb: DataFrame, scales=(("half", 0.5), ("full", 1.0)), id_col: str = "vec_id",
-                         full_workloads=("uniform", "clustered"), **kw) -> DataFrame:
-    """F16 at several scales: md5 samples of the table, labelled; the full scale is also run
-    under the clustered workload, smaller scales under the uniform one."""
+def knn_benchmark_scales(emb: DataFrame, scales=(("half", 0.5), ("full", 1.0)), id_col: str = "vec_id", **kw) -> DataFrame:
+    """F16 at several scales: md5 samples of the table, labelled, each under every workload."""
     n = emb.count()
     out = None
     for label, frac in scales:
         part = emb if frac >= 1.0 else md5_sample(emb, int(n * frac), 42, f"scale:{label}", id_col)
-        wl = full_workloads if frac >= 1.0 else ("uniform",)
-        r = knn_benchmark(part, label, id_col, workloads=kw.pop("workloads", wl), **kw)
+        r = knn_benchmark(part, label, id_col, **kw)
         out = r if out is None else out.unionByName(r)
     return out
 

@@ -12,15 +12,15 @@ from cachelens.functions.encoder import embed_text
 from cachelens.functions.text import strip_text
 from cachelens.operators import metrics as M
 from cachelens.operators import text as X
-from cachelens.operators.vectors import collect_centroids, validate_embeddings
+from cachelens.operators.vectors import validate_embeddings
 from cachelens.plans import sqlfrag as S
 from cachelens.plans.catalog import T, register
-from cachelens.plans.q_routing import NN
+from cachelens.plans.q_routing import BENCH_SQL, NN, bench_runs, flat_params
 from cachelens.plans.q_text import DEDUP, STRIP
 from cachelens.plans.routing_eval import flagship
 from cachelens.session import checkpoint_dir, table_path
 from cachelens.sources import tables as src
-from cachelens.streaming import cache_stream as st
+from cachelens.streaming import lookup_stream as st
 
 
 def _scratch(spark, name):
@@ -34,8 +34,8 @@ def q_scan_queries(spark, sf):
 
 @register("scan_conversations", "SELECT conv_id, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
 def q_scan_conversations(spark, sf):
-    nested = src.nest_conversations(src.scan_conversations(spark, table_path(sf, "conversations")))
-    return nested.select("conv_id", F.transform("conversation", lambda t: t["role"]).alias("roles"))
+    turns = src.scan_conversations(spark, table_path(sf, "conversations")).select("conv_id", "turn", "role", F.lit(None).cast("string").alias("text"))
+    return src.nest_conversations(turns).select("conv_id", F.transform("conversation", lambda t: t["role"]).alias("roles"))
 
 
 @register("first_user_turn_nested", f"""
@@ -44,9 +44,13 @@ WITH a AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS f
 SELECT conv_id::BIGINT AS query_id, {STRIP.format(c='fu')} AS query_text, num_turns::INTEGER AS num_turns
 FROM a WHERE fu IS NOT NULL AND length({STRIP.format(c='fu')}) > 0""")
 def q_first_user_turn_nested(spark, sf):
-    nested = src.nest_conversations(T(spark, sf, "conversations"))
-    first = F.get(F.filter("conversation", lambda t: t["role"] == "user"), 0)
-    out = nested.select(F.col("conv_id").alias("query_id"), strip_text(first["content"]).alias("query_text"),
+    """The nested form needs all roles but one text: the other texts do not enter the lists."""
+    turns = T(spark, sf, "conversations")
+    first = turns.filter("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("_first"))
+    slim = turns.join(first, "conv_id", "left").withColumn("text", F.when(F.col("turn") == F.col("_first"), F.col("text"))).drop("_first")
+    nested = src.nest_conversations(slim)
+    told = F.get(F.filter("conversation", lambda t: t["role"] == "user"), 0)
+    out = nested.select(F.col("conv_id").alias("query_id"), strip_text(told["content"]).alias("query_text"),
                         F.size("conversation").cast("int").alias("num_turns"))
     return out.filter(F.col("query_text").isNotNull() & (F.length("query_text") > 0))
 
@@ -70,14 +74,12 @@ def q_write_results(spark, sf):
     return back.select("row.*")
 
 
-@register("scan_benchmark_results")
+@register("scan_benchmark_results", BENCH_SQL)
 def q_scan_benchmark_results(spark, sf):
-    from cachelens.plans.q_routing import _bench_table
-
-    runs = _bench_table(spark, sf)
+    runs = bench_runs(spark, sf)
     folder = _scratch(spark, "bench")
     src.write_benchmark_files(runs, folder)
-    return src.scan_benchmark_results(spark, os.path.join(folder, "index_benchmark_*.json"))
+    return flat_params(src.scan_benchmark_results(spark, os.path.join(folder, "index_benchmark_*.json")))
 
 
 @register("latency_stats", """
@@ -111,77 +113,45 @@ def q_validate_text_embeddings(spark, sf):
     return validate_embeddings(emb, dim=64).select("doc_id", "unit_norm")
 
 
-def _event_accesses(df):
-    return df.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"))
-
+NEAR_SQL = f"""
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, {S.sq_l2('a.embedding', 'b.embedding')} AS dist
+          FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+near AS (SELECT query_id, neighbor_id, dist, dist <= 1.3 AS hit FROM pairs
+         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) = 1)"""
 
-@register("stream_key_cache")
-def q_stream_key_cache(spark, sf):
-    live = _event_accesses(st.file_stream(spark, sf, "events"))
-    return st.run_to_table(st.key_cache_tagging(live, capacity=10, policy="lru"), "keys")
 
+@register("stream_semantic_tag", f"WITH {NEAR_SQL} SELECT query_id, neighbor_id, round(dist, 6) AS dist, hit FROM near")
+def q_stream_semantic_tag(spark, sf):
+    """The embeddings as a stream, tagged by their nearest other entry of the whole table."""
+    live = st.file_stream(spark, sf, "embeddings").select("vec_id", "embedding")
+    cache = T(spark, sf, "embeddings").select("vec_id", "embedding")
+    tagged = st.tag_by_vector(live, cache, 1.3, q_id="vec_id", c_id="vec_id", exclude_self=True)
+    return tagged.withColumn("dist", F.round("dist", 6))
 
-@register("key_cache_batch")
-def q_key_cache_batch(spark, sf):
-    return st.key_cache_tagging(_event_accesses(T(spark, sf, "events")), capacity=10, policy="lfu")
 
+KEY_SQL = """
+keys AS (SELECT user_id AS key, min(ts::TIMESTAMP) AS since FROM events WHERE event_type = 'signup' GROUP BY user_id),
+tagged AS (SELECT e.event_id, e.user_id, e.ts::TIMESTAMP AS ts, coalesce(k.since < e.ts::TIMESTAMP, false) AS hit
+           FROM events e LEFT JOIN keys k ON k.key = e.user_id)"""
 
-def _label_centers(spark, sf):
-    return collect_centroids(T(spark, sf, "embeddings"), "label")[1]
 
+def _key_tags(spark, sf):
+    def rows(df):
+        return df.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
 
-def _vec_stream(spark, sf):
-    live = st.file_stream(spark, sf, "embeddings")
-    return live.select("vec_id", F.col("vec_id").alias("seq"), "embedding")
+    keys = rows(T(spark, sf, "events")).filter("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("since"))
+    return st.tag_by_key(rows(st.file_stream(spark, sf, "events")).drop("event_type"), keys, "user_id", "ts", "since")
 
 
-@register("stream_semantic_tag")
-def q_stream_semantic_tag(spark, sf):
-    tagged = st.semantic_tagging(_vec_stream(spark, sf), _label_centers(spark, sf), capacity=20,
-                                 policy="lru", threshold=1.3)
-    return st.run_to_table(tagged, "semantic")
+@register("stream_key_cache", f"WITH {KEY_SQL} SELECT event_id, user_id, hit FROM tagged")
+def q_stream_key_cache(spark, sf):
+    """S3: the events as a stream against the table of users that have signed up before."""
+    return st.run_to_table(_key_tags(spark, sf), "keys").select("event_id", "user_id", "hit")
 
 
-@register("stream_hit_rate")
+@register("stream_hit_rate", f"""
+WITH {KEY_SQL}
+SELECT (epoch_us(ts) // 3600000000)::BIGINT AS hour, count(*) AS lookups, count(*) FILTER (WHERE hit) AS hits FROM tagged GROUP BY 1""")
 def q_stream_hit_rate(spark, sf):
-    tagged = st.semantic_tagging(_vec_stream(spark, sf), _label_centers(spark, sf), capacity=20,
-                                 policy="semantic", threshold=1.3, redundancy_threshold=1.5)
-    return st.run_updates_to_table(st.stream_hit_rate(tagged), "semantic-rate", ["cell"])
-
-
-# --------------------------------------------------------------------------------------------
-# Synthetic queries, as many as there are documents
-
-from cachelens.sources import synth  # noqa: E402
-
-
-def _synth_sql(seed: int = 42, dup_rate: float = 0.05) -> str:
-    def pick(options, u):
-        lst = "[" + ", ".join("'" + o.replace("'", "''") + "'" for o in options) + "]"
-        return f"list_extract({lst}, (floor({u} * {len(options)}) + 1)::INTEGER)"
-
-    cats = list(synth.TEMPLATES)
-    cat = pick(cats, S.uniform(seed, "category", "original_index"))
-    u_t = S.uniform(seed, "template", "original_index")
-    tmpl = "CASE " + " ".join(f"WHEN cat = '{c}' THEN {pick(synth.TEMPLATES[c], u_t)}" for c in cats) + " END"
-    text = "tmpl"
-    for key, options in synth.VALUES.items():
-        text = f"replace({text}, '{{{key}}}', {pick(options, S.uniform(seed, 'fill:' + key, 'original_index'))})"
-    n = "(SELECT count(*) FROM documents)"
-    return f"""
-WITH b AS (SELECT range AS original_index FROM range({n})),
-c AS (SELECT original_index, {cat} AS cat FROM b),
-t AS (SELECT original_index, {tmpl} AS tmpl FROM c),
-base AS (SELECT original_index, {text} AS query_text FROM t),
-d AS (SELECT range + {n} AS original_index FROM range(floor({n} * {dup_rate!r}::DOUBLE)::BIGINT)),
-dups AS (SELECT d.original_index, base.query_text FROM d
-         JOIN base ON base.original_index = floor({S.uniform(seed, 'dup', 'd.original_index')} * {n})::BIGINT),
-al AS (SELECT * FROM base UNION ALL SELECT * FROM dups)
-SELECT row_number() OVER (ORDER BY {S.md5_key(seed, 'shuffle', 'original_index')}, original_index) - 1 AS query_id,
-       query_text, original_index FROM al"""
-
-
-@register("synthesize_queries", _synth_sql())
-def q_synthesize_queries(spark, sf):
-    n = T(spark, sf, "documents").count()
-    return synth.synthesize_queries(spark, n, seed=42)
+    """Hits and lookups per hour of the same stream, a watermarked aggregation."""
+    return st.run_updates_to_table(st.hit_rate_by_hour(_key_tags(spark, sf)), "rate", ["hour"])

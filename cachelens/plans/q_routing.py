@@ -23,6 +23,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from cachelens.functions.cost import CostModel  # noqa: E402
 from cachelens.functions.vector import cosine_quality  # noqa: E402
+from cachelens.operators.vectors import collect_centroids  # noqa: E402
 from cachelens.plans import evaluation as EV  # noqa: E402
 from cachelens.plans.routing_eval import holdout_nn  # noqa: E402
 
@@ -128,8 +129,7 @@ def q_calibrate_threshold(spark, sf):
     return routing.calibrate_threshold(_nn(spark, sf), min_quality=0.35).drop("_t_exact")
 
 
-@register("adaptive_routing", f"""
-WITH {NN},
+ADAPTIVE_SQL = f"""
 r AS (SELECT *, row_number() OVER (ORDER BY {S.md5_key(43, 'calibration', 'query_id')}, query_id)
                 <= (SELECT greatest(10, floor(count(*) * 0.2::DOUBLE)) FROM nn) AS is_cal FROM nn),
 cal AS (SELECT * FROM r WHERE is_cal), test AS (SELECT * FROM r WHERE NOT is_cal),
@@ -139,14 +139,18 @@ a AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE dist <= t) AS n_hits,
              sum(CASE WHEN dist <= t THEN {S.cosine_quality('dist')} END) AS sq,
              count(*) FILTER (WHERE dist <= t AND nn_id = gt_id) AS ss,
              count(*) FILTER (WHERE dist <= t AND dist <= gt_dist * 2.0 + 0.01) AS sd FROM test, bt),
-h AS (SELECT *, CASE WHEN n > 0 THEN n_hits / n ELSE 0.0 END AS hr FROM a)
+h AS (SELECT *, CASE WHEN n > 0 THEN n_hits / n ELSE 0.0 END AS hr FROM a),
+ad AS (
 SELECT round((SELECT t FROM bt), 4) AS best_threshold, (SELECT count(*) FROM cal) AS calibration_size,
        n::BIGINT AS test_size, round(hr, 4) AS test_hit_rate,
        round(CASE WHEN n_hits > 0 THEN sq / n_hits ELSE 1.0 END, 4) AS retrieval_similarity,
        round(CASE WHEN n_hits > 0 THEN ss / n_hits ELSE 1.0 END, 4) AS recall_at_1,
        round(CASE WHEN n_hits > 0 THEN sd / n_hits ELSE 1.0 END, 4) AS distance_quality,
        {S.savings('hr', 0.5)[1]} AS latency_saving_pct, {S.savings('hr', 0.5)[3]} AS monetary_saving_pct
-FROM h""")
+FROM h)"""
+
+
+@register("adaptive_routing", f"WITH {NN},{ADAPTIVE_SQL} SELECT * FROM ad")
 def q_adaptive_routing(spark, sf):
     return routing.adaptive_routing(_nn(spark, sf), min_quality=0.35)
 
@@ -181,9 +185,22 @@ def q_best_fixed_threshold(spark, sf):
     return EV.best_fixed_threshold(EV.strategy_evaluation(T(spark, sf, "embeddings")))
 
 
-@register("backend_comparison")
+IVF_FILL_NN = f"""
+{S.fill_nn(table='embeddings')},
+fc AS (SELECT * FROM fs WHERE is_cache), fe AS (SELECT * FROM fs WHERE NOT is_cache),{S.label_cells('fs')},
+{S.ivf_pairs('fe', 'fc', 4)},
+best AS (SELECT query_id, nn_id, dist FROM ivf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, nn_id) = 1),
+ann AS (SELECT nn.query_id, best.nn_id, best.dist, nn.gt_id, nn.gt_dist FROM nn LEFT JOIN best ON best.query_id = nn.query_id)"""
+
+
+@register("backend_comparison", f"""
+SELECT *, 'random' AS strategy, 'flat' AS backend, NULL::VARCHAR AS error
+FROM (WITH {S.fill_nn(table='embeddings')}, {S.sweep_select('nn', routing.DEFAULT_THRESHOLDS)})
+UNION ALL SELECT *, 'random', 'ivf', NULL FROM (WITH {IVF_FILL_NN}, {S.sweep_select('ann', routing.DEFAULT_THRESHOLDS)})""")
 def q_backend_comparison(spark, sf):
-    return EV.backend_comparison(T(spark, sf, "embeddings"))
+    emb = T(spark, sf, "embeddings")
+    centers = collect_centroids(emb, "label")[1]
+    return EV.backend_comparison(emb, (("flat", {}), ("ivf", {"nlist": len(centers), "nprobe": 4, "centers": centers})))
 
 
 def _seed_rows_sql() -> str:
@@ -206,54 +223,108 @@ def q_multi_seed_summary(spark, sf):
     return EV.multi_seed_summary(T(spark, sf, "embeddings"))
 
 
-def _bench(spark, sf):
-    return EV.knn_benchmark_scales(T(spark, sf, "embeddings"))
-
-
-_BENCH_TABLES: dict = {}
-
+# The benchmark under the uniform workload with given centres (the label means) and three scales
+# of work: exact, two probe counts, one code length. SQL can state it; the unit tests run trained
+# centres, the other workloads and the error rows.
+BENCH_PROBES, BENCH_BITS = (1, 4), 64
+BENCH_SCALES = (("half", 0.5), ("full", 1.0))
 
-def _bench_table(spark, sf):
-    """The benchmark result table, written once per session and input folder into the shared
-    checkpoint folder; the result analytics below read it like the reference reads its
-    result files."""
-    import os
-    import uuid
 
-    from cachelens.session import checkpoint_dir
-    from cachelens.sources.tables import write_table
-
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf))
-    if key not in _BENCH_TABLES:
-        path = os.path.join(checkpoint_dir(spark), f"bench-results-{uuid.uuid4().hex[:12]}")
-        write_table(_bench(spark, sf), path)
-        _BENCH_TABLES[key] = path
-    return spark.read.parquet(_BENCH_TABLES[key])
-
-
-@register("knn_benchmark")
+def bench_runs(spark, sf):
+    emb = T(spark, sf, "embeddings")
+    centers = collect_centroids(emb, "label")[1]
+    return EV.knn_benchmark_scales(emb, BENCH_SCALES, ivf_grid=[(len(centers), p) for p in BENCH_PROBES], lsh_grid=[BENCH_BITS],
+                                   workloads=("uniform",), centers=centers)
+
+
+def _scale_sql(label: str, frac: float) -> str:
+    rows = "embeddings" if frac >= 1 else (
+        f"(SELECT * FROM embeddings ORDER BY {S.md5_key(42, f'scale:{label}', 'vec_id')}, vec_id "
+        f"LIMIT (SELECT floor(count(*) * {frac!r}::DOUBLE)::BIGINT FROM embeddings))")
+    nlist = "(SELECT count(DISTINCT label) FROM embeddings)"
+    probes = ",".join(S.ivf_pairs("hq", "hd", p, name=f"ivf{p}") for p in BENCH_PROBES)
+    kinds = [("flat", "MAP {}", S.topk("pairs", 10))]
+    kinds += [("ivf", f"MAP {{'nlist': {nlist}::DOUBLE, 'nprobe': {float(p)!r}::DOUBLE}}", S.topk(f"ivf{p}", 10)) for p in BENCH_PROBES]
+    kinds += [("lsh", f"MAP {{'nbits': {float(BENCH_BITS)!r}::DOUBLE}}", S.topk("hpairs", 10, "hamming"))]
+    found = " UNION ALL ".join(f"SELECT {i} AS config, query_id, neighbor_id, rank FROM ({sql})" for i, (_, _, sql) in enumerate(kinds))
+    names = " UNION ALL ".join(f"SELECT {i} AS config, '{kind}' AS index_type, {p}::MAP(VARCHAR, DOUBLE) AS params" for i, (kind, p, _) in enumerate(kinds))
+    recall = ", ".join(
+        f"round(avg((SELECT count(*) FROM truth t JOIN found f ON f.query_id = t.query_id AND f.neighbor_id = t.neighbor_id "
+        f"WHERE t.query_id = qs.query_id AND f.config = names.config AND t.rank <= {k} AND f.rank <= {k})::DOUBLE "
+        f"/ (SELECT count(*) FROM truth t WHERE t.query_id = qs.query_id AND t.rank <= {k})), 6) AS recall_at_{k}" for k in (1, 5, 10))
+    return f"""(
+WITH own AS (SELECT * FROM {rows}),
+hs AS (SELECT vec_id, embedding, label, row_number() OVER (ORDER BY {S.md5_key(42, 'holdout', 'vec_id')}, vec_id)
+              <= (SELECT least(1000, count(*) // 5) FROM own) AS is_q FROM own),
+hq AS (SELECT * FROM hs WHERE is_q), hd AS (SELECT * FROM hs WHERE NOT is_q),{S.label_cells('hs')},{probes},
+pairs AS (SELECT q.vec_id AS query_id, d.vec_id AS nn_id, {S.sq_l2('q.embedding', 'd.embedding')} AS dist FROM hq q, hd d),
+{S.lsh_bits('hs', BENCH_BITS)},
+hpairs AS (SELECT qb.vec_id AS query_id, db.vec_id AS nn_id, sum(CASE WHEN qb.bit <> db.bit THEN 1 ELSE 0 END)::DOUBLE AS hamming
+           FROM bits qb JOIN hq q ON q.vec_id = qb.vec_id JOIN bits db ON db.p = qb.p JOIN hd d ON d.vec_id = db.vec_id GROUP BY 1, 2),
+truth AS ({S.topk('pairs', 10)}), qs AS (SELECT DISTINCT query_id FROM truth), found AS ({found}), names AS ({names})
+SELECT index_type, params, (SELECT count(*) FROM hd) AS dataset_size, '{label}' AS dataset_label, 'uniform' AS workload, {recall},
+       NULL::VARCHAR AS error
+FROM names, qs GROUP BY names.config, index_type, params)"""
+
+
+BENCH_SQL = "SELECT * EXCLUDE (params), params['nlist'] AS nlist, params['nprobe'] AS nprobe, params['nbits'] AS nbits FROM (" \
+    + " UNION ALL ".join(f"SELECT * FROM {_scale_sql(*s)}" for s in BENCH_SCALES) + ")"
+
+
+def flat_params(runs):
+    return runs.select("*", *[F.col("params")[p].alias(p) for p in ("nlist", "nprobe", "nbits")]).drop("params")
+
+
+@register("knn_benchmark", BENCH_SQL)
 def q_knn_benchmark(spark, sf):
-    return _bench(spark, sf)
+    return flat_params(bench_runs(spark, sf))
 
 
-@register("best_config")
+@register("best_config", f"""
+SELECT * FROM ({BENCH_SQL}) WHERE index_type = 'ivf'
+ORDER BY recall_at_10 DESC, dataset_label, workload, nlist, nprobe LIMIT 1""")
 def q_best_config(spark, sf):
-    return EV.best_config(_bench_table(spark, sf), "ivf")
+    return flat_params(EV.best_config(bench_runs(spark, sf), "ivf"))
 
 
-@register("parameter_sensitivity")
+@register("parameter_sensitivity", f"""
+SELECT dataset_label, nlist, unnest(list(nprobe ORDER BY nprobe)) AS nprobe, unnest(list(recall_at_10 ORDER BY nprobe)) AS recall_at_10
+FROM ({BENCH_SQL}) WHERE index_type = 'ivf'
+GROUP BY dataset_label, nlist""")
 def q_parameter_sensitivity(spark, sf):
-    return EV.parameter_sensitivity(_bench_table(spark, sf))
+    series = EV.parameter_sensitivity(bench_runs(spark, sf))
+    return series.select("dataset_label", "nlist", F.inline("series"))
 
 
-@register("scaling_series")
+@register("scaling_series", f"""
+SELECT index_type, dataset_label, dataset_size, recall_at_10 FROM ({BENCH_SQL})
+QUALIFY row_number() OVER (PARTITION BY index_type, dataset_label ORDER BY recall_at_10 DESC) = 1""")
 def q_scaling_series(spark, sf):
-    return EV.scaling_series(_bench_table(spark, sf))
+    return EV.scaling_series(bench_runs(spark, sf)).drop("params")
 
 
-@register("row_expectations")
+@register("row_expectations", f"""
+SELECT dataset_label, count(*) AS n_rows, count(*) FILTER (WHERE workload IS NULL) AS n_missing_workload,
+       NOT contains(dataset_label, 'full') OR count(*) >= 500000 AS scale_ok,
+       count(*) FILTER (WHERE workload IS NULL) = 0 AND (NOT contains(dataset_label, 'full') OR count(*) >= 500000) AS ok
+FROM ({BENCH_SQL}) GROUP BY dataset_label""")
 def q_row_expectations(spark, sf):
     """C11 on the benchmark result table: every row has a workload, `full` labels reach scale."""
     from cachelens.operators.sampling import row_expectations
 
-    return row_expectations(_bench_table(spark, sf))
+    return row_expectations(bench_runs(spark, sf))
+
+
+_BUNDLE = " UNION ALL ".join(f"""
+SELECT '{st}' AS strategy, 'flat' AS backend, b.*, round(avg(dist), 4) AS dist_mean, round(stddev_pop(dist), 4) AS dist_std,
+       round(quantile_cont(dist, 0.5), 4) AS dist_median, round(min(dist), 4) AS dist_min, round(max(dist), 4) AS dist_max,
+       round(quantile_cont(dist, 0.05), 4) AS dist_p5, round(quantile_cont(dist, 0.95), 4) AS dist_p95
+FROM (WITH {S.fill_nn(st, table='embeddings')} SELECT dist FROM nn) d, (
+  WITH {S.fill_nn(st, table='embeddings')},{ADAPTIVE_SQL}
+  SELECT (SELECT count(*) FROM fs WHERE is_cache) AS cache_size, (SELECT count(*) FROM fs WHERE NOT is_cache) AS eval_size, ad.* FROM ad) b
+GROUP BY ALL""" for st in ("random", "chronological"))
+
+
+@register("evaluation_bundle", _BUNDLE)
+def q_evaluation_bundle(spark, sf):
+    return EV.evaluation_bundle(T(spark, sf, "embeddings"), min_quality=0.35)

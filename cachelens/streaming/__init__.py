@@ -1,6 +1,5 @@
 """Structured Streaming operators."""
 
-from cachelens.streaming.cache_stream import (file_stream, key_cache_tagging, run_to_table, semantic_tagging,
-                                              stream_hit_rate, with_cell)
+from cachelens.streaming.lookup_stream import file_stream, hit_rate_by_hour, run_updates_to_table, tag_by_key, tag_by_vector
 
-__all__ = ["file_stream", "key_cache_tagging", "run_to_table", "semantic_tagging", "stream_hit_rate", "with_cell"]
+__all__ = ["file_stream", "hit_rate_by_hour", "run_updates_to_table", "tag_by_key", "tag_by_vector"]

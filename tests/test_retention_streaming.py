@@ -1,4 +1,4 @@
-from collections import OrderedDict
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -6,7 +6,8 @@ import pytest
 
 from cachelens.operators import results as Rs
 from cachelens.operators import retention as R
-from cachelens.streaming import cache_stream as st
+from cachelens.operators import vectors as V
+from cachelens.streaming import lookup_stream as st
 from tests.conftest import unit, vectors_df
 
 
@@ -93,66 +94,44 @@ def test_pareto_fronts(spark):
     assert nd == [2, 3, 5]
 
 
-def _python_lru(keys, capacity):
-    cache, hits = OrderedDict(), []
-    for k in keys:
-        if k in cache:
-            cache.move_to_end(k)
-            hits.append(True)
-        else:
-            if len(cache) >= capacity:
-                cache.popitem(last=False)
-            cache[k] = None
-            hits.append(False)
-    return hits
-
-
-def test_key_cache_stream_matches_python_restatement(spark, tmp_path):
-    rng = np.random.default_rng(3)
-    keys = rng.integers(0, 30, 400)
-    pdf = pd.DataFrame({"key": keys.astype("int64"), "seq": np.arange(400, dtype="int64")})
-    folder = tmp_path / "in"
+def _folder(tmp_path, name, pdf, parts=2):
+    """A table folder of several files, so that a stream sees several inputs."""
+    folder = tmp_path / f"{name}.parquet"
     folder.mkdir()
-    pdf.to_parquet(folder / "acc.parquet")
-    live = st.file_stream(spark, str(folder), "acc")
-    out = st.run_to_table(st.key_cache_tagging(live, capacity=4, policy="lru", n_shards=3), "t").toPandas()
-    batch = st.key_cache_tagging(spark.createDataFrame(pdf), capacity=4, policy="lru", n_shards=3).toPandas()
-    assert len(out) == 400 and (out.cache_size <= 4).all()
-    m = out.merge(batch, on="seq", suffixes=("", "_b"))
-    assert (m.hit == m.hit_b).all()
-    for shard, g in out.groupby("shard"):
-        g = g.sort_values("seq")
-        assert list(g.hit) == _python_lru(list(g.key), 4)
-
-
-def test_semantic_stream_invariants(spark, tmp_path):
+    for i in range(parts):
+        pdf.iloc[i::parts].to_parquet(folder / f"part-{i}.parquet", coerce_timestamps="us")
+    return str(tmp_path)
+
+
+def test_vector_stream_equals_batch_lookup(spark, tmp_path):
     rng = np.random.default_rng(4)
-    base = unit(rng.normal(size=(3, 16)))
-    X = unit(np.repeat(base, 40, axis=0) + 0.05 * rng.normal(size=(120, 16)))
-    order = rng.permutation(120)
-    pdf = pd.DataFrame({"vec_id": order.astype("int64"), "seq": np.arange(120, dtype="int64"),
-                        "embedding": [X[i].astype(np.float32) for i in order]})
-    folder = tmp_path / "v"
-    folder.mkdir()
-    pdf.to_parquet(folder / "vec.parquet")
-    for policy in ("lru", "lfu", "semantic", "adaptive"):
-        live = st.file_stream(spark, str(folder), "vec")
-        out = st.run_to_table(st.semantic_tagging(live, base, capacity=5, policy=policy, threshold=0.9), policy).toPandas()
-        assert len(out) == 120 and (out.cache_size <= 5).all()
-        assert out.hit.sum() > 60  # near copies mostly hit
+    X = unit(rng.normal(size=(60, 16)))
+    sf = _folder(tmp_path, "vec", pd.DataFrame({"query_id": np.arange(60), "embedding": [x.astype(np.float32) for x in X]}))
+    cache = vectors_df(spark, unit(rng.normal(size=(40, 16)))).withColumnRenamed("id", "cache_id")
+    live = st.tag_by_vector(st.file_stream(spark, sf, "vec"), cache, 1.2)
+    got = {r.query_id: (r.neighbor_id, round(r.dist, 9), r.hit) for r in live.collect()}
+    batch = V.lookup(spark.read.parquet(f"{sf}/vec.parquet"), cache, 1, 1.2, active_col=None).collect()
+    assert got == {r.query_id: (r.neighbor_id, round(r.dist, 9), r.hit) for r in batch} and len(got) == 60
 
 
-def test_live_hit_rate_equals_batch_aggregate(spark, tmp_path):
+def test_key_stream_and_hourly_rates_equal_batch(spark, tmp_path):
     rng = np.random.default_rng(5)
-    base = unit(rng.normal(size=(3, 16)))
-    X = unit(np.repeat(base, 30, axis=0) + 0.05 * rng.normal(size=(90, 16)))
-    pdf = pd.DataFrame({"vec_id": np.arange(90, dtype="int64"), "seq": np.arange(90, dtype="int64"),
-                        "embedding": [x.astype(np.float32) for x in X]})
-    folder = tmp_path / "v2"
-    folder.mkdir()
-    pdf.to_parquet(folder / "vec.parquet")
-    tagged = st.run_to_table(st.semantic_tagging(st.file_stream(spark, str(folder), "vec"), base, capacity=4), "a")
-    batch = {r.cell: (r.lookups, r.hits) for r in st.stream_hit_rate(tagged).collect()}
-    live_q = st.stream_hit_rate(st.semantic_tagging(st.file_stream(spark, str(folder), "vec"), base, capacity=4))
-    live = {r.cell: (r.lookups, r.hits) for r in st.run_updates_to_table(live_q, "b", ["cell"]).collect()}
-    assert live == batch and sum(v[0] for v in live.values()) == 90
+    pdf = pd.DataFrame({"key": rng.integers(0, 9, 300), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.sort(rng.integers(0, 5 * 3600, 300)), unit="s")})
+    sf = _folder(tmp_path, "acc", pdf)
+    cache = spark.createDataFrame([(k, datetime(2024, 1, 1, 2)) for k in range(4)], "key long, since timestamp")
+    tags = lambda: st.tag_by_key(st.file_stream(spark, sf, "acc"), cache, "key", "ts", "since")
+    got = st.run_to_table(tags(), "t").toPandas()
+    want = (got.key < 4) & (got.ts > pd.Timestamp("2024-01-01 02:00:00"))
+    assert len(got) == 300 and (got.hit == want).all()
+    rates = {r.hour: (r.lookups, r.hits) for r in st.run_updates_to_table(st.hit_rate_by_hour(tags()), "r", ["hour"]).collect()}
+    hour = got.ts.astype("datetime64[s]").astype("int64") // 3600
+    assert rates == {h: (len(g), int(g.hit.sum())) for h, g in got.groupby(hour)}
+
+
+def test_redundancy_over_all_entries(spark):
+    rng = np.random.default_rng(8)
+    X = unit(rng.normal(size=(2300, 6))).astype(np.float32)
+    D = ((X[:, None].astype(float) - X[None].astype(float)) ** 2).sum(axis=2)
+    want = ((D <= 0.5).sum(axis=1) - 1) / 2299
+    got = {r.id: r.redundancy for r in R.redundancy(vectors_df(spark, X), 0.5).collect()}
+    assert max(abs(got[i] - want[i]) for i in range(2300)) < 1e-9
