@@ -28,21 +28,30 @@ from pyspark.sql import functions as F
 from cachelens.llm.common import Memo, map_batches
 
 
+@cache
+def tokens_by_id(path: str) -> dict[int, bytes]:
+    with open(path, "rb") as f:
+        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+
+
+def decode_ids(path: str, ids: bytes) -> bytes:
+    return b"".join(map(tokens_by_id(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 class ByteBPE:
     """Encoder for a rank file of byte tokens (``base64 rank`` lines) and a splitting pattern."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = {i: t for t, i in self.ranks.items()}
+        self.tokens = tokens_by_id(path)
+        self.ranks = {t: i for i, t in self.tokens.items()}
         self.split = regex.compile(pattern)
-        self.may_follow: dict[tuple[int, int], bool] = Memo(lambda pair: self._may_follow(*pair), 2_000_000)
+        self.may_follow: dict[tuple[int, int], bool] = Memo(lambda pair: self._may_follow(*pair), 300_000)
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.shorter: dict[int, int | None] = {}
         self.automaton = ahocorasick.Automaton()
         self._learn_merges()
-        self.ids = Memo(self._piece)
+        self.ids = Memo(self._piece, 400_000)
 
     def _learn_merges(self) -> None:
         """How the merges build each token, in rank order: the split into two older tokens that
@@ -113,9 +122,6 @@ class ByteBPE:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.ids.__getitem__, self.split.findall(text)))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 @cache
 def bpe(path: str, pattern: str) -> ByteBPE:
@@ -134,12 +140,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, decoded``: the bytes that the ids stand for."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        dec = bpe(path, pattern).decode
-        out = [dec(x or b"") for x in batch.column(1).to_pylist()]
+        out = [decode_ids(path, x or b"") for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")

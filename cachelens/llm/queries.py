@@ -33,7 +33,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cachelens.llm.op2_byte_bpe import decode, encode
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    done = decode(encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    done = decode(encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
     return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
