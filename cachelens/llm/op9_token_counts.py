@@ -63,8 +63,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, cache: str | Non
 
     encoded = map_batches(todo, run, "content binary, n_tokens long")
     encoded.select(own.alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
-    counts = (
+    # one row per content, written apart from the join: its sides can then be split where many
+    # rows share a content
+    counts = materialize(
         spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == own)
-        .groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    )
+        .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return keyed.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
