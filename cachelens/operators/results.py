@@ -72,19 +72,23 @@ def hit_flags(events: DataFrame, gap: int = 100) -> DataFrame:
 
 def runs_from_events(events: DataFrame) -> DataFrame:
     """The documented derivation of policy runs from the event log (one row per run)."""
-    flagged = hit_flags(events)
+    flagged = hit_flags(events.withColumn("ts", F.col("ts").cast("timestamp")))
     return (flagged.groupBy(F.col("event_type").alias("policy"),
                             ((F.col("key") % 3 + 1) / 10.0).alias("cache_size_pct"),
                             (F.col("event_id") % 3).alias("seed"),
                             ((F.col("event_id") % 5) / 4.0).alias("gamma"))
             .agg(F.avg(F.col("hit").cast("double")).alias("final_hit_rate"),
                  F.avg("value").alias("semantic_coverage_avg_dist"),
-                 F.count(F.lit(1)).alias("n_queries"))
+                 F.count(F.lit(1)).alias("n_queries"),
+                 ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("stream_time_s"),
+                 F.count_if(~F.col("hit")).alias("n_evictions"),
+                 (F.count_distinct("key") / F.count(F.lit(1))).alias("diversity"))
             .withColumn("workload", F.lit("temporal")))
 
 
 def runs_summary(runs: DataFrame, by_gamma: bool = False) -> DataFrame:
-    """per (policy, size[, gamma], workload) mean/std(pop) of hit rate and coverage."""
+    """per (policy, size[, gamma], workload) mean/std(pop) of hit rate and coverage, mean
+    stream time, evictions and diversity."""
     keys = (["gamma"] if by_gamma else []) + ["policy", "cache_size_pct", "workload"]
     ok = runs.filter(F.col("error").isNull()) if "error" in runs.columns else runs
     return ok.groupBy(*keys).agg(
@@ -92,6 +96,9 @@ def runs_summary(runs: DataFrame, by_gamma: bool = False) -> DataFrame:
         F.round(F.stddev_pop("final_hit_rate"), 6).alias("hit_rate_std"),
         F.round(F.avg("semantic_coverage_avg_dist"), 6).alias("coverage_mean"),
         F.round(F.stddev_pop("semantic_coverage_avg_dist"), 6).alias("coverage_std"),
+        F.round(F.avg("stream_time_s"), 3).alias("stream_time_mean_s"),
+        F.round(F.avg("n_evictions"), 1).alias("evictions_mean"),
+        F.round(F.avg("diversity"), 6).alias("diversity_mean"),
         F.count(F.lit(1)).alias("n_runs"))
 
 
@@ -117,11 +124,13 @@ def matrix_completeness(runs: DataFrame, policies: list, sizes: list, seeds_requ
                         .when(F.col("n_runs") < seeds_required, F.lit("incomplete")).otherwise(F.lit("ok"))))
 
 
-def policy_matrix(summary: DataFrame, sizes: list, value: str = "hit_rate_mean") -> DataFrame:
-    """Policy x size pivot of the mean (missing = 0)."""
-    piv = summary.groupBy("policy").pivot("cache_size_pct", [float(s) for s in sizes]).agg(F.max(value))
-    return piv.select("policy", *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"size_{int(round(float(c) * 100))}")
-                                  for c in piv.columns if c != "policy"])
+def policy_matrix(summary: DataFrame, sizes: list, mean: str = "hit_rate_mean", std: str = "hit_rate_std") -> DataFrame:
+    """Policy x size matrix of mean and std (missing = 0)."""
+    cells = []
+    for s in sizes:
+        here, name = F.col("cache_size_pct") == float(s), f"size_{int(round(float(s) * 100))}"
+        cells += [F.coalesce(F.max(F.when(here, F.col(c))), F.lit(0.0)).alias(f"{name}{end}") for c, end in ((mean, ""), (std, "_std"))]
+    return summary.groupBy("policy").agg(*cells)
 
 
 def gap_to_baseline(summary: DataFrame, baseline: str) -> DataFrame:
@@ -138,7 +147,8 @@ def sweep_series(runs: DataFrame) -> DataFrame:
     s = runs.groupBy("policy", "gamma").agg(
         F.round(F.avg("final_hit_rate"), 6).alias("hit_rate_mean"),
         F.round(F.stddev_pop("final_hit_rate"), 6).alias("hit_rate_std"),
-        F.round(F.avg("semantic_coverage_avg_dist"), 6).alias("coverage_mean"))
+        F.round(F.avg("semantic_coverage_avg_dist"), 6).alias("coverage_mean"),
+        F.round(F.avg("diversity"), 6).alias("diversity_mean"))
     # one row per (policy, gamma value): a few dozen rows per policy
     w = Window.partitionBy("policy").orderBy("gamma")
     return s.withColumn("non_decreasing", F.coalesce(F.col("hit_rate_mean") >= F.lag("hit_rate_mean").over(w), F.lit(True)))
@@ -181,14 +191,18 @@ def rolling_hit_rate(flagged: DataFrame, stream_col: str = "event_type", window:
 
 def checkpoint_bands(flagged: DataFrame, every: int = 100) -> DataFrame:
     """I8: per run cell (policy, size) the mean and std(pop) across seeds of the cumulative hit
-    rate at each checkpoint position of the run."""
+    rate, the hit rate since the checkpoint before, and the evictions (misses) so far."""
     runs = flagged.withColumn("policy", F.col("event_type")) \
         .withColumn("cache_size_pct", (F.col("key") % 3 + 1) / 10.0) \
         .withColumn("seed", F.col("event_id") % 3) \
         .withColumn("_run", F.concat_ws("|", "policy", "cache_size_pct", "seed"))
     p = stream_positions(runs, "_run")
-    pts = p.filter((F.col("pos") + 1) % every == 0) \
-        .withColumn("rate", F.col("cum_hits") / (F.col("pos") + 1))
-    return pts.groupBy("policy", "cache_size_pct", (F.col("pos") + 1).alias("query_idx")).agg(
-        F.round(F.avg("rate"), 6).alias("mean"), F.round(F.stddev_pop("rate"), 6).alias("std"),
-        F.count(F.lit(1)).alias("n_seeds"))
+    pts = p.filter((F.col("pos") + 1) % every == 0).select("_run", "policy", "cache_size_pct", (F.col("pos") + 1).alias("query_idx"), "cum_hits")
+    before = pts.select("_run", (F.col("query_idx") + every).alias("query_idx"), F.col("cum_hits").alias("_before"))
+    pts = (pts.join(before, ["_run", "query_idx"], "left")
+           .withColumn("rate", F.col("cum_hits") / F.col("query_idx"))
+           .withColumn("rolling", (F.col("cum_hits") - F.coalesce("_before", F.lit(0))) / every)
+           .withColumn("evictions", F.col("query_idx") - F.col("cum_hits")))
+    bands = [f(c).alias(f"{c}_{name}") for c in ("rate", "rolling", "evictions")
+             for name, f in (("mean", lambda c: F.round(F.avg(c), 6)), ("std", lambda c: F.round(F.stddev_pop(c), 6)))]
+    return pts.groupBy("policy", "cache_size_pct", "query_idx").agg(*bands, F.count(F.lit(1)).alias("n_seeds"))

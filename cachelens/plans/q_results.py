@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from cachelens.operators import results as X
 from cachelens.plans.catalog import T, register
@@ -14,11 +15,14 @@ RUNS = f"""{FLAG},
 runs AS (
   SELECT event_type AS policy, (key % 3 + 1)::DOUBLE / 10.0::DOUBLE AS cache_size_pct, event_id % 3 AS seed,
          (event_id % 5)::DOUBLE / 4.0::DOUBLE AS gamma, avg(hit::INTEGER::DOUBLE) AS final_hit_rate,
-         avg(value) AS semantic_coverage_avg_dist, count(*) AS n_queries, 'temporal' AS workload
+         avg(value) AS semantic_coverage_avg_dist, count(*) AS n_queries, 'temporal' AS workload,
+         (epoch_us(max(ts::TIMESTAMP)) - epoch_us(min(ts::TIMESTAMP))) / 1e6 AS stream_time_s,
+         count(*) FILTER (WHERE NOT hit) AS n_evictions, count(DISTINCT key)::DOUBLE / count(*) AS diversity
   FROM f GROUP BY 1, 2, 3, 4)"""
 SUMMARY_COLS = """round(avg(final_hit_rate), 6) AS hit_rate_mean, round(stddev_pop(final_hit_rate), 6) AS hit_rate_std,
        round(avg(semantic_coverage_avg_dist), 6) AS coverage_mean,
-       round(stddev_pop(semantic_coverage_avg_dist), 6) AS coverage_std, count(*) AS n_runs"""
+       round(stddev_pop(semantic_coverage_avg_dist), 6) AS coverage_std, round(avg(stream_time_s), 3) AS stream_time_mean_s,
+       round(avg(n_evictions), 1) AS evictions_mean, round(avg(diversity), 6) AS diversity_mean, count(*) AS n_runs"""
 SIZES = [0.1, 0.2, 0.3]
 POLICIES = ["click", "error", "oracle", "purchase", "signup", "view"]
 
@@ -107,16 +111,36 @@ def q_rolling_hit_rate(spark, sf):
 WITH {FLAG},
 r AS (SELECT event_type AS policy, (key % 3 + 1)::DOUBLE / 10.0::DOUBLE AS cache_size_pct, event_id % 3 AS seed,
              row_number() OVER (PARTITION BY event_type, key % 3, event_id % 3 ORDER BY seq) AS idx,
-             sum(hit::INTEGER) OVER (PARTITION BY event_type, key % 3, event_id % 3 ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cum
+             sum(hit::INTEGER) OVER (PARTITION BY event_type, key % 3, event_id % 3 ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cum,
+             sum(hit::INTEGER) OVER (PARTITION BY event_type, key % 3, event_id % 3 ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS roll
       FROM f)
-SELECT policy, cache_size_pct, idx AS query_idx, round(avg(cum / idx), 6) AS mean, round(stddev_pop(cum / idx), 6) AS std,
-       count(*) AS n_seeds
+SELECT policy, cache_size_pct, idx AS query_idx, round(avg(cum / idx), 6) AS rate_mean, round(stddev_pop(cum / idx), 6) AS rate_std,
+       round(avg(roll / 100), 6) AS rolling_mean, round(stddev_pop(roll / 100), 6) AS rolling_std,
+       round(avg(idx - cum), 6) AS evictions_mean, round(stddev_pop(idx - cum), 6) AS evictions_std, count(*) AS n_seeds
 FROM r WHERE idx % 100 = 0 GROUP BY 1, 2, 3
 """)
 def q_checkpoint_bands(spark, sf):
     return X.checkpoint_bands(_flags(spark, sf))
 
 
+@register("scan_run_records", f"""
+WITH {RUNS}
+SELECT policy, cache_size_pct, seed, workload, gamma, round(final_hit_rate, 6) AS final_hit_rate,
+       round(semantic_coverage_avg_dist, 6) AS semantic_coverage_avg_dist, round(diversity, 6) AS diversity,
+       round(stream_time_s, 3) AS stream_time_s, n_evictions FROM runs
+""")
+def q_scan_run_records(spark, sf):
+    """The runs written as record documents and read back."""
+    from cachelens.session import scratch_path
+    from cachelens.sources.run_records import scan_run_records, write_run_records
+
+    folder = write_run_records(_runs(spark, sf), scratch_path(spark, "run-records"))
+    back = scan_run_records(spark, folder, lines=True).drop("checkpoints")
+    for c, digits in (("final_hit_rate", 6), ("semantic_coverage_avg_dist", 6), ("diversity", 6), ("stream_time_s", 3)):
+        back = back.withColumn(c, F.round(c, digits))
+    return back
+
+
 @register("runs_summary", f"""
 WITH {RUNS}
 SELECT policy, cache_size_pct, workload, {SUMMARY_COLS} FROM runs GROUP BY policy, cache_size_pct, workload
@@ -160,8 +184,8 @@ def q_matrix_completeness(spark, sf):
 
 @register("policy_matrix", f"""
 WITH {RUNS},
-s AS (SELECT policy, cache_size_pct, round(avg(final_hit_rate), 6) AS m FROM runs GROUP BY 1, 2)
-SELECT policy, {', '.join(f"coalesce(max(m) FILTER (WHERE cache_size_pct = {s!r}::DOUBLE), 0.0) AS size_{int(round(s * 100))}" for s in SIZES)}
+s AS (SELECT policy, cache_size_pct, round(avg(final_hit_rate), 6) AS m, round(stddev_pop(final_hit_rate), 6) AS sd FROM runs GROUP BY 1, 2)
+SELECT policy, {', '.join(f"coalesce(max({v}) FILTER (WHERE cache_size_pct = {s!r}::DOUBLE), 0.0) AS size_{int(round(s * 100))}{e}" for s in SIZES for v, e in (('m', ''), ('sd', '_std')))}
 FROM s GROUP BY policy
 """)
 def q_policy_matrix(spark, sf):
@@ -182,7 +206,7 @@ def q_gap_to_baseline(spark, sf):
 @register("sweep_series", f"""
 WITH {RUNS},
 s AS (SELECT policy, gamma, round(avg(final_hit_rate), 6) AS hit_rate_mean, round(stddev_pop(final_hit_rate), 6) AS hit_rate_std,
-             round(avg(semantic_coverage_avg_dist), 6) AS coverage_mean FROM runs GROUP BY 1, 2)
+             round(avg(semantic_coverage_avg_dist), 6) AS coverage_mean, round(avg(diversity), 6) AS diversity_mean FROM runs GROUP BY 1, 2)
 SELECT *, coalesce(hit_rate_mean >= lag(hit_rate_mean) OVER (PARTITION BY policy ORDER BY gamma), true) AS non_decreasing FROM s
 """)
 def q_sweep_series(spark, sf):

@@ -161,7 +161,7 @@ def q_sample_concentrated(spark, sf):
     return Smp.sample_concentrated(rows, rows.count(), gamma=0.5, seed=42)
 
 
-@register("sample_bursty", f"""
+BURSTY_SQL = f"""
 WITH d AS {DENSE},
 cl AS (SELECT label, count(*) AS size, row_number() OVER (ORDER BY label) - 1 AS c FROM d GROUP BY label),
 k AS (SELECT count(*) AS k FROM cl),
@@ -173,17 +173,71 @@ ex AS (SELECT bs.burst_id, cl.label, cl.size, bs.start + unnest(generate_series(
        FROM bs JOIN cl ON cl.c = bs.c WHERE bs.start < {N_DRAWS}),
 dm AS (SELECT *, floor({S.uniform(42, 'burst_member', 'draw_id')} * size)::BIGINT AS m FROM ex WHERE draw_id < {N_DRAWS}),
 mem AS (SELECT label, query_id, row_number() OVER (PARTITION BY label ORDER BY query_id) - 1 AS m FROM d)
-SELECT dm.draw_id, dm.burst_id, dm.label, mem.query_id FROM dm JOIN mem ON mem.label = dm.label AND mem.m = dm.m""")
+SELECT dm.draw_id, dm.burst_id, dm.label, mem.query_id FROM dm JOIN mem ON mem.label = dm.label AND mem.m = dm.m"""
+
+
+@register("sample_bursty", BURSTY_SQL)
 def q_sample_bursty(spark, sf):
     rows = _dense_emb(spark, sf)
     return Smp.sample_bursty(rows, rows.count(), seed=42)
 
 
-@register("reorder_stream", _zipf_sql(1.0).replace(
-    "SELECT pk.draw_id, pk.label, mem.query_id FROM pk JOIN mem ON mem.label = pk.label AND mem.m = pk.m",
-    """SELECT pk.draw_id AS seq, mem.query_id, d.vec_id FROM pk JOIN mem ON mem.label = pk.label AND mem.m = pk.m
-JOIN d ON d.query_id = mem.query_id"""))
+def _reordered(draw_sql: str) -> str:
+    """``seq, query_id, vec_id`` of a draw (draw_id, query_id)."""
+    return f"""
+SELECT w.draw_id AS seq, w.query_id, d.vec_id FROM ({draw_sql}) w JOIN {DENSE} d ON d.query_id = w.query_id"""
+
+
+UNIFORM_SQL = f"""
+WITH d AS {DENSE},
+dr AS (SELECT range AS draw_id, floor({S.uniform(42, 'uniform', 'range')} * (SELECT count(*) FROM d))::BIGINT AS pos
+       FROM range({N_DRAWS}))
+SELECT dr.draw_id, d.query_id FROM dr JOIN d ON d.query_id = dr.pos"""
+
+
+def _reorder(spark, sf, workload):
+    rows = _dense_emb(spark, sf)
+    return Smp.reorder_stream(rows.withColumn("seq", F.col("query_id")), workload, seed=42).select("seq", "query_id", "vec_id")
+
+
+@register("reorder_stream", _reordered(_zipf_sql(1.0)))
 def q_reorder_stream(spark, sf):
+    return _reorder(spark, sf, "clustered")
+
+
+@register("reorder_stream_uniform", _reordered(UNIFORM_SQL))
+def q_reorder_stream_uniform(spark, sf):
+    return _reorder(spark, sf, "uniform")
+
+
+@register("reorder_stream_bursty", _reordered(BURSTY_SQL))
+def q_reorder_stream_bursty(spark, sf):
+    return _reorder(spark, sf, "bursty")
+
+
+@register("reorder_stream_temporal", f"SELECT query_id AS seq, query_id, vec_id FROM {DENSE} d")
+def q_reorder_stream_temporal(spark, sf):
+    return _reorder(spark, sf, "temporal")
+
+
+@register("sample_concentrated_uniform", f"SELECT w.draw_id, d.label, w.query_id FROM ({UNIFORM_SQL}) w JOIN {DENSE} d ON d.query_id = w.query_id")
+def q_sample_concentrated_uniform(spark, sf):
+    """D4 at gamma 0: the uniform branch."""
     rows = _dense_emb(spark, sf)
-    out = Smp.reorder_stream(rows.withColumn("seq", F.col("query_id")), "clustered", seed=42)
-    return out.select("seq", "query_id", "vec_id")
+    return Smp.sample_concentrated(rows, rows.count(), gamma=0.0, seed=42)
+
+
+# Draws over nearest-centre cells (the label means as given centres) instead of the label column.
+CELL_DENSE = f"""(SELECT p.vec_id, p.cell AS label, row_number() OVER (ORDER BY p.vec_id) - 1 AS query_id
+                 FROM (WITH {S.label_cells('embeddings').lstrip()} SELECT * FROM probe WHERE place = 1) p)"""
+
+
+@register("sample_zipf_cells", _zipf_sql(1.0).replace(DENSE, CELL_DENSE))
+def q_sample_zipf_cells(spark, sf):
+    from cachelens.operators.ann import kmeans_assign
+    from cachelens.operators.vectors import collect_centroids
+
+    emb = _emb(spark, sf)
+    cells = kmeans_assign(emb, collect_centroids(emb, "label")[1], id_col="vec_id").select("vec_id", F.col("cell").alias("label"))
+    rows = dense_ids(cells, ["vec_id"], out_col="query_id")
+    return Smp.sample_zipf_clusters(rows, rows.count(), seed=42)

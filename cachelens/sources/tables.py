@@ -39,6 +39,9 @@ RUN_STRUCT = T.StructType([
     T.StructField("recall_at_1", T.DoubleType()),
     T.StructField("recall_at_5", T.DoubleType()),
     T.StructField("recall_at_10", T.DoubleType()),
+    T.StructField("search_latency_ms", T.StructType([T.StructField("p50", T.DoubleType())])),
+    T.StructField("build_time_s", T.DoubleType()),
+    T.StructField("memory_mb", T.DoubleType()),
     T.StructField("error", T.StringType()),
 ])
 
@@ -105,6 +108,7 @@ def write_benchmark_files(runs: DataFrame, folder: str) -> list[str]:
     """Write one result document per dataset label, rotating the three layouts
     (flat list, ``{"results": [...]}``, ``{"runs": [...]}``). A result table has one row per
     configuration, so one document per label is a bounded aggregate."""
+    runs = runs.select(*[F.col(f.name) if f.name in runs.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in RUN_STRUCT.fields])
     labels = sorted(r[0] for r in runs.select("dataset_label").distinct().collect())
     paths = []
     for i, label in enumerate(labels):
@@ -132,4 +136,5 @@ def scan_benchmark_results(spark: SparkSession, glob: str) -> DataFrame:
     nested = raw.filter(F.col("index_type").isNull()) \
         .select("file_label", F.explode(F.coalesce("runs", "results")).alias("r")).select("file_label", "r.*")
     return flat.unionByName(nested).filter(F.col("error").isNull()) \
-        .withColumn("dataset_label", F.col("file_label")).drop("file_label")
+        .withColumn("dataset_label", F.col("file_label")) \
+        .withColumn("search_p50_ms", F.col("search_latency_ms.p50")).drop("file_label", "search_latency_ms")

@@ -31,3 +31,27 @@ def test_three_layouts_labels_and_errors(spark, tmp_path):
     series = {r["nlist"]: [p["nprobe"] for p in r.series]
               for r in EV.parameter_sensitivity(rows).filter("dataset_label = '50k'").collect()}
     assert series == {64.0: [4.0, 16.0]}
+
+
+def test_best_row_prices_the_cost_model(spark, tmp_path):
+    from cachelens.functions.cost import CostModel
+
+    run = _run("ivf", 0.9, {"nlist": 64.0}) | {"search_latency_ms": {"p50": 2.5, "p95": 9.0}, "build_time_s": 3.0, "memory_mb": 10.0}
+    (tmp_path / "index_benchmark_10k.json").write_text(json.dumps({"results": [run, _run("ivf", 0.5)]}))
+    rows = scan_benchmark_results(spark, str(tmp_path / "index_benchmark_*.json"))
+    best = EV.best_config(rows, "ivf").first()
+    assert best.build_time_s == 3.0 and CostModel.from_best(best).cache_latency_ms == 2.5
+    assert CostModel.from_best(EV.best_config(rows, "lsh").first()).cache_latency_ms == CostModel().cache_latency_ms
+
+
+def test_run_records_roundtrip_and_layout(spark, tmp_path):
+    from cachelens.sources.run_records import checkpoint_rows, scan_run_records
+
+    run = {"seed": 1, "workload": "temporal", "final_hit_rate": 0.25, "semantic_coverage_avg_dist": 0.5, "timing": {"stream_time_s": 2.0},
+           "cache_stats": {"n_evictions": 7}, "cumulative_hit_rates": [{"query_idx": 500, "cumulative_hit_rate": 0.2, "rolling_hit_rate": 0.3, "evictions": 4}]}
+    doc = {"config": {"policies": ["lru"]}, "per_seed": {"lru": {"0.10": [run, run | {"seed": 2}]}, "lfu": {"0.05": [run]}}}
+    (tmp_path / "eviction_results.json").write_text(json.dumps(doc, indent=1))
+    rows = scan_run_records(spark, str(tmp_path / "eviction_results.json"))
+    got = sorted((r.policy, r.cache_size_pct, r.seed, r.n_evictions, r.stream_time_s) for r in rows.collect())
+    assert got == [("lfu", 0.05, 1, 7, 2.0), ("lru", 0.1, 1, 7, 2.0), ("lru", 0.1, 2, 7, 2.0)]
+    assert checkpoint_rows(rows).count() == 3
