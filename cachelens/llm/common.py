@@ -14,6 +14,8 @@ from cachelens.session import load_table, materialize  # noqa: F401  (for the op
 
 #: White space of all contracts: the ASCII characters that ``bytes.split`` and ``bytes.strip`` take.
 ASCII_SPACE = " \t\n\r\x0b\x0c"
+#: Rows of a batch that a function sees at a time.
+ROWS_AT_ONCE = 1_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +23,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with a function of one record batch; empty batches give nothing."""
+    """``mapInArrow`` with a function of one record batch; empty batches give nothing. A batch is
+    worked on in slices, so that a task holds the results of ``ROWS_AT_ONCE`` rows only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                out = fn(batch.slice(at, ROWS_AT_ONCE))
                 if out is not None and out.num_rows:
                     yield out
 
