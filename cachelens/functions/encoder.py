@@ -1,9 +1,9 @@
 """Text -> L2-normalised vector (B5), pluggable.
 
-Default encoder (offline, deterministic): lower-cased word tokens are hashed in the JVM
-(``xxhash64`` per token), and an Arrow-batched pandas UDF adds +-1 per token into ``dim``
-buckets (sign and bucket from independent bits of the hash: a sparse random projection of
-the token counts) and normalises. Any ``pandas.Series[str] -> list of vectors`` callable can
+Default encoder (offline, deterministic): lower-cased word tokens are digested in the JVM (md5
+per token: a bucket and a sign, as SQL can state them), and an Arrow-batched UDF adds +-1 per
+token into ``dim`` buckets with one count over the flattened batch (a sparse random projection
+of the token counts) and normalises. Any ``pandas.Series[str] -> list of vectors`` callable can
 replace it (``make_encoder_udf``); with the iterator form a model is loaded once per task.
 """
 
@@ -13,32 +13,45 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DEFAULT_DIM = 64
 
 
-def token_hashes(text: Column) -> Column:
+def token_codes(text: Column, dim: int = DEFAULT_DIM) -> Column:
+    """``2 * bucket + sign`` of every token, from the first 36 bits of its md5."""
     toks = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != F.lit(""))
-    return F.transform(toks, lambda t: F.xxhash64(t))
+
+    def code(t):
+        bits = F.conv(F.substring(F.md5(t), 1, 9), 16, 10).cast("long")
+        return (F.shiftright(bits, 4) % dim * 2 + bits % 2).cast("int")
+
+    return F.transform(toks, code)
+
+
+def sql_text_vector(table: str, dim: int = DEFAULT_DIM) -> str:
+    """DuckDB CTE ``vec`` (doc_id, s: list of ``dim`` signed counts) of the texts of ``table``."""
+    return f"""
+tok AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 9))::BIGINT AS bits
+        FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM {table}) WHERE t <> ''),
+cnt AS (SELECT doc_id, (bits >> 4) % {dim} AS i, sum(CASE WHEN bits % 2 = 1 THEN -1 ELSE 1 END)::DOUBLE AS v FROM tok GROUP BY ALL),
+vec AS (SELECT d.doc_id, list(coalesce(c.v, 0.0) ORDER BY g.i) AS s
+        FROM {table} d CROSS JOIN range({dim}) g(i) LEFT JOIN cnt c ON c.doc_id = d.doc_id AND c.i = g.i GROUP BY d.doc_id)"""
 
 
 def _hash_udf(dim: int):
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for hs in batches:
-            out = []
-            for h in hs:
-                v = np.zeros(dim, dtype=np.float64)
-                if h is not None and len(h):
-                    a = np.asarray(h, dtype=np.int64).view(np.uint64)
-                    bucket = (a % np.uint64(dim)).astype(np.int64)
-                    sign = np.where((a >> np.uint64(63)) & np.uint64(1), -1.0, 1.0)
-                    v = np.bincount(bucket, weights=sign, minlength=dim).astype(np.float64)
-                n = np.linalg.norm(v)
-                out.append((v / n if n > 0 else v).astype(np.float32))
-            yield pd.Series(out)
+    @F.arrow_udf("array<float>")
+    def encode(codes: pa.Array) -> pa.Array:
+        n = len(codes)
+        rows = np.repeat(np.arange(n), codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        v = np.bincount(rows * dim + flat // 2, weights=1.0 - 2.0 * (flat % 2), minlength=n * dim).reshape(n, dim)
+        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        v = np.divide(v, size, out=v, where=size > 0).astype(np.float32)
+        return pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), dim).cast(pa.list_(pa.float32()))
+
     return encode
 
 
@@ -46,7 +59,7 @@ def embed_text(text: Column, dim: int = DEFAULT_DIM, encoder: Callable | None =
     """Column of L2-normalised ``ARRAY<FLOAT>`` vectors for ``text``."""
     if encoder is not None:
         return make_encoder_udf(encoder)(text)
-    return _hash_udf(dim)(token_hashes(text))
+    return _hash_udf(dim)(token_codes(text, dim))
 
 
 def make_encoder_udf(encode_batch: Callable[[pd.Series], list]):

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cachelens.functions.encoder import embed_text
+from cachelens.functions.encoder import embed_text, sql_text_vector
 from cachelens.functions.text import strip_text
 from cachelens.operators import metrics as M
 from cachelens.operators import text as X
@@ -101,13 +101,19 @@ def q_throughput(spark, sf):
     return M.throughput(T(spark, sf, "events"), "ts", ["event_type"])
 
 
-@register("embed_text")
+SQL_VEC = sql_text_vector("documents")
+LEN2 = "list_sum(list_transform(s, lambda x: x * x))"
+
+
+@register("embed_text", f"""
+WITH {SQL_VEC}
+SELECT doc_id, list_transform(s, lambda x: CASE WHEN {LEN2} > 0 THEN x / sqrt({LEN2}) ELSE 0.0 END)::FLOAT[] AS embedding FROM vec""")
 def q_embed_text(spark, sf):
     docs = T(spark, sf, "documents").select("doc_id", "text")
     return docs.select("doc_id", embed_text(F.col("text")).alias("embedding"))
 
 
-@register("validate_text_embeddings")
+@register("validate_text_embeddings", f"WITH {SQL_VEC} SELECT doc_id, {LEN2} > 0 AS unit_norm FROM vec")
 def q_validate_text_embeddings(spark, sf):
     docs = T(spark, sf, "documents").select("doc_id", "text")
     emb = docs.select("doc_id", embed_text(F.col("text")).alias("embedding"))
