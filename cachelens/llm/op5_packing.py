@@ -32,7 +32,7 @@ from cachelens.llm.common import map_batches, materialize, text_bytes
 from cachelens.llm.vocab import encode_words
 
 #: Rows numbered together in one window group.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 10_000
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, separator: int = 0, id_col: str = "doc_id",
