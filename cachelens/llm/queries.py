@@ -109,3 +109,29 @@ def _op3_oracle() -> str:
 
 
 ORACLES["op3_license_scan"] = _op3_oracle()
+
+
+_SPACES = " || ".join(f"chr({x})" for x in (32, 9, 10, 11, 12, 13))
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+ORACLES["op4_line_dedup"] = f"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM s),
+k AS (SELECT *, translate(trim(line, {_SPACES}), '{_UPPER}', '{_UPPER.lower()}') AS key FROM l),
+h AS (SELECT key, min(doc_id) AS first_id FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)),
+f AS (SELECT k.*, coalesce(h.first_id <> k.doc_id, false) AS gone FROM k LEFT JOIN h ON h.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id"""
+
+ORACLES["op8_substring_dedup"] = """
+WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM s),
+v AS (SELECT doc_id, pos, word, md5(string_agg(word, ' ') OVER o) AS h, count(*) OVER o AS n FROM w
+      WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+r AS (SELECT h FROM v WHERE n = 35 GROUP BY h HAVING count(*) > 1),
+m AS (SELECT v.doc_id, v.pos, v.word, (v.n = 35 AND r.h IS NOT NULL)::INTEGER AS starts FROM v LEFT JOIN r ON r.h = v.h),
+c AS (SELECT *, max(starts) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m),
+d AS (SELECT doc_id, count(*) AS n, sum(gone) AS g, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT s.doc_id, coalesce(d.n, 0)::BIGINT AS n_words, coalesce(d.g, 0)::BIGINT AS n_removed, sha256(coalesce(d.kept, '')) AS kept_sha256
+FROM s LEFT JOIN d ON d.doc_id = s.doc_id"""
