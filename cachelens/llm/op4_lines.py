@@ -244,8 +244,9 @@ def _probe_shuffled(docs: DataFrame, index: DataFrame, bits: int, min_docs: int,
     asked = materialize(map_batches(keyed.select(text, ident, "__k1", "__k2"), probes, "h1 long, h2 long, id long, k1 long, k2 long")
                         .distinct().withColumn("shard", _shard(bits)), "probes")
     salts = asked.groupBy("shard").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("salts"))
-    left = asked.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("k1", "id"), "salts").cast("int")).drop("salts")
-    right = index.join(salts, "shard").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
+    cell = F.concat_ws("#", "shard", "salt")  # one column: a deal by shard alone would do for two
+    left = asked.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("k1", "id"), "salts").cast("int")).withColumn("cell", cell)
+    right = index.join(salts, "shard").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).withColumn("cell", cell)
 
     def answer(_: tuple, questions: pa.Table, arrays: pa.Table) -> pa.Table:
         schema = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
@@ -258,7 +259,7 @@ def _probe_shuffled(docs: DataFrame, index: DataFrame, bits: int, min_docs: int,
         gone = known & (first != questions.column("id").to_numpy())
         return questions.select(schema.names).filter(pa.array(gone))
 
-    gone = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInArrow(answer, "id long, k1 long, k2 long, h1 long, h2 long")
+    gone = left.drop("shard", "salt", "salts").groupBy("cell").cogroup(right.drop("shard", "salt", "salts").groupBy("cell")).applyInArrow(answer, "id long, k1 long, k2 long, h1 long, h2 long")
     lists = gone.groupBy("id", "k1", "k2").agg(F.collect_list(F.struct("h1", "h2")).alias("__gone"))  # of one document's lines
     joined = keyed.join(lists, (keyed[ident] == lists["id"]) & (keyed["__k1"] == lists["k1"]) & (keyed["__k2"] == lists["k2"]), "left")
     columns = [F.col(f"`{c}`") for c in names[:-1]]

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product: lists of rotated vectors, scanned by columns.
 
-Centres are fitted (k-means) on a documented sample of at most ``SAMPLE`` vectors; every vector
+Centres are fitted (k-means) on a documented sample of a quarter of the vectors, ``SAMPLE`` at most (``SAMPLE_BYTES`` bytes); every vector
 is filed under its nearest centre. Inside a list the vectors are turned by one random rotation
 and scanned in blocks of columns. After ``d`` of ``D`` columns the squared distance so far,
 times ``D / d``, estimates the whole one; a candidate whose estimate is beyond the radius of the
@@ -8,6 +8,11 @@ k-th best by more than chance allows (factor ``1 + EPSILON / sqrt(d)``) is left.
 candidate comes from the k-th best inner product: ``|q|^2 + |x|^2 - 2 t``. Survivors are scored
 exactly, in double precision, on the original vectors.
 
+The search of a list does not start blind: the k-th best inner product of a query within the
+sample rows of its lists is a lower bound of its k-th best there, so only candidates that may
+reach it leave a list, few for each query whatever the number of lists. Sample rows are never
+left by chance, so every query gets k.
+
 How many lists a query probes is calibrated on the sample: the smallest number that holds
 ``coverage`` of the true neighbours of up to ``CALIBRATION`` sample vectors. Lists and queries
 are dealt in cells of bounded size, so a list of any size (one very common vector) is split.
@@ -27,9 +32,9 @@ from pyspark.sql import functions as F
 
 from cachelens.llm.common import map_batches, materialize
 
-SAMPLE = 16_384
+SAMPLE, SAMPLE_BYTES = 16_384, 64 << 20
 CALIBRATION = 256
-LIST_ROWS, MAX_LISTS = 1_000, 4_096
+LIST_ROWS, MAX_LISTS = 2_000, 4_096
 CELL_ROWS, CELL_QUERIES = 8_192, 20_000
 BLOCK = 16
 EPSILON = 2.1
@@ -79,15 +84,31 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate id, score) of the ``k`` best found for each query in one list."""
+def sample_bounds(query_ids: np.ndarray, queries: np.ndarray, probed: np.ndarray, ids: np.ndarray, sample: np.ndarray, lists: np.ndarray,
+                  k: int) -> np.ndarray:
+    """A lower bound of each query's k-th best inner product in its probed lists, from the sample's
+    other rows in these lists (``lists``: the list of each sample row)."""
+    if len(ids) <= k:
+        return np.full(len(queries), -np.inf)
+    near = queries @ sample.T
+    reached = np.zeros((len(queries), max(lists.max(), probed.max()) + 1), bool)
+    np.put_along_axis(reached, probed, True, axis=1)
+    near[~reached[:, lists] | (query_ids[:, None] == ids)] = -np.inf
+    least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k]
+    return least - 1e-9 * (1 + np.abs(least))  # both sums may differ in their last bits
+
+
+def scan(query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, ids: np.ndarray, vectors: np.ndarray, drawn: np.ndarray,
+         k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate id, score) of the ``k`` best found for each query in one list, as
+    far as they score ``least`` or more. ``drawn`` rows (of the sample) are scored without a test."""
     dim = vectors.shape[1]
     queries, vectors = queries.astype(np.float64), vectors.astype(np.float64)
     turn = rotation(dim)
     turned_q, turned_x = queries @ turn, vectors @ turn
     norm_q, norm_x = (queries**2).sum(axis=1), (vectors**2).sum(axis=1)
     best_q, best_id, best_score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    bound = np.full(len(queries), -np.inf)
+    bound = least.copy()
     done = 0
     for size in (min(256, len(ids)), *[1024] * -(-max(0, len(ids) - 256) // 1024)):
         rows = np.arange(done, min(done + size, len(ids)))
@@ -96,18 +117,23 @@ def scan(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
         at = slice(0, min(BLOCK, dim))
         part = (turned_q[:, at] ** 2).sum(axis=1)[:, None] + (turned_x[rows, at] ** 2).sum(axis=1) - 2 * turned_q[:, at] @ turned_x[rows, at].T
         seen = at.stop
-        q, x = np.nonzero(part * (dim / seen) <= radius * (1 + EPSILON / np.sqrt(seen)) ** 2 + 1e-9)
+        near = part * (dim / seen) <= radius * (1 + EPSILON / np.sqrt(seen)) ** 2 + 1e-9
+        own = drawn[rows]
+        near[:, own] = queries @ vectors[rows[own]].T >= least[:, None] - 1e-9
+        q, x = np.nonzero(near)
         part, radius, x = part[q, x], radius[q, x], rows[x]
         while seen < dim:
             at = slice(seen, min(seen + BLOCK, dim))
             part = part + ((turned_q[q, at] - turned_x[x, at]) ** 2).sum(axis=1)
             seen = at.stop
             slack = (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < dim else 1
-            alive = part * (dim / seen) <= radius * slack + 1e-9
+            alive = (part * (dim / seen) <= radius * slack + 1e-9) | drawn[x]
             q, x, part, radius = q[alive], x[alive], part[alive], radius[alive]
         other = ids[x] != query_ids[q]
         q, x = q[other], x[other]
         score = (queries[q] * vectors[x]).sum(axis=1)
+        high = score >= bound[q]
+        q, x, score = q[high], x[high], score[high]
         best_q, best_id, best_score = np.r_[best_q, q], np.r_[best_id, ids[x]], np.r_[best_score, score]
         order = np.lexsort((best_id, -best_score, best_q))
         best_q, best_id, best_score = best_q[order], best_id[order], best_score[order]
@@ -115,7 +141,7 @@ def scan(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
         top = np.arange(len(best_q)) - first < k
         best_q, best_id, best_score = best_q[top], best_id[top], best_score[top]
         full = np.flatnonzero(np.arange(len(best_q)) - np.searchsorted(best_q, best_q) == k - 1)
-        bound[best_q[full]] = best_score[full]
+        bound[best_q[full]] = np.maximum(bound[best_q[full]], best_score[full])
     return best_q, best_id, best_score
 
 
@@ -139,52 +165,59 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, coverage: float
     dim, n = sizes
     vectors = ready(vectors).filter(F.size("vector") == dim).withColumn("vec_id", F.coalesce("vec_id", F.lit(LAST_ID)))
     asked = ready(queries).filter(F.size("vector") == dim).filter("vec_id is not null").groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    every = -(-n // SAMPLE)
-    drawn = vectors.filter(F.pmod(F.xxhash64(F.lit(3), "vec_id", "vector"), F.lit(every)) == 0).limit(SAMPLE) if every > 1 else vectors
-    sample = np.array([r["vector"] for r in drawn.select("vector").collect()], np.float64).reshape(-1, dim)
-    if not len(sample):
-        sample = np.array([vectors.first()["vector"]], np.float64)
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    every = max(4, -(-n // most))
+    in_sample = F.pmod(F.xxhash64(F.lit(3), "vec_id", "vector"), F.lit(every)) == 0
+    rows = vectors.filter(in_sample).limit(most).select("vec_id", "vector").toArrow()
+    if not rows.num_rows:
+        rows = vectors.select("vec_id", "vector").limit(1).toArrow()
+    sample_ids, sample = rows.column("vec_id").to_numpy(), _matrix(rows.column("vector")).astype(np.float64)
     centres = fit_centres(sample, n_lists or min(MAX_LISTS, -(-n // LIST_ROWS)))
     probes = calibrate(sample, centres, k, coverage)
+    shared = spark.sparkContext.broadcast((centres, sample_ids, sample, nearest_lists(sample, centres, 1)[:, 0]))  # at most SAMPLE_BYTES each
 
     def file(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = nearest_lists(_matrix(batch.column(1)).astype(np.float64), centres, 1)[:, 0]
-        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *batch.columns], ["list", "vec_id", "vector"])
+        own = nearest_lists(_matrix(batch.column(1)).astype(np.float64), shared.value[0], 1)[:, 0]
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *batch.columns], ["list", "vec_id", "vector", "drawn"])
 
     def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = nearest_lists(_matrix(batch.column(1)).astype(np.float64), centres, probes).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(own.tolist(), pa.list_(pa.int32())), *batch.columns], ["lists", "query_id", "query"])
+        centres, ids, known, lists = shared.value
+        asking = _matrix(batch.column(1)).astype(np.float64)
+        own = nearest_lists(asking, centres, probes).astype(np.int32)
+        least = sample_bounds(batch.column(0).to_numpy(), asking, own.astype(np.int64), ids, known, lists, k)
+        return pa.RecordBatch.from_arrays([pa.array(own.tolist(), pa.list_(pa.int32())), pa.array(least), *batch.columns], ["lists", "least", "query_id", "query"])
 
     kind = vectors.schema["vector"].dataType.simpleString()
-    filed = materialize(map_batches(vectors, file, f"list int, vec_id long, vector {kind}"), "lists")
+    filed = materialize(map_batches(vectors.withColumn("drawn", in_sample), file, f"list int, vec_id long, vector {kind}, drawn boolean"), "lists")
     parts = filed.groupBy("list").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
+    cell_key = F.concat_ws("#", "list", "part", "block").alias("cell")  # one column: a deal by list alone would do for three
     blocks = max(1, -(-asked.count() // CELL_QUERIES))
     cells = (
         filed.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), "parts").cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("list", "part", "block", "vec_id", "vector")
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(cell_key, "vec_id", "vector", "drawn")
     )
     search = (
-        map_batches(asked, probe, f"lists array<int>, query_id long, query {kind}")
+        map_batches(asked, probe, f"lists array<int>, least double, query_id long, query {kind}")
         .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
         .withColumn("list", F.explode("lists")).join(parts, "list")
-        .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("list", "part", "block", "query_id", "query")
+        .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(cell_key, "query_id", "least", "query")
     )
 
     def cell(_: tuple, own: pa.Table, asking: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not (own.num_rows and asking.num_rows):
             return schema.empty_table()
-        query_ids, ids = asking.column("query_id").to_numpy(), own.column("vec_id").to_numpy()
+        query_ids, least, ids = asking.column("query_id").to_numpy(), asking.column("least").to_numpy(), own.column("vec_id").to_numpy()
+        drawn = own.column("drawn").to_numpy(zero_copy_only=False).astype(bool)
         q, x, score = [], [], []
         for a in range(0, len(query_ids), 1024):
-            found = scan(query_ids[a : a + 1024], _matrix(asking.column("query"))[a : a + 1024], ids, _matrix(own.column("vector")), k)
+            found = scan(query_ids[a : a + 1024], _matrix(asking.column("query"))[a : a + 1024], least[a : a + 1024], ids, _matrix(own.column("vector")), drawn, k)
             q.append(query_ids[a + found[0]])
             x.append(found[1])
             score.append(found[2])
         return pa.table([np.concatenate(q), np.concatenate(x), np.concatenate(score)], schema=schema)
 
-    by = ("list", "part", "block")
-    found = cells.groupBy(*by).cogroup(search.groupBy(*by)).applyInArrow(cell, "query_id long, vec_id long, score double")
+    found = cells.groupBy("cell").cogroup(search.groupBy("cell")).applyInArrow(cell, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", F.nullif("vec_id", F.lit(LAST_ID)).alias("vec_id"), "score")
