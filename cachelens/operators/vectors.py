@@ -364,17 +364,22 @@ def semantic_coverage(stream: DataFrame, cache: DataFrame, q_id: str = "query_id
 
 # ------------------------------------------------------------------------------ F21
 
-def cache_stats(cache: DataFrame, lookups: DataFrame | None = None, inserts: int = 0, evictions: int = 0,
-                active_col: str = "is_active") -> DataFrame:
-    """Entry counts of the cache table and hit counts of a lookup log (one row per query)."""
+def cache_stats(cache: DataFrame, lookups: DataFrame | None = None, active_col: str = "is_active",
+                latency_col: str | None = None) -> DataFrame:
+    """Entry counts of the cache table and hit counts of a lookup log (one row per query).
+
+    Every row of the table was inserted once and every inactive one evicted; with ``latency_col``
+    the log's mean lookup time is added (``avg_lookup_ms``)."""
     a = F.col(active_col)
     base = cache.agg(F.count(F.lit(1)).alias("total_entries"),
                      F.count_if(a).alias("active_entries"),
                      F.count_if(~a).alias("dead_entries"))
     cols = [F.col("active_entries").alias("size"), "total_entries", "active_entries", "dead_entries"]
     if lookups is not None:
-        lk = lookups.agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("h"))
+        lk = lookups.agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("h"),
+                         *([F.round(F.avg(latency_col), 4).alias("ms")] if latency_col else []))
         cols += [lk.select("n").scalar().alias("total_lookups"), lk.select("h").scalar().alias("total_hits")]
-    cols += [F.lit(int(inserts)).cast("long").alias("total_inserts"),
-             F.lit(int(evictions)).cast("long").alias("total_evictions")]
+        if latency_col:
+            cols.append(lk.select("ms").scalar().alias("avg_lookup_ms"))
+    cols += [F.col("total_entries").alias("total_inserts"), F.col("dead_entries").alias("total_evictions")]
     return base.select(*cols)

@@ -347,7 +347,7 @@ best AS (SELECT query_id, min(dist) AS d FROM pairs GROUP BY query_id)
 SELECT count(*) FILTER (WHERE label <> 0) AS size, count(*) AS total_entries,
        count(*) FILTER (WHERE label <> 0) AS active_entries, count(*) FILTER (WHERE label = 0) AS dead_entries,
        (SELECT count(*) FROM best) AS total_lookups, (SELECT count(*) FILTER (WHERE d <= 1.3) FROM best) AS total_hits,
-       0::BIGINT AS total_inserts, 0::BIGINT AS total_evictions
+       count(*) AS total_inserts, count(*) FILTER (WHERE label = 0) AS total_evictions
 FROM hs WHERE NOT is_q""")
 def q_cache_stats(spark, sf):
     q, db = _holdout(spark, sf)

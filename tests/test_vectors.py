@@ -255,3 +255,10 @@ def test_float32_scores_keep_the_exact_result(spark, metric):
         for i in range(5):
             own = [r.neighbor_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == i]
             assert np.allclose(score[i][own], np.sort(score[i])[:7], atol=1e-15)
+
+
+def test_cache_stats_with_lookup_times(spark):
+    cache = spark.createDataFrame([(i, i % 3 != 0) for i in range(10)], "cache_id long, is_active boolean")
+    log = spark.createDataFrame([(1, True, 2.0), (2, False, 4.0)], "query_id long, hit boolean, ms double")
+    row = V.cache_stats(cache, log, latency_col="ms").first()
+    assert (row["size"], row.total_inserts, row.total_evictions, row.total_hits, row.avg_lookup_ms) == (6, 10, 4, 1, 3.0)
