@@ -55,7 +55,7 @@ class Memo(dict):
     is asked for again moves to the younger half, so frequent ones stay.
     """
 
-    def __init__(self, fn: Callable, limit: int = 800_000):
+    def __init__(self, fn: Callable, limit: int = 400_000):
         super().__init__()
         self.fn, self.half, self.older = fn, limit // 2, {}
 
@@ -70,6 +70,18 @@ class Memo(dict):
         return value
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """``make()``, kept in the worker until another key is asked for: a worker that goes on to the
+    next stage holds one vocabulary with its memos, not those of all stages."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def longs(values) -> pa.Array:
     """Unsigned 64-bit numpy values as signed Spark longs with the same bits."""
     return pa.array(np.ascontiguousarray(values, np.uint64).view(np.int64))

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import Memo, map_batches
+from cachelens.llm.common import Memo, held, map_batches
 
 
 @cache
@@ -45,7 +45,7 @@ class ByteBPE:
         self.tokens = tokens_by_id(path)
         self.ranks = {t: i for i, t in self.tokens.items()}
         self.split = regex.compile(pattern)
-        self.may_follow: dict[tuple[int, int], bool] = Memo(lambda pair: self._may_follow(*pair), 300_000)
+        self.may_follow: dict[tuple[int, int], bool] = Memo(lambda pair: self._may_follow(*pair), 200_000)
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.shorter: dict[int, int | None] = {}
@@ -123,10 +123,9 @@ class ByteBPE:
         return b"".join(map(self.ids.__getitem__, self.split.findall(text)))
 
 
-@cache
 def bpe(path: str, pattern: str) -> ByteBPE:
     """One encoder per Python worker."""
-    return ByteBPE(path, pattern)
+    return held(("bpe", path, pattern), lambda: ByteBPE(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

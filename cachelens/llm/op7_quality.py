@@ -16,7 +16,6 @@ gives an empty result; other columns are ignored by ``measure`` and kept by ``ke
 
 from __future__ import annotations
 
-from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import ASCII_SPACE, Memo, map_batches, text_bytes
+from cachelens.llm.common import ASCII_SPACE, Memo, held, map_batches
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -82,13 +81,15 @@ def script_of(text: str) -> str:
     return max(n, key=n.get)
 
 
-@cache
-def _vocabulary(path: str):
-    import sentencepiece
+def _vocabulary(path: str) -> tuple[Memo, np.ndarray]:
+    def load():
+        import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-    return Memo(lambda word: np.array(model.encode(word.decode()), "<u4").tobytes()), is_byte
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+        return Memo(lambda word: np.array(model.encode(word.decode()), "<u4").tobytes()), is_byte
+
+    return held(("pieces", path), load)
 
 
 def base_counts(text: str, raw: bytes, words: list[bytes]) -> tuple[int, int, int, int]:

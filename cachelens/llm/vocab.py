@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import json
 import os
-from functools import cache
 
 import numpy as np
 
-from cachelens.llm.common import Memo
+from cachelens.llm.common import Memo, held
 
 # The pre-tokenizer pattern under which a run of letters is one unit and a run of
 # other signs after it another.
@@ -37,7 +36,7 @@ class WordIds(Memo):
     """
 
     def __init__(self, path: str):
-        super().__init__(self._word)
+        super().__init__(self._word, 500_000)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -48,7 +47,7 @@ class WordIds(Memo):
         split, *rest = (config["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.plain = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": LETTER_RUNS} and [r["type"] for r in rest] == ["ByteLevel"]
         self.model, self.bytes = self.tokenizer.model, _byte_letters()
-        self.letters, self.tails = Memo(self._letters), Memo(self._whole, 100_000)
+        self.letters, self.tails = Memo(self._letters, 500_000), Memo(self._whole, 50_000)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -68,9 +67,8 @@ class WordIds(Memo):
         return self._whole(text)
 
 
-@cache
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held(("words", path), lambda: WordIds(path))
 
 
 def encode_words(path: str, text: bytes) -> bytes:
