@@ -108,27 +108,34 @@ def scan(query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, ids: np.
     turned_q, turned_x = queries @ turn, vectors @ turn
     norm_q, norm_x = (queries**2).sum(axis=1), (vectors**2).sum(axis=1)
     best_q, best_id, best_score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    blocks = [slice(at, min(at + BLOCK, dim)) for at in range(0, dim, BLOCK)]
+    squares_q, squares_x = ([(t[:, at] ** 2).sum(axis=1) for at in blocks] for t in (turned_q, turned_x))
     bound = least.copy()
     done = 0
     for size in (min(256, len(ids)), *[1024] * -(-max(0, len(ids) - 256) // 1024)):
         rows = np.arange(done, min(done + size, len(ids)))
         done = rows[-1] + 1
+        own, rows = rows[drawn[rows]], rows[~drawn[rows]]
+        own_q, own_x = np.nonzero(queries @ vectors[own].T >= bound[:, None] - 1e-9)
         radius = norm_q[:, None] + norm_x[rows] - 2 * bound[:, None]
-        at = slice(0, min(BLOCK, dim))
-        part = (turned_q[:, at] ** 2).sum(axis=1)[:, None] + (turned_x[rows, at] ** 2).sum(axis=1) - 2 * turned_q[:, at] @ turned_x[rows, at].T
-        seen = at.stop
-        near = part * (dim / seen) <= radius * (1 + EPSILON / np.sqrt(seen)) ** 2 + 1e-9
-        own = drawn[rows]
-        near[:, own] = queries @ vectors[rows[own]].T >= least[:, None] - 1e-9
-        q, x = np.nonzero(near)
-        part, radius, x = part[q, x], radius[q, x], rows[x]
-        while seen < dim:
-            at = slice(seen, min(seen + BLOCK, dim))
-            part = part + ((turned_q[q, at] - turned_x[x, at]) ** 2).sum(axis=1)
+        part, pairs = np.zeros(radius.shape), None
+        for at, sq, sx in zip(blocks, squares_q, squares_x, strict=True):
             seen = at.stop
-            slack = (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < dim else 1
-            alive = (part * (dim / seen) <= radius * slack + 1e-9) | drawn[x]
-            q, x, part, radius = q[alive], x[alive], part[alive], radius[alive]
+            limit = (1 + EPSILON / np.sqrt(seen)) ** 2 * seen / dim if seen < dim else 1.0
+            if pairs is None:  # most pairs are left: all of them by a product of the block's columns
+                step = turned_q[:, at] @ (-2 * turned_x[rows, at]).T
+                step += sx[rows]
+                step += sq[:, None]
+                part += step
+                near = part <= radius * limit + 1e-9
+                if seen == dim or near.mean() < 0.05:
+                    pairs = q, x = np.nonzero(near)
+                    part, radius, x = part[q, x], radius[q, x], rows[x]
+            else:
+                part = part + ((turned_q[q, at] - turned_x[x, at]) ** 2).sum(axis=1)
+                near = part <= radius * limit + 1e-9
+                q, x, part, radius = q[near], x[near], part[near], radius[near]
+        q, x = np.r_[q, own_q], np.r_[x, own[own_x]]
         other = ids[x] != query_ids[q]
         q, x = q[other], x[other]
         score = (queries[q] * vectors[x]).sum(axis=1)
