@@ -47,7 +47,7 @@ def _hash_udf(dim: int):
         n = len(codes)
         rows = np.repeat(np.arange(n), codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        v = np.bincount(rows * dim + flat // 2, weights=1.0 - 2.0 * (flat % 2), minlength=n * dim).reshape(n, dim)
+        v = np.bincount(rows * dim + flat // 2, weights=1.0 - 2.0 * (flat % 2), minlength=n * dim).astype(np.float64).reshape(n, dim)
         size = np.sqrt((v * v).sum(axis=1, keepdims=True))
         v = np.divide(v, size, out=v, where=size > 0).astype(np.float32)
         return pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), dim).cast(pa.list_(pa.float32()))
