@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +34,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 out = fn(batch.slice(at, ROWS_AT_ONCE))
                 if out is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()  # a worker lives through many tasks
 
     return df.mapInArrow(run, schema)
 
@@ -82,6 +85,14 @@ def held(key: tuple, make: Callable):
     return _held[key]
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def longs(values) -> pa.Array:
     """Unsigned 64-bit numpy values as signed Spark longs with the same bits."""
     return pa.array(np.ascontiguousarray(values, np.uint64).view(np.int64))

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import ASCII_SPACE, Memo, held, map_batches
+from cachelens.llm.common import ASCII_SPACE, Memo, held, map_batches, packed
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -87,7 +87,7 @@ def _vocabulary(path: str) -> tuple[Memo, np.ndarray]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-        return Memo(lambda word: np.array(model.encode(word.decode()), "<u4").tobytes()), is_byte
+        return Memo(lambda word: packed(model.encode(word.decode()))), is_byte
 
     return held(("pieces", path), load)
 

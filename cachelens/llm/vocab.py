@@ -9,9 +9,7 @@ from __future__ import annotations
 import json
 import os
 
-import numpy as np
-
-from cachelens.llm.common import Memo, held
+from cachelens.llm.common import Memo, held, packed
 
 # The pre-tokenizer pattern under which a run of letters is one unit and a run of
 # other signs after it another.
@@ -36,7 +34,7 @@ class WordIds(Memo):
     """
 
     def __init__(self, path: str):
-        super().__init__(self._word, 500_000)
+        super().__init__(self._word, 800_000)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -47,15 +45,15 @@ class WordIds(Memo):
         split, *rest = (config["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.plain = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": LETTER_RUNS} and [r["type"] for r in rest] == ["ByteLevel"]
         self.model, self.bytes = self.tokenizer.model, _byte_letters()
-        self.letters, self.tails = Memo(self._letters, 500_000), Memo(self._whole, 50_000)
+        self.letters, self.tails = Memo(self._letters, 800_000), Memo(self._whole, 50_000)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _letters(self, low: str) -> bytes:
         """Ids of one unit of lower-case letters."""
         unit = low if low.isascii() else low.encode().decode("latin-1").translate(self.bytes)
-        return np.array([t.id for t in self.model.tokenize(unit)], "<u4").tobytes()
+        return packed([t.id for t in self.model.tokenize(unit)])
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
