@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cachelens.llm.common import Memo, held, map_batches
+from cachelens.llm.common import Memo, held, map_batches, packed
 
 
 @cache
@@ -97,7 +97,7 @@ class ByteBPE:
         raw = piece.encode()
         whole = self.ranks.get(raw)
         found = [whole] if whole is not None else self._backtrack(raw)
-        return np.array(found, "<u4").tobytes()
+        return packed(found)
 
     def _backtrack(self, raw: bytes) -> list[int]:
         text, tokens, shorter, follow = raw.decode("latin-1"), self.tokens, self.shorter, self.may_follow
@@ -128,15 +128,21 @@ def bpe(path: str, pattern: str) -> ByteBPE:
     return held(("bpe", path, pattern), lambda: ByteBPE(path, pattern))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids``: the whole text's ids, without special tokens."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           with_decoded: bool = False) -> DataFrame:
+    """``doc_id, ids``: the whole text's ids, without special tokens; ``with_decoded`` adds what
+    ``decode`` makes of them, in the same task."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = bpe(path, pattern).encode
         ids = [enc(t or "") for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        columns = {"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary())}
+        if with_decoded:
+            columns["decoded"] = pa.array([decode_ids(path, x) for x in ids], pa.binary())
+        return pa.RecordBatch.from_pydict(columns)
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, ids binary")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return map_batches(narrow, run, "doc_id long, ids binary" + ", decoded binary" * with_decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

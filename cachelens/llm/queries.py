@@ -30,10 +30,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from cachelens.llm.op2_byte_bpe import decode, encode
+    from cachelens.llm.op2_byte_bpe import encode
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    done = decode(encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
+    done = encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, with_decoded=True)
     return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -148,6 +148,8 @@ def test_byte_bpe_equals_the_library(docs, nothing, rows):
     got = [(r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in decode(encode(docs, path, P.PATTERN), path).collect()]
     want = [(d, np.array(library.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for d, t in rows]
     assert Counter(got) == Counter(want)
+    both = encode(docs, path, P.PATTERN, with_decoded=True).collect()
+    assert Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in both) == Counter(want)
     assert decode(encode(nothing, path, P.PATTERN), path).collect() == []
 
 
