@@ -13,10 +13,13 @@ anchor can be worked on by themselves, in the shard of the anchor.
    stretches, with the number of places of every state, and streams each stretch through it: the
    matching statistics at a word give the state of the window that ends there, and the window
    is repeated if its state has at least two places.
-4. The answers (a bit per window) go back to the documents, keyed by the digest of the text, and
+4. An anchor with more than ``shard_words`` words (a very common line amid different neighbours) is
+   split further, by the digest of the whole window, which equal windows share: its windows'
+   places are added up by digest, and no task holds the anchor.
+5. The answers (a bit per window) go back to the documents, keyed by the digest of the text, and
    all words covered by repeated windows are removed.
 
-The anchors of steps 2 and 3 are broadcast while they stay under ``max_broadcast`` bytes (they are
+The anchors of steps 2 to 4 are broadcast while they stay under ``max_broadcast`` bytes (they are
 counted first); beyond that the stretches are joined with them. Both give the same rows.
 
 Defined cases: a null text has no words; texts under ``size`` words keep all; rows that repeat
@@ -26,12 +29,13 @@ texts is 128 bits of the content, so ids may be null or tie; ``remove_repeated``
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -107,6 +111,7 @@ def repeated_anchors(docs: DataFrame, size: int, text_col: str = "text") -> Data
 
 STRETCH = "k1 long, k2 long, start int, windows int, anchor long, d1 long, d2 long"
 TEXT = "anchor long, d1 long, d2 long, words binary"
+WINDOWS = "d1 long, d2 long, n long, marks binary"
 
 
 def _cut(raw: bytes, size: int, wanted: np.ndarray) -> Iterator[tuple]:
@@ -143,11 +148,21 @@ def _text_rows(found: list[list[tuple]], seen: set) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in TEXT.split(", ")])
 
 
-def cut_stretches(docs: DataFrame, anchors: DataFrame, size: int, text_col: str, max_broadcast: int, texts: bool = False) -> DataFrame:
-    """``STRETCH`` rows of every document for the given anchors, or their distinct ``TEXT`` rows."""
+def _window_rows(found: list[list[tuple]], size: int) -> pa.RecordBatch:
+    """Each distinct stretch of a batch with its number there and the digests of its windows."""
+    times = Counter(s[3] for own in found for s in own)
+    packed = {s[3]: s[4] for own in found for s in own}
+    digest = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2)
+    marks = [b"".join(xxhash.xxh3_128_digest(own[at : at + 8 * size]) for at in range(0, len(own) - 8 * (size - 1), 8)) for own in packed.values()]
+    columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([times[d] for d in packed], pa.int64()), pa.array(marks, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in WINDOWS.split(", ")])
+
+
+def cut_stretches(docs: DataFrame, anchors: DataFrame, size: int, text_col: str, max_broadcast: int, schema: str = STRETCH) -> DataFrame:
+    """``STRETCH`` rows of every document for the given anchors, their distinct ``TEXT`` rows, or
+    their ``WINDOWS`` rows."""
     spark = docs.sparkSession
     ready = _documents(docs, text_col)
-    schema = TEXT if texts else STRETCH
     shared = None
     if anchors.count() * 8 <= max_broadcast:
         shared = spark.sparkContext.broadcast(np.sort(anchors.select("anchor").toArrow().column(0).to_numpy().view(np.uint64)))
@@ -173,8 +188,10 @@ def cut_stretches(docs: DataFrame, anchors: DataFrame, size: int, text_col: str,
             else:
                 wanted = [np.sort(np.array(x, np.int64).view(np.uint64)) for x in batch.column(3).to_pylist()]
             found = [list(_cut(raw, size, w)) for raw, w in zip(text_bytes(batch.column(2)), wanted, strict=True)]
-            if any(found):
-                yield _text_rows(found, seen) if texts else _stretch_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found)
+            if any(found) and schema == WINDOWS:
+                yield _window_rows(found, size)
+            elif any(found):
+                yield _text_rows(found, seen) if schema == TEXT else _stretch_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found)
 
     return ready.mapInArrow(run, schema)
 
@@ -244,16 +261,59 @@ class SuffixAutomaton:
         return out
 
 
-def answers(docs: DataFrame, found: DataFrame, size: int, text_col: str, max_broadcast: int) -> DataFrame:
+def unclear_anchors(counts: DataFrame, size: int) -> DataFrame:
+    """``anchor, words``: anchors whose windows have to be looked at, with the words of their distinct stretches."""
+    words = F.sum(F.col("windows") + (size - 1)).alias("words")
+    return counts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), words).filter("kinds > 1 or most = 1").select("anchor", "words")
+
+
+def reference_shards(anchors: DataFrame, shard_words: int) -> tuple[DataFrame, Column]:
+    """``anchor, words`` of the anchors that a task can hold as a whole, and their shard, of
+    ``shard_words`` words on average."""
+    calm = anchors.filter(F.col("words") <= shard_words)
+    words = calm.agg(F.sum("words")).first()[0] or 0
+    return calm, F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-words // shard_words)))).cast("int")
+
+
+def split_answers(docs: DataFrame, anchors: DataFrame, size: int, text_col: str, max_broadcast: int) -> DataFrame:
+    """``d1, d2, repeated`` of the stretches under ``anchors``, from the places of every window by its digest."""
+    windows = materialize(cut_stretches(docs, anchors, size, text_col, max_broadcast, WINDOWS), "windows")
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        marks = batch.column(3).to_pylist()
+        n = np.array([len(m) // 16 for m in marks])
+        row = pa.array(np.repeat(np.arange(len(n)), n))
+        mark = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
+        at = np.arange(len(mark)) - np.repeat(np.cumsum(n) - n, n)
+        columns = [*(batch.column(c).take(row) for c in range(3)), pa.array(np.repeat(n, n), pa.int32()), pa.array(at, pa.int32()), pa.array(mark[:, 0]), pa.array(mark[:, 1])]
+        return pa.RecordBatch.from_arrays(columns, ["d1", "d2", "n", "windows", "at", "w1", "w2"])
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits = []
+        for n, at in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            own = np.zeros(n, bool)
+            own[at] = True
+            bits.append(np.packbits(own, bitorder="little").tobytes())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["d1", "d2", "repeated"])
+
+    places = map_batches(windows, each, "d1 long, d2 long, n long, windows int, at int, w1 long, w2 long")
+    repeated = materialize(places.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2", F.lit(True).alias("hit")), "repeated-windows")
+    if repeated.count() * 16 <= max_broadcast:
+        repeated = F.broadcast(repeated)
+    hits = places.join(repeated, ["w1", "w2"], "left").groupBy("d1", "d2").agg(F.max("windows").alias("windows"), F.collect_set(F.when(F.col("hit"), F.col("at"))).alias("at"))
+    return map_batches(hits, mark, "d1 long, d2 long, repeated binary")
+
+
+def answers(docs: DataFrame, found: DataFrame, size: int, text_col: str, max_broadcast: int, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``d1, d2, repeated``: a bit for each window of the distinct stretches that need a look at
     their words. All windows of the other stretches in ``found`` are repeated."""
     counts = materialize(found.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), F.max("windows").alias("windows")), "stretch-counts")
-    unclear = counts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).filter("kinds > 1 or most = 1").select("anchor")
-    anchors = materialize(unclear, "unclear-anchors")
-    asked = counts.join(anchors, "anchor", "left_semi")
-    words = asked.agg(F.sum(F.col("windows") + (size - 1))).first()[0] or 0
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-words // SHARD_WORDS)))).cast("int")
-    texts = cut_stretches(docs, anchors, size, text_col, max_broadcast, texts=True)
+    unclear = materialize(unclear_anchors(counts, size), "unclear-anchors")
+    hot = unclear.filter(F.col("words") > shard_words).select("anchor")
+    calm, shard = reference_shards(unclear, shard_words)
+    calm = calm.select("anchor")
+    asked = counts.join(calm, "anchor", "left_semi")
+    texts = cut_stretches(docs, calm, size, text_col, max_broadcast, TEXT)
 
     def search(_: tuple, text: pa.Table, count: pa.Table) -> pa.Table:
         times = dict(zip(zip(*(count.column(c).to_pylist() for c in ("d1", "d2")), strict=True), count.column("n").to_pylist(), strict=True))
@@ -268,7 +328,8 @@ def answers(docs: DataFrame, found: DataFrame, size: int, text_col: str, max_bro
         bits = [np.packbits(automaton.repeated(own, size), bitorder="little").tobytes() for own in kept.values()]
         return pa.table({"d1": pa.array([k[0] for k in kept], pa.int64()), "d2": pa.array([k[1] for k in kept], pa.int64()), "repeated": pa.array(bits, pa.binary())})
 
-    return texts.groupBy(shard.alias("shard")).cogroup(asked.groupBy(shard.alias("shard"))).applyInArrow(search, "d1 long, d2 long, repeated binary")
+    answered = texts.groupBy(shard.alias("shard")).cogroup(asked.groupBy(shard.alias("shard"))).applyInArrow(search, "d1 long, d2 long, repeated binary")
+    return answered if hot.isEmpty() else answered.unionByName(split_answers(docs, hot, size, text_col, max_broadcast))
 
 
 def _keep(raw: bytes, runs: list | None, size: int) -> tuple[bytes, int, int]:
@@ -290,12 +351,12 @@ def _keep(raw: bytes, runs: list | None, size: int) -> tuple[bytes, int, int]:
 
 
 def remove_repeated(docs: DataFrame, size: int = 35, text_col: str = "text", max_broadcast: int = MAX_BROADCAST,
-                    only_changed: bool = False) -> DataFrame:
+                    only_changed: bool = False, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` with the kept words of each text, joined by one space, and ``n_words, n_removed``
     at the end. ``only_changed`` leaves texts without a removed word as they are."""
     anchors = materialize(repeated_anchors(docs, size, text_col), "anchors")
     found = materialize(cut_stretches(docs, anchors, size, text_col, max_broadcast), "stretches")
-    answered = materialize(answers(docs, found, size, text_col, max_broadcast), "answers")
+    answered = materialize(answers(docs, found, size, text_col, max_broadcast, shard_words), "answers")
     lists = (
         found.select("k1", "k2", "start", "windows", "d1", "d2").join(answered, ["d1", "d2"], "left").groupBy("k1", "k2")
         .agg(F.collect_set(F.struct("start", "windows", "repeated")).alias("__runs"))  # of one text; copies agree

@@ -225,6 +225,36 @@ def test_substring_dedup(docs, nothing, rows, max_broadcast):
     assert remove_repeated(nothing, max_broadcast=max_broadcast).collect() == []
 
 
+@pytest.mark.parametrize("max_broadcast", [0, 1 << 20])
+def test_a_very_common_line_is_split(spark, max_broadcast):
+    from pyspark.sql import functions as F
+
+    from cachelens.llm import op8_substrings as op
+
+    rng = random.Random(9)
+    lines = [" ".join(f"{name}{i}" for i in range(n)) for name, n in (("l", 12), ("m", 34), ("p", 40))]
+    made = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(45)) for _ in range(2 * 400)]
+    texts = [f"{made[2 * i]} {lines[i % 3]} {made[2 * i + 1]}" for i in range(400)]
+    texts += [texts[0], texts[4], f"x {texts[1]}", " ".join(texts[7].split()[20:90]), " ".join(lines[2:] * 5), "l0 l1", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    where = defaultdict(list)
+    for i, t in enumerate(texts):
+        own = (t or "").split()
+        for j in range(len(own) - 34):
+            where[tuple(own[j : j + 35])].append((i, j))
+    gone = {(i, j + k) for places in where.values() if len(places) > 1 for i, j in places for k in range(35)}
+    want = {i: " ".join(w for j, w in enumerate((t or "").split()) if (i, j) not in gone) for i, t in enumerate(texts)}
+    got = {r.doc_id: r.text for r in op.remove_repeated(df, max_broadcast=max_broadcast, shard_words=1500).collect()}
+    assert got == want and any(got[i] != (t or "") for i, t in enumerate(texts))
+
+    found = op.cut_stretches(df, op.repeated_anchors(df, 35), 35, "text", max_broadcast)
+    counts = found.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), F.max("windows").alias("windows"))
+    unclear = op.unclear_anchors(counts, 35)
+    calm, shard = op.reference_shards(unclear, 1500)
+    assert unclear.agg(F.max("words")).first()[0] > 4 * 1500
+    assert (calm.groupBy(shard).agg(F.sum("words").alias("words")).agg(F.max("words")).first()[0] or 0) <= 4 * 1500
+
+
 def test_automaton_counts_places_of_windows():
     from cachelens.llm.op8_substrings import SuffixAutomaton
 
