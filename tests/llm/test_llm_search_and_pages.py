@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 
 def table(spark, vectors, ids):
@@ -90,6 +91,18 @@ def test_pages_without_an_article_lose_what_pages_share(spark):
     assert extract(df.limit(0)).collect() == []
 
 
+def test_runs_are_counted_over_all_shards_of_a_host(spark, monkeypatch):
+    from cachelens.llm import op10_html
+
+    rng = random.Random(4)
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(500)) for _ in range(10)]
+    rows = [(i, "http://a.example/", f"<div>Home News About us</div><div>{x}</div><div>{'Old notice of four' if i < 4 else 'No'}</div>") for i, x in enumerate(own)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (op10_html.SHARD_BYTES, 4000):  # at 4000, one or two pages a shard
+        monkeypatch.setattr(op10_html, "SHARD_BYTES", size)
+        assert {r.page_id: r.text for r in op10_html.extract(df).collect()} == dict(enumerate(own))
+
+
 def test_repeated_runs_against_brute_force():
     from cachelens.llm.op10_html import repeated_runs
 
