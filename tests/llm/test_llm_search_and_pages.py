@@ -91,6 +91,20 @@ def test_pages_without_an_article_lose_what_pages_share(spark):
     assert extract(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("copies", [3, 1000])
+def test_copies_of_an_unmarked_page_keep_their_text(spark, copies):
+    from cachelens.llm.op10_html import extract, main_texts
+
+    rng = random.Random(copies)
+    own = [[" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(3)] for _ in range(9)]
+    page = ["<div>Home News About us</div>" + "".join(f"<div>{x}</div>" for x in o) + "<div>Contact</div>" for o in own]
+    html = page + [f"<nav>copy {i}</nav>{page[0]}" for i in range(copies)]
+    want = ["\n".join(o) for o in own] + ["\n".join(own[0])] * copies
+    assert main_texts(html) == want
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", x) for i, x in enumerate(html)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract(df).collect()} == dict(enumerate(want))
+
+
 def test_runs_are_counted_over_all_shards_of_a_host(spark, monkeypatch):
     from cachelens.llm import op10_html
 
