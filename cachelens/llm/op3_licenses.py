@@ -14,6 +14,8 @@ number; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,71 @@ NOTICES = (
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
 )
-KNOWN = (("MIT", MIT), ("ISC", ISC), *NOTICES)
+BSD_START = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+"""
+BSD_CONDITIONS = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <%s>"""
+#: Whole texts in files, and the line that ends their terms (what follows tells how to apply them).
+FILES = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def _titled(name: str, text: str, *titles: str) -> list[tuple[str, str]]:
+    return [(name, f"{title}\n\n{text}") for title in ("", *titles)]
+
+
+def _bsd() -> list[tuple[str, str]]:
+    """Clauses with numbers or bullets, holder or owner, with "All rights reserved." or not."""
+    out = []
+    for n in (2, 3):
+        name, titles = f"BSD-{n}-Clause", [f"BSD {n}-Clause License", f"The BSD {n}-Clause License"]
+        titles += ["BSD 2-Clause \"Simplified\" License"] if n == 2 else ["BSD 3-Clause \"New\" or \"Revised\" License"]
+        for numbered in (True, False):
+            conditions = "\n".join(f"{i}. {c}" if numbered else f"* {c}" for i, c in enumerate(BSD_CONDITIONS[:n], 1))
+            for end in (BSD_END, BSD_END.replace("HOLDER OR", "OWNER OR")):
+                for reserved in ("", "All rights reserved.\n"):
+                    out += _titled(name, f"{reserved}{BSD_START}{conditions}\n{end}", *titles)
+    return out
+
+
+def _filed() -> list[tuple[str, str]]:
+    out = []
+    for name in FILES:
+        text = resources.files("cachelens.llm").joinpath(f"licences/{name}.txt").read_text("utf-8")
+        terms, end, _ = text.partition(END_OF_TERMS)
+        out += [(name, t) for t in ((text, terms + end, terms) if end else (text,))]
+    return out
+
+
+KNOWN = (
+    ("MIT", MIT), ("ISC", ISC), *NOTICES,
+    *_titled("MIT", MIT.split("\n", 1)[1], "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    *_titled("ISC", ISC.split("\n", 1)[1], "The ISC License", "ISC License (ISC)"),
+    *_titled("Zlib", ZLIB, "zlib License", "The zlib License", "zlib/libpng License"),
+    *(row for url in ("http://unlicense.org", "http://unlicense.org/", "https://unlicense.org", "https://unlicense.org/") for row in _titled("Unlicense", UNLICENSE % url, "The Unlicense", "Unlicense")),
+    *_bsd(), *_filed(),
+)
 # Spellings that count as the same word.
 SPELLINGS = (("licence", "license"), ("sublicence", "sublicense"), ("centre", "center"), ("organisation", "organization"), ("favour", "favor"), ("behaviour", "behavior"),
              ("noncommercial", "non commercial"), ("non-commercial", "non commercial"), ("&", " and "))

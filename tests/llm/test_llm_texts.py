@@ -383,3 +383,24 @@ def test_license_scan(spark, docs, nothing):
                                  "doc_id long, text string")
     assert {tuple(r) for r in scan(mine).collect()} == {(1, "text", "MIT", 1), (2, "line", "MIT", 2), (None, "text", "ISC", 1)}
     assert scan(docs).collect() == [] and scan(nothing).collect() == []
+
+
+def test_whole_licences_are_known(spark):
+    from pathlib import Path
+
+    import duckdb
+
+    from cachelens.llm import op3_licenses as op
+
+    body = op.MIT.split("\n\n", 1)[1]
+    filed = [(name, (Path(op.__file__).parent / "licences" / f"{name}.txt").read_text()) for name in op.FILES]
+    bsd = "\n".join(["Copyright (c) 2020, A. All rights reserved.", op.BSD_START, *(f"{i}. {c}" for i, c in enumerate(op.BSD_CONDITIONS, 1)), op.BSD_END])
+    cases = [*filed, ("MIT", body), ("MIT", f"The MIT License (MIT)\n\n{body}"), ("BSD-3-Clause", bsd), ("BSD-3-Clause", f"BSD 3-Clause License\n\n{bsd}"),
+             ("Zlib", f"zlib License\n\n(C) 2001 A\n{op.ZLIB}"), ("Unlicense", op.UNLICENSE % "https://unlicense.org")]
+    cases += [(None, bsd.replace("binary", "other")), (None, filed[0][1][:5000])]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in op.scan(df).collect())
+    assert [(i, name) for i, unit, name, _ in got if unit == "text"] == [(i, name) for i, (name, _) in enumerate(cases) if name]
+    with duckdb.connect() as db:
+        db.register("documents", df.toArrow())
+        assert sorted(db.sql(op.oracle()).fetchall()) == got
