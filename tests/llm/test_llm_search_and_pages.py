@@ -172,12 +172,13 @@ def test_contract_columns(spark):
 
 def test_pipeline_stages_follow_each_other(spark):
     import corpus_pipeline
+    from cachelens.session import materialize
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, n = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf).cache()
+        docs = materialize(stage(spark, docs, sf), f"test-{name}")  # as run() does; nothing stays cached
         if name != "packing":
             assert docs.columns == columns and 0 < docs.count() <= n
             n = docs.count()
