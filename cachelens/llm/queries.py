@@ -102,6 +102,30 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with the periodic tails that op13's contract plants: of documents whose id has a
+    CRC-32 h divisible by 10, each word i >= a becomes word a + (i - a) % p. A null id has no tail."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    cut = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1).alias("w"))
+    cut = cut.withColumn("a", F.expr("CASE WHEN h % 10 = 0 AND size(w) > 0 THEN g % size(w) END").cast("int"))
+    cut = cut.withColumn("p", F.expr("1 + (size(w) - a) div (3 + g % 8)").cast("int"))
+    tail = "slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((size(w) - a) / p) AS INT))), 1, size(w) - a)"
+    return cut.select("doc_id", F.expr(f"CASE WHEN a IS NULL THEN text ELSE array_join(concat(slice(w, 1, a), {tail}), ' ') END").alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cachelens.llm.op13_periods import collapse_runs
+
+    done = collapse_runs(planted_periods(documents(spark, sf_dir)))
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    best = F.expr("array_min(transform(runs, r -> struct(-r.length AS length, r.start AS start, r.period AS period)))")
+    done = done.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+    return done.select("doc_id", "n_words", "n_runs", "best.start", (-F.col("best.length")).alias("length"), "best.period",
+                       F.expr("(-1000 * best.length) div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def _op3_oracle() -> str:
     from cachelens.llm.op3_licenses import oracle
 
