@@ -102,12 +102,20 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cachelens.llm.op12_search import rank
+
+    return rank(documents(spark, sf_dir), load_table(spark, sf_dir, "benchmark"))
+
+
 def planted_periods(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` with the periodic tails that op13's contract plants: of documents whose id has a
     CRC-32 h divisible by 10, each word i >= a becomes word a + (i - a) % p. A null id has no tail."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    cut = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1).alias("w"))
-    cut = cut.withColumn("a", F.expr("CASE WHEN h % 10 = 0 AND size(w) > 0 THEN g % size(w) END").cast("int"))
+    words = F.regexp_extract_all(F.when(h % 10 == 0, F.col("text")), F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    cut = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), words.alias("w"))
+    cut = cut.withColumn("a", F.expr("CASE WHEN size(w) > 0 THEN g % size(w) END").cast("int"))
     cut = cut.withColumn("p", F.expr("1 + (size(w) - a) div (3 + g % 8)").cast("int"))
     tail = "slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((size(w) - a) / p) AS INT))), 1, size(w) - a)"
     return cut.select("doc_id", F.expr(f"CASE WHEN a IS NULL THEN text ELSE array_join(concat(slice(w, 1, a), {tail}), ' ') END").alias("text"))
@@ -159,3 +167,20 @@ c AS (SELECT *, max(starts) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN
 d AS (SELECT doc_id, count(*) AS n, sum(gone) AS g, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY doc_id)
 SELECT s.doc_id, coalesce(d.n, 0)::BIGINT AS n_words, coalesce(d.g, 0)::BIGINT AS n_removed, sha256(coalesce(d.kept, '')) AS kept_sha256
 FROM s LEFT JOIN d ON d.doc_id = s.doc_id"""
+
+
+_TERM = "regexp_extract_all(translate(text, '{u}', '{l}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')".format(u=_UPPER, l=_UPPER.lower())
+
+ORACLES["op12_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, {_TERM} AS terms FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, terms, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+c AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS total FROM s),
+i AS (SELECT DISTINCT item_id, unnest({_TERM}) AS term FROM benchmark WHERE text IS NOT NULL),
+t AS (SELECT doc_id, n, unnest(terms) AS term FROM s),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM f, c),
+m AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // total))))::BIGINT AS score
+      FROM p JOIN w USING (term) JOIN i USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM m WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50"""
