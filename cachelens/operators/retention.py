@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cachelens.operators.ordering import dense_ids, previous_value
-from cachelens.operators.vector_join import knn, range_count
+from cachelens.operators.range_prune import neighbor_counts
+from cachelens.operators.vector_join import knn
 from cachelens.operators.vectors import dimension_sums, partial_moments
 
 INF = float("inf")
@@ -59,9 +60,10 @@ def rank_lfu(log: DataFrame, n: int | None = 10) -> DataFrame:
 # ------------------------------------------------------------------------------ G5
 
 def redundancy(entries: DataFrame, threshold: float = 0.30, id_col: str = "id", vec_col: str = "embedding",
-               **strategy) -> DataFrame:
-    """Share of the other entries within squared L2 ``<= threshold`` per entry, over all entries."""
-    near = range_count(entries, entries, threshold, q_id=id_col, q_vec=vec_col, d_id=id_col, d_vec=vec_col, **strategy)
+               **options) -> DataFrame:
+    """Share of the other entries within squared L2 ``<= threshold`` per entry, over all entries
+    (a pruned threshold join, see ``range_prune``)."""
+    near = neighbor_counts(entries, threshold, id_col, vec_col, **options)
     others = entries.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).cast("double")).scalar()
     return near.select(F.col("query_id").alias(id_col), (F.col("n_within") / others).alias("redundancy"))
 

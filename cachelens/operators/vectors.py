@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from cachelens.functions.draws import md5_order_key
 from cachelens.functions.vector import has_nan, norm, norm_sq
-from cachelens.operators.vector_join import arrow_vectors, knn, pair_stats, range_count
+from cachelens.operators.range_prune import neighbor_counts
+from cachelens.operators.vector_join import arrow_vectors, knn, pair_stats
 
 
 # ------------------------------------------------------------------------------ B6
@@ -49,11 +50,11 @@ def vectors_remove(table: DataFrame, ids: DataFrame, id_col: str = "id") -> Data
 # ------------------------------------------------------------------------------ E10
 
 def threshold_neighbors(vectors: DataFrame, threshold: float, id_col: str = "id",
-                        vec_col: str = "embedding", **strategy) -> DataFrame:
-    """Per row: how many other rows lie within squared L2 ``<= threshold`` (zeros kept)."""
-    out = range_count(vectors, vectors, threshold, q_id=id_col, q_vec=vec_col, d_id=id_col,
-                      d_vec=vec_col, exclude_self=True, **strategy)
-    return out.withColumnRenamed("query_id", id_col)
+                        vec_col: str = "embedding", examined: bool = False, **options) -> DataFrame:
+    """Per row: how many other rows lie within squared L2 ``<= threshold`` (zeros kept), with cells
+    pruned by the triangle inequality (``range_prune``). ``examined`` adds the rows compared."""
+    out = neighbor_counts(vectors, threshold, id_col, vec_col, **options).withColumnRenamed("query_id", id_col)
+    return out if examined else out.drop("n_examined")
 
 
 # ------------------------------------------------------------------------------ E11, E12
