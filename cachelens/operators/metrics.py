@@ -10,7 +10,7 @@ from cachelens.operators.quantiles import exact_percentiles
 
 def latency_stats(df: DataFrame, value_col: str, group_cols=(), scale: float = 1.0) -> DataFrame:
     """mean, std(pop), p50/p95/p99 (exact, linear interpolation), min, max of ``value * scale``
-    (``scale = 1e-6`` turns ns into ms). The percentiles come from range-partitioned ranks."""
+    (``scale = 1e-6`` turns ns into ms). The percentiles come from value counts."""
     v = F.col(value_col).cast("double") * F.lit(float(scale))
     group_cols = list(group_cols)
     base = df.groupBy(*group_cols).agg(

@@ -62,8 +62,12 @@ def route(nn: DataFrame, threshold: float, dist_col: str = "dist", id_col: str =
 # ------------------------------------------------------------------------------ F9
 
 def router_stats(routed: DataFrame, dist_col: str = "dist") -> DataFrame:
+    """Counts, hit rate and distance statistics of a routed stream. Its two columns are written once, so
+    that the search behind them does not run for the moments and for the median."""
     from cachelens.operators.quantiles import exact_percentiles
+    from cachelens.session import materialize
 
+    routed = materialize(routed.select("action", dist_col), "routed")
     hits = F.count_if(F.col("action") == "cache")
     n = F.count(F.lit(1))
     d = F.col(dist_col)

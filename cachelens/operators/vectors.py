@@ -306,10 +306,12 @@ def recall_by_config(approx: DataFrame, exact: DataFrame, config_ids: list, ks=(
 # ------------------------------------------------------------------------------ F8
 
 def distance_analysis(nn: DataFrame, dist_col: str = "dist") -> DataFrame:
-    """One row of moments and exact percentiles of the distances."""
+    """One row of moments and exact percentiles of the distances, which are written once for both."""
     from cachelens.operators.quantiles import exact_percentiles
+    from cachelens.session import materialize
 
     d = F.col(dist_col)
+    nn = materialize(nn.select(dist_col), "distances")
     base = nn.filter(d.isNotNull()).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg(d), 4).alias("mean"), F.round(F.stddev_pop(d), 4).alias("std"),
