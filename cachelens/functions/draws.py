@@ -1,6 +1,7 @@
 """Deterministic pseudo-random draws that depend only on (seed, salt, row id).
 
-A draw is ``u = first 32 bits of md5("seed:salt:id") / 2^32``; Spark and DuckDB compute the
+A draw is ``u = first 52 bits of md5("seed:salt:id") / 2^52``, all that a double below 1 holds
+without rounding, so every row of a table of up to 2^52 rows can be drawn; Spark and DuckDB compute the
 same value, so sampled rows are reproducible across engines and across re-executions of
 a lost task (no stateful RNG lives in any executor).
 """
@@ -11,6 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+DRAW_DIGITS = 13
+
+
 def _key(seed, salt, id_col) -> Column:
     parts = [F.lit(str(seed))]
     if salt is not None and salt != "":
@@ -25,9 +29,9 @@ def md5_order_key(seed, salt, id_col) -> Column:
 
 
 def uniform_draw(seed, salt, id_col) -> Column:
-    """Uniform double in [0, 1) from the first 8 hex digits of the md5 key."""
-    h = F.substring(md5_order_key(seed, salt, id_col), 1, 8)
-    return F.conv(h, 16, 10).cast("double") / F.lit(4294967296.0)
+    """Uniform double in [0, 1) from the first ``DRAW_DIGITS`` hex digits of the md5 key."""
+    h = F.substring(md5_order_key(seed, salt, id_col), 1, DRAW_DIGITS)
+    return F.conv(h, 16, 10).cast("double") / F.lit(16.0**DRAW_DIGITS)
 
 
 def sql_md5_key(seed, salt, id_sql: str) -> str:
@@ -38,4 +42,4 @@ def sql_md5_key(seed, salt, id_sql: str) -> str:
 
 def sql_uniform(seed, salt, id_sql: str) -> str:
     """DuckDB spelling of :func:`uniform_draw`."""
-    return f"(('0x' || substr({sql_md5_key(seed, salt, id_sql)}, 1, 8))::BIGINT / 4294967296.0)"
+    return f"(('0x' || substr({sql_md5_key(seed, salt, id_sql)}, 1, {DRAW_DIGITS}))::BIGINT / {16.0**DRAW_DIGITS!r})"

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cachelens.functions.draws import DRAW_DIGITS
 from cachelens.operators.vector_join import (DEFAULT_ROWS_PER_BLOCK, TopK, _run_kernel, arrow_vectors,
                                              knn)
 from cachelens.operators.vectors import assign_nearest
@@ -37,7 +38,7 @@ def lsh_hyperplanes(nbits: int, dim: int, seed: int = 42) -> np.ndarray:
     for r, salt in enumerate(("lsh_a", "lsh_b")):
         for idx in range(n):
             h = hashlib.md5(f"{seed}:{salt}:{idx}".encode()).hexdigest()
-            u[r, idx] = int(h[:8], 16) / 4294967296.0
+            u[r, idx] = int(h[:DRAW_DIGITS], 16) / 16.0**DRAW_DIGITS
     z = np.sqrt(-2.0 * np.log(1.0 - u[0])) * np.cos(2.0 * math.pi * u[1])
     return z.reshape(nbits, dim)
 

@@ -188,7 +188,7 @@ RANGE_BUCKETS = 1 << 16
 
 
 def range_pick(draws: DataFrame, intervals: DataFrame, u_col: str = "u") -> DataFrame:
-    """Join each draw to the interval ``[lo, hi)`` containing ``u`` (the last interval also takes
+    """Join each draw (``draw_id`` is unique) to the interval ``[lo, hi)`` containing ``u`` (the last interval also takes
     ``u`` up to 1). The unit interval is cut into fixed buckets; an interval is repeated once per
     bucket it overlaps (clusters + buckets rows in total), so the range join becomes an equi join
     on the bucket plus a filter, and no side has to be broadcast."""
@@ -201,11 +201,10 @@ def range_pick(draws: DataFrame, intervals: DataFrame, u_col: str = "u") -> Data
     top = intervals.agg(F.max("hi")).scalar()
     inside = (F.col(u_col) >= F.col("lo")) & ((F.col(u_col) < F.col("hi")) | (F.col("hi") >= top))
     # a u on an interval edge may match two intervals through rounding: keep the lower one
-    w = Window.partitionBy("_draw_key").orderBy("lo")
-    return (d.withColumn("_draw_key", F.monotonically_increasing_id())
-            .join(iv, "_bucket").filter(inside)
+    w = Window.partitionBy("draw_id").orderBy("lo")
+    return (d.join(iv, "_bucket").filter(inside)
             .withColumn("_one", F.row_number().over(w)).filter("_one = 1")
-            .drop("_bucket", "_b0", "_b1", "_one", "_draw_key"))
+            .drop("_bucket", "_b0", "_b1", "_one"))
 
 
 def _members(rows: DataFrame, cluster_col: str, id_col: str) -> DataFrame:

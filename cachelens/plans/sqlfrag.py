@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from cachelens.functions.draws import DRAW_DIGITS
+
 
 def sq_l2(a: str, b: str) -> str:
     return (f"list_sum(list_transform(list_zip({a}::DOUBLE[], {b}::DOUBLE[]), "
@@ -22,7 +24,7 @@ def md5_key(seed, salt, id_sql: str) -> str:
 
 
 def uniform(seed, salt, id_sql: str) -> str:
-    return f"(('0x' || substr({md5_key(seed, salt, id_sql)}, 1, 8))::BIGINT / 4294967296.0)"
+    return f"(('0x' || substr({md5_key(seed, salt, id_sql)}, 1, {DRAW_DIGITS}))::BIGINT / {16.0**DRAW_DIGITS!r}::DOUBLE)"
 
 
 def values(rows, names: str, alias: str = "v") -> str:

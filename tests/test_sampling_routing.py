@@ -126,3 +126,16 @@ def test_first_n_flag_is_the_top_n(spark):
     for n in (1, 120, 300, 500):
         got = {r.doc_id for r in df.filter(S.first_n_flag(df, order, n)).collect()}
         assert got == {r.doc_id for r in df.orderBy(*order).limit(n).collect()}
+
+
+def test_draws_reach_rows_beyond_32_bits(spark):
+    """A draw has 52 bits: positions of a table of 2^45 rows are spread over its whole range, odd ones too."""
+    from pyspark.sql import functions as F
+
+    from cachelens.functions.draws import uniform_draw
+
+    rows = 2**45
+    pos = [r.pos for r in spark.range(4000).select(F.floor(uniform_draw(42, "uniform", "id") * F.lit(rows)).cast("long").alias("pos")).collect()]
+    assert len(set(pos)) == 4000 and max(pos) < rows
+    assert sum(p > 2**32 for p in pos) > 3990 and 0.45 < np.mean([p % 2 for p in pos]) < 0.55
+    assert abs(np.mean(pos) / rows - 0.5) < 0.02
