@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from cachelens.operators import ann
+from cachelens.operators import ann, lsh
 from cachelens.operators import vectors as V
 from cachelens.operators.sampling import fill_split, holdout_split
 from cachelens.operators.vector_join import knn
@@ -64,6 +64,46 @@ def q_knn_lsh(spark, sf):
     return ann.knn_lsh(q, db, 10, nbits=64, q_id="vec_id", d_id="vec_id")
 
 
+#: Banded search: bits of a code, bands, and bits that may differ in a band.
+BANDED = (128, 16, 1)
+
+
+def banded_pairs(rows: str, nbits: int, bands: int, radius: int) -> str:
+    """CTE ``banded`` (query_id, nn_id, hamming): pairs of ``hs`` that share a band of their codes."""
+    return f"""
+bandbits AS (
+  SELECT qb.vec_id AS query_id, db.vec_id AS nn_id, qb.p // {nbits // bands} AS band, sum(CASE WHEN qb.bit <> db.bit THEN 1 ELSE 0 END) AS n
+  FROM bits qb JOIN {rows} q ON q.vec_id = qb.vec_id AND q.is_q
+  JOIN bits db ON db.p = qb.p JOIN {rows} d ON d.vec_id = db.vec_id AND NOT d.is_q
+  GROUP BY 1, 2, 3),
+banded AS (SELECT query_id, nn_id, sum(n)::DOUBLE AS hamming FROM bandbits GROUP BY 1, 2 HAVING min(n) <= {radius})"""
+
+
+@register("knn_lsh_banded", f"WITH {S.holdout()},{S.lsh_bits('hs', BANDED[0])},{banded_pairs('hs', *BANDED)} {S.topk('banded', 10, 'hamming')}")
+def q_knn_lsh_banded(spark, sf):
+    """E4 by bands: an equi join on (band, bits), whole codes compared for what meets there."""
+    q, db = _holdout(spark, sf)
+    return lsh.knn_lsh_banded(q, db, 10, *BANDED, q_id="vec_id", d_id="vec_id")
+
+
+@register("recall_lsh_banded", f"""
+WITH {S.holdout()},{S.lsh_bits('hs', BANDED[0])},{banded_pairs('hs', *BANDED)},
+allpairs AS (SELECT query_id, nn_id, sum(n)::DOUBLE AS hamming FROM bandbits GROUP BY 1, 2),
+approx AS ({S.topk('banded', 10, 'hamming')}), exact AS ({S.topk('allpairs', 10, 'hamming')}),
+ks AS (SELECT * FROM (VALUES (1), (5), (10)) t(k)),
+per_q AS (
+  SELECT ks.k, e.query_id, count(a.neighbor_id)::DOUBLE / count(*) AS r
+  FROM ks JOIN exact e ON e.rank <= ks.k
+  LEFT JOIN approx a ON a.query_id = e.query_id AND a.neighbor_id = e.neighbor_id AND a.rank <= ks.k
+  GROUP BY ks.k, e.query_id)
+SELECT k, round(avg(r), 6) AS recall, count(*) AS n_queries FROM per_q GROUP BY k""")
+def q_recall_lsh_banded(spark, sf):
+    """How much of the exhaustive Hamming result the banded search finds."""
+    q, db = _holdout(spark, sf)
+    approx = lsh.knn_lsh_banded(q, db, 10, *BANDED, q_id="vec_id", d_id="vec_id")
+    return V.recall_at_k(approx, ann.knn_lsh(q, db, 10, nbits=BANDED[0], q_id="vec_id", d_id="vec_id"))
+
+
 @register("recall_at_k", LSH_SQL + f""",
 approx AS ({S.topk('pairs', 10, 'hamming')}),
 {PAIRS_L2.replace('pairs AS', 'epairs AS')},
@@ -365,3 +405,16 @@ def q_vector_table_roundtrip(spark, sf):
     idx.save(path)
     back = ann.IVFIndex.load(spark, path, "vec_id")
     return _r6(back.search(q, 5, nprobe=4, q_id="vec_id"), "dist")
+
+
+@register("lsh_table_roundtrip", f"""
+WITH {S.holdout()},{S.lsh_bits('hs', BANDED[0])}, kept AS (SELECT * FROM hs WHERE is_q OR label <> 1),{banded_pairs('kept', *BANDED)}
+{S.topk('banded', 5, 'hamming')}""")
+def q_lsh_table_roundtrip(spark, sf):
+    """E6, E7, E9 for codes: save the rows of some labels as a bucketed table, load it, append the others, remove label 1, search."""
+    q, db = _holdout(spark, sf)
+    path = ann.roundtrip_path(spark, "lsh")
+    lsh.LSHTable.save(db.filter("label < 5"), path, *BANDED[:2], id_col="vec_id").drop()
+    table = lsh.LSHTable.load(spark, path)
+    table.append(db.filter("label >= 5 OR label IS NULL"), id_col="vec_id").remove(db.filter("label = 1"), id_col="vec_id")
+    return table.search(q, 5, BANDED[2], q_id="vec_id")
