@@ -3,7 +3,7 @@
 * LSH (E4): sign of random projections on seeded Gaussian hyperplanes, packed into 64-bit
   words (``ARRAY<BIGINT>``); search is an exhaustive Hamming top-k with the blocked join.
   The hyperplanes depend only on (seed, plane, dim), so SQL can rebuild them.
-* IVF (E3): ``pyspark.ml`` k-means centres, every row tagged with its nearest cell; a
+* IVF (E3): mini-batch k-means centres, every row tagged with its nearest cell; a
   query scans its ``nprobe`` nearest cells. Query and database rows meet by an equi-key
   on the cell (co-grouped), and a cell bigger than ``rows_per_block`` is split into
   sub-blocks with the probing queries replicated to each, so a hot cell never lands in
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cachelens.functions.draws import DRAW_DIGITS
+from cachelens.functions.draws import DRAW_DIGITS, md5_order_key, uniform_draw
 from cachelens.operators.vector_join import (DEFAULT_ROWS_PER_BLOCK, TopK, _run_kernel, arrow_vectors,
                                              knn)
 from cachelens.operators.vectors import assign_nearest
@@ -86,19 +86,63 @@ def knn_lsh(queries: DataFrame, database: DataFrame, k: int, nbits: int = 64, se
 
 # ------------------------------------------------------------------------------ E8 k-means
 
-def kmeans_centers(df: DataFrame, k: int, seed: int = 42, vec_col: str = "embedding",
-                   max_iter: int = 20) -> np.ndarray:
-    """Train ``pyspark.ml`` k-means; the centres (k x dim, an index parameter) come back.
-    The iterations re-read the training rows, so they are cached for the fit."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+KMEANS_BATCHES, KMEANS_EPOCHS = 4, 2
 
-    feats = df.select(array_to_vector(F.col(vec_col)).alias("features")).cache()
-    try:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
-    finally:
-        feats.unpersist()
-    return np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
+
+def batch_sums(rows: DataFrame, centers: np.ndarray, id_col: str, vec_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, sum vector) by nearest centre: one short row per centre leaves a task, k * dim numbers the job."""
+    bc = rows.sparkSession.sparkContext.broadcast(np.asarray(centers, dtype=np.float64))
+
+    def scan(batches):
+        C = bc.value
+        cn = np.einsum("ij,ij->i", C, C)
+        n, s = np.zeros(len(C), np.int64), np.zeros(C.shape)
+        for b in batches:
+            ids, X = arrow_vectors(b, id_col, vec_col)
+            for at in range(0, len(ids), 10_000):
+                part = X[at : at + 10_000]
+                cell = (cn[None, :] - 2.0 * (part @ C.T)).argmin(axis=1)  # ties: lower centre
+                n += np.bincount(cell, minlength=len(C))
+                np.add.at(s, cell, part)
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(own, pa.int32()), "n": pa.array(n[own], pa.int64()), "s": pa.array(list(s[own]), pa.list_(pa.float64()))})
+
+    parts = rows.select(F.col(id_col).cast("long").alias(id_col), vec_col).mapInArrow(scan, "cell int, n long, s array<double>")
+    sums = parts.select("cell", F.posexplode(F.concat(F.array(F.col("n").cast("double")), "s")).alias("i", "x")) \
+        .groupBy("cell", "i").agg(F.sum("x").alias("x")).toArrow()  # k * (dim + 1) numbers
+    out = np.zeros((len(centers), np.asarray(centers).shape[1] + 1))
+    out[sums.column("cell").to_numpy(), sums.column("i").to_numpy()] = sums.column("x").to_numpy()
+    return out[:, 0], out[:, 1:]
+
+
+def kmeans_centers(df: DataFrame, k: int, seed: int = 42, vec_col: str = "embedding", id_col: str = "id",
+                   batches: int = KMEANS_BATCHES, epochs: int = KMEANS_EPOCHS) -> np.ndarray:
+    """Mini-batch k-means (E8): the centres (k x dim, an index parameter).
+
+    The first centres are the first ``k`` rows in md5 order. Every row belongs to one of ``batches`` md5
+    batches; a batch's rows are summed by nearest centre where they lie, and a centre moves to the mean of all
+    rows it was given so far. Each of the batches * epochs steps is one job over its own batch, which
+    is written apart once, so nothing is cached and a lost task repeats its part of one step."""
+    from cachelens.session import materialize
+
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_v")).filter("_v IS NOT NULL")
+    first = rows.orderBy(md5_order_key(seed, "kmeans_init", "_id"), "_id").limit(k)
+    # collected in order: k rows
+    centers = np.array([r["_v"] for r in first.collect()], dtype=np.float64)
+    if len(centers) < k:
+        raise ValueError(f"{k} centres asked of {len(centers)} rows")
+    batch = F.floor(uniform_draw(seed, "kmeans_batch", "_id") * batches).cast("int")
+    tables = [rows.filter(batch == t) for t in range(batches)]
+    if epochs > 1:
+        written = materialize(rows.withColumn("_batch", batch), "batches", partition_by="_batch")
+        tables = [written.filter(F.col("_batch") == t).drop("_batch") for t in range(batches)]
+    seen = np.zeros(k)
+    for step in range(batches * epochs):
+        n, s = batch_sums(tables[step % batches], centers, "_id", "_v")
+        seen += n
+        hit = n > 0
+        centers[hit] += (s[hit] - n[hit, None] * centers[hit]) / seen[hit, None]
+    return centers
 
 
 def kmeans_assign(df: DataFrame, centers: np.ndarray, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
@@ -116,8 +160,8 @@ class IVFIndex:
 
     @classmethod
     def build(cls, database: DataFrame, nlist: int, seed: int = 42, id_col: str = "id",
-              vec_col: str = "embedding", max_iter: int = 10, centers: np.ndarray | None = None) -> "IVFIndex":
-        """k-means over all rows (``pyspark.ml``, distributed), or the given ``centers`` (``nlist``
+              vec_col: str = "embedding", centers: np.ndarray | None = None) -> "IVFIndex":
+        """Mini-batch k-means over all rows, or the given ``centers`` (``nlist``
         of them). More cells than rows is an error."""
         from cachelens.session import materialize
 
@@ -125,7 +169,7 @@ class IVFIndex:
         if nlist > n:
             raise ValueError(f"nlist = {nlist} exceeds the {n} rows of the database")
         if centers is None:
-            centers = kmeans_centers(database, nlist, seed, vec_col, max_iter)
+            centers = kmeans_centers(database, nlist, seed, vec_col, id_col)
         elif len(centers) != nlist:
             raise ValueError(f"{len(centers)} centers given for nlist = {nlist}")
         tagged = assign_nearest(database, centers, id_col, vec_col, k=1, keep_vector=True) \

@@ -163,8 +163,8 @@ def knn_benchmark(emb: DataFrame, label: str = "full", id_col: str = "vec_id", q
     table = spark.createDataFrame([(c, kind, pm, w, err) for (c, kind, pm, err) in meta for w in workloads],
                                   "config int, index_type string, params map<string,double>, workload string, "
                                   "error string")
-    allres = results[0]
-    for r in results[1:]:
+    allres = spark.createDataFrame([], "config int, query_id long, rank int, neighbor_id long")  # all may have failed
+    for r in results:
         allres = allres.unionByName(r)
     ok_ids = [m[0] for m in meta if m[3] is None]
     recs = None
@@ -187,7 +187,7 @@ def workload_weights(q: DataFrame, db: DataFrame, workload: str, id_col: str, se
 
     n_db = n_db or db.count()
     k = max(2, min(n_clusters, n_db // 5))
-    centers = ann.kmeans_centers(db, k, seed)
+    centers = ann.kmeans_centers(db, k, seed, id_col=id_col)
     from cachelens.operators.vectors import assign_nearest
     cells = assign_nearest(q, centers, id_col, "embedding", k=1).select(F.col(id_col).alias("_orig"), "cell")
     rows = dense_ids(cells, ["_orig"], out_col="query_id")

@@ -202,11 +202,36 @@ def q_kmeans_assign(spark, sf):
     return out.select("vec_id", F.col("label").alias("cell"), F.round("dist", 6).alias("dist"))
 
 
-@register("kmeans_fit")
+FIT_CENTRES = 10
+
+
+def kmeans_fit_sql(k: int, batches: int, epochs: int, seed: int = 42) -> str:
+    """The steps of ``ann.kmeans_centers`` one by one, and the cell sizes under the last centres."""
+    ctes = [f"""
+x AS MATERIALIZED (SELECT x.vec_id, x.i, x.v, floor({S.uniform(seed, 'kmeans_batch', 'x.vec_id')} * {batches})::INTEGER AS batch FROM {S.explode_vec('embeddings')} x),
+o AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY {S.md5_key(seed, 'kmeans_init', 'vec_id')}, vec_id) - 1 AS cell FROM embeddings),
+c0 AS MATERIALIZED (SELECT o.cell, x.i, x.v AS c, 0 AS n FROM x JOIN o ON o.vec_id = x.vec_id WHERE o.cell < {k})"""]
+
+    def nearest(name, where):
+        return f"""SELECT vec_id, cell FROM (
+  SELECT x.vec_id, c.cell, row_number() OVER (PARTITION BY x.vec_id ORDER BY sum((x.v - c.c) * (x.v - c.c)), c.cell) AS r
+  FROM x JOIN {name} c ON c.i = x.i WHERE {where} GROUP BY x.vec_id, c.cell) WHERE r = 1"""
+
+    for t in range(batches * epochs):
+        ctes.append(f"""
+a{t} AS MATERIALIZED ({nearest(f'c{t}', f'x.batch = {t % batches}')}),
+s{t} AS MATERIALIZED (SELECT a.cell, x.i, count(*) AS n, sum(x.v) AS s FROM a{t} a JOIN x ON x.vec_id = a.vec_id GROUP BY a.cell, x.i),
+c{t + 1} AS MATERIALIZED (SELECT c.cell, c.i, c.n + coalesce(s.n, 0) AS n, CASE WHEN s.n IS NULL THEN c.c ELSE c.c + (s.s - s.n * c.c) / (c.n + s.n) END AS c
+  FROM c{t} c LEFT JOIN s{t} s ON s.cell = c.cell AND s.i = c.i)""")
+    last = f"c{batches * epochs}"
+    return f"WITH {','.join(ctes)} SELECT cell::INTEGER AS cell, count(*) AS n FROM ({nearest(last, 'true')}) GROUP BY cell"
+
+
+@register("kmeans_fit", kmeans_fit_sql(FIT_CENTRES, ann.KMEANS_BATCHES, ann.KMEANS_EPOCHS))
 def q_kmeans_fit(spark, sf):
-    """E8 with trained centres (pyspark.ml k-means); cluster sizes."""
+    """E8 with trained centres (mini-batch k-means); cluster sizes."""
     emb = _emb(spark, sf)
-    centers = ann.kmeans_centers(emb, 10, seed=42)
+    centers = ann.kmeans_centers(emb, FIT_CENTRES, seed=42, id_col="vec_id")
     return ann.kmeans_assign(emb, centers, id_col="vec_id").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
