@@ -207,16 +207,23 @@ class IVFIndex:
     def search(self, queries: DataFrame, k: int, nprobe: int = 1, q_id: str = "query_id",
                rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
         """``(query_id, rank, neighbor_id, dist)`` over the ``nprobe`` nearest cells."""
-        nprobe = max(1, min(nprobe, len(self.centers)))
-        probes = assign_nearest(queries, self.centers, q_id, self.vec_col, k=nprobe, keep_vector=True) \
-            .select(F.col(q_id).alias("_qid"), "cell", F.col(self.vec_col).alias("_qv"))
+        return self.search_probes(queries, k, [nprobe], q_id, rows_per_block).drop("nprobe")
+
+    def search_probes(self, queries: DataFrame, k: int, nprobes: list[int], q_id: str = "query_id",
+                      rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
+        """``(nprobe, query_id, rank, neighbor_id, dist)`` for several numbers of probed cells: each cell is
+        searched once, and a smaller number takes the lists of its nearer cells."""
+        wanted = sorted(set(nprobes))
+        top = max(1, min(wanted[-1], len(self.centers)))
+        probes = assign_nearest(queries, self.centers, q_id, self.vec_col, k=top, keep_vector=True) \
+            .select(F.col(q_id).alias("_qid"), "cell", F.col(self.vec_col).alias("_qv"), F.col("rank").alias("_place"))
         sizes = self.table.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")) \
             .withColumn("_subs", F.greatest(F.lit(1), F.ceil(F.col("_n") / rows_per_block)).cast("int"))
         # one row per cell: bounded by nlist
         sizes = F.broadcast(sizes.select("cell", "_subs"))
         qside = (probes.join(sizes, "cell")
                  .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)))
-                 .select("cell", "_sub", "_qid", "_qv"))
+                 .select("cell", "_sub", "_qid", "_qv", "_place"))
         # only probed cells are read: the probed set (at most nlist values) becomes a partition
         # filter, so on a table saved with partitionBy("cell") unprobed cells are never scanned
         probed = [r[0] for r in probes.select("cell").distinct().collect()]
@@ -229,13 +236,20 @@ class IVFIndex:
         def cell(left: pa.Table, right: pa.Table) -> pa.Table:
             qids, Q = arrow_vectors(left, "_qid", "_qv")
             xids, X = arrow_vectors(right, "_did", "_dv")
-            return _run_kernel(kern, qids, Q, [(xids, X)])
+            found = _run_kernel(kern, qids, Q, [(xids, X)])
+            place = dict(zip(left.column("_qid").to_pylist(), left.column("_place").to_pylist()))  # a query asks a cell once
+            return found.append_column("place", pa.array([place[q] for q in found.column("query_id").to_pylist()], pa.int32()))
 
         part = (qside.groupBy("cell", "_sub").cogroup(dside.groupBy("cell", "_sub"))
-                .applyInArrow(cell, kern.schema()))
-        w = Window.partitionBy("query_id").orderBy("dist", "neighbor_id")
+                .applyInArrow(cell, f"{kern.schema()}, place int"))
+        if len(wanted) > 1:
+            takes = F.filter(F.array(*[F.lit(n) for n in wanted]), lambda n: n >= F.col("place"))
+            part = part.withColumn("nprobe", F.explode(takes))
+        else:
+            part = part.withColumn("nprobe", F.lit(wanted[0]))
+        w = Window.partitionBy("nprobe", "query_id").orderBy("dist", "neighbor_id")
         return (part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-                .select("query_id", "rank", "neighbor_id", "dist"))
+                .select("nprobe", "query_id", "rank", "neighbor_id", "dist"))
 
 
 def roundtrip_path(spark, name: str) -> str:

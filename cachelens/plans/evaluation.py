@@ -7,6 +7,8 @@ ground truth is computed once per distinct split and reused.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,9 +127,10 @@ def knn_benchmark(emb: DataFrame, label: str = "full", id_col: str = "vec_id", q
                   centers=None) -> DataFrame:
     """Holdout split, exact truth at k, then each (index, params, workload) -> a recall row.
 
-    Every configuration's neighbours are written once inside its own ``try`` and scored against the
-    truth in one join and aggregation; a failing one becomes an error row. Centres are fitted
-    once per nlist (or given, for nlist = their number) and searched with every nprobe. Workload
+    The neighbours of a group of configurations are written once inside its own ``try`` and scored against
+    the truth in one join and aggregation; those of a failing group become error rows. An inverted
+    file is fitted once per nlist (or its centres are given, for nlist = their number) and searched once for
+    all its nprobes; codes are computed once, as shorter ones are prefixes of the longest. Workload
     ``uniform`` weighs every held-out query once; ``clustered`` and ``bursty`` draw as many
     queries with replacement over the k-means cells of the database and weigh each query by
     how often it was drawn."""
@@ -135,30 +138,51 @@ def knn_benchmark(emb: DataFrame, label: str = "full", id_col: str = "vec_id", q
 
     spark = emb.sparkSession
     split = holdout_split(emb.select(id_col, "embedding"), id_col=id_col, query_count=query_count, seed=seed)
+    split = materialize(split, "bench-split")
     q = split.filter(F.col("split") == "query")
     db = split.filter(F.col("split") == "database")
     n_db = db.count()
     truth = materialize(knn(q, db, k, q_id=id_col, d_id=id_col), "truth")
-    configs = [("flat", {})] + [("ivf", {"nlist": a, "nprobe": b}) for a, b in ivf_grid] + [("lsh", {"nbits": b}) for b in lsh_grid]
-    built, results, meta = {}, [], []
-    for cid, (kind, params) in enumerate(configs):
+    meta: dict[int, list] = {}
+    results: list[DataFrame] = []
+    cids = itertools.count()
+
+    def attempt(kind: str, settings: list[dict], search) -> None:
+        """Configurations that are searched together: ``search`` gives rows with ``setting``, their number here."""
+        own = [(next(cids), s) for s in settings]
         error = None
         try:
-            if kind == "flat":
-                approx = truth
-            elif kind == "ivf":
-                nlist = params["nlist"]
-                if nlist not in built:
-                    own = centers if centers is not None and len(centers) == nlist else None
-                    built[nlist] = ann.IVFIndex.build(db, nlist, seed, id_col, centers=own)
-                approx = built[nlist].search(q, k, params["nprobe"], q_id=id_col)
-            else:
-                approx = ann.knn_index(kind, q, db, k, q_id=id_col, d_id=id_col, seed=seed, **params)
-            rows = approx.select(F.lit(cid).alias("config"), "query_id", "rank", "neighbor_id")
-            results.append(materialize(rows, "bench-approx"))
-        except Exception as e:  # noqa: BLE001 - a failing configuration becomes an error row
+            number = F.element_at(F.array(*[F.lit(c) for c, _ in own]), F.col("setting") + 1)
+            results.append(materialize(search().select(number.alias("config"), "query_id", "rank", "neighbor_id"), "bench-approx"))
+        except Exception as e:  # noqa: BLE001 - failing configurations become error rows
             error = str(e)
-        meta.append((cid, kind, {key: float(v) for key, v in params.items()}, error))
+        for cid, params in own:
+            meta[cid] = [kind, {key: float(v) for key, v in params.items()}, error]
+
+    def ivf(nlist: int, nprobes: list[int]) -> DataFrame:
+        given = centers if centers is not None and len(centers) == nlist else None
+        found = ann.IVFIndex.build(db, nlist, seed, id_col, centers=given).search_probes(q, k, nprobes, q_id=id_col)
+        return found.withColumn("setting", F.array_position(F.array(*[F.lit(n) for n in nprobes]), F.col("nprobe")).cast("int") - 1)
+
+    def lsh(lengths: list[int]) -> DataFrame:
+        planes = ann.lsh_hyperplanes(max(lengths), len(db.select("embedding").first()[0]), seed)
+        codes = [materialize(ann.lsh_codes(side, planes, id_col), "codes") for side in (q, db)]
+        out = None
+        for i, nbits in enumerate(lengths):
+            if nbits % 64:
+                raise ValueError("codes come in words of 64 bits")
+            qc, dc = (c.select(id_col, F.slice("code", 1, nbits // 64).alias("code")) for c in codes)
+            found = knn(qc, dc, k, metric="hamming", q_id=id_col, q_vec="code", d_id=id_col, d_vec="code").withColumn("setting", F.lit(i))
+            out = found if out is None else out.unionByName(found)
+        return out
+
+    attempt("flat", [{}], lambda: truth.withColumn("setting", F.lit(0)))
+    for nlist, group in itertools.groupby(ivf_grid, key=lambda g: g[0]):
+        nprobes = [p for _, p in group]
+        attempt("ivf", [{"nlist": nlist, "nprobe": p} for p in nprobes], lambda: ivf(nlist, nprobes))
+    if lsh_grid:
+        attempt("lsh", [{"nbits": b} for b in lsh_grid], lambda: lsh(list(lsh_grid)))
+    meta = [(cid, *m) for cid, m in sorted(meta.items())]
     # configurations x workloads: two short parameter lists, expanded in Python
     table = spark.createDataFrame([(c, kind, pm, w, err) for (c, kind, pm, err) in meta for w in workloads],
                                   "config int, index_type string, params map<string,double>, workload string, "

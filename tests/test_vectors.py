@@ -241,6 +241,58 @@ def test_benchmark_with_trained_centres_workloads_and_error_rows(spark):
     assert rows[rows.params.map(lambda p: p.get("nlist") == 4096)].error.str.contains("nlist").all()
 
 
+def test_benchmark_grid_against_brute_force(spark):
+    """Every IVF and LSH setting and every workload on a small table, worked out in numpy."""
+    from cachelens.operators import ann
+    from cachelens.plans import evaluation as EV
+
+    rng = np.random.default_rng(5)
+    X = unit(np.repeat(unit(rng.normal(size=(8, 16))), 25, axis=0) + 0.4 * rng.normal(size=(200, 16))).astype(np.float32).astype(float)
+    emb = vectors_df(spark, X, id_col="vec_id")
+    ivf, lsh = [(4, 1), (4, 3), (16, 2), (16, 5), (300, 4)], [64, 192]
+    got = {(r.index_type, tuple(sorted(r.params.items())), r.workload): r for r in EV.knn_benchmark(emb, ivf_grid=ivf, lsh_grid=lsh).collect()}
+    assert len(got) == (1 + len(ivf) + len(lsh)) * 3
+    split = EV.holdout_split(emb, id_col="vec_id").select("vec_id", "split").toPandas().set_index("vec_id").split
+    q, d = ([i for i in range(200) if split[i] == side] for side in ("query", "database"))
+    D = ((X[q][:, None] - X[d][None]) ** 2).sum(axis=2)
+
+    def nearest(scores, allowed=None):
+        return [[d[j] for j in sorted((j for j in range(len(d)) if allowed is None or allowed[i, j]), key=lambda j: (row[j], d[j]))[:10]] for i, row in enumerate(scores)]
+
+    truth = nearest(D)
+    db = emb.join(spark.createDataFrame([(i,) for i in d], "vec_id long"), "vec_id")
+    found = {("flat", ()): truth}
+    for nlist, nprobe in ivf[:-1]:
+        C = ann.kmeans_centers(db, nlist, 42, id_col="vec_id")
+        near = np.argsort(((X[:, None] - C[None]) ** 2).sum(axis=2), axis=1, kind="stable")
+        allowed = (near[d][:, 0][None, :, None] == near[q][:, None, :nprobe]).any(axis=2)
+        found["ivf", (("nlist", float(nlist)), ("nprobe", float(nprobe)))] = nearest(D, allowed)
+    for nbits in lsh:
+        bits = (X @ ann.lsh_hyperplanes(nbits, 16, 42).T) > 0
+        found["lsh", (("nbits", float(nbits)),)] = nearest((bits[q][:, None] != bits[d][None]).sum(axis=2))
+    split_rows = EV.holdout_split(emb.select("vec_id", "embedding"), id_col="vec_id")
+    sides = [split_rows.filter(f"split = '{side}'") for side in ("query", "database")]
+    for workload in EV.WORKLOADS:
+        w = dict.fromkeys(q, 1) if workload == "uniform" else {r.query_id: r.w for r in EV.workload_weights(*sides, workload, "vec_id", 42).collect()}
+        for (kind, params), lists in found.items():
+            for k in (1, 5, 10):
+                share = [len(set(a[:k]) & set(t[:k])) / k for a, t in zip(lists, truth)]
+                want = sum(s * w.get(i, 0) for s, i in zip(share, q)) / sum(w.values())
+                assert abs(got[kind, params, workload][f"recall_at_{k}"] - want) < 2e-6
+        bad = got["ivf", (("nlist", 300.0), ("nprobe", 4.0)), workload]
+        assert "nlist" in bad.error and bad.recall_at_10 is None
+
+
+def test_benchmark_where_every_search_fails(spark, monkeypatch):
+    from cachelens.plans import evaluation as EV
+
+    emb = vectors_df(spark, unit(np.random.default_rng(0).normal(size=(40, 8))), id_col="vec_id")
+    real = EV.materialize
+    monkeypatch.setattr(EV, "materialize", lambda df, name="table": 1 / 0 if name == "bench-approx" else real(df, name))
+    rows = EV.knn_benchmark(emb, ivf_grid=[(2, 1)], lsh_grid=[64], workloads=("uniform",)).collect()
+    assert len(rows) == 3 and all("division" in r.error and r.recall_at_1 is None for r in rows)
+
+
 @pytest.mark.parametrize("metric", ["l2", "ip"])
 def test_float32_scores_keep_the_exact_result(spark, metric):
     """Neighbours that differ in the last bits of float32 are told apart."""
