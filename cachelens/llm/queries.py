@@ -119,14 +119,16 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planted_periods(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` with the periodic tails that op13's contract plants: of documents whose id has a
-    CRC-32 h divisible by 10, each word i >= a becomes word a + (i - a) % p. A null id has no tail."""
+    CRC-32 h divisible by 10, each word i >= a becomes word a + (i - a) % p. A null id has no tail.
+    Words and text pass through a generator each, so that a row's are made once."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     words = F.regexp_extract_all(F.when(h % 10 == 0, F.col("text")), F.lit(r"([^\x20\x09-\x0D]+)"), 1)
-    cut = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), words.alias("w"))
+    cut = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), F.explode(F.array(words)).alias("w"))
     cut = cut.withColumn("a", F.expr("CASE WHEN size(w) > 0 THEN g % size(w) END").cast("int"))
     cut = cut.withColumn("p", F.expr("1 + (size(w) - a) div (3 + g % 8)").cast("int"))
     tail = "slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((size(w) - a) / p) AS INT))), 1, size(w) - a)"
-    return cut.select("doc_id", F.expr(f"CASE WHEN a IS NULL THEN text ELSE array_join(concat(slice(w, 1, a), {tail}), ' ') END").alias("text"))
+    text = F.expr(f"CASE WHEN a IS NULL THEN text ELSE array_join(concat(slice(w, 1, a), {tail}), ' ') END")
+    return cut.select("doc_id", F.explode(F.array(text)).alias("text"))
 
 
 @query
