@@ -1,14 +1,15 @@
 """Text -> L2-normalised vector (B5), pluggable.
 
-Default encoder (offline, deterministic): lower-cased word tokens are digested in the JVM (md5
-per token: a bucket and a sign, as SQL can state them), and an Arrow-batched UDF adds +-1 per
-token into ``dim`` buckets with one count over the flattened batch (a sparse random projection
-of the token counts) and normalises. Any ``pandas.Series[str] -> list of vectors`` callable can
+Default encoder (offline, deterministic): the JVM splits the lower-cased text into word tokens, and an
+Arrow-batched UDF gives every distinct token of the batch a bucket and a sign (from its md5, as SQL can
+state them), adds +-1 per token into ``dim`` buckets with one count over the flattened batch
+(a sparse random projection of the token counts) and normalises. Any ``pandas.Series[str] -> list of vectors`` callable can
 replace it (``make_encoder_udf``); with the iterator form a model is loaded once per task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,15 +21,16 @@ from pyspark.sql import functions as F
 DEFAULT_DIM = 64
 
 
-def token_codes(text: Column, dim: int = DEFAULT_DIM) -> Column:
-    """``2 * bucket + sign`` of every token, from the first 36 bits of its md5."""
-    toks = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != F.lit(""))
+def tokens(text: Column) -> Column:
+    """Word tokens in lower case; the first and the last may be empty."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
-    def code(t):
-        bits = F.conv(F.substring(F.md5(t), 1, 9), 16, 10).cast("long")
-        return (F.shiftright(bits, 4) % dim * 2 + bits % 2).cast("int")
 
-    return F.transform(toks, code)
+def token_codes(values: list[str], dim: int = DEFAULT_DIM) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, weight) of each token: from the first 36 bits of its md5; an empty one weighs nothing."""
+    bits = np.array([int(hashlib.md5(t.encode()).hexdigest()[:9], 16) for t in values], np.int64)
+    weight = np.where(np.array([t == "" for t in values], bool), 0.0, 1.0 - 2.0 * (bits % 2))
+    return (bits >> 4) % dim, weight
 
 
 def sql_text_vector(table: str, dim: int = DEFAULT_DIM) -> str:
@@ -43,11 +45,13 @@ vec AS (SELECT d.doc_id, list(coalesce(c.v, 0.0) ORDER BY g.i) AS s
 
 def _hash_udf(dim: int):
     @F.arrow_udf("array<float>")
-    def encode(codes: pa.Array) -> pa.Array:
-        n = len(codes)
-        rows = np.repeat(np.arange(n), codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        v = np.bincount(rows * dim + flat // 2, weights=1.0 - 2.0 * (flat % 2), minlength=n * dim).astype(np.float64).reshape(n, dim)
+    def encode(toks: pa.Array) -> pa.Array:
+        n = len(toks)
+        rows = np.repeat(np.arange(n), toks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        coded = toks.flatten().dictionary_encode()
+        bucket, weight = token_codes(coded.dictionary.to_pylist(), dim)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        v = np.bincount(rows * dim + bucket[at], weights=weight[at], minlength=n * dim).astype(np.float64).reshape(n, dim)
         size = np.sqrt((v * v).sum(axis=1, keepdims=True))
         v = np.divide(v, size, out=v, where=size > 0).astype(np.float32)
         return pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), dim).cast(pa.list_(pa.float32()))
@@ -59,7 +63,7 @@ def embed_text(text: Column, dim: int = DEFAULT_DIM, encoder: Callable | None =
     """Column of L2-normalised ``ARRAY<FLOAT>`` vectors for ``text``."""
     if encoder is not None:
         return make_encoder_udf(encoder)(text)
-    return _hash_udf(dim)(token_codes(text, dim))
+    return _hash_udf(dim)(tokens(text))
 
 
 def make_encoder_udf(encode_batch: Callable[[pd.Series], list]):

@@ -28,13 +28,18 @@ def _order_struct(order) -> Column:
 
 
 def first_n_flag(df: DataFrame, order, n: int) -> Column:
-    """Boolean column: the row is among the first ``n`` rows in ``order`` (a total order)."""
+    """Boolean column: the row is among the first ``n`` rows in ``order`` (a total order). The cut-off key is
+    looked up once and goes into the filter as a literal, so no later job works it out again."""
     key = _order_struct(order)
     if n <= 0:
         return F.lit(False)
     ranked = dense_ids(df.select(key.alias("_k")), ["_k"], out_col="_r")
-    cut = ranked.filter(F.col("_r") < n).agg(F.max("_k")).scalar()
-    return F.coalesce(key <= cut, F.lit(False))
+    cut = ranked.filter(F.col("_r") < n).agg(F.max("_k").alias("_k"))
+    last = cut.first()["_k"]
+    if last is None:
+        return F.lit(False)
+    literal = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(last, cut.schema["_k"].dataType.fields)])
+    return F.coalesce(key <= literal, F.lit(False))
 
 
 def random_order(seed: int, salt: str, id_col: str) -> list:

@@ -375,10 +375,10 @@ def block_join(queries: DataFrame, database: DataFrame, kernel, *,
     schema = kernel.schema()
     dt = getattr(kernel, "vec_dtype", np.float64)
     fits = dict(max_rows=max_broadcast_rows, max_bytes=max_broadcast_bytes)
-    first = q.first()
-    if first is None:
+    shape = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("dim")).first()
+    if not shape["n"]:
         return spark.createDataFrame([], schema)
-    dim, n_q = len(first["_qv"]), q.count()
+    dim, n_q = shape["dim"], shape["n"]
 
     if strategy in ("auto", "broadcast"):
         lists = n_q * kernel.rows_per_query
