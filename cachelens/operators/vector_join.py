@@ -272,50 +272,93 @@ class RangeCount:
 
 @dataclass
 class PairStats:
-    """Aggregates of the inner product over unordered pairs (query id < database id).
+    """Distribution of the inner product over unordered pairs (query id < database id).
 
-    Emits one row per histogram bin touched in the task: count, sum, sum of squares,
-    min and max of the values in the bin, plus the count of values >= each cut. With
-    ``lo == hi`` (first pass) every value falls into bin 0, giving global moments.
+    Emits one row per histogram bin touched in the task: count, sum, smallest and largest value, count of
+    values >= each cut, and pairs multiplied out. With ``lo == hi`` every value falls into bin 0.
+
+    The rows of a block are grouped around a few of them. With group centres a, b and radii r, s, every
+    product of two groups lies within ``|a| s + |b| r + r s`` of ``a . b``. If that interval lies in one
+    bin, holds no cut, and widens the range seen so far by nothing, the pairs are counted as a whole (and
+    summed by the sums of the rows with larger ids).
     """
 
     lo: float = 0.0
     hi: float = 0.0
     bins: int = 1
     cuts: tuple = ()
+    groups: int = 64
     rows_per_query = 0
 
     def schema(self) -> str:
         cut_cols = "".join(f", n_ge_{i} long" for i in range(len(self.cuts)))
-        return f"bin int, n long, s double, ss double, vmin double, vmax double{cut_cols}"
+        return f"bin int, n long, s double, vmin double, vmax double, examined long{cut_cols}"
 
     def init(self, qids, Q):
         b = self.bins
-        return {"n": np.zeros(b, np.int64), "s": np.zeros(b), "ss": np.zeros(b),
-                "mn": np.full(b, np.inf), "mx": np.full(b, -np.inf),
+        return {"n": np.zeros(b, np.int64), "s": np.zeros(b), "mn": np.full(b, np.inf), "mx": np.full(b, -np.inf), "seen": np.zeros(b, np.int64),
                 "ge": np.zeros((b, len(self.cuts)), np.int64)}
 
+    def _bin(self, v):
+        if self.hi <= self.lo:
+            return np.zeros(np.shape(v), np.int64)
+        # values are clamped into the range found by the first pass (recomputed
+        # products may differ from it in the last bit)
+        return np.clip(np.floor((v - self.lo) / ((self.hi - self.lo) / self.bins)), 0, self.bins - 1).astype(np.int64)
+
+    def _grouped(self, ids, X):
+        """(ids, rows, group starts, centres, radii), rows by group."""
+        C = X[np.linspace(0, len(X) - 1, min(self.groups, len(X))).astype(np.int64)]
+        own = (np.einsum("ij,ij->i", C, C)[None, :] - 2.0 * (X @ C.T)).argmin(axis=1)
+        order = np.lexsort((ids, own))
+        starts = np.flatnonzero(np.r_[True, np.diff(own[order]) > 0])
+        X, sizes = X[order], np.diff(np.r_[starts, len(X)])
+        centres = np.add.reduceat(X, starts, axis=0) / sizes[:, None]
+        away = X - np.repeat(centres, sizes, axis=0)
+        radii = np.sqrt(np.maximum.reduceat(np.einsum("ij,ij->i", away, away), starts))
+        return ids[order], X, np.r_[starts, len(X)], centres, radii
+
     def update(self, st, qids, Q, qn, xids, X):
-        m, n = len(qids), len(xids)
-        if m == 0 or n == 0:
+        if len(qids) == 0 or len(xids) == 0:
             return
-        step = max(1, _CHUNK_ENTRIES // max(n, 1))
-        width = (self.hi - self.lo) / self.bins if self.hi > self.lo else 0.0
-        for s in range(0, m, step):
-            e = min(m, s + step)
-            S = Q[s:e] @ X.T
-            v = S[qids[s:e, None] < xids[None, :]]
+        qids, Q, qs, qc, qr = self._grouped(qids, Q)
+        xids, X, xs, xc, xr = self._grouped(xids, X)
+        qsize, xsize = np.sqrt(np.einsum("ij,ij->i", qc, qc)), np.sqrt(np.einsum("ij,ij->i", xc, xc))
+        middle = qc @ xc.T
+        wide = qsize[:, None] * xr[None, :] + xsize[None, :] * qr[:, None] + qr[:, None] * xr[None, :]
+        wide += 1e-9 * (1.0 + (qsize + qr)[:, None] * (xsize + xr)[None, :])  # room for rounding
+        low, high = middle - wide, middle + wide
+        single = self._bin(low) == self._bin(high)
+        for cut in self.cuts:
+            single &= (low >= cut) | (high < cut)
+        for g in range(len(qr)):
+            rows = slice(qs[g], qs[g + 1])
+            whole = single[g] & (low[g] >= st["mn"].min()) & (high[g] <= st["mx"].max())
+            for h in np.flatnonzero(whole):
+                own = X[xs[h] : xs[h + 1]]
+                after = np.searchsorted(xids[xs[h] : xs[h + 1]], qids[rows], "right")  # rows are by id within a group
+                n = int((len(own) - after).sum())
+                at = int(self._bin(middle[g, h]))
+                st["n"][at] += n
+                larger = np.vstack([np.cumsum(own[::-1], axis=0)[::-1], np.zeros(own.shape[1])])
+                st["s"][at] += float(np.einsum("ij,ij->", Q[rows], larger[after]))
+                st["ge"][at] += n * (low[g, h] >= np.array(self.cuts))
+            if whole.all():
+                continue
+            open_ = np.repeat(~whole, np.diff(xs))
+            self._multiply(st, qids[rows], Q[rows], xids[open_], X[open_])
+
+    def _multiply(self, st, qids, Q, xids, X):
+        step = max(1, _CHUNK_ENTRIES // len(xids))
+        for s in range(0, len(qids), step):
+            v = (Q[s : s + step] @ X.T)[qids[s : s + step, None] < xids[None, :]]
             if v.size == 0:
                 continue
-            if width > 0:
-                # values are clamped into the range found by the first pass (recomputed
-                # products may differ from it in the last bit)
-                b = np.clip(np.floor((v - self.lo) / width).astype(np.int64), 0, self.bins - 1)
-            else:
-                b = np.zeros(v.size, np.int64)
-            st["n"] += np.bincount(b, minlength=self.bins)
+            b = self._bin(v)
+            n = np.bincount(b, minlength=self.bins)
+            st["n"] += n
             st["s"] += np.bincount(b, weights=v, minlength=self.bins)
-            st["ss"] += np.bincount(b, weights=v * v, minlength=self.bins)
+            st["seen"] += n
             np.minimum.at(st["mn"], b, v)
             np.maximum.at(st["mx"], b, v)
             for j, cut in enumerate(self.cuts):
@@ -327,9 +370,9 @@ class PairStats:
             "bin": pa.array(nz.astype(np.int32), pa.int32()),
             "n": pa.array(st["n"][nz], pa.int64()),
             "s": pa.array(st["s"][nz], pa.float64()),
-            "ss": pa.array(st["ss"][nz], pa.float64()),
-            "vmin": pa.array(st["mn"][nz], pa.float64()),
-            "vmax": pa.array(st["mx"][nz], pa.float64()),
+            "vmin": pa.array(st["mn"][nz], pa.float64(), mask=np.isinf(st["mn"][nz])),
+            "vmax": pa.array(st["mx"][nz], pa.float64(), mask=np.isinf(st["mx"][nz])),
+            "examined": pa.array(st["seen"][nz], pa.int64()),
         }
         for j in range(len(self.cuts)):
             cols[f"n_ge_{j}"] = pa.array(st["ge"][nz, j], pa.int64())
@@ -493,11 +536,11 @@ def range_count(queries: DataFrame, database: DataFrame, threshold: float, *,
 
 def pair_stats(vectors: DataFrame, *, id_col: str = "id", vec_col: str = "embedding",
                lo: float = 0.0, hi: float = 0.0, bins: int = 1, cuts=(), **strategy) -> DataFrame:
-    """Per-bin aggregates of the inner product over unordered pairs of ``vectors``."""
+    """Per bin the count, sum, smallest and largest inner product over unordered pairs of ``vectors``, the counts at or above
+    each cut, and how many pairs were multiplied out (see ``PairStats``)."""
     kern = PairStats(lo=lo, hi=hi, bins=bins, cuts=tuple(cuts))
     part = block_join(vectors, vectors, kern, q_id=id_col, q_vec=vec_col,
                       d_id=id_col, d_vec=vec_col, triangle=True, **strategy)
-    aggs = [F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
-            F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax")]
+    aggs = [F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"), F.sum("examined").alias("examined")]
     aggs += [F.sum(f"n_ge_{j}").alias(f"n_ge_{j}") for j in range(len(cuts))]
     return part.groupBy("bin").agg(*aggs)

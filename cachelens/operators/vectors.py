@@ -152,6 +152,21 @@ def pairwise_histogram(vectors: DataFrame, id_col: str, vec_col: str = "embeddin
             .withColumn("cdf", F.round(F.sum("count").over(run) / F.lit(float(total)), 6)))
 
 
+def pairwise_distribution(vectors: DataFrame, id_col: str, vec_col: str = "embedding", bins: int = 100, lo: float = -1.0, hi: float = 1.0) -> DataFrame:
+    """Histogram with fixed bins (cosines: [-1, 1]) and the empirical CDF at each bin's end, in one pass over the pairs:
+    ``(bin, bin_lo, count, density, cdf, examined)``; values outside count in the outer bins."""
+    hist = pair_stats(vectors, id_col=id_col, vec_col=vec_col, lo=lo, hi=hi, bins=bins).select("bin", "n", "examined")
+    width = (hi - lo) / bins
+    grid = vectors.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    every = Window.partitionBy().orderBy("bin")  # `bins` rows
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    total = F.sum("count").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return (grid.join(hist, "bin", "left")
+            .select("bin", F.round(F.lit(lo) + F.col("bin") * F.lit(width), 6).alias("bin_lo"), n.alias("count"), F.coalesce("examined", F.lit(0)).cast("long").alias("examined"))
+            .withColumn("density", F.round(F.col("count") / (total * F.lit(width)), 6))
+            .withColumn("cdf", F.round(F.sum("count").over(every.rowsBetween(Window.unboundedPreceding, 0)) / total, 6)))
+
+
 def pairwise_cdf(vectors: DataFrame, id_col: str, vec_col: str = "embedding",
                  cuts=(0.85, 0.90, 0.95)) -> DataFrame:
     """Share of all pairs with an inner product >= each cut."""

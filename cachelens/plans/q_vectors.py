@@ -320,6 +320,17 @@ def q_pairwise_histogram(spark, sf):
     return V.pairwise_histogram(_emb(spark, sf), "vec_id")
 
 
+@register("pairwise_distribution", f"""
+WITH {SAMPLE_SQL},
+b AS (SELECT greatest(0, least(floor((c + 1.0) / 0.02::DOUBLE)::INTEGER, 99)) AS bin, count(*) AS cnt FROM pc GROUP BY 1),
+g AS (SELECT g.bin::INTEGER AS bin, coalesce(b.cnt, 0)::BIGINT AS count FROM range(100) g(bin) LEFT JOIN b ON b.bin = g.bin)
+SELECT bin, round(-1.0 + bin * 0.02::DOUBLE, 6) AS bin_lo, count, round(count / (sum(count) OVER () * 0.02::DOUBLE), 6) AS density,
+       round(sum(count) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) / sum(count) OVER (), 6) AS cdf FROM g""")
+def q_pairwise_distribution(spark, sf):
+    """E13, E14 in one pass over the pairs: fixed bins on [-1, 1]."""
+    return V.pairwise_distribution(_emb(spark, sf), "vec_id").drop("examined")
+
+
 @register("pairwise_cdf", f"""
 WITH {SAMPLE_SQL}
 SELECT cut, round(count(*) FILTER (WHERE c >= cut) / (SELECT count(*) FROM pc), 6) AS share_ge
