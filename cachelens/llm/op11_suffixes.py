@@ -5,22 +5,25 @@ the same one) is removed; the first place of a string keeps it.
 
 1. Equal windows of ``size`` bytes have the same smallest gram (``GRAM`` bytes, by hash), their anchor.
    Anchors found once in all documents cannot hold a repeated window; they are counted and left
-   out. Grams that are the anchor in more than ``hot_places`` places (a very common line or passage) are
-   put behind all others and the anchors are counted again: a window that reaches out of the common
-   passage gets an anchor of its own, so only windows wholly inside it stay under its grams.
-2. Each document gives its stretches, the runs of windows under one anchor. Equal stretches are one text of
-   the reference, with the first place of them all; every other place of it loses all its windows.
-3. The distinct texts are dealt by anchor to shards of ``shard_bytes`` on average. A shard sorts the suffixes of
-   its windows blockwise: the suffixes at a difference cover's positions are ranked once; then, one
-   suffix bucket (between two splitters) at a time, suffixes are sorted by their first ``COVER`` bytes and longer
-   ties are resolved by the cover ranks, at the distance where both suffixes meet the cover. What
+   out.
+2. Each document gives its stretches, the runs of windows under one anchor. Of equal stretches only the
+   first place keeps its windows for now; a task drops the later ones that it meets itself, so what
+   remains of a stretch, however often it is found, is a row or so for each task.
+3. An anchor with several distinct stretches (or one that may repeat windows of its own) may hold equal windows in
+   different stretches. The distinct texts of these are dealt by anchor to shards of ``shard_bytes`` on average.
+   A shard sorts the suffixes of its windows blockwise: the suffixes at a difference cover's positions are ranked once;
+   then, one suffix bucket (between two splitters) at a time, suffixes are sorted by their first ``COVER`` bytes and
+   longer ties are resolved by the cover ranks, at the distance where both suffixes meet the cover. What
    is in memory is a shard and a bucket. Neighbours that share ``size`` bytes form a class, and its
    first place keeps its windows.
-4. The windows to go are gathered by document and their bytes are cut out.
+4. An anchor whose distinct texts exceed ``hot_bytes`` (a very common line amid different neighbours) is not dealt
+   to one task. Its texts are cut to slices of up to ``SLICE`` windows by the anchor's distance from the window's start;
+   all windows of a slice share its core, so slices whose core is found once have no equal elsewhere. What
+   is left is cut to single windows, and their first places are found as in step 2.
+5. The windows to go are gathered by document and their bytes are cut out.
 
-Anchors and hot grams are broadcast while they stay under ``max_broadcast`` bytes (they are counted
-first). Beyond that a document's anchors are joined to it, and only the most frequent of the
-grams are put back; both give the same rows.
+Anchors are broadcast while they stay under ``max_broadcast`` bytes (they are counted first); beyond
+that a document's anchors are joined to it. Both give the same rows.
 
 Defined cases: a null text is empty; texts under ``size`` bytes keep all; null ids come after all
 others; rows that repeat an id with another text are documents of their own, ordered by a digest of the text;
@@ -35,8 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -46,43 +48,35 @@ SIZE = 100
 GRAM = 32
 COVER = 32
 SHARD_BYTES = 2 << 20
+#: Distinct texts of an anchor, in bytes, that go to one shard.
+HOT_BYTES = 8 << 20
+#: Windows of a slice of a hot anchor's text.
+SLICE = 8
 #: Suffixes of a bucket.
 BUCKET = 1 << 16
-HOT_PLACES = 10_000
-HOT_ROUNDS = 6
 MAX_BROADCAST = 64 << 20
-#: Bytes of text that are hashed at a time.
-BYTES_AT_ONCE = 1 << 20
-#: Salts of the join of stretches with their first places.
-SALTS = 8
+#: Bytes of text that are hashed at a time: the arrays of a step stay in a core's cache.
+BYTES_AT_ONCE = 1 << 16
+#: Digests whose first place a task keeps in mind.
+REMEMBERED = 1_000_000
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _LETTERS = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
-_LAST = np.uint64(1 << 63)
 
 
 # ---------------------------------------------------------------------------- anchors
 
 def gram_hashes(text: np.ndarray) -> np.ndarray:
-    """Hash (under 2^63) of every run of ``GRAM`` bytes."""
+    """Hash of every run of ``GRAM`` bytes."""
     h, length = _LETTERS[text], 1
     for multiplier in _MULTIPLIERS:
-        h = h[:-length] * multiplier + h[length:]
+        longer = h[:-length] * multiplier
+        longer += h[length:]
+        h = longer
         length *= 2
-    h = (h ^ (h >> np.uint64(31))) * _MULTIPLIERS[1]
-    return (h ^ (h >> np.uint64(29))) & ~_LAST
-
-
-def put_back(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """``h`` with its top bit set where it is one of the sorted ``hot`` hashes."""
-    if not len(hot):
-        return h
-    maybe = np.zeros(1 << 16, bool)
-    maybe[(hot & np.uint64(0xFFFF)).astype(np.int64)] = True
-    at = np.flatnonzero(maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
-    spot = np.minimum(np.searchsorted(hot, h[at]), len(hot) - 1)
-    at = at[hot[spot] == h[at]]
-    h[at] |= _LAST
+    h ^= h >> np.uint64(31)
+    h *= _MULTIPLIERS[1]
+    h ^= h >> np.uint64(29)
     return h
 
 
@@ -94,28 +88,25 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(low) - (width - have)], low[width - have :]) if have < width else low
 
 
-def stretches(text: np.ndarray, ends: np.ndarray, size: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Stretches of the documents that follow each other in ``text`` and end at ``ends``: (anchor, document,
-    first window as a place in ``text``, windows, 1 or 2). The last is 2 where the anchor's gram is found
-    more than once in the stretch, so that its windows may equal each other."""
-    grams = put_back(gram_hashes(text), hot)
-    width = size - GRAM + 1
-    low = sliding_min(grams, width)
-    lengths = np.diff(np.r_[0, ends])
-    document = np.repeat(np.arange(len(ends)), lengths)[: len(low)]
-    whole = np.arange(len(low)) + size <= ends[document]
-    new = whole.copy()
-    new[1:] &= (low[1:] != low[:-1]) | ~whole[:-1]
+def stretches(text: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Stretches of the documents (``size`` bytes or more each) that follow each other in ``text`` and end at
+    ``ends``: (anchor, document, first window as a place in ``text``, windows, 1 or 2). The last is 2 where windows
+    of the stretch may equal each other: only if the anchor's gram starts one that is not the last."""
+    grams = gram_hashes(text)
+    low = sliding_min(grams, size - GRAM + 1)
+    new = np.empty(len(low), bool)
+    new[0] = True
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    new[ends[:-1]] = True
+    new[(ends[:-1, None] - size + 1 + np.arange(size - 1)).ravel()] = False  # these reach into the next document
     start = np.flatnonzero(new)
-    if not len(start):
-        return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
+    document = np.searchsorted(ends, start, "right")
     # a stretch ends before the next one or with its document's last window
-    stop = np.minimum(np.r_[start[1:], len(low)], ends[document[start]] - size + 1)
-    anchor = low[start]
-    reach = np.arange(width)
-    first = start + (grams[start[:, None] + reach] == anchor[:, None]).argmax(axis=1)
-    last = stop + width - 2 - (grams[(stop - 1)[:, None] + reach[::-1]] == anchor[:, None]).argmax(axis=1)
-    return anchor & ~_LAST, document[start], start, stop - start, 1 + (last > first)
+    stop = np.minimum(np.r_[start[1:], len(low)], ends[document] - size + 1)
+    at = np.flatnonzero(grams[: len(low)] == low)
+    of = np.searchsorted(start, at, "right") - 1
+    times = 1 + (np.bincount(of[at < stop[of] - 1], minlength=len(start)) > 0)
+    return low[start], document, start, stop - start, times
 
 
 def _pieces(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -145,47 +136,53 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), content_key(F.col(f"`{text_col}`"))[0].alias("k"), F.col(f"`{text_col}`").alias("text"))
 
 
-def count_anchors(ready: DataFrame, size: int, hot: Broadcast) -> DataFrame:
-    """``anchor, n``: the places of every anchor, added up in each batch before the shuffle."""
+def repeated_anchors(ready: DataFrame, size: int) -> DataFrame:
+    """Anchors of at least two places; places are added up in each batch before the shuffle."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found = []
         for text, ends, _, _ in _pieces(text_bytes(batch.column(0)), size):
-            anchor, _, _, _, n = stretches(text, ends, size, hot.value)
+            anchor, _, _, _, n = stretches(text, ends, size)
             found.append(np.repeat(anchor, n))
         if not found:
             return None
         anchor, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([longs(anchor), pa.array(n)], ["anchor", "n"])
+        return pa.RecordBatch.from_arrays([longs(anchor), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
-    return map_batches(ready.select("text"), run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
+    return map_batches(ready.select("text"), run, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
 
 
-def repeated_anchors(ready: DataFrame, size: int, hot_places: int, max_broadcast: int) -> tuple[DataFrame, Broadcast]:
-    """Anchors of at least two places, and the grams that were put back for it."""
-    context = ready.sparkSession.sparkContext
-    hot = np.empty(0, np.uint64)
-    for round_ in range(HOT_ROUNDS + 1):
-        shared = context.broadcast(hot)
-        anchors = materialize(count_anchors(ready, size, shared), "anchors")
-        if round_ == HOT_ROUNDS:
-            break
-        room = max_broadcast // 8 - len(hot)
-        more = anchors.filter(F.col("n") > hot_places).orderBy(F.desc("n"), "anchor").limit(max(0, room)).select("anchor")
-        union = np.union1d(hot, more.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
-        if len(union) == len(hot):  # the grams left in front are calm
-            break
-        hot = union
-    return anchors.select("anchor"), shared
+# ---------------------------------------------------------------------------- stretches
 
+STRETCH = "id long, k long, start int, windows int, d1 long, d2 long, anchor long, own boolean, later boolean"
+TEXT = "d1 long, d2 long, anchor long, bytes binary"
+
+
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [f.split()[0] for f in schema.split(", ")])
 
-# ---------------------------------------------------------------------------- stretches
 
-STRETCH = "id long, k long, start long, windows int, d1 long, d2 long, anchor long, bytes binary"
+class FirstPlaces:
+    """The first places of digests that a task has met, the most recent ``REMEMBERED`` or more."""
 
+    def __init__(self):
+        self.least: dict[bytes, tuple] = {}
 
-def cut_stretches(ready: DataFrame, anchors: DataFrame, size: int, hot: Broadcast, max_broadcast: int) -> DataFrame:
-    """``STRETCH`` rows under the given anchors; a task gives the bytes of a stretch when it meets it first."""
+    def later(self, digests: list[bytes], places: list[tuple]) -> list[bool]:
+        """Whether each place comes after a known one of its digest."""
+        if len(self.least) > REMEMBERED:
+            self.least.clear()
+        out = []
+        for digest, place in zip(digests, places, strict=True):
+            known = self.least.get(digest)
+            if known is None or place < known:
+                self.least[digest] = place
+            out.append(known is not None and place > known)
+        return out
+
+
+def cut_stretches(ready: DataFrame, anchors: DataFrame, size: int, max_broadcast: int, schema: str = STRETCH) -> DataFrame:
+    """``STRETCH`` rows under the given anchors, or their ``TEXT`` rows, each once in a task."""
     spark = ready.sparkSession
     shared = None
     if anchors.count() * 8 <= max_broadcast:
@@ -194,7 +191,7 @@ def cut_stretches(ready: DataFrame, anchors: DataFrame, size: int, hot: Broadcas
         def list_anchors(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             rows, parts = [], []
             for text, ends, row, _ in _pieces(text_bytes(batch.column(1)), size):
-                anchor, document, _, _, _ = stretches(text, ends, size, hot.value)
+                anchor, document, _, _, _ = stretches(text, ends, size)
                 rows.append(row[document])
                 parts.append(anchor)
             if not parts:
@@ -205,30 +202,34 @@ def cut_stretches(ready: DataFrame, anchors: DataFrame, size: int, hot: Broadcas
         ready = ready.join(own.groupBy("k").agg(F.collect_list("anchor").alias("anchors")), "k").select("id", "k", "text", "anchors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        firsts, seen = FirstPlaces(), set()
         for batch in batches:
-            if len(seen) > 1_000_000:
+            if len(seen) > REMEMBERED:
                 seen.clear()
-            wanted = shared.value if shared else np.unique(np.concatenate([np.array(x, np.int64) for x in batch.column(3).to_pylist()])).view(np.uint64)
+            wanted = shared.value if shared else np.unique(np.concatenate([np.array(x, np.int64) for x in batch.column(3).to_pylist()]).view(np.uint64))
+            names = list(zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True))
             for text, ends, row, at in _pieces(text_bytes(batch.column(2)), size):
-                anchor, document, start, windows, _ = stretches(text, ends, size, hot.value)
+                anchor, document, start, windows, times = stretches(text, ends, size)
                 spot = np.minimum(np.searchsorted(wanted, anchor), max(0, len(wanted) - 1))
                 known = wanted[spot] == anchor if len(wanted) else np.zeros(len(anchor), bool)
                 if not known.any():
                     continue
-                anchor, document, start, windows = anchor[known], document[known], start[known], windows[known]
+                anchor, document, start, windows, times = (x[known] for x in (anchor, document, start, windows, times))
                 raw = text.tobytes()
                 own = [raw[a : a + n + size - 1] for a, n in zip(start.tolist(), windows.tolist(), strict=True)]
                 digests = [xxhash.xxh3_128_digest(x) for x in own]
-                new = [None if d in seen or seen.add(d) else x for d, x in zip(digests, own, strict=True)]
                 digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                rows = pa.array(row[document])
+                if schema == TEXT:
+                    new = [i for i, d in enumerate(digests) if not (d in seen or seen.add(d))]
+                    yield _batch(TEXT, [digest[new, 0], digest[new, 1], longs(anchor[new]), pa.array([own[i] for i in new], pa.binary())])
+                    continue
                 begins = np.r_[0, ends[:-1]]
-                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start - begins[document] + at[document]), pa.array(windows.astype(np.int32)),
-                           pa.array(digest[:, 0]), pa.array(digest[:, 1]), longs(anchor), pa.array(new, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in STRETCH.split(", ")])
+                row, start = row[document], start - begins[document] + at[document]
+                places = [(names[r][0] is None, names[r][0] or 0, names[r][1], s) for r, s in zip(row.tolist(), start.tolist(), strict=True)]
+                yield _batch(STRETCH, [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), start.astype(np.int32), windows.astype(np.int32),
+                                       digest[:, 0], digest[:, 1], longs(anchor), times > 1, firsts.later(digests, places)])
 
-    return ready.mapInArrow(run, STRETCH)
+    return ready.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------------------- suffix sorting
@@ -262,6 +263,17 @@ def _dense(order: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
     return ranks
 
 
+def window_hashes(text: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes from each place on."""
+    h, length = _LETTERS[text], 1
+    while 2 * length <= size:
+        h = h[:-length] * _MULTIPLIERS[length % 5] + h[length:]
+        h ^= h >> np.uint64(31)
+        length *= 2
+    rest = size - length
+    return h[: len(h) - rest] * _MULTIPLIERS[3] + h[rest:] if rest else h
+
+
 class BlockSorter:
     """Sorts suffixes of ``text``, a bucket at a time, and classes those whose first ``size`` bytes agree."""
 
@@ -273,6 +285,7 @@ class BlockSorter:
         self.words = np.zeros(len(data) - 7, np.uint64)  # the eight bytes from each place on
         for k in range(8):
             self.words = (self.words << np.uint64(8)) | data[k : k + len(self.words)]
+        self.whole = window_hashes(data, size)
         self.samples = (np.arange(blocks)[:, None] * COVER + _COVER).ravel()
         self.samples = self.samples[self.samples < len(text)]
         self._rank_samples()
@@ -352,7 +365,12 @@ class BlockSorter:
             for key in keys:
                 key = key[by]
                 tied[1:] &= key[1:] == key[:-1]
-            order = self._resolve(own[by], np.cumsum(~tied))
+            order, group = own[by], np.cumsum(~tied)
+            # ties of one and the same window need no order among them; the others are resolved
+            opening = np.flatnonzero(~tied)
+            alike = np.minimum.reduceat(self.whole[order], opening) == np.maximum.reduceat(self.whole[order], opening)
+            mixed = np.flatnonzero(~alike[group - 1])
+            order[mixed] = self._resolve(order[mixed], group[mixed])
             same = np.flatnonzero(tied)
             for k in [*range(COVER, self.size - 8, 8), self.size - 8]:
                 same = same[self.words[order[same] + k] == self.words[order[same - 1] + k]]
@@ -382,45 +400,105 @@ def first_windows(texts: list[bytes], place: np.ndarray, size: int) -> list[np.n
 # ---------------------------------------------------------------------------- answers
 
 #: Windows to go of a document: from ``start`` on, all of them, or those whose bit in ``firsts`` is not set.
-GONE = "id long, k long, start long, windows int, firsts binary"
-_PLACE = ("id IS NULL AS no_id", "id", "k", "start")
+GONE = "id long, k long, start int, windows int, firsts binary"
+
+
+def rank_places(found: DataFrame) -> DataFrame:
+    """The rows of ``found`` that no task knows to be later, with ``first``: whether it is the first place of
+    its digest. A digest has about a row for each task here."""
+    order = Window.partitionBy("d1", "d2").orderBy(F.col("id").isNull(), "id", "k", "start")
+    return found.filter("NOT later").drop("later").withColumn("first", F.rank().over(order) == 1)
+
+
+def all_gone(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "k", "start", "windows", F.lit(None).cast("binary").alias("firsts"))
 
 
-def reference_texts(found: DataFrame) -> DataFrame:
-    """Each distinct stretch with its bytes and its first place."""
-    place = F.struct(*(F.expr(x) for x in _PLACE))
-    return found.groupBy("d1", "d2").agg(F.min(place).alias("place"), F.max("anchor").alias("anchor"), F.max("bytes").alias("bytes"))
+SLICES = "c1 long, c2 long, d1 long, d2 long, at int, windows int, id long, k long, start int"
 
 
-def solve_shards(texts: DataFrame, size: int, shard_bytes: int) -> DataFrame:
-    """``GONE`` rows of the first places of all texts; texts that keep all give none."""
-    total = texts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // shard_bytes))))
+def slices(texts: DataFrame, size: int) -> DataFrame:
+    """``SLICES`` of texts ``d1, d2, anchor, bytes, id, k, start``: windows ``at`` to ``at + windows - 1`` of the text
+    whose next anchor is the same and ``SLICE i`` to ``SLICE (i + 1) - 1`` bytes away, under the digest of i and of the
+    bytes that they all hold."""
 
-    def solve(table: pa.Table) -> pa.Table:
-        id_, k, start, own = (table.column(c).to_pylist() for c in ("id", "k", "start", "bytes"))
-        known = [(x is None, x or 0, y) for x, y in zip(id_, k, strict=True)]
-        number = {x: i for i, x in enumerate(sorted(set(known)))}
-        place = np.array([(number[x] << 40) + s for x, s in zip(known, start, strict=True)], np.int64)
-        firsts = first_windows(own, place, size)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = batch.column(3).to_pylist()
+        text = np.frombuffer(b"".join(own), np.uint8)
+        ends = np.cumsum([len(x) for x in own])
+        begins = np.r_[0, ends[:-1]]
+        anchors = batch.column(2).to_numpy().view(np.uint64)
+        grams = gram_hashes(text)
+        found = np.flatnonzero(grams == np.repeat(anchors, np.diff(np.r_[0, ends]))[: len(grams)])
+        n = ends - begins - size + 1
+        row = np.repeat(np.arange(len(own)), n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        window = begins[row] + at
+        following = found[np.searchsorted(found, window)]  # each window holds its anchor
+        step = (following - window) // SLICE
+        new = np.r_[True, (row[1:] != row[:-1]) | (following[1:] != following[:-1]) | (step[1:] != step[:-1])]
+        first = np.flatnonzero(new)
+        core = following[first] - step[first] * SLICE
+        raw = text.tobytes()
+        digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[c : c + size - SLICE + 1], i) for c, i in zip(core.tolist(), step[first].tolist(), strict=True)), np.int64).reshape(-1, 2)
+        taken = pa.array(row[first])
+        return _batch(SLICES, [digest[:, 0], digest[:, 1], batch.column(0).take(taken), batch.column(1).take(taken), at[first].astype(np.int32),
+                               np.diff(np.r_[first, len(row)]).astype(np.int32), batch.column(4).take(taken), batch.column(5).take(taken),
+                               (batch.column(6).to_numpy()[row[first]] + at[first]).astype(np.int32)])
+
+    return map_batches(texts.select("d1", "d2", "anchor", "bytes", "id", "k", "start"), run, SLICES)
+
+
+def single_windows(texts: DataFrame, size: int) -> DataFrame:
+    """Windows ``at`` to ``at + windows - 1`` of texts ``id, k, start, bytes`` (``start`` is that of the first one) as
+    ``STRETCH`` rows of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = FirstPlaces()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                part = batch.slice(begin, 1000)
+                id_, k, start, own, at, n = (c.to_pylist() for c in part.columns)
+                row = np.repeat(np.arange(len(n)), n)
+                shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                digests = [xxhash.xxh3_128_digest(x[i : i + size]) for x, a, m in zip(own, at, n, strict=True) for i in range(a, a + m)]
+                places = [(id_[r] is None, id_[r] or 0, k[r], start[r] + s) for r, s in zip(row.tolist(), shift.tolist(), strict=True)]
+                digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                taken = pa.array(row)
+                yield _batch(STRETCH, [part.column(0).take(taken), part.column(1).take(taken), pa.array([p[3] for p in places], pa.int32()), np.ones(len(row), np.int32),
+                                       digest[:, 0], digest[:, 1], np.zeros(len(row), np.int64), np.zeros(len(row), bool), firsts.later(digests, places)])
+
+    return texts.select("id", "k", "start", "bytes", "at", "windows").mapInArrow(run, STRETCH)
+
+
+def hot_windows_to_go(texts: DataFrame, size: int) -> DataFrame:
+    """``GONE`` rows of the first places of a hot anchor's texts ``d1, d2, anchor, bytes, id, k, start``."""
+    cut = materialize(slices(texts, size), "slices")
+    shared = cut.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c1", "c2")
+    left = cut.join(shared, ["c1", "c2"], "left_semi").join(texts.select("d1", "d2", "bytes").distinct(), ["d1", "d2"])
+    single = materialize(single_windows(left, size), "windows")
+    return all_gone(single.filter("later")).unionByName(all_gone(rank_places(single).filter("NOT first")))
+
+
+def solve_shards(firsts: DataFrame, texts: DataFrame, shards: int, size: int) -> DataFrame:
+    """``GONE`` rows of the first places ``firsts`` of the ``texts``; those that keep all give none."""
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
+
+    def solve(places: pa.Table, texts: pa.Table) -> pa.Table:
+        bytes_of = dict(zip(zip(*(texts.column(c).to_pylist() for c in ("d1", "d2")), strict=True), texts.column("bytes").to_pylist(), strict=True))
+        known = sorted({((i is None, i or 0, k), s, (a, b)) for i, k, s, a, b in zip(*(places.column(c).to_pylist() for c in ("id", "k", "start", "d1", "d2")), strict=True)})
+        number = {x: i for i, x in enumerate(sorted({x[0] for x in known}))}
+        own = [bytes_of[x[2]] for x in known]
+        place = np.array([(number[x[0]] << 40) + x[1] for x in known], np.int64)
+        firsts = first_windows(own, place, size) if own else []
         rows = [i for i, f in enumerate(firsts) if not f.all()]
-        columns = [[id_[i] for i in rows], [k[i] for i in rows], [start[i] for i in rows], [len(firsts[i]) for i in rows],
+        columns = [[None if known[i][0][0] else known[i][0][1] for i in rows], [known[i][0][2] for i in rows], [known[i][1] for i in rows], [len(firsts[i]) for i in rows],
                    [np.packbits(firsts[i], bitorder="little").tobytes() for i in rows]]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in GONE.split(", ")])
 
-    flat = texts.select(shard.alias("shard"), "place.id", "place.k", "place.start", "bytes")
-    return flat.groupBy("shard").applyInArrow(solve, GONE)
-
-
-def later_places(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """``GONE`` rows of the stretches that are not at their text's first place."""
-    salt = F.pmod(F.xxhash64("id", "k", "start"), F.lit(SALTS)).cast("int")
-    first = texts.select("d1", "d2", F.col("place.id").alias("f_id"), F.col("place.k").alias("f_k"), F.col("place.start").alias("f_start"),
-                         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    later = found.select("id", "k", "start", "windows", "d1", "d2", salt.alias("salt")).join(first, ["d1", "d2", "salt"])
-    same = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("k") == F.col("f_k")) & (F.col("start") == F.col("f_start"))
-    return later.filter(~same).select("id", "k", "start", "windows", F.lit(None).cast("binary").alias("firsts"))
+    narrow = firsts.select("id", "k", "start", "d1", "d2", shard)
+    return narrow.groupBy("shard").cogroup(texts.select("d1", "d2", "bytes", shard).groupBy("shard")).applyInArrow(solve, GONE)
 
 
 def _cut_out(raw: bytes, runs: list[dict] | None, size: int) -> tuple[bytes, int, int]:
@@ -441,14 +519,31 @@ def _cut_out(raw: bytes, runs: list[dict] | None, size: int) -> tuple[bytes, int
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
+def windows_to_go(ready: DataFrame, size: int, max_broadcast: int, shard_bytes: int, hot_bytes: int) -> DataFrame:
+    """``GONE`` rows of all documents."""
+    anchors = materialize(repeated_anchors(ready, size), "anchors")
+    found = materialize(cut_stretches(ready, anchors, size, max_broadcast), "stretches")
+    ranked = materialize(rank_places(found), "places")
+    gone = all_gone(found.filter("later")).unionByName(all_gone(ranked.filter("NOT first")))
+    firsts = ranked.filter("first")
+    kinds = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("own").alias("own"), F.sum(F.col("windows") + (size - 1)).alias("n"))
+    unclear = materialize(kinds.filter("kinds > 1 OR own").select("anchor", "n"), "unclear-anchors")
+    texts = materialize(cut_stretches(ready, unclear.select("anchor"), size, max_broadcast, TEXT), "texts")
+    calm, hot = unclear.filter(F.col("n") <= hot_bytes), unclear.filter(F.col("n") > hot_bytes).select("anchor")
+    shards = max(1, -(-(calm.agg(F.sum("n")).first()[0] or 0) // shard_bytes))
+    asked = firsts.join(unclear.select("anchor"), "anchor", "left_semi")
+    if hot.isEmpty():
+        return gone.unionByName(solve_shards(asked, texts, shards, size))
+    gone = gone.unionByName(solve_shards(asked.join(hot, "anchor", "left_anti"), texts.join(hot, "anchor", "left_anti"), shards, size))
+    once = texts.join(hot, "anchor", "left_semi").groupBy("d1", "d2").agg(F.max("bytes").alias("bytes"))
+    placed = asked.join(hot, "anchor", "left_semi").select("d1", "d2", "anchor", "id", "k", "start").distinct()
+    return gone.unionByName(hot_windows_to_go(materialize(placed.join(once, ["d1", "d2"]), "hot-texts"), size))
+
+
 def remove_repeated(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST,
-                    shard_bytes: int = SHARD_BYTES, hot_places: int = HOT_PLACES) -> DataFrame:
+                    shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``docs`` with ``kept`` (binary), ``n_bytes, n_removed, n_spans`` at the end."""
-    ready = _documents(docs, id_col, text_col)
-    anchors, hot = repeated_anchors(ready, size, hot_places, max_broadcast)
-    found = materialize(cut_stretches(ready, anchors, size, hot, max_broadcast), "stretches")
-    texts = materialize(reference_texts(found), "reference")
-    gone = solve_shards(texts, size, shard_bytes).unionByName(later_places(found, texts))
+    gone = windows_to_go(_documents(docs, id_col, text_col), size, max_broadcast, shard_bytes, hot_bytes)
     lists = gone.groupBy("id", "k").agg(F.collect_set(F.struct("start", "windows", "firsts")).alias("__gone"))  # of one text
     n = len(docs.columns)
     at = docs.columns.index(text_col)
