@@ -186,3 +186,31 @@ def test_pipeline_stages_follow_each_other(spark):
     for name, stage in corpus_pipeline.STAGES:
         none = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
         assert stage(spark, none, sf).collect() == []
+
+
+def test_articles_keep_their_text():
+    from cachelens.llm.op10_html import read
+
+    def text(page):
+        return read(page).text
+
+    for empty in ("<svg/>", "<svg viewBox='0 0 1 1' />", "<svg-icon></svg-icon>", "<title-card>t</title-card>", "<svg><title>x</title><path d='M0'/></svg>", "<select-menu/>"):
+        assert text(f"<article><p>one</p>{empty}<p>two</p></article>").replace("\nt\n", "\n") == "one\ntwo"
+    assert text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "so x=2 holds"
+    assert text("<main><h1>Title</h1><article><p>body</p></article><p>beside</p></main>") == "Title\nbody"
+    assert text("<body><h1>Site</h1><article><h1>Title</h1><p>body</p></article></body>") == "Title\nbody"
+    for kept in ('class="search-engine-history"', 'id="form"', 'class="related-work-of-darwin"', 'id="social"', 'class="share-of-votes"', 'id="notice"', 'class="reply-to-critics"'):
+        assert text(f"<article><p>one</p><section {kept}><p>two</p></section></article>") == "one\ntwo", kept
+    for gone in ('class="share-buttons"', 'class="related"', 'class="related-links"', 'class="adBox"', 'class="comments"', 'id="comments-section"', 'class="newsletter-x"', 'class="x cookie-bar"', 'class="social"'):
+        assert text(f"<article><p>one</p><div {gone}><p>two</p></div></article>") == "one", gone
+
+
+def test_long_pages_and_clashing_columns(spark):
+    from cachelens.llm.op10_html import extract
+
+    body = "".join(f"<p>paragraph {i} of this page<!-- x --><svg/></p>" for i in range(40_000))
+    rows = [(1, "http://a.org/x", f"<article>{body}</article>", "h", "t", "r", True, 5), (1, None, None, None, None, None, None, None), (None, "http://a.org/y", "<main>\n<p>one</p></main>", "h", "t", "r", False, 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, text string, rest string, open boolean, runs int")
+    got = {(r.page_id, r.url): r.text for r in extract(pages).collect()}
+    assert got[1, "http://a.org/x"] == "\n".join(f"paragraph {i} of this page" for i in range(40_000))
+    assert got[1, None] == "" and got[None, "http://a.org/y"] == "one"

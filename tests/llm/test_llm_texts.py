@@ -404,3 +404,55 @@ def test_whole_licences_are_known(spark):
     with duckdb.connect() as db:
         db.register("documents", df.toArrow())
         assert sorted(db.sql(op.oracle()).fetchall()) == got
+
+
+def test_very_long_pieces_take_linear_time():
+    import time
+
+    import tiktoken
+
+    from cachelens.llm.op2_byte_bpe import bpe, tokens_by_id
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    encoder = bpe(path, P.PATTERN)
+    rng = random.Random(3)
+    library = tiktoken.Encoding("b", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in tokens_by_id(path).items()}, special_tokens={})
+    took = {}
+    for size in (250_000, 1_000_000):
+        word = "".join(rng.choices("etaoinshrdlu", k=size))
+        begin = time.perf_counter()
+        ids = np.frombuffer(encoder._piece(word), "<u4")
+        took[size] = time.perf_counter() - begin
+        assert b"".join(encoder.tokens[i] for i in ids.tolist()) == word.encode()
+    assert took[1_000_000] < 30 and took[1_000_000] < 12 * took[250_000]
+    word = "".join(rng.choices("etaoinshrdlu", k=20_000))
+    assert np.frombuffer(encoder._piece(word), "<u4").tolist() == library.encode_ordinary(word)
+
+
+def test_packing_numbers_one_piece_found_many_times(spark, monkeypatch):
+    """Equal rows, null ids included, are dealt to bounded groups by their position."""
+    from cachelens.llm import op5_packing
+
+    monkeypatch.setattr(op5_packing, "GROUP_ROWS", 20)
+    docs = spark.createDataFrame([(None, "the same text again")] * 300 + [(7, "the same text again")] * 50 + [(i, f"text {i}") for i in range(20)], "doc_id long, text string").repartition(3)
+    found = op5_packing.pack(docs, P.path("word_bpe_49k.json"), 64).collect()
+    assert len(found) == 370
+    filled = defaultdict(list)
+    for r in found:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for places in filled.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 64
+
+
+def test_line_dedup_counts_documents_not_rows(spark):
+    from cachelens.llm.op4_lines import dedup_lines
+
+    rows = [(1, "a line of enough points\nonly here, once"), (1, "a line of enough points\nsecond row of one"), (2, "a line of enough points"), (3, "held by three docs"), (4, "held by three docs"), (5, "held by three docs")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"max_broadcast": 0}):
+        got = {(r.doc_id, r.n_lines): r.n_dropped for r in dedup_lines(docs, min_docs=3, **options).collect()}
+        assert got == {(1, 2): 0, (2, 1): 0, (3, 1): 0, (4, 1): 1, (5, 1): 1}
