@@ -70,6 +70,7 @@ class ByteBPE:
                     self.merged[at] = rank
                 self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
+        self.reach = max(len(self.tokens[rank]) for rank in self.parts)
         for rank in self.parts:
             token = self.tokens[rank]
             shorter = (self.ranks.get(token[:n]) for n in range(len(token) - 1, 0, -1))
@@ -101,17 +102,21 @@ class ByteBPE:
 
     def _backtrack(self, raw: bytes) -> list[int]:
         text, tokens, shorter, follow = raw.decode("latin-1"), self.tokens, self.shorter, self.may_follow
-        longest, size = self.automaton.iter_long, len(raw)
+        size, reach, search = len(raw), self.reach, self.automaton.iter_long
         dead = bytearray(size + 1)
         out: list[int] = []
-        at, token = 0, next(longest(text, 0))[1]
+
+        def longest(at: int) -> int:  # looks as far as the longest token goes, so a piece of any length takes linear time
+            return next(search(text[at : at + reach]))[1]
+
+        at, token = 0, longest(0)
         while True:
             end = at + len(tokens[token])
             if not dead[end] and (not out or follow[out[-1], token]):
                 out.append(token)
                 if end == size:
                     return out
-                at, token = end, next(longest(text, end))[1]
+                at, token = end, longest(end)
                 continue
             token = shorter[token]
             if token is None:  # nothing fits here: no way leads through this position
