@@ -163,15 +163,16 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]], capacity: int) -> dict[in
 def pack(docs: DataFrame, path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
-    cut = materialize(pieces(docs, path, capacity, separator, id_col, text_col), "pieces")
+    # the position of a piece is written with it: equal pieces differ by it, however often they are found
+    cut = materialize(pieces(docs, path, capacity, separator, id_col, text_col).withColumn("position", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     slot = slots(plan(counts, capacity), capacity)
     groups = F.array(*[F.lit(-(-counts.get(x, 0) // GROUP_ROWS) or 1) for x in range(capacity + 1)])
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(groups, F.col("length").cast("int"))))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("position"), F.get(groups, F.col("length").cast("int"))))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32", "position")
     numbered = (
         salted.withColumn("number", F.row_number().over(order) - 1)
         .join(first, ["length", "salt"])
