@@ -123,8 +123,9 @@ def _digests(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``h1, h2, first_id, n_docs`` of every key found in at least two documents."""
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2) -> DataFrame:
+    """``h1, h2, first_id, n_docs`` of every key found in at least two documents. ``n_docs`` counts rows while only
+    ``min_docs`` = 2 is asked; beyond that rows that repeat an id are made one document first."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found, rows = [], []
@@ -139,6 +140,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     held = map_batches(narrow, run, "h1 long, h2 long, doc_id long")
+    if min_docs > 2:
+        held = held.distinct()
     return (
         held.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n_docs"))
         .filter("first_id < last_id").select("h1", "h2", "first_id", "n_docs")
@@ -280,7 +283,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, id_col: str = "doc_id", text
     """``docs`` with rewritten texts, and ``n_lines, n_dropped`` at the end (by position, should
     the input have columns of these names)."""
     spark = docs.sparkSession
-    lines = materialize(repeated_lines(docs, id_col, text_col), "repeated-lines")
+    lines = materialize(repeated_lines(docs, id_col, text_col, min_docs), "repeated-lines")
     bits = max(0, (lines.count() // SHARD_KEYS).bit_length())
     index = materialize(build_index(lines, bits), "line-index")
     size = F.length("prints") + F.length("counts") + F.length("firsts") + F.aggregate("levels", F.lit(0), lambda n, x: n + F.length(x))
