@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cachelens.operators import results as X
-from cachelens.plans.catalog import T, register
+from cachelens.plans.catalog import ORACLES, T, register
+from cachelens.session import materialize, scratch_path
+from cachelens.streaming.running_rates import run_running_rates
 
 LOG = """log AS (SELECT user_id AS key, event_id, event_type, value, ts,
                    row_number() OVER (ORDER BY ts, event_id) - 1 AS seq FROM events)"""
@@ -95,6 +97,23 @@ def q_cumulative_hit_rate(spark, sf):
     return X.cumulative_hit_rate(_flags(spark, sf))
 
 
+#: Files that the accesses arrive in, by position.
+STREAM_FILES = 4
+
+
+@register("stream_running_rate", ORACLES["cumulative_hit_rate"])
+def q_stream_running_rate(spark, sf):
+    """S2 with running totals: the accesses arrive in files, a micro-batch each, and pass the checkpoints of I12."""
+    flags = materialize(_flags(spark, sf).select("seq", "event_type", "hit"), "flags")
+    n = flags.count()
+    folder = scratch_path(spark, "accesses")
+    part = F.floor(F.col("seq") * STREAM_FILES / max(n, 1)).cast("int")
+    for i in range(STREAM_FILES):  # written one after the other: a file stream goes by time
+        flags.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+    live = spark.readStream.schema(flags.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return run_running_rates(live)
+
+
 @register("rolling_hit_rate", f"""
 WITH {FLAG},
 p AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY seq) - 1 AS pos,

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cachelens.functions.text import model_family, sql_model_family
+from cachelens.functions.text import model_family, sql_model_family, text_digest
 from cachelens.operators import profiling as P
+from cachelens.operators import sketches as K
 from cachelens.operators import text as X
-from cachelens.plans.catalog import T, register
+from cachelens.plans.catalog import ORACLES, T, register
+from cachelens.session import materialize
+from cachelens.streaming.conversations import first_user_turns
+from cachelens.streaming.lookup_stream import file_stream
 
 # --- SQL spellings shared by the oracles ------------------------------------------------
 TC = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> ''))::INTEGER"
@@ -39,6 +43,13 @@ def q_first_user_turn(spark, sf):
     return X.first_user_turn_flat(T(spark, sf, "conversations"))
 
 
+@register("stream_first_user_turn", ORACLES["first_user_turn"])
+def q_stream_first_user_turn(spark, sf):
+    """A2, B1 as a stream: the turns arrive as a file stream; a conversation's start time is derived from its number."""
+    turns = file_stream(spark, sf, "conversations").withColumn("started", F.timestamp_seconds(F.col("conv_id") * 60 + 1_600_000_000))
+    return first_user_turns(turns, "started")
+
+
 @register("max_rows", "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 100")
 def q_max_rows(spark, sf):
     return X.max_rows(_docs(spark, sf).select("doc_id", "lang", "source"), 100, "doc_id")
@@ -272,3 +283,21 @@ FROM a, e
 def q_dataset_summary(spark, sf):
     return P.dataset_summary(_docs(spark, sf), T(spark, sf, "embeddings"))
 
+
+
+def _sketched():
+    """Columns whose distinct values are counted by merged sketches; counts must lie within four standard errors."""
+    return {"doc_id": F.col("doc_id"), "text": text_digest(F.col("text")), "lang": F.col("lang")}
+
+
+@register("distinct_sketches", """
+SELECT 'doc_id' AS column_name, count(*) AS n_rows, count(DISTINCT doc_id) AS n_exact, true AS within FROM documents
+UNION ALL SELECT 'text', count(*), count(DISTINCT text), true FROM documents
+UNION ALL SELECT 'lang', count(*), count(DISTINCT lang), true FROM documents""")
+def q_distinct_sketches(spark, sf):
+    """H2, H11 over many tables: one sketch per source is stored, all sources are counted by merging; exact counts beside them."""
+    docs = _docs(spark, sf)
+    stored = materialize(K.distinct_sketches(docs, F.col("source"), _sketched()), "sketches")
+    both = K.merged_counts(stored).join(K.exact_counts(docs, _sketched()), "column_name")
+    near = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 4 * K.ERROR * F.col("n_exact")
+    return both.select("column_name", "n_rows", "n_exact", near.alias("within"))
