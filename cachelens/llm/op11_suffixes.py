@@ -207,7 +207,7 @@ def cut_stretches(ready: DataFrame, anchors: DataFrame, size: int, max_broadcast
             if len(seen) > REMEMBERED:
                 seen.clear()
             wanted = shared.value if shared else np.unique(np.concatenate([np.array(x, np.int64) for x in batch.column(3).to_pylist()]).view(np.uint64))
-            names = list(zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True))
+            names = [(i is None, i or 0, k) for i, k in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True)]
             for text, ends, row, at in _pieces(text_bytes(batch.column(2)), size):
                 anchor, document, start, windows, times = stretches(text, ends, size)
                 spot = np.minimum(np.searchsorted(wanted, anchor), max(0, len(wanted) - 1))
@@ -225,7 +225,7 @@ def cut_stretches(ready: DataFrame, anchors: DataFrame, size: int, max_broadcast
                     continue
                 begins = np.r_[0, ends[:-1]]
                 row, start = row[document], start - begins[document] + at[document]
-                places = [(names[r][0] is None, names[r][0] or 0, names[r][1], s) for r, s in zip(row.tolist(), start.tolist(), strict=True)]
+                places = [(names[r], s) for r, s in zip(row.tolist(), start.tolist(), strict=True)]
                 yield _batch(STRETCH, [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), start.astype(np.int32), windows.astype(np.int32),
                                        digest[:, 0], digest[:, 1], longs(anchor), times > 1, firsts.later(digests, places)])
 
@@ -252,17 +252,6 @@ _SLOT = np.cumsum(_IN_COVER) - 1
 _MEET = np.array([[next(d for d in range(COVER) if _IN_COVER[(i + d) % COVER] and _IN_COVER[(j + d) % COVER]) for j in range(COVER)] for i in range(COVER)])
 
 
-def _dense(order: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
-    """Ranks (from 1, equal for equal keys) of what ``order`` sorts by ``keys``."""
-    differ = np.zeros(len(order), bool)
-    for key in keys:
-        sorted_ = key[order]
-        differ[1:] |= sorted_[1:] != sorted_[:-1]
-    ranks = np.empty(len(order), np.int64)
-    ranks[order] = np.cumsum(differ) + 1
-    return ranks
-
-
 def window_hashes(text: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` bytes from each place on."""
     h, length = _LETTERS[text], 1
@@ -291,15 +280,36 @@ class BlockSorter:
         self._rank_samples()
 
     def _rank_samples(self) -> None:
-        """Ranks of the samples' whole suffixes: names of their first bytes, doubled until all differ."""
+        """Ranks of the samples' whole suffixes: names of their first bytes, doubled for those that are tied
+        until none is. A rank is the place of the first sample with this name, so that naming a tied group
+        anew leaves all others as they are."""
+
+        def places(opens: np.ndarray) -> np.ndarray:
+            return np.maximum.accumulate(np.where(opens, np.arange(len(opens)), 0))
+
+        def in_ties(opens: np.ndarray) -> np.ndarray:
+            return ~opens | np.r_[~opens[1:], False]
+
         keys = [self.words[self.samples + k] for k in range(0, COVER, 8)]
-        ranks = _dense(np.lexsort(keys[::-1]), keys)
-        length = COVER
-        while length < self.length and ranks.max() < len(ranks):  # two ranks side by side rank twice the length
-            after = np.zeros_like(ranks)
-            shift = len(_COVER) * (length // COVER)
-            after[: max(0, len(ranks) - shift)] = ranks[shift:]
-            ranks = _dense(np.lexsort((after, ranks)), [ranks, after])
+        order = np.lexsort(keys[::-1])
+        opens = np.zeros(len(order), bool)
+        opens[:1] = True
+        for key in keys:
+            key = key[order]
+            opens[1:] |= key[1:] != key[:-1]
+        ranks = np.empty(len(order), np.int64)
+        ranks[order] = places(opens) + 1
+        tied, length = order[in_ties(opens)], COVER
+        while length < self.length and len(tied):
+            following = tied + len(_COVER) * (length // COVER)
+            after = np.where(following < len(ranks), ranks[np.minimum(following, len(ranks) - 1)], 0)
+            by = np.lexsort((after, ranks[tied]))
+            tied, after = tied[by], after[by]
+            group = ranks[tied]
+            new_group = np.r_[True, group[1:] != group[:-1]]
+            opens = new_group | np.r_[True, after[1:] != after[:-1]]
+            ranks[tied] = group + places(opens) - places(new_group)
+            tied = tied[in_ties(opens)]
             length *= 2
         self.ranks = np.r_[ranks, np.zeros(3 * len(_COVER), np.int64)]
 
@@ -506,14 +516,15 @@ def _cut_out(raw: bytes, runs: list[dict] | None, size: int) -> tuple[bytes, int
     if not runs:
         return raw, 0, 0
     change = np.zeros(len(raw) + 1, np.int32)
-    for run in runs:
+    for run in runs:  # neighbouring windows cover one stretch of bytes
         if run["firsts"] is None:
-            at = np.arange(run["start"], run["start"] + run["windows"])
+            change[run["start"]] += 1
+            change[run["start"] + run["windows"] - 1 + size] -= 1
         else:
             bits = np.unpackbits(np.frombuffer(run["firsts"], np.uint8), count=run["windows"], bitorder="little")
-            at = run["start"] + np.flatnonzero(bits == 0)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + size, -1)
+            edges = np.flatnonzero(np.diff(np.r_[1, bits, 1].astype(np.int8)))
+            np.add.at(change, run["start"] + edges[::2], 1)
+            np.add.at(change, run["start"] + edges[1::2] - 1 + size, -1)
     gone = np.cumsum(change[:-1]) > 0
     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].sum())
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
