@@ -4,8 +4,8 @@ substring dedup, best-fit packing.
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes each result as
 Parquet to the shared folder and hands it, reread, to the next stage. All stages but the last
 return the columns of ``documents`` (``n_chars`` follows the text). SQL cannot say the stages' models,
-fingerprints and packing, so there is no oracle; ``tests/llm`` holds every stage against a
-brute-force version.
+fingerprints and packing, so there is no oracle; ``tests/llm`` holds the operators of the stages against
+brute-force versions and the chain of stages by its columns, row counts and empty tables.
 """
 
 from __future__ import annotations
