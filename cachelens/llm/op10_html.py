@@ -13,6 +13,13 @@ A run has to be found in ``MIN_SHARE`` of a host's pages, and in ``MIN_PAGES`` a
 blocks (without those that the markup names) are equal are copies and count once. Only hosts with a page
 without a marked article are counted.
 
+A marked article is held against its host too, as sites repeat pleas and notices in unnamed elements inside it. There only
+long runs count (``ARTICLE_RUN`` tokens, in ``MIN_SHARE`` of the host's distinct articles and ``ARTICLE_PAGES`` at least), a block goes only if such runs
+cover it wholly, and an article that would lose more than half of its words is a near copy of others and stays whole. The tokens
+that maximal shared runs of some length or more cover are those that shared runs of just that length cover, so the suffixes are sorted to that
+depth and the answer does not depend on the shards: a shard names the runs that its share of the pages makes
+possible, and those of a host with several shards are counted again over the whole host.
+
 Defined cases: a null or empty html gives an empty text; pages without a url share the host '';
 repeated rows are pages each; null ids pass through; an empty table gives an empty result; other
 columns of the input are ignored.
@@ -21,6 +28,8 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import html
+import zlib
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -35,6 +44,7 @@ from cachelens.llm.op8_substrings import gram_hashes
 
 SHARD_BYTES = 4 << 20
 MIN_RUN, MIN_PAGES, MIN_SHARE = 3, 3, 0.2
+ARTICLE_RUN, ARTICLE_PAGES = 8, 5
 
 MARKUP = regex.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -223,19 +233,19 @@ def _short(block: str) -> int:
     return xxhash.xxh3_64_intdigest(block.encode(), seed=1)
 
 
-def _run_digests(words: list[str]) -> np.ndarray:
-    return gram_hashes(np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words)), MIN_RUN)
+def _run_digests(words: list[str], depth: int = MIN_RUN) -> np.ndarray:
+    return gram_hashes(np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words)), depth)
 
 
-def page_runs(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
-    """(run, page number): digests of the runs of ``MIN_RUN`` tokens and of the blocks that are
+def page_runs(pages: list[Page], depth: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(run, page number): digests of the runs of ``depth`` tokens and of the blocks that are
     shorter, once for each page."""
     numbers: dict[str, int] = {}
     tokens, owner, short = [], [], set()
     for number, page in enumerate(pages):
         for block in f"{page.text}\n{page.rest}".split("\n"):
             words = block.split()
-            if len(words) < MIN_RUN:
+            if len(words) < depth:
                 if words:
                     short.add((_short(block), number))
                 continue
@@ -243,15 +253,23 @@ def page_runs(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
             owner += [number] * (len(words) + 1)
     runs, pages_of = [np.array([x[0] for x in short], np.uint64)], [np.array([x[1] for x in short], np.int64)]
     ids = np.array(tokens, np.int64)
-    start, group = sorted_runs(ids, MIN_RUN)
+    start, group = sorted_runs(ids, depth)
     if len(start):
         first, _ = distinct_pairs(group, np.array(owner, np.int64)[start])
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in numbers), np.uint64, len(numbers))
-        runs.append(gram_hashes(hashes[ids], MIN_RUN)[start[first]])  # no run reaches over a block's end
+        runs.append(gram_hashes(hashes[ids], depth)[start[first]])  # no run reaches over a block's end
         pages_of.append(np.array(owner, np.int64)[start[first]])
     return np.concatenate(runs), np.concatenate(pages_of)
 
 
+def _covered(words: list[str], shared: np.ndarray, depth: int) -> bool:
+    hit = np.flatnonzero(np.isin(_run_digests(words, depth), shared))
+    covered = np.zeros(len(words), bool)
+    for k in range(depth):
+        covered[hit + k] = True
+    return bool(covered.all())
+
+
 def without_shared(text: str, shared: np.ndarray) -> str:
     """The blocks of an open page that runs with the sorted digests ``shared`` do not cover."""
     kept = []
@@ -260,26 +278,42 @@ def without_shared(text: str, shared: np.ndarray) -> str:
         if len(words) < MIN_RUN:
             gone = np.isin(np.array([_short(block)], np.uint64), shared).all()
         else:
-            hit = np.flatnonzero(np.isin(_run_digests(words), shared))
-            covered = np.zeros(len(words), bool)
-            for k in range(MIN_RUN):
-                covered[hit + k] = True
-            gone = covered.all()
+            gone = _covered(words, shared, MIN_RUN)
         if not gone:
             kept.append(block)
     return "\n".join(kept)
 
 
+def article_without_shared(text: str, shared: np.ndarray) -> str:
+    """The blocks of a marked article that long runs with the digests ``shared`` do not cover; all of them if the
+    others hold more than half of the words."""
+    kept, gone, total = [], 0, 0
+    for block in text.split("\n"):
+        words = block.split()
+        total += len(words)
+        if len(words) >= ARTICLE_RUN and _covered(words, shared, ARTICLE_RUN):
+            gone += len(words)
+        else:
+            kept.append(block)
+    return text if 2 * gone > total else "\n".join(kept)
+
+
+def _frequent(pages: list[Page], depth: int, least: int) -> np.ndarray:
+    """Digests of the runs that enough of the distinct contents of ``pages`` share."""
+    texts = {t: i for i, t in enumerate(dict.fromkeys(p.text for p in pages))}
+    need = max(least, int(np.ceil(MIN_SHARE * len(texts))))
+    run, page = page_runs(pages, depth)
+    content = np.array([texts[p.text] for p in pages], np.int64)[page]
+    shared, n = np.unique(run[distinct_pairs(run, content)[0]], return_counts=True) if len(run) else (run, run)
+    return shared[n >= need]
+
+
 def main_texts(pages: list[str]) -> list[str]:
     """Main texts of pages of one host."""
     every = [read(p) for p in pages]
-    texts = {t: i for i, t in enumerate(dict.fromkeys(p.text for p in every))}
-    need = max(MIN_PAGES, int(np.ceil(MIN_SHARE * len(texts))))
-    run, page = page_runs(every)
-    content = np.array([texts[p.text] for p in every], np.int64)[page]
-    shared, n = np.unique(run[distinct_pairs(run, content)[0]], return_counts=True) if len(run) else (run, run)
-    shared = shared[n >= need]
-    return [without_shared(p.text, shared) if p.open else p.text for p in every]
+    shared = _frequent(every, MIN_RUN, MIN_PAGES)
+    inside = _frequent([Page(p.text, "", False) for p in every if not p.open and p.text], ARTICLE_RUN, ARTICLE_PAGES)
+    return [without_shared(p.text, shared) if p.open else article_without_shared(p.text, inside) for p in every]
 
 
 def host(url: Column) -> Column:
@@ -295,22 +329,100 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         columns = [pa.array([d[i] for d in done], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.bool_()))]
         return pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["page_id", "url", "host", "text", "rest", "open"])
 
-    read_pages = materialize(map_batches(own, parse, "page_id long, url string, host string, text string, rest string, open boolean"), "pages")
+    written = map_batches(own, parse, "page_id long, url string, host string, text string, rest string, open boolean")
+    read_pages = materialize(written.withColumn("row", F.monotonically_increasing_id()), "pages")
+    marked = _clean(read_pages.filter("not open"), shared_in_articles(read_pages.filter("not open and text <> ''")), article_without_shared)
     open_hosts = materialize(read_pages.filter("open").select("host").distinct(), "open-hosts")
     if open_hosts.isEmpty():
-        return read_pages.select("page_id", "url", "text")
+        return marked
     shared = shared_runs(read_pages.join(open_hosts, "host", "left_semi").select("host", "text", "rest"))
+    return marked.unionByName(_clean(read_pages.filter("open"), shared, without_shared))
+
+
+def _clean(pages: DataFrame, shared: DataFrame | None, keep: Callable[[str, np.ndarray], str]) -> DataFrame:
+    """``page_id, url, text`` without what ``keep`` drops for the shared runs of the page's host."""
+    if shared is None:
+        return pages.select("page_id", "url", "text")
 
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = []
-        for text, runs in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-            texts.append(without_shared(text, np.sort(runs.values.to_numpy().view(np.uint64))) if runs.is_valid else text)
+        texts = [keep(text, runs) for text, runs in zip(batch.column(2).to_pylist(), _run_lists(batch.column(3)), strict=True)]
         return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     # a host has at most 1 / MIN_SHARE times as many shared runs as a page has runs on average
     lists = shared.groupBy("host").agg(F.collect_list("run").alias("runs"))
-    cleaned = map_batches(read_pages.filter("open").join(lists, "host", "left").select("page_id", "url", "text", "runs"), clean, "page_id long, url string, text string")
-    return read_pages.filter("not open").select("page_id", "url", "text").unionByName(cleaned)
+    found = pages.join(lists, "host", "left").select("page_id", "url", "text", "runs")
+    cleaned = map_batches(found.filter("runs IS NOT NULL"), clean, "page_id long, url string, text string")
+    return found.filter("runs IS NULL").select("page_id", "url", "text").unionByName(cleaned)
+
+
+def _run_lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted digests of each row; pages of a host follow each other with equal lists."""
+    last = None
+    for runs in column:
+        if last is None or not runs.values.equals(last):
+            last, digests = runs.values, np.sort(runs.values.to_numpy().view(np.uint64))
+        yield digests
+
+
+def shared_in_articles(articles: DataFrame, shard_bytes: int | None = None) -> DataFrame | None:
+    """``host, run``: digests of the runs of ``ARTICLE_RUN`` tokens that enough distinct articles of a host share; none: nothing.
+    ``articles`` has ``host, text`` and the written number ``row``, which deals a host's articles evenly."""
+    k1, k2 = content_key(F.col("text"))
+    contents = articles.select("host", k1.alias("c1"), k2.alias("c2"), F.octet_length("text").alias("size"))
+    hosts = (contents.groupBy("host", "c1", "c2").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+             .groupBy("host").agg(F.sum("n").alias("pages"), F.ceil(F.sum("size") / (shard_bytes or SHARD_BYTES)).cast("int").alias("shards"),
+                                  F.greatest(F.lit(ARTICLE_PAGES), F.ceil(F.count("*") * MIN_SHARE)).alias("need"), F.count("*").alias("contents")))
+    hosts = materialize(hosts.filter("contents >= need"), "article-hosts")
+    if hosts.isEmpty():
+        return None
+    # one key column: rows dealt by host alone would satisfy a grouping by (host, shard)
+    cell = F.concat_ws("#", "host", F.pmod(F.xxhash64("row"), F.col("shards")))
+    dealt = articles.join(hosts, "host").select(cell.alias("cell"), "host", "text", (F.col("need") / F.col("pages")).alias("share"), "need", "shards")
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The texts of a cell as one, compressed; texts have no empty lines."""
+        cells: dict[str, list[int]] = {}
+        for i, name in enumerate(batch.column(0).to_pylist()):
+            cells.setdefault(name, []).append(i)
+        texts = batch.column(2).to_pylist()
+        packed = [zlib.compress("\n\n".join(dict.fromkeys(texts[i] for i in own)).encode(), 1) for own in cells.values()]
+        first = pa.array([own[0] for own in cells.values()])
+        columns = [batch.column(0).take(first), batch.column(1).take(first), *(c.take(first) for c in batch.columns[3:])]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([len(own) for own in cells.values()]), pa.array(packed, pa.binary())],
+                                          ["cell", "host", "share", "need", "shards", "pages", "texts"])
+
+    dealt = map_batches(dealt, pack, "cell string, host string, share double, need long, shards int, pages long, texts binary")
+
+    def candidates(table: pa.Table) -> pa.Table:
+        """Runs that may be in enough articles: somewhere the part of them is at least the shard's part of the host's pages."""
+        texts = list(dict.fromkeys(t for b in table.column("texts").to_pylist() for t in zlib.decompress(b).decode().split("\n\n")))
+        share, need, shards = (table.column(c)[0].as_py() for c in ("share", "need", "shards"))
+        run, _ = page_runs([Page(t, "", False) for t in texts], ARTICLE_RUN)
+        found, n = np.unique(run, return_counts=True)  # a run comes once for each text
+        found = found[n >= (need if shards == 1 else share * sum(table.column("pages").to_pylist()) - 1e-6)]
+        return pa.table({"host": pa.repeat(table.column("host")[0], len(found)), "run": longs(found), "shards": pa.repeat(pa.scalar(shards, pa.int32()), len(found))})
+
+    named = materialize(dealt.groupBy("cell").applyInArrow(candidates, "host string, run long, shards int").distinct(), "article-runs")
+    whole, parts = named.filter("shards = 1").select("host", "run"), named.filter("shards > 1")
+    if named.isEmpty():
+        return None
+    if parts.isEmpty():
+        return whole
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        runs, rows = [], []
+        for i, (text, asked) in enumerate(zip(batch.column(1).to_pylist(), _run_lists(batch.column(4)), strict=True)):
+            run, _ = page_runs([Page(text, "", False)], ARTICLE_RUN)
+            run = run[np.isin(run, asked)]
+            runs.append(run)
+            rows.append(np.full(len(run), i))
+        at = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), longs(np.concatenate(runs)), batch.column(2).take(at), batch.column(3).take(at)], ["host", "run", "c1", "c2"])
+
+    lists = parts.groupBy("host").agg(F.collect_list("run").alias("runs"))
+    asked = articles.join(lists, "host").select("host", "text", k1.alias("c1"), k2.alias("c2"), "runs")
+    counts = map_batches(asked, count, "host string, run long, c1 long, c2 long").distinct().groupBy("host", "run").agg(F.count("*").alias("n"))
+    return whole.unionByName(counts.join(hosts, "host").filter("n >= need").select("host", "run"))
 
 
 def shared_runs(pages: DataFrame, shard_bytes: int | None = None) -> DataFrame:

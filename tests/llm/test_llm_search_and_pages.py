@@ -214,3 +214,28 @@ def test_long_pages_and_clashing_columns(spark):
     got = {(r.page_id, r.url): r.text for r in extract(pages).collect()}
     assert got[1, "http://a.org/x"] == "\n".join(f"paragraph {i} of this page" for i in range(40_000))
     assert got[1, None] == "" and got[None, "http://a.org/y"] == "one"
+
+
+def test_articles_lose_what_the_articles_of_a_host_share(spark, monkeypatch):
+    from cachelens.llm import op10_html
+
+    rng = random.Random(6)
+
+    def words(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    plea = "Support our newsroom with a small gift each month please"
+    own = [[words(30) for _ in range(3)] for _ in range(20)]
+    near = words(200)  # copies that differ in one line
+    want = ["\n".join(["See also", *o]) for o in own] + ["\n".join([near, f"dated {i}"]) for i in range(20)] + ["\n".join([near, "dated 0"])] * 50
+    pages = [f"<article><h2>See also</h2><p>{o[0]}</p><div>{plea}</div><p>{o[1]}</p><p>{o[2]}</p></article>" for o in own]
+    pages += [f"<article><p>{near}</p><p>dated {i}</p></article>" for i in range(20)]
+    pages += [pages[20]] * 50
+    assert op10_html.main_texts(pages) == want
+    other = f"<article><p>{plea}</p><p>one</p></article>"
+    rows = [(i, "http://a.example/", p) for i, p in enumerate(pages)] + [(1000 + i, f"http://b{i}.example/", other) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    every = dict(enumerate(want)) | {1000 + i: f"{plea}\none" for i in range(6)}
+    for size in (op10_html.SHARD_BYTES, 3000):  # at 3000, a few articles a shard
+        monkeypatch.setattr(op10_html, "SHARD_BYTES", size)
+        assert {r.page_id: r.text for r in op10_html.extract(df).collect()} == every
