@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cachelens.functions.draws import DRAW_DIGITS, md5_order_key, uniform_draw
 from cachelens.operators.vector_join import (DEFAULT_ROWS_PER_BLOCK, TopK, _run_kernel, arrow_vectors,
                                              knn)
-from cachelens.operators.vectors import assign_nearest
+from cachelens.operators.vectors import assign_nearest, row_slices
 from cachelens.session import checkpoint_dir
 
 
@@ -59,11 +59,12 @@ def lsh_codes(df: DataFrame, planes: np.ndarray, id_col: str = "id", vec_col: st
             ids, X = arrow_vectors(b, id_col, vec_col)
             if len(ids) == 0:
                 continue
-            bits = (X @ Hm.T) > 0
-            pad = np.zeros((len(ids), words * 64), dtype=bool)
-            pad[:, :nbits] = bits
-            packed = (pad.reshape(len(ids), words, 64).astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64)
-            codes = packed.view(np.int64)
+            codes = np.empty((len(ids), words), np.int64)
+            for at in row_slices(len(ids), words * 64):
+                pad = np.zeros((len(ids[at]), words * 64), dtype=bool)
+                pad[:, :nbits] = (X[at] @ Hm.T) > 0
+                packed = (pad.reshape(len(pad), words, 64).astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64)
+                codes[at] = packed.view(np.int64)
             yield pa.RecordBatch.from_pydict({
                 id_col: pa.array(ids, pa.int64()),
                 out_col: pa.FixedSizeListArray.from_arrays(pa.array(codes.reshape(-1), pa.int64()), words)
@@ -99,8 +100,8 @@ def batch_sums(rows: DataFrame, centers: np.ndarray, id_col: str, vec_col: str)
         n, s = np.zeros(len(C), np.int64), np.zeros(C.shape)
         for b in batches:
             ids, X = arrow_vectors(b, id_col, vec_col)
-            for at in range(0, len(ids), 10_000):
-                part = X[at : at + 10_000]
+            for at in row_slices(len(ids), len(C)):
+                part = X[at]
                 cell = (cn[None, :] - 2.0 * (part @ C.T)).argmin(axis=1)  # ties: lower centre
                 n += np.bincount(cell, minlength=len(C))
                 np.add.at(s, cell, part)

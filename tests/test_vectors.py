@@ -314,3 +314,39 @@ def test_cache_stats_with_lookup_times(spark):
     log = spark.createDataFrame([(1, True, 2.0), (2, False, 4.0)], "query_id long, hit boolean, ms double")
     row = V.cache_stats(cache, log, latency_col="ms").first()
     assert (row["size"], row.total_inserts, row.total_evictions, row.total_hits, row.avg_lookup_ms) == (6, 10, 4, 1, 3.0)
+
+
+def test_matrices_of_a_task_do_not_grow_with_the_batch(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+    from cachelens.operators import ann
+    from cachelens.operators.vectors import assign_nearest
+
+    class Captured(Exception):
+        pass
+
+    rng = np.random.default_rng(0)
+    X, C = rng.normal(size=(10_000, 16)).astype(np.float32), rng.normal(size=(4096, 16))
+    df = vectors_df(spark, X[:2])
+
+    class Rows:
+        sparkSession, schema = df.sparkSession, df.schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, fn, _):
+            raise Captured(fn)
+
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(10_000), pa.int64()), "embedding": pa.array(list(X), pa.list_(pa.float32()))})
+    for step in (lambda: assign_nearest(Rows(), C), lambda: ann.batch_sums(Rows(), C, "id", "embedding"), lambda: ann.lsh_codes(Rows(), rng.normal(size=(1536, 16)))):
+        with pytest.raises(Captured) as found:
+            step()
+        fn = found.value.args[0]
+        tracemalloc.start()
+        for _ in fn(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 << 20
