@@ -330,7 +330,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["page_id", "url", "host", "text", "rest", "open"])
 
     written = map_batches(own, parse, "page_id long, url string, host string, text string, rest string, open boolean")
-    read_pages = materialize(written.withColumn("row", F.monotonically_increasing_id()), "pages")
+    read_pages = materialize(written.withColumn("row", F.monotonically_increasing_id()), "pages", compression="zstd")
     marked = _clean(read_pages.filter("not open"), shared_in_articles(read_pages.filter("not open and text <> ''")), article_without_shared)
     open_hosts = materialize(read_pages.filter("open").select("host").distinct(), "open-hosts")
     if open_hosts.isEmpty():
